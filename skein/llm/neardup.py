@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ban
 
     for turn in range(rounds + 1):
         now = marked() if turn == 0 else table(marked())
-        by_key = now.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct(F.xxhash64("x", F.lit(turn)) if turn else F.col("x"), "x", "n", "comp")).alias("hub")).where("c1 <> c2")
+        by_key = now.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct((F.xxhash64("x", F.lit(turn)) if turn else F.col("x")).alias("turn"), "x", "n", "comp")).alias("hub")).where("c1 <> c2")
         if turn < rounds:
             hubs = by_key.select("key", F.col("hub.x").alias("hx"), F.col("hub.n").alias("hn"), F.col("hub.comp").alias("hc"))
             near = now.join(hubs, "key").where((F.col("comp") != F.col("hc")) & fits).groupBy("x", "hx").agg(F.count("*").alias("c"))
