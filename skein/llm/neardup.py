@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import components, documents, mix, small_batches, table, utf8
@@ -14,8 +14,8 @@ WORDS = 5
 PERCENT = 75
 #: Bands and rows of each: a pair of similarity 0.75 shares no band with probability (1 - 0.75**5)**50 = 1.3e-6.
 BANDS, ROWS = 50, 5
-#: Rounds in which a document is held against its likeliest partner, before all that is left is compared.
-ROUNDS = 2
+#: How often a star whose hub belongs to another star joins that one.
+HOPS = 2
 STORE = 400_000
 
 _U = np.uint64
@@ -75,16 +75,6 @@ def band_keys(items: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total
 
 
-def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if not len(a) or not len(b):
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n (set size), f1, f2 (fingerprint of the set), keys (one a band; null for an empty set)."""
     import pyarrow as pa
@@ -106,7 +96,10 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose whole shingle sets are similar. Sets are built again from the texts of the documents in question."""
+    """Hold pairs (a, b) against each other: adds ok, i (size of the intersection) and rest (elements of b that a lacks).
+
+    Whole shingle sets are built again from the texts of the documents in question.
+    """
     import pyarrow as pa
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -120,23 +113,30 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
 
     def hold(batches):
         for x in batches:
-            a, b = (c.to_pylist() for c in (x.column("s1"), x.column("s2")))
-            ok = [_similar(np.frombuffer(p, _U), np.frombuffer(q, _U), percent) for p, q in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            ok, inside, rest = [], [], []
+            for p, q in zip(*(c.to_pylist() for c in (x.column("s1"), x.column("s2")))):
+                p, q = np.frombuffer(p, _U), np.frombuffer(q, _U)
+                has = p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q
+                i = int(has.sum())
+                inside.append(i)
+                ok.append(100 * i >= percent * (len(p) + len(q) - i))
+                rest.append(q[~has].view(np.int64))
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(ok, pa.bool_()), pa.array(inside, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "ok", "i", "rest"])
 
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s2")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s1")), "a")
-    return table(both.select("a", "b", "s1", "s2").mapInArrow(hold, "a long, b long, ok boolean").where("ok").select("a", "b").distinct())
+    return both.select("a", "b", "s1", "s2").mapInArrow(hold, "a long, b long, ok boolean, i long, rest array<long>")
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, hops: int = HOPS) -> DataFrame:
     """Components of documents whose sets of n-word shingles have Jaccard similarity of percent or more.
 
     1. Every whole text gives its set's fingerprint and the band keys of a fast similarity sketch.
     2. Documents of equal sets form a class, aggregated before anything is shuffled by key; only its smallest doc_id goes on.
-    3. Representatives that share a band key are candidates. Buckets are never expanded into pairs: in each round a
-       bucket proposes its hub to its members of other components, a member is held against the hub that most of its
-       buckets propose, and confirmed links merge components. Then all pairs that still share a bucket across
-       components, and were not held against each other yet, are compared, so no candidate is dropped.
+    3. Representatives that share a band key are candidates. Buckets are not expanded into pairs. Each proposes its
+       best-connected member as hub; members gather in stars around the hub that most of their buckets propose and are held
+       against it only. Two members of a star that are not both linked to its hub can only be similar if they share enough
+       elements beyond the hub's (found by a prefix-filtered join on these elements) or if what each shares with
+       the hub is enough by itself; both bounds are exact. Members of different stars are compared where they share a bucket.
     4. Links are confirmed on full sets; components come from distributed label propagation.
 
     Defined results: null, empty and word-free texts have n_shingles 0 and link with nothing; a null doc_id links with
@@ -153,42 +153,51 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ban
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = table(entries.join(shared, "key").select("key", F.col("doc_id").alias("x"), "n"))
 
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    fits = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent
-
-    def marked() -> DataFrame:
-        """members with their component so far."""
-        if links is None:
-            return members.withColumn("comp", F.col("x"))
-        found = components(links).select(F.col("node").alias("x"), F.col("comp").alias("c"))
-        return members.join(found, "x", "left").select("key", "x", "n", F.coalesce("c", "x").alias("comp"))
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-
-    for turn in range(rounds + 1):
-        now = marked() if turn == 0 else table(marked())
-        by_key = now.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct((F.xxhash64("x", F.lit(turn)) if turn else F.col("x")).alias("turn"), "x", "n", "comp")).alias("hub")).where("c1 <> c2")
-        if turn < rounds:
-            hubs = by_key.select("key", F.col("hub.x").alias("hx"), F.col("hub.n").alias("hn"), F.col("hub.comp").alias("hc"))
-            near = now.join(hubs, "key").where((F.col("comp") != F.col("hc")) & fits).groupBy("x", "hx").agg(F.count("*").alias("c"))
-            near = untested(near.select(F.least("x", "hx").alias("a"), F.greatest("x", "hx").alias("b"), "x", "c"))
-            pairs = near.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        else:
-            left = now.join(by_key.select("key"), "key")
-            right = left.select("key", F.col("x").alias("hx"), F.col("n").alias("hn"), F.col("comp").alias("hc"))
-            pairs = untested(left.join(right, "key").where((F.col("x") < F.col("hx")) & (F.col("comp") != F.col("hc")) & fits).select(F.col("x").alias("a"), F.col("hx").alias("b")).distinct())
-        pairs = table(pairs)
-        if not pairs.limit(1).count():
-            if turn < rounds:
-                continue
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        found = _verify(pairs, docs, n, percent)
-        links = found if links is None else links.union(found)
-
-    edges = same if links is None else same.union(links)
+    # stars: of the members of a bucket, the one that meets most others is its hub; a member goes to the hub of most of its buckets
+    sizes = members.groupBy("key").agg(F.count("*").alias("c"))
+    degree = members.join(sizes, "key").groupBy("x").agg(F.sum("c").alias("degree"))
+    ranked = table(members.join(degree, "x"))
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "x")).alias("hub")).select("key", F.col("hub.x").alias("a"), F.col("hub.degree").alias("ad"))
+    met = ranked.join(hubs, "key").groupBy("x", "n", "a", "ad").agg(F.count("*").alias("c"))
+    stars = table(met.groupBy("x", "n").agg(F.max_by("a", F.struct("c", "ad", "a")).alias("a")))
+    for _ in range(hops):
+        up = stars.select(F.col("x").alias("a"), F.col("a").alias("a2"))
+        stars = table(stars.join(up, "a").select("x", "n", F.col("a2").alias("a")))
+
+    held = table(_verify(stars.where("x <> a").select("a", F.col("x").alias("b")), docs, n, percent))
+    links = held.where("ok").select("a", "b")
+    comps = components(links).select(F.col("node").alias("x"), "comp")
+    judged = held.select(F.col("a").alias("ha"), F.col("b").alias("hb"), "ok", "i", "rest")
+    of = (F.col("a") == F.col("ha")) & (F.col("x") == F.col("hb"))
+    star = stars.join(judged, of, "left").join(comps, "x", "left").select("x", "n", "a", F.coalesce("ok", F.lit(True)).alias("ok"), F.coalesce("i", "n").alias("i"), F.coalesce("comp", "x").alias("comp"), "rest")
+    star = table(star)
+    y = lambda frame, *also: frame.select(*[F.col(c).alias(f"y_{c}") for c in ("x", "n", "i", "comp")], *also)
+    apart = (F.col("x") != F.col("y_x")) & (F.col("comp") != F.col("y_comp")) & (F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * percent)
+
+    # same star, not both linked to the hub: what two members share beyond the hub, or a bound on what they share within it
+    open_ = star.where("not ok").select("a").distinct()
+    spread = table(star.join(open_, "a").select("a", "x", "n", "i", "ok", "comp", F.size("rest").alias("m"), F.explode("rest").alias("e")))
+    often = spread.groupBy("a", "e").agg(F.count("*").alias("c")).where("c > 1")
+    must = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("i"))  # elements beyond the hub that a partner shares at least
+    nth = F.row_number().over(Window.partitionBy("x").orderBy("c", "e"))
+    # elements that none else has come first in the order, so a prefix of m - must + 1 leaves so many fewer places
+    alone = spread.where("not ok").join(often, ["a", "e"]).withColumn("nth", nth)
+    shared_by = alone.groupBy("x").agg(F.count("*").alias("common")).withColumnRenamed("x", "sx")
+    prefix = alone.join(shared_by, F.col("x") == F.col("sx")).where(F.col("nth") <= F.col("common") - must + 1).select("a", "e", "x", "n", "i", "comp")
+    beyond = prefix.join(y(spread, "a", "e"), ["a", "e"]).where(apart).select("x", "y_x").distinct()
+    least = star.groupBy("a").agg(F.min("n").alias("least"))
+    enough = lambda i, k, l: F.col(i) * (100 + percent) >= (F.col(k) + F.col(l)) * percent
+    tight = star.where("not ok").join(least, "a").where(enough("i", "n", "least")).select("a", "x", "n", "i", "comp")
+    within = tight.join(y(star, "a"), "a").where(apart & enough("i", "n", "y_n") & enough("y_i", "n", "y_n")).select("x", "y_x")
+
+    # different stars that share a bucket
+    starred = members.join(star.select("x", "a", "i", "comp"), "x")
+    mixed = table(starred.join(starred.groupBy("key").agg(F.min("a").alias("a1"), F.max("a").alias("a2")).where("a1 <> a2").select("key"), "key"))
+    across = mixed.join(y(mixed, "key", F.col("a").alias("y_a")), "key").where(apart & (F.col("a") != F.col("y_a")) & (F.col("x") < F.col("y_x"))).select("x", "y_x")
+
+    pairs = beyond.union(within).union(across).select(F.least("x", "y_x").alias("a"), F.greatest("x", "y_x").alias("b")).distinct()
+    more = _verify(table(pairs), docs, n, percent).where("ok").select("a", "b")
+    edges = same.union(links).union(table(more))
     labels = components(edges).select(F.col("node").alias("doc_id"), F.col("comp"))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(labels, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("comp", "doc_id")).alias("kept")
