@@ -104,12 +104,23 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
+    def squeeze(batches):
+        import zstandard
+
+        tool = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([tool.compress(x) for x in utf8(b.column("text"))], pa.binary())], ["doc_id", "z"])
+
     def build(batches):
+        import zstandard
+
+        tool = zstandard.ZstdDecompressor()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(x, n).tobytes() for x in utf8(b.column("text"))], pa.binary())], ["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(tool.decompress(x), n).tobytes() for x in b.column("z").to_pylist()], pa.binary())], ["doc_id", "s"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    sets = table(texts.mapInArrow(build, "doc_id long, s binary"))
+    # texts travel compressed, and by the same join at every size
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL").mapInArrow(squeeze, "doc_id long, z binary")
+    sets = table(texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(build, "doc_id long, s binary"))
 
     def hold(batches):
         for x in batches:
