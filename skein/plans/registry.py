@@ -1,13 +1,412 @@
-"""Queries of the library and their DuckDB twins."""
+"""Queries of the library, each beside its DuckDB twin: name -> (function, SQL or None)."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import geometry
+from skein.operators import images, kinematics, linking, matching, quality, spatial
+from skein.sources import binding
+
 FLAGSHIP = "traj_accel_residual"
+RADIUS = 2.0
+XYZ = ("x", "y", "z")
+_E, _T, _D = f"e AS ({binding.TRACKS_SQL})", f"t AS ({binding.TRUTH_SQL})", f"d AS ({binding.DROPPED_SQL})"
+_W = "OVER (PARTITION BY trajid ORDER BY frame)"
+_ALL: dict[str, tuple] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        _ALL[name] = (f, sql)
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+
+
+def _e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binding.tracks(spark, sf_dir)
+
+
+def _t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binding.truth(spark, sf_dir)
+
+
+def _tt(points: DataFrame) -> DataFrame:
+    return points.withColumnRenamed("pid", "trajid")
+
+
+# --- windows over trajectories -------------------------------------------------------------------------------------------------------
+
+_ACC = f"a AS (SELECT * FROM (SELECT trajid, frame, lead(x) {_W} - 2 * x + lag(x) {_W} AS ax FROM e) WHERE ax IS NOT NULL)"
+
+
+@_query("traj_accel_residual", f"""WITH {_E}, {_ACC}, s AS (SELECT trajid, sqrt(sum(ax * ax) / count(*)) AS r FROM a GROUP BY trajid)
+SELECT e.trajid, count(*) AS n_points, coalesce(any_value(s.r), 0) AS residual FROM e LEFT JOIN s ON s.trajid = e.trajid GROUP BY e.trajid""")
+def traj_accel_residual(spark, sf_dir):
+    return kinematics.acceleration_residual(_e(spark, sf_dir))
+
+
+@_query("window_velocity", f"WITH {_E} SELECT trajid, frame, (x - lag(x) {_W}) / (frame - lag(frame) {_W}) AS vx FROM e")
+def window_velocity(spark, sf_dir):
+    return kinematics.velocity(_e(spark, sf_dir))
+
+
+@_query("window_acceleration", f"WITH {_E}, {_ACC} SELECT * FROM a")
+def window_acceleration(spark, sf_dir):
+    return kinematics.acceleration(_e(spark, sf_dir))
+
+
+@_query("accel_kurtosis", f"WITH {_E}, {_ACC} SELECT count(*) AS samples, round(avg(ax * ax * ax * ax) / (avg(ax * ax) * avg(ax * ax)), 6) AS kurtosis FROM a")
+def accel_kurtosis(spark, sf_dir):
+    return kinematics.kurtosis(_e(spark, sf_dir))
+
+
+@_query("velocity_jump_rate", f"""WITH {_E}, s AS (SELECT trajid, x - lag(x) {_W} AS p, lead(x) {_W} - x AS q FROM e)
+SELECT trajid, count(*) AS corners, CAST(count(*) FILTER (WHERE (abs(p) + abs(q)) / 2 > 1e-9 AND (abs(q - p) > (abs(p) + abs(q)) / 2 OR p * q < 0)) AS BIGINT) AS jumps
+FROM s WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY trajid""")
+def velocity_jump_rate(spark, sf_dir):
+    return kinematics.velocity_jumps(_e(spark, sf_dir))
+
+
+_TW = "OVER (PARTITION BY pid ORDER BY frame)"
+
+
+@_query("turning_angle", f"""WITH {_D}, s AS (SELECT pid AS trajid, frame, {', '.join(f'{a} - lag({a}) {_TW} AS p{a}, lead({a}) {_TW} - {a} AS q{a}' for a in XYZ)} FROM d),
+n AS (SELECT *, sqrt(px * px + py * py + pz * pz) AS n0, sqrt(qx * qx + qy * qy + qz * qz) AS n1 FROM s WHERE px IS NOT NULL AND qx IS NOT NULL)
+SELECT trajid, frame, round(CASE WHEN n0 = 0 OR n1 = 0 OR (px = qx AND py = qy AND pz = qz) THEN 0e0 WHEN px = -qx AND py = -qy AND pz = -qz THEN 200e0
+  ELSE acos(least(1e0, greatest(-1e0, (px * qx + py * qy + pz * qz) / (n0 * n1)))) * 200 / pi() END, 6) AS angle,
+  round(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py) + (qz - pz) * (qz - pz)), 6) AS acc FROM n""")
+def turning_angle(spark, sf_dir):
+    return kinematics.turning(_tt(binding.dropped_out(_t(spark, sf_dir))))
+
+
+@_query("track_lifetime", f"WITH {_E} SELECT length, count(*) AS tracks FROM (SELECT trajid, count(*) AS length FROM e GROUP BY trajid) GROUP BY length")
+def track_lifetime(spark, sf_dir):
+    return kinematics.lifetimes(_e(spark, sf_dir))
+
+
+@_query("traj_index", f"WITH {_E} SELECT trajid, min(frame) AS first, max(frame) AS last, count(*) AS length FROM e GROUP BY trajid")
+def traj_index(spark, sf_dir):
+    return kinematics.index(_e(spark, sf_dir))
+
+
+@_query("drop_spikes", f"""WITH {_E}, s AS (SELECT *, lag(x) {_W} AS b, lead(x) {_W} AS n FROM e)
+SELECT trajid, frame, x FROM s WHERE NOT coalesce(x > 100 AND x - (b + n) / 2 > 20, false)""")
+def drop_spikes(spark, sf_dir):
+    return kinematics.drop_spikes(_e(spark, sf_dir), "x", 100.0, 20.0)
+
+
+@_query("trim_ends", f"""WITH {_E}, s AS (SELECT *, count(*) OVER (PARTITION BY trajid) AS n, row_number() {_W} AS i, row_number() OVER (PARTITION BY trajid ORDER BY frame DESC) AS j,
+  sum(CASE WHEN x <= 60 THEN 1 ELSE 0 END) {_W} AS g0, sum(CASE WHEN x <= 60 THEN 1 ELSE 0 END) OVER (PARTITION BY trajid ORDER BY frame DESC) AS g1 FROM e)
+SELECT trajid, frame, x FROM s WHERE NOT ((g0 = 0 AND i <= least(3, floor(n * 0.25))) OR (g1 = 0 AND j <= least(3, floor(n * 0.25))))""")
+def trim_ends(spark, sf_dir):
+    return kinematics.trim_ends(_e(spark, sf_dir), "x", 60.0)
+
+
+@_query("fill_gaps", f"""WITH {_D}, n AS (SELECT *, lead(frame) {_TW} AS nf, {', '.join(f'lead({a}) {_TW} AS n{a}' for a in XYZ)} FROM d),
+k AS (SELECT *, unnest(CASE WHEN nf - frame - 1 BETWEEN 1 AND 4 THEN range(0, nf - frame) ELSE [0] END) AS k FROM n)
+SELECT pid AS trajid, frame + k AS frame, {', '.join(f'CASE WHEN k = 0 THEN {a} ELSE {a} + (n{a} - {a}) * k / (nf - frame) END AS {a}' for a in XYZ)}, k > 0 AS filled FROM k""")
+def fill_gaps(spark, sf_dir):
+    return kinematics.fill_gaps(_tt(binding.dropped_out(_t(spark, sf_dir))), XYZ)
+
+
+@_query("savgol_interior", f"""WITH {_E}, s AS (SELECT trajid, frame, round((-3 * lag(x, 2) {_W} + 12 * lag(x) {_W} + 17 * x + 12 * lead(x) {_W} - 3 * lead(x, 2) {_W}) / 35, 6) AS smooth FROM e)
+SELECT * FROM s WHERE smooth IS NOT NULL""")
+def savgol_interior(spark, sf_dir):
+    return kinematics.savgol(_e(spark, sf_dir))
+
+
+@_query("session_gaps", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM n GROUP BY user_id, k""")
+def session_gaps(spark, sf_dir):
+    return kinematics.sessions(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts"))
+
+
+# --- spatial joins -------------------------------------------------------------------------------------------------------------------
+
+_D2 = "(b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)"
+_PAIRS = f"p AS (SELECT a.frame, a.pid AS i, b.pid AS k, {_D2} AS d2 FROM t a JOIN t b ON a.frame = b.frame AND {_D2} <= 4)"
+
+
+@_query("radius_join", f"WITH {_T}, {_PAIRS} SELECT * FROM p WHERE i <> k")
+def radius_join(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return spatial.radius_join(spatial.side(t, "i"), spatial.side(t, "k"), RADIUS).where("i <> k")
+
+
+@_query("knn_join", f"WITH {_T}, {_PAIRS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY d2, k) AS rank FROM p) WHERE rank <= 4")
+def knn_join(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return spatial.nearest(spatial.side(t, "i"), spatial.side(t, "k"), RADIUS, 4)
+
+
+@_query("box_candidates_topk", f"""WITH {_T}, p AS (SELECT a.frame, a.pid AS i, b.pid AS k, {_D2} AS d2 FROM t a JOIN t b ON a.frame + 1 = b.frame AND abs(b.x - a.x) < 1.5 AND abs(b.y - a.y) < 1 AND abs(b.z - a.z) < 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY d2, k) AS rank FROM p) WHERE rank <= 32""")
+def box_candidates_topk(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return spatial.box_candidates(spatial.side(t, "i"), spatial.side(t, "k", shift=-1), (1.5, 1.0, 2.0))
+
+
+@_query("neighbour_count", f"WITH {_T}, {_PAIRS} SELECT t.frame, t.pid, count(p.k) AS neighbours FROM t LEFT JOIN p ON p.frame = t.frame AND p.i = t.pid AND p.k <> t.pid GROUP BY t.frame, t.pid")
+def neighbour_count(spark, sf_dir):
+    return spatial.neighbour_counts(_t(spark, sf_dir), RADIUS)
+
+
+@_query("nn_spacing", f"""WITH {_T}, {_PAIRS}, n AS (SELECT frame, i, sqrt(min(d2)) AS d FROM p WHERE i <> k GROUP BY frame, i)
+SELECT frame, count(*) AS points, round(avg(d), 6) AS mean_nn, round(min(d), 6) AS min_nn, round(max(d), 6) AS max_nn FROM n GROUP BY frame""")
+def nn_spacing(spark, sf_dir):
+    return spatial.spacing(_t(spark, sf_dir), RADIUS)
+
+
+# --- links ---------------------------------------------------------------------------------------------------------------------------
+
+_EDGES = f"c AS MATERIALIZED (SELECT a.frame, a.pid AS i, b.pid AS k, {_D2} AS cost FROM t a JOIN t b ON b.frame = a.frame + 1 AND {_D2} <= 4)"
+
+
+def _rounds(n: int, source: str = "c") -> str:
+    """n rounds of mutual best and removal, as CTEs ending in links."""
+    parts, left = [], source
+    for r in range(n):
+        parts.append(f"b{r} AS MATERIALIZED (SELECT frame, i, k, cost FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY cost, i, k) AS ri, row_number() OVER (PARTITION BY frame, k ORDER BY cost, i, k) AS rk FROM {left}) WHERE ri = 1 AND rk = 1)")
+        parts.append(f"l{r} AS MATERIALIZED (SELECT frame, i, k, cost FROM {left} x WHERE NOT EXISTS (SELECT 1 FROM b{r} b WHERE b.frame = x.frame AND b.i = x.i) AND NOT EXISTS (SELECT 1 FROM b{r} b WHERE b.frame = x.frame AND b.k = x.k))")
+        left = f"l{r}"
+    return ", ".join(parts) + ", links AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM b{r}" for r in range(n)) + ")"
+
+
+_LINKS = f"{_T}, {_EDGES}, {_rounds(10)}"
+
+
+def _links(spark, sf_dir):
+    return linking.greedy(linking.candidates(_t(spark, sf_dir), RADIUS))
+
+
+def _true_links(points):
+    return points.select("frame", F.col("pid").alias("i"), F.col("pid").alias("k")).where(F.col("frame") < binding.FRAMES - 1)
+
+
+@_query("link_nearest_l3", f"WITH {_LINKS} SELECT * FROM links")
+def link_nearest_l3(spark, sf_dir):
+    return _links(spark, sf_dir)
+
+
+@_query("enforce_reciprocity", f"WITH {_T}, {_EDGES}, {_rounds(1)} SELECT * FROM links")
+def enforce_reciprocity(spark, sf_dir):
+    return linking.mutual(linking.candidates(_t(spark, sf_dir), RADIUS))
+
+
+_SEED = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY cost, k) AS r, lead(cost) OVER (PARTITION BY frame, i ORDER BY cost, k) AS nxt FROM c) WHERE r = 1 AND cost <= 2.25 AND (nxt IS NULL OR nxt >= 4 * cost))"
+
+
+@_query("seed_cold_start", f"WITH {_T}, {_EDGES}, {_SEED}, {_rounds(1, 's')} SELECT * FROM links")
+def seed_cold_start(spark, sf_dir):
+    return linking.seed_cold(linking.candidates(_t(spark, sf_dir), RADIUS), 1.5)
+
+
+_PRED = """p AS MATERIALIZED (SELECT l.frame + 1 AS frame, l.k AS i, n.pid AS k, (n.x - 2 * b.x + a.x) * (n.x - 2 * b.x + a.x) + (n.y - 2 * b.y + a.y) * (n.y - 2 * b.y + a.y) + (n.z - 2 * b.z + a.z) * (n.z - 2 * b.z + a.z) AS cost
+  FROM links l JOIN t a ON a.frame = l.frame AND a.pid = l.i JOIN t b ON b.frame = l.frame + 1 AND b.pid = l.k JOIN t n ON n.frame = l.frame + 2)"""
+
+
+@_query("link_predict_l1", f"WITH {_LINKS}, {_PRED} SELECT * FROM p WHERE cost <= 1")
+def link_predict_l1(spark, sf_dir):
+    return linking.predict(_links(spark, sf_dir), _t(spark, sf_dir), 1.0)
+
+
+_KINK = """q AS MATERIALIZED (SELECT l.frame, l.i, l.k, m.k AS l, sqrt((c2.x - 2 * b.x + a.x) * (c2.x - 2 * b.x + a.x) + (c2.y - 2 * b.y + a.y) * (c2.y - 2 * b.y + a.y) + (c2.z - 2 * b.z + a.z) * (c2.z - 2 * b.z + a.z)) AS kink
+  FROM links l JOIN links m ON m.frame = l.frame + 1 AND m.i = l.k JOIN t a ON a.frame = l.frame AND a.pid = l.i JOIN t b ON b.frame = l.frame + 1 AND b.pid = l.k JOIN t c2 ON c2.frame = l.frame + 2 AND c2.pid = m.k)"""
+
+
+@_query("kink_statistics", f"WITH {_LINKS}, {_KINK} SELECT * FROM q")
+def kink_statistics(spark, sf_dir):
+    return linking.kinks(_links(spark, sf_dir), _t(spark, sf_dir))
+
+
+@_query("prune_kinks", f"WITH {_LINKS}, {_KINK} SELECT * FROM links x WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.frame + 1 = x.frame AND q.k = x.i AND q.l = x.k AND kink > 6 * (SELECT median(kink) FROM q))")
+def prune_kinks(spark, sf_dir):
+    return linking.prune_kinks(_links(spark, sf_dir), _t(spark, sf_dir))
+
+
+@_query("seal_trajectories", f"""WITH RECURSIVE {_LINKS}, w(trajid, frame, id) AS (
+  SELECT t.frame * 1000000000 + t.pid, t.frame, t.pid FROM t WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.frame + 1 = t.frame AND l.k = t.pid)
+  UNION ALL SELECT w.trajid, w.frame + 1, l.k FROM w JOIN links l ON l.frame = w.frame AND l.i = w.id) SELECT * FROM w""")
+def seal_trajectories(spark, sf_dir):
+    return linking.seal(_links(spark, sf_dir), _t(spark, sf_dir))
+
+
+@_query("link_recall_precision", f"""WITH {_LINKS}, n AS (SELECT (SELECT count(*) FROM links) AS predicted, (SELECT count(*) FROM t WHERE frame < 7) AS true_links, (SELECT count(*) FROM links WHERE i = k) AS correct)
+SELECT *, round(correct / true_links, 6) AS recall, round(correct / predicted, 6) AS precision FROM n""")
+def link_recall_precision(spark, sf_dir):
+    return quality.link_metrics(_links(spark, sf_dir), _true_links(_t(spark, sf_dir)))
+
+
+@_query("frame_stats", f"WITH {_LINKS} SELECT t.frame, count(*) AS n_points, count(l.i) AS n_links FROM t LEFT JOIN links l ON l.frame = t.frame AND l.i = t.pid GROUP BY t.frame")
+def frame_stats(spark, sf_dir):
+    return quality.frame_stats(_t(spark, sf_dir), _links(spark, sf_dir))
+
+
+@_query("self_consistency_report", f"""WITH {_LINKS}, u AS (SELECT frame, i AS pid FROM links UNION SELECT frame + 1, k FROM links),
+n AS (SELECT count(*) AS points, count(u.pid) AS linked FROM t LEFT JOIN u ON u.frame = t.frame AND u.pid = t.pid)
+SELECT points, linked, round(1 - linked / points, 6) AS ghost_rate, round(1 - linked / points, 6) > 0.4 AS flagged FROM n""")
+def self_consistency_report(spark, sf_dir):
+    return quality.self_report(_t(spark, sf_dir), _links(spark, sf_dir))
+
+
+_SEALED = _LINKS + """, w(trajid, frame, pid) AS (
+  SELECT t.frame * 1000000000 + t.pid, t.frame, t.pid FROM t WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.frame + 1 = t.frame AND l.k = t.pid)
+  UNION ALL SELECT w.trajid, w.frame + 1, l.k FROM w JOIN links l ON l.frame = w.frame AND l.i = w.pid)"""
+
+
+def _labelled(spark, sf_dir):
+    return linking.seal(_links(spark, sf_dir), _t(spark, sf_dir)).withColumnRenamed("id", "pid")
+
+
+@_query("identity_metrics", f"""WITH RECURSIVE {_SEALED}, b AS (SELECT trajid, pid, count(*) AS n FROM w GROUP BY trajid, pid)
+SELECT trajid, CAST(sum(n) AS BIGINT) AS points, count(*) AS identities, max(n) AS majority, round(max(n) / sum(n), 6) AS purity FROM b GROUP BY trajid""")
+def identity_metrics(spark, sf_dir):
+    return quality.identity(_labelled(spark, sf_dir))
+
+
+@_query("e_track", f"""WITH RECURSIVE {_SEALED}, m AS (SELECT trajid, count(DISTINCT pid) AS ids FROM w GROUP BY trajid),
+h AS (SELECT pid, count(DISTINCT w.trajid) AS tracks, max(ids) AS ids, count(*) AS covered FROM w JOIN m ON m.trajid = w.trajid GROUP BY pid),
+g AS (SELECT pid, count(*) AS frames FROM t GROUP BY pid)
+SELECT CASE WHEN tracks IS NULL THEN 'missed' WHEN tracks > 1 THEN 'fragmented' WHEN ids > 1 THEN 'contaminated' WHEN covered < frames THEN 'incomplete' ELSE 'perfect' END AS class, count(*) AS tracks
+FROM g LEFT JOIN h ON h.pid = g.pid GROUP BY 1""")
+def e_track(spark, sf_dir):
+    return quality.track_errors(_labelled(spark, sf_dir), _t(spark, sf_dir))
+
+
+# --- cameras -------------------------------------------------------------------------------------------------------------------------
+
+_CAMS = ", ".join(f"({c}, {s})" for c, s in matching.CAMERAS.items())
+_TG = f"g AS MATERIALIZED (SELECT t.frame, CAST(cam AS BIGINT) AS cam, t.pid AS pnr, t.x + shift * t.z / 64e0 AS u, t.y AS v, t.pid % 97 + 20 AS sumg FROM t, (VALUES {_CAMS}) AS k(cam, shift) WHERE t.frame < 2)"
+
+
+def _edge_sql(a: int, b: int) -> str:
+    return f"""e{a}{b} AS MATERIALIZED (SELECT l.frame, l.pnr AS p1, r.pnr AS p2, l.sumg + r.sumg AS corr, abs(r.v - l.v) AS dist FROM g l JOIN g r ON l.frame = r.frame AND l.cam = {a} AND r.cam = {b}
+  AND abs(r.v - l.v) < 0.125 AND r.u >= l.u AND r.u - l.u <= 4 AND CAST(least(l.sumg, r.sumg) AS DOUBLE) / greatest(l.sumg, r.sumg) >= 0.5)"""
+
+
+def _targets(spark, sf_dir):
+    return matching.targets(_t(spark, sf_dir).where("frame < 2"))
+
+
+def _edges(t, cams):
+    return {(a, b): matching.epipolar_candidates(t, a, b, 0.125, 4.0, 0.5) for n, b in enumerate(cams) for a in cams[:n]}
+
+
+@_query("camera_targets", f"WITH {_T}, {_TG} SELECT * FROM g")
+def camera_targets(spark, sf_dir):
+    return _targets(spark, sf_dir)
+
+
+@_query("epipolar_candidates", f"WITH {_T}, {_TG}, {_edge_sql(0, 1)} SELECT * FROM e01")
+def epipolar_candidates(spark, sf_dir):
+    return _edges(_targets(spark, sf_dir), (0, 1))[0, 1]
+
+
+@_query("cliques3", f"""WITH {_T}, {_TG}, {_edge_sql(0, 1)}, {_edge_sql(0, 2)}, {_edge_sql(1, 2)}
+SELECT a.frame, a.p1 AS p0, a.p2 AS p1, b.p2 AS p2, a.corr + b.corr + c.corr AS corr, a.dist + b.dist + c.dist AS dist
+FROM e01 a JOIN e02 b ON b.frame = a.frame AND b.p1 = a.p1 JOIN e12 c ON c.frame = a.frame AND c.p1 = a.p2 AND c.p2 = b.p2""")
+def cliques3(spark, sf_dir):
+    return matching.cliques(_edges(_targets(spark, sf_dir), (0, 1, 2)), (0, 1, 2))
+
+
+@_query("pairs_unique", f"""WITH {_T}, {_TG}, {_edge_sql(0, 1)}
+SELECT frame, p1, p2, corr, dist FROM (SELECT *, count(*) OVER (PARTITION BY frame, p1) AS n1, count(*) OVER (PARTITION BY frame, p2) AS n2 FROM e01) WHERE n1 = 1 AND n2 = 1""")
+def pairs_unique(spark, sf_dir):
+    return matching.unique_pairs(_edges(_targets(spark, sf_dir), (0, 1))[0, 1])
+
+
+@_query("pixel_metric_roundtrip", f"WITH {_T} SELECT frame, pid, (x - 512e0) * 0.015625e0 AS mx, (384e0 - y) * 0.015625e0 AS my, x AS px, y AS py FROM t")
+def pixel_metric_roundtrip(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    mx, my = geometry.pixel_to_metric(F.col("x"), F.col("y"), 1024, 768, 0.015625, 0.015625)
+    px, py = geometry.metric_to_pixel(F.col("mx"), F.col("my"), 1024, 768, 0.015625, 0.015625)
+    return t.select("frame", "pid", mx.alias("mx"), my.alias("my")).select("frame", "pid", "mx", "my", px.alias("px"), py.alias("py"))
+
+
+@_query("brown_distort", f"""WITH {_T}, n AS (SELECT frame, pid, x / 64 AS x, y / 64 AS y, (x * x + y * y) / 4096 AS r2 FROM t)
+SELECT frame, pid, round(1.01e0 * (x + x * (0.01e0 * r2 + 0.001e0 * r2 * r2) + 0.002e0 * (r2 + 2 * x * x) + 2 * 0.003e0 * x * y) - sin(0.01e0) * (y + y * (0.01e0 * r2 + 0.001e0 * r2 * r2) + 0.003e0 * (r2 + 2 * y * y) + 2 * 0.002e0 * x * y), 6) AS dx,
+  round(cos(0.01e0) * (y + y * (0.01e0 * r2 + 0.001e0 * r2 * r2) + 0.003e0 * (r2 + 2 * y * y) + 2 * 0.002e0 * x * y), 6) AS dy FROM n""")
+def brown_distort(spark, sf_dir):
+    u, v = geometry.brown_distort(F.col("x") / 64, F.col("y") / 64, 0.01, 0.001, 0.0, 0.002, 0.003, 1.01, 0.01)
+    return _t(spark, sf_dir).select("frame", "pid", F.round(u, 6).alias("dx"), F.round(v, 6).alias("dy"))
+
+
+@_query("skew_midpoint", f"""WITH {_T}, r AS (SELECT frame, pid, x, y, z, x - 100 AS ux, y AS uy, z + 50 AS uz, x + 100 AS vx, y - 3 AS vy, z + 50 AS vz FROM t WHERE frame = 0)
+SELECT frame, pid, round(x, 5) AS mx, round(y, 5) AS my, round(z, 5) AS mz, true AS close FROM r""")
+def skew_midpoint(spark, sf_dir):
+    c = F.col
+    p, q = (F.lit(100.0), F.lit(0.0), F.lit(-50.0)), (F.lit(-100.0), F.lit(3.0), F.lit(-50.0))
+    u, v = (c("x") - 100, c("y"), c("z") + 50), (c("x") + 100, c("y") - 3, c("z") + 50)
+    m, gap = geometry.skew_midpoint(p, u, q, v)
+    return _t(spark, sf_dir).where("frame = 0").select("frame", "pid", *[(F.round(x, 5) + 0.0).alias(n) for x, n in zip(m, ("mx", "my", "mz"))], (gap < 1e-6).alias("close"))
+
+
+@_query("camera_support", f"WITH {_T} SELECT frame, pid, CAST((pid % 2 > 0)::INT + (pid % 3 > 0)::INT + (pid % 5 > 0)::INT + 1 AS BIGINT) AS support FROM t")
+def camera_support(spark, sf_dir):
+    ids = F.array(*[F.when(F.col("pid") % m > 0, F.col("pid")).otherwise(F.lit(-1)) for m in (2, 3, 5)], F.col("pid"))
+    return matching.camera_support(_t(spark, sf_dir).withColumn("cam_ids", ids)).select("frame", "pid", "support")
+
+
+@_query("uniqueness_pairs", f"""WITH {_T} SELECT frame, pid, cam, target, conf FROM (SELECT *, row_number() OVER (PARTITION BY frame, cam, target ORDER BY conf DESC, pid) AS r FROM (
+  SELECT frame, pid, CAST(0 AS BIGINT) AS cam, CAST(floor(x * 16) AS BIGINT) AS target, (pid * 13) % 64 / 64e0 AS conf FROM t)) WHERE r = 1""")
+def uniqueness_pairs(spark, sf_dir):
+    rows = _t(spark, sf_dir).select("frame", "pid", F.lit(0).cast("long").alias("cam"), F.floor(F.col("x") * 16).cast("long").alias("target"), (((F.col("pid") * 13) % 64) / F.lit(64.0)).alias("conf"))
+    return quality.conflicts(rows)
+
+
+@_query("ghost_scaling", f"""WITH {_T}, n AS (SELECT frame, count(*) AS points FROM t GROUP BY frame), g AS (SELECT *, pow(points, 4e0) * pow(0.05e0 / 20, 5e0) AS x FROM n)
+SELECT frame, points, round(x, 6) AS ghosts, CASE WHEN x < 1 THEN 'sparse' WHEN x >= points THEN 'dense' ELSE 'intermediate' END AS regime FROM g""")
+def ghost_scaling(spark, sf_dir):
+    n = _t(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("points"))
+    g = geometry.expected_ghosts(F.col("points"), 4, 0.05, 20.0)
+    return n.select("frame", "points", F.round(g, 6).alias("ghosts"), geometry.ghost_regime(g, F.col("points")).alias("regime"))
+
+
+@_query("quality_weights", f"WITH {_E} SELECT trajid, frame, round(greatest((1 - x / 512) * (1 - x / 512), 0.05), 6) AS weight FROM e")
+def quality_weights(spark, sf_dir):
+    return _e(spark, sf_dir).select("trajid", "frame", F.round(geometry.quality_weight(F.col("x") / 512), 6).alias("weight"))
+
+
+# --- images --------------------------------------------------------------------------------------------------------------------------
+
+_PX = "px AS MATERIALIZED (SELECT f AS img, c_custkey // 32 AS r, c_custkey % 32 AS c, (c_custkey * 7919 + f * 31) % 256 AS g FROM customer, unnest(range(0, 8)) AS t(f))"
+
+
+def _pixels(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("img"))
+    return rows.select("img", F.expr("k div 32").alias("r"), (F.col("k") % 32).alias("c"), ((F.col("k") * 7919 + F.col("img") * 31) % 256).alias("g"))
+
+
+_BLUR = "bl AS (SELECT a.img, a.r, a.c, CAST(sum(b.g) AS BIGINT) // count(*) AS g FROM px a JOIN px b ON a.img = b.img AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.img, a.r, a.c)"
+
+
+@_query("box_blur", f"WITH {_PX}, {_BLUR} SELECT * FROM bl")
+def box_blur(spark, sf_dir):
+    return images.box_blur(_pixels(spark, sf_dir))
+
+
+@_query("high_pass", f"WITH {_PX}, {_BLUR} SELECT px.img, px.r, px.c, greatest(px.g - bl.g, 0) AS g FROM px JOIN bl ON bl.img = px.img AND bl.r = px.r AND bl.c = px.c")
+def high_pass(spark, sf_dir):
+    return images.high_pass(_pixels(spark, sf_dir))
+
+
+@_query("negative", f"WITH {_PX} SELECT img, r, c, 255 - g AS g FROM px")
+def negative(spark, sf_dir):
+    return images.negative(_pixels(spark, sf_dir))
+
+
+@_query("subtract_background", f"WITH {_PX}, b AS (SELECT r, c, CAST(sum(g) AS BIGINT) // count(*) AS low FROM px GROUP BY r, c) SELECT img, px.r, px.c, greatest(g - low, 0) AS g FROM px JOIN b ON b.r = px.r AND b.c = px.c")
+def subtract_background(spark, sf_dir):
+    return images.subtract_background(_pixels(spark, sf_dir))
