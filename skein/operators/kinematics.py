@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRACK = Window.partitionBy("trajid").orderBy("frame")
+def _track():
+    return Window.partitionBy("trajid").orderBy("frame")
 
 
 def _total(parts: list[Column]) -> Column:
@@ -16,13 +17,13 @@ def _total(parts: list[Column]) -> Column:
 
 def velocity(rows: DataFrame, axes=("x",)) -> DataFrame:
     """Finite difference to the previous point; null at a track's first."""
-    step = F.col("frame") - F.lag("frame").over(TRACK)
-    return rows.select("trajid", "frame", *[((F.col(a) - F.lag(a).over(TRACK)) / step).alias(f"v{a}") for a in axes])
+    step = F.col("frame") - F.lag("frame").over(_track())
+    return rows.select("trajid", "frame", *[((F.col(a) - F.lag(a).over(_track())) / step).alias(f"v{a}") for a in axes])
 
 
 def acceleration(rows: DataFrame, axes=("x",)) -> DataFrame:
     """Second difference at interior points: previous - 2 * current + next."""
-    out = rows.select("trajid", "frame", *[(F.lead(a).over(TRACK) - 2 * F.col(a) + F.lag(a).over(TRACK)).alias(f"a{a}") for a in axes])
+    out = rows.select("trajid", "frame", *[(F.lead(a).over(_track()) - 2 * F.col(a) + F.lag(a).over(_track())).alias(f"a{a}") for a in axes])
     return out.where(" AND ".join(f"a{a} IS NOT NULL" for a in axes))
 
 
@@ -41,8 +42,8 @@ def kurtosis(rows: DataFrame, axes=("x",)) -> DataFrame:
 
 
 def _corner(axes) -> tuple[list[Column], list[Column]]:
-    before = [F.col(a) - F.lag(a).over(TRACK) for a in axes]
-    after = [F.lead(a).over(TRACK) - F.col(a) for a in axes]
+    before = [F.col(a) - F.lag(a).over(_track()) for a in axes]
+    after = [F.lead(a).over(_track()) - F.col(a) for a in axes]
     return before, after
 
 
@@ -84,7 +85,7 @@ def index(rows: DataFrame) -> DataFrame:
 
 def drop_spikes(rows: DataFrame, score: str, above: float, jump: float) -> DataFrame:
     """Drop interior points whose score exceeds above and the mean of both neighbours' by more than jump."""
-    before, after = F.lag(score).over(TRACK), F.lead(score).over(TRACK)
+    before, after = F.lag(score).over(_track()), F.lead(score).over(_track())
     marked = rows.withColumn("spike", F.coalesce((F.col(score) > above) & (F.col(score) - (before + after) / 2 > jump), F.lit(False)))
     return marked.where("NOT spike").drop("spike")
 
@@ -94,8 +95,8 @@ def trim_ends(rows: DataFrame, score: str, above: float, most: int = 3, share: f
     back = Window.partitionBy("trajid").orderBy(F.col("frame").desc())
     good = F.when(F.col(score) <= above, 1).otherwise(0)
     all_ = Window.partitionBy("trajid")
-    marked = rows.withColumn("n", F.count("*").over(all_)).withColumn("i", F.row_number().over(TRACK)).withColumn("j", F.row_number().over(back))
-    marked = marked.withColumn("g0", F.sum(good).over(TRACK)).withColumn("g1", F.sum(good).over(back))
+    marked = rows.withColumn("n", F.count("*").over(all_)).withColumn("i", F.row_number().over(_track())).withColumn("j", F.row_number().over(back))
+    marked = marked.withColumn("g0", F.sum(good).over(_track())).withColumn("g1", F.sum(good).over(back))
     limit = F.least(F.lit(most).cast("long"), F.floor(F.col("n") * share))
     cut = ((F.col("g0") == 0) & (F.col("i") <= limit)) | ((F.col("g1") == 0) & (F.col("j") <= limit))
     return marked.where(~cut).drop("n", "i", "j", "g0", "g1")
@@ -103,9 +104,9 @@ def trim_ends(rows: DataFrame, score: str, above: float, most: int = 3, share: f
 
 def fill_gaps(rows: DataFrame, axes=("x",), most: int = 4) -> DataFrame:
     """Points for missing frames by linear interpolation where a gap has at most `most` frames; filled marks them."""
-    nxt = rows.withColumn("to", F.lead("frame").over(TRACK))
+    nxt = rows.withColumn("to", F.lead("frame").over(_track()))
     for a in axes:
-        nxt = nxt.withColumn(f"{a}1", F.lead(a).over(TRACK))
+        nxt = nxt.withColumn(f"{a}1", F.lead(a).over(_track()))
     gap = F.coalesce(F.col("to") - F.col("frame") - 1, F.lit(0))
     steps = nxt.withColumn("k", F.explode(F.when((gap > 0) & (gap <= most), F.sequence(F.lit(0).cast("long"), gap)).otherwise(F.array(F.lit(0).cast("long")))))
     span = F.col("to") - F.col("frame")
@@ -115,7 +116,7 @@ def fill_gaps(rows: DataFrame, axes=("x",), most: int = 4) -> DataFrame:
 
 def savgol(rows: DataFrame, axis: str = "x") -> DataFrame:
     """Quadratic Savitzky-Golay smoothing over five points, unit weights; interior points only."""
-    at = lambda k: F.lag(axis, k).over(TRACK) if k > 0 else F.lead(axis, -k).over(TRACK)
+    at = lambda k: F.lag(axis, k).over(_track()) if k > 0 else F.lead(axis, -k).over(_track())
     value = (-3 * at(2) + 12 * at(1) + 17 * F.col(axis) + 12 * at(-1) - 3 * at(-2)) / 35
     return rows.select("trajid", "frame", F.round(value, 6).alias("smooth")).where("smooth IS NOT NULL")
 
