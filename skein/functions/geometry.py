@@ -38,13 +38,22 @@ def brown_distort(x: Column, y: Column, k1: float, k2: float, k3: float, p1: flo
 
 
 def brown_correct(x: Column, y: Column, k1: float, k2: float, k3: float, p1: float, p2: float, rounds: int = 5) -> tuple[Column, Column]:
-    """Inverse of brown_distort without scale and shear, by a fixed number of rounds of substitution."""
-    u, v = x, y
-    for _ in range(rounds):
+    """Inverse of brown_distort without scale and shear, by a fixed number of rounds of substitution.
+
+    A fold holds the pair between rounds: nested columns would repeat each round's expression and grow exponentially.
+    """
+
+    def step(at: Column, _: Column) -> Column:
+        u, v, a, b = at["u"], at["v"], at["x"], at["y"]
         r2 = u * u + v * v
         radial = k1 * r2 + k2 * r2 * r2 + k3 * r2 * r2 * r2
-        u, v = x - u * radial - p1 * (r2 + 2 * u * u) - 2 * p2 * u * v, y - v * radial - p2 * (r2 + 2 * v * v) - 2 * p1 * u * v
-    return u, v
+        nu = a - u * radial - p1 * (r2 + 2 * u * u) - 2 * p2 * u * v
+        nv = b - v * radial - p2 * (r2 + 2 * v * v) - 2 * p1 * u * v
+        return F.struct(nu.alias("u"), nv.alias("v"), a.alias("x"), b.alias("y"))
+
+    x, y = x.cast("double"), y.cast("double")
+    end = F.aggregate(F.array_repeat(F.lit(0), rounds), F.struct(x.alias("u"), y.alias("v"), x.alias("x"), y.alias("y")), step)
+    return end["u"], end["v"]
 
 
 def skew_midpoint(p, u, q, v) -> tuple[tuple[Column, Column, Column], Column]:

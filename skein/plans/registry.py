@@ -285,6 +285,25 @@ def e_track(spark, sf_dir):
     return quality.track_errors(_labelled(spark, sf_dir), _t(spark, sf_dir))
 
 
+_MARKED = "MATERIALIZED (SELECT pid AS id, frame FROM t WHERE (pid * 13 + frame * 7) % 20 <> 0)"
+
+
+def _true_chain(points):
+    """Links of one frame between detections of one particle."""
+    ahead = points.select((F.col("frame") - 1).alias("frame"), "pid")
+    return points.select("frame", "pid").join(ahead, ["frame", "pid"]).select("frame", F.col("pid").alias("i"), F.col("pid").alias("k"), F.lit(0.0).alias("cost"))
+
+
+@_query("relink_gaps", f"""WITH {_T}, m AS {_MARKED}, l AS MATERIALIZED (SELECT a.frame, a.id FROM m a JOIN m b ON b.frame = a.frame + 1 AND b.id = a.id),
+n AS (SELECT t.* FROM t JOIN l ON l.id = t.pid AND l.frame + 1 = t.frame WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.id = t.pid AND o.frame = t.frame)),
+s AS (SELECT t.* FROM t JOIN l ON l.id = t.pid AND l.frame = t.frame WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.id = t.pid AND o.frame + 1 = t.frame)),
+h AS (SELECT n.frame + 2 AS frame, n.pid, n.x + (n.x - p.x) * 2 AS x, n.y + (n.y - p.y) * 2 AS y, n.z + (n.z - p.z) * 2 AS z FROM n JOIN t p ON p.pid = n.pid AND p.frame = n.frame - 1),
+c AS (SELECT a.frame - 2 AS frame, a.pid AS i, b.pid AS k, {_D2} AS cost FROM h a JOIN s b ON b.frame = a.frame AND {_D2} <= 1), {_rounds(1)} SELECT * FROM links""")
+def relink_gaps(spark, sf_dir):
+    seen = binding.dropped_out(_t(spark, sf_dir))
+    return linking.relink_gaps(_true_chain(seen), seen, 1, 1.0)
+
+
 # --- cameras -------------------------------------------------------------------------------------------------------------------------
 
 _CAMS = ", ".join(f"({c}, {s})" for c, s in matching.CAMERAS.items())
@@ -343,6 +362,18 @@ def brown_distort(spark, sf_dir):
     return _t(spark, sf_dir).select("frame", "pid", F.round(u, 6).alias("dx"), F.round(v, 6).alias("dy"))
 
 
+_BROWN = ", ".join(
+    f"n{r + 1} AS (SELECT frame, pid, x, y, x - u * (0.01e0 * q + 0.001e0 * q * q) - 0.002e0 * (q + 2 * u * u) - 2 * 0.003e0 * u * v AS u,"
+    f" y - v * (0.01e0 * q + 0.001e0 * q * q) - 0.003e0 * (q + 2 * v * v) - 2 * 0.002e0 * u * v AS v FROM (SELECT *, u * u + v * v AS q FROM n{r}))" for r in range(5)
+)
+
+
+@_query("brown_correct", f"WITH {_T}, n0 AS (SELECT frame, pid, x / 64 AS x, y / 64 AS y, x / 64 AS u, y / 64 AS v FROM t), {_BROWN} SELECT frame, pid, round(u, 6) AS cx, round(v, 6) AS cy FROM n5")
+def brown_correct(spark, sf_dir):
+    u, v = geometry.brown_correct(F.col("x") / 64, F.col("y") / 64, 0.01, 0.001, 0.0, 0.002, 0.003)
+    return _t(spark, sf_dir).select("frame", "pid", F.round(u, 6).alias("cx"), F.round(v, 6).alias("cy"))
+
+
 @_query("skew_midpoint", f"""WITH {_T}, r AS (SELECT frame, pid, x, y, z, x - 100 AS ux, y AS uy, z + 50 AS uz, x + 100 AS vx, y - 3 AS vy, z + 50 AS vz FROM t WHERE frame = 0)
 SELECT frame, pid, round(x, 5) AS mx, round(y, 5) AS my, round(z, 5) AS mz, true AS close FROM r""")
 def skew_midpoint(spark, sf_dir):

@@ -26,7 +26,7 @@ def plain(frame):
     return list(frame.columns), sorted(tuple(repr(getattr(x, "item", lambda: x)()) for x in row) for row in frame.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", ["traj_accel_residual", "velocity_jump_rate", "turning_angle", "trim_ends", "fill_gaps", "session_gaps", "knn_join", "link_nearest_l3", "seal_trajectories", "e_track", "cliques3", "box_blur"])
+@pytest.mark.parametrize("name", ["traj_accel_residual", "velocity_jump_rate", "turning_angle", "trim_ends", "fill_gaps", "session_gaps", "knn_join", "link_nearest_l3", "seal_trajectories", "e_track", "cliques3", "box_blur", "relink_gaps", "brown_correct"])
 def test_twin(spark, duck, name):
     assert plain(registry.queries()[name](spark, SF).toPandas()) == plain(duck.execute(registry.oracle_sql()[name]).df())
 
@@ -47,6 +47,21 @@ def test_greedy_equals_a_sequential_pass(spark):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_merged_directions_prefer_links_that_both_have(spark):
+    rng = random.Random(5)
+    draw = lambda: {(f, i, k): rng.randrange(40) / 4 for f in range(3) for i in range(6) for k in range(6) if rng.random() < 0.4}
+    forward, backward = draw(), draw()
+    votes = {e: (e not in forward or e not in backward, min(d[e] for d in (forward, backward) if e in d)) for e in forward | backward}
+    used, want = set(), []
+    for (f, i, k), (once, c) in sorted(votes.items(), key=lambda e: (e[0][0], e[1], e[0][1:])):
+        if (f, 0, i) not in used and (f, 1, k) not in used:
+            used |= {(f, 0, i), (f, 1, k)}
+            want.append((f, i, k, c))
+    frame = lambda d: spark.createDataFrame([(*e, c) for e, c in d.items()], "frame long, i long, k long, cost double")
+    got = linking.merge_directions(frame(forward), frame(backward)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 
