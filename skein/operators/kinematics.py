@@ -41,6 +41,24 @@ def kurtosis(rows: DataFrame, axes=("x",)) -> DataFrame:
     return sums.select(F.col("n").alias("samples"), F.when((F.col("n") >= 2) & (F.col("m2") > 0), F.round(F.col("m4") / (F.col("m2") * F.col("m2")), 6)).alias("kurtosis"))
 
 
+def noise_sigma(rows: DataFrame, axis: str = "x", least: int = 5) -> DataFrame:
+    """Position noise from the lag-1 covariance of second differences, one row (samples, pairs, sigma).
+
+    Only points of consecutive frames in tracks of `least` points count; differences beyond six robust deviations are left out.
+    sigma is 0 with fewer than ten samples or pairs. The medians are exact: their buffers grow with the distinct differences.
+    """
+    frame, point = F.col("frame"), F.col(axis)
+    run = (frame - F.lag("frame", 2).over(_track()) == 2) & (frame - F.lag("frame").over(_track()) == 1)
+    second = F.when(run & (F.count("*").over(Window.partitionBy("trajid")) >= least), point - 2 * F.lag(axis).over(_track()) + F.lag(axis, 2).over(_track()))
+    found = rows.select("trajid", "frame", second.alias("a")).select("a", F.lag("a").over(_track()).alias("b")).where("a IS NOT NULL")
+    middle = found.agg(F.expr("percentile(a, 0.5)").alias("m"), F.count("*").alias("samples"))  # one row, as is the next
+    spread = found.crossJoin(F.broadcast(middle)).agg(F.expr("percentile(abs(a - m), 0.5)").alias("mad"), F.first("samples").alias("samples"))
+    good = F.col("b").isNotNull() & (F.greatest(F.abs("a"), F.abs("b")) <= 6 * 1.4826 * F.col("mad"))
+    sums = found.crossJoin(F.broadcast(spread)).agg(F.count("*").alias("samples"), F.count_if(good).alias("pairs"), F.avg(F.when(good, F.col("a") * F.col("b"))).alias("c"))
+    enough = (F.col("samples") >= 10) & (F.col("pairs") >= 10)
+    return sums.select("samples", "pairs", F.round(F.when(enough, F.sqrt(F.greatest(-F.col("c") / 4, F.lit(0.0)))).otherwise(0.0), 6).alias("sigma"))
+
+
 def _corner(axes) -> tuple[list[Column], list[Column]]:
     before = [F.col(a) - F.lag(a).over(_track()) for a in axes]
     after = [F.lead(a).over(_track()) - F.col(a) for a in axes]

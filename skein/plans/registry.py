@@ -78,6 +78,14 @@ def velocity_jump_rate(spark, sf_dir):
     return kinematics.velocity_jumps(_e(spark, sf_dir))
 
 
+@_query("noise_sigma", f"""WITH {_E}, s AS (SELECT trajid, frame, CASE WHEN frame - lag(frame, 2) {_W} = 2 AND count(*) OVER (PARTITION BY trajid) >= 5 THEN x - 2 * lag(x) {_W} + lag(x, 2) {_W} END AS a FROM e),
+p AS (SELECT a, lag(a) {_W} AS b FROM s), g AS (SELECT * FROM p WHERE a IS NOT NULL), m AS (SELECT median(a) AS m FROM g), d AS (SELECT median(abs(a - m)) AS mad FROM g, m),
+k AS (SELECT count(*) AS samples, count(*) FILTER (WHERE ok) AS pairs, avg(a * b) FILTER (WHERE ok) AS c FROM (SELECT *, b IS NOT NULL AND abs(a) <= 6 * 1.4826e0 * mad AND abs(b) <= 6 * 1.4826e0 * mad AS ok FROM g, d))
+SELECT samples, pairs, round(CASE WHEN samples >= 10 AND pairs >= 10 THEN sqrt(greatest(-c / 4, 0e0)) ELSE 0e0 END, 6) AS sigma FROM k""")
+def noise_sigma(spark, sf_dir):
+    return kinematics.noise_sigma(_e(spark, sf_dir))
+
+
 _TW = "OVER (PARTITION BY pid ORDER BY frame)"
 
 
