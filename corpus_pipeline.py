@@ -30,13 +30,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one of the smallest doc_id; of repeated rows one."""
-    kept = table(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct())
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # rows of one doc_id are one node, so the smallest of them by text stands for it
-    first = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.xxhash64("text")).alias("_h"), F.count("*").alias("_n")).where("_n > 1 and _id is not null")
-    alone = found.join(first, F.col("doc_id") == F.col("_id"), "left_anti")
-    many = found.join(first, F.col("doc_id") == F.col("_id")).where(F.xxhash64("text") == F.col("_h")).select(*COLUMNS).dropDuplicates(["doc_id"])
-    return _rows(alone.select(*COLUMNS).union(many))
+    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(*COLUMNS)
+    # rows of one doc_id are one node, so the smallest of them by a hash of the text stands for it; only ids and hashes are grouped
+    by = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.xxhash64("text")).alias("_h"), F.count("*").alias("_n"))
+    chosen = table(by.join(kept, "_id"))
+    alone = rows.join(chosen.where("_n = 1"), F.col("doc_id") == F.col("_id"), "left_semi")
+    repeated = table(chosen.where("_n > 1"))  # a table of its own, so that Spark knows its size: it's small unless doc_ids repeat
+    many = rows.join(repeated, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))).select(*COLUMNS).dropDuplicates(["doc_id"])
+    return _rows(alone.union(many).union(rows.where("doc_id is null")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

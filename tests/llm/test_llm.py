@@ -222,3 +222,14 @@ def test_pipeline_keeps_clean_documents(spark, docs, rows):
         if name == "near_dedup":
             assert 0 in {r.doc_id for r in at.collect()} and 40 not in {r.doc_id for r in at.collect()}
     assert c.STAGES[-1][1](spark, at, "").count() >= at.count()
+
+
+def test_pipeline_near_dedup_with_repeated_ids(spark):
+    import corpus_pipeline as c
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, long), (2, long + " tail"), (3, "one text of a repeated id"), (3, "another text of that id"), (None, "no id"), (None, "no id"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in c.near_dedup(spark, docs, "").collect()]
+    assert Counter(i for i, _ in got) == {1: 1, 3: 1, None: 2, 4: 1, 5: 1} and set(got) <= set(rows)
+    assert not c.near_dedup(spark, docs.where("false"), "").collect()
