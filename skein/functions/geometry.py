@@ -71,6 +71,10 @@ def skew_midpoint(p, u, q, v) -> tuple[tuple[Column, Column, Column], Column]:
 
 # Fixed values of the ghost law: nodes of the relative ray miss and probabilities for three and for four cameras.
 GHOST_X = (0.8, 1.05, 1.4, 1.9, 2.6, 3.5)
+GHOST_3 = (0.09, 0.10, 0.20, 0.37, 0.62, 0.75)
+GHOST_4 = (0.01, 0.03, 0.04, 0.09, 0.28, 0.45)
+# Fixed values of the logistic law with brightness: constant, log miss, below four cameras, log spread, log spread below four cameras.
+GHOST_BLOB = (-1.71, 2.34, 2.5, 1.73, 0.57)
 
 
 def expected_ghosts(n_points: Column, n_cams: int, tolerance: float, length: float) -> Column:
@@ -84,3 +88,39 @@ def ghost_regime(ghosts: Column, n_points: Column) -> Column:
 
 def quality_weight(ghost: Column) -> Column:
     return F.greatest((1 - ghost) * (1 - ghost), F.lit(0.05))
+
+
+def interpolate(x: Column, xs: tuple[float, ...], ys: tuple[float, ...]) -> Column:
+    """Piecewise-linear through (xs, ys), level beyond the ends."""
+    out = F.when(x <= xs[0], ys[0])
+    for a, b, p, q in zip(xs, xs[1:], ys, ys[1:]):
+        out = out.when(x <= b, p + (x - a) * F.lit((q - p) / (b - a)))
+    return out.otherwise(ys[-1])
+
+
+def ghost_probability(miss: Column, cams: Column, typical: Column) -> Column:
+    """Chance that a point is a ghost by its ray miss relative to the typical one; 0.5 where there is no miss."""
+    rel = miss / F.greatest(typical, F.lit(1e-6))
+    law = F.when(cams >= 4, interpolate(rel, GHOST_X, GHOST_4)).otherwise(interpolate(rel, GHOST_X, GHOST_3))
+    return F.when(miss.isNull() | F.isnan(miss), 0.5).otherwise(law)
+
+
+def ghost_with_brightness(miss: Column, cams: Column, typical: Column, spread: Column) -> Column:
+    """The same by a logistic law that also knows how far the cameras' brightnesses differ (standard deviation of logs)."""
+    rel = F.log(F.greatest(miss / F.greatest(typical, F.lit(1e-6)), F.lit(1e-3)))
+    three, far = F.when(cams < 4, 1.0).otherwise(0.0), F.log(spread + 0.05)
+    c, r, t, s, ts = GHOST_BLOB
+    z = c + r * rel + t * three + s * far + ts * far * three
+    return F.when(miss.isNull() | spread.isNull() | F.isnan(miss) | F.isnan(spread), 0.5).otherwise(1 / (1 + F.exp(-z)))
+
+
+def search_radius(speed: Column, v_max: float, a_max: float, aspect: float) -> tuple[Column, Column]:
+    """Search radius along and across the motion: by acceleration for moving particles, by speed for those at rest."""
+    moving = speed > 1e-6
+    return F.when(moving, a_max * aspect).otherwise(v_max), F.when(moving, a_max).otherwise(v_max)
+
+
+def multi_term_cost(distance: Column, intensity: Column, dt: float, weights=(1.0, 1.0, 1.0, 1.0)) -> Column:
+    """Weighted distance, speed, acceleration and difference of intensity; weights are normalised to 1."""
+    d, v, a, i = (w / sum(weights) for w in weights)
+    return d * distance + v * distance / dt + a * distance / (dt * dt) + i * F.abs(intensity)

@@ -32,3 +32,10 @@ def background(pixels: DataFrame) -> DataFrame:
 def subtract_background(pixels: DataFrame) -> DataFrame:
     low = background(pixels).withColumnRenamed("g", "low")
     return pixels.join(low, ["r", "c"]).select("img", "r", "c", F.greatest(F.col("g") - F.col("low"), F.lit(0)).alias("g"))
+
+
+def threshold_centroid(pixels: DataFrame, above: int) -> DataFrame:
+    """Of the pixels brighter than a threshold in each image: how many, their sum and the grey-weighted centre (x along c, y along r)."""
+    bright, g = pixels.where(F.col("g") > above), F.col("g")
+    centre = lambda c: F.round(F.sum(F.col(c) * g) / F.sum(g), 6)
+    return bright.groupBy("img").agg(F.count("*").alias("pixels"), F.sum(g).alias("sumg"), centre("c").alias("x"), centre("r").alias("y"))

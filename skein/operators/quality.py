@@ -47,3 +47,61 @@ def conflicts(rows: DataFrame) -> DataFrame:
     """Of points (frame, pid, cam, target, conf) sharing a target, the one of highest confidence stays, ties to the lower id."""
     best = F.row_number().over(Window.partitionBy("frame", "cam", "target").orderBy(F.col("conf").desc(), "pid"))
     return rows.withColumn("r", best).where("r = 1").drop("r")
+
+
+def track_scores(rows: DataFrame, target_length: int) -> DataFrame:
+    """Quality of each track in rows (trajid, frame, edge, step, reciprocal, kink); a row's link to the row before, if any (edge).
+
+    0.4 length + 0.3 reciprocity + 0.3 smoothness - penalty of gaps, between 0 and 1; single points score 0, tracks of two points are half smooth.
+    """
+    n, edges = F.col("points"), F.col("edges")
+    sums = rows.groupBy("trajid").agg(
+        F.count("*").alias("points"), F.count_if("edge").alias("edges"), F.count_if(F.col("edge") & (F.col("step") > 1)).alias("gaps"),
+        F.count_if(F.col("edge") & F.col("reciprocal")).alias("both"), F.count_if("kink").alias("kinks"),
+    )
+    length = F.least(F.lit(1.0), edges / F.lit(float(max(1, target_length - 1))))
+    smooth = F.when(n < 3, 0.5).otherwise(1 - F.col("kinks") / (n - 2))
+    score = 0.4 * length + 0.3 * F.col("both") / edges + 0.3 * smooth - F.least(F.lit(0.4), 0.1 * F.col("gaps") / edges)
+    return sums.select("trajid", "points", "gaps", "kinks", F.round(F.when(edges == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))), 6).alias("score"))
+
+
+def matched_tracks(labelled: DataFrame) -> DataFrame:
+    """One row: predicted tracks, those whose majority identity holds two thirds of their points or more, and their percentage."""
+    by = identity(labelled)
+    sums = by.agg(F.count("*").alias("tracks"), F.count_if(F.col("majority") * 3 >= F.col("points") * 2).alias("matched"))
+    return sums.select("tracks", "matched", F.when(F.col("tracks") > 0, F.round(100 * F.col("matched") / F.col("tracks"), 6)).alias("pmt"))
+
+
+# Limits beyond which a run's ratio is flagged.
+LIMITS = {"reciprocity": 0.7, "mean_length": 4.0, "jump_rate": 0.1, "ghost_rate": 0.4}
+
+
+def anomaly_flags(report: DataFrame) -> DataFrame:
+    """Flags beside the ratios of a report; reciprocity and length are flagged when low, rates of jumps and ghosts when high."""
+    low = ("reciprocity", "mean_length")
+    return report.select("*", *[(F.col(k) < v if k in low else F.col(k) > v).alias(f"{k}_flag") for k, v in LIMITS.items() if k in report.columns])
+
+
+def brightness_shares(rows: DataFrame) -> DataFrame:
+    """Share of each member in its blob's brightness, rows (frame, blob, member, g); g <= 0 counts as the median of the positive ones."""
+    blob = Window.partitionBy("frame", "blob")
+    good = F.when(F.col("g") > 0, F.col("g").cast("double"))
+    rows = rows.withColumn("g", F.coalesce(good, F.median(good).over(blob), F.lit(1.0)))
+    return rows.select("frame", "blob", "member", F.round(F.col("g") / F.sum("g").over(blob), 6).alias("share"))
+
+
+def brightness_spread(rows: DataFrame) -> DataFrame:
+    """Standard deviation of log brightness over the cameras that see a point, rows (frame, pnr, sumg)."""
+    return rows.where("sumg > 0").groupBy("frame", "pnr").agg(F.round(F.stddev_pop(F.log("sumg")), 6).alias("spread"))
+
+
+# Classes of the longest step relative to the mean nearest-neighbour distance.
+DENSITY = ((0.3, "low"), (0.6, "low_to_moderate"), (0.9, "moderate"))
+
+
+def density_class(ratio):
+    """Class of seeding density of a column of ratios."""
+    out = F.when(ratio < DENSITY[0][0], DENSITY[0][1])
+    for most, name in DENSITY[1:]:
+        out = out.when(ratio < most, name)
+    return out.otherwise("high")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import geometry
 from skein.operators import images, kinematics, linking, matching, quality, spatial
-from skein.sources import binding
+from skein.sources import binding, store, text
+from skein.streaming import streams
 
 FLAGSHIP = "traj_accel_residual"
 RADIUS = 2.0
@@ -449,3 +450,125 @@ def negative(spark, sf_dir):
 @_query("subtract_background", f"WITH {_PX}, b AS (SELECT r, c, CAST(sum(g) AS BIGINT) // count(*) AS low FROM px GROUP BY r, c) SELECT img, px.r, px.c, greatest(g - low, 0) AS g FROM px JOIN b ON b.r = px.r AND b.c = px.c")
 def subtract_background(spark, sf_dir):
     return images.subtract_background(_pixels(spark, sf_dir))
+
+
+@_query("threshold", f"WITH {_PX} SELECT img, count(*) AS pixels, CAST(sum(g) AS BIGINT) AS sumg, round(sum(c * g) / sum(g), 6) AS x, round(sum(r * g) / sum(g), 6) AS y FROM px WHERE g > 200 GROUP BY img")
+def threshold(spark, sf_dir):
+    return images.threshold_centroid(_pixels(spark, sf_dir), 200)
+
+
+# --- quality of points and runs --------------------------------------------------------------------------------------------------------
+
+_MISS = "m AS (SELECT frame, pid, (pid % 64) / 16e0 AS miss, CAST(3 + pid % 2 AS BIGINT) AS cams, (pid % 17) / 32e0 AS spread FROM t)"
+
+
+def _missed(spark, sf_dir):
+    p = F.col("pid")
+    return _t(spark, sf_dir).select("frame", "pid", ((p % 64) / F.lit(16.0)).alias("miss"), (3 + p % 2).alias("cams"), ((p % 17) / F.lit(32.0)).alias("spread"))
+
+
+def _curve_sql(ys) -> str:
+    xs = geometry.GHOST_X
+    steps = " ".join(f"WHEN miss <= {b}e0 THEN {p}e0 + (miss - {a}e0) * ({q}e0 - {p}e0) / ({b}e0 - {a}e0)" for a, b, p, q in zip(xs, xs[1:], ys, ys[1:]))
+    return f"CASE WHEN miss <= {xs[0]}e0 THEN {ys[0]}e0 {steps} ELSE {ys[-1]}e0 END"
+
+
+@_query("ghost_probability", f"WITH {_T}, {_MISS} SELECT frame, pid, round(CASE WHEN cams >= 4 THEN {_curve_sql(geometry.GHOST_4)} ELSE {_curve_sql(geometry.GHOST_3)} END, 6) AS ghost FROM m")
+def ghost_probability(spark, sf_dir):
+    return _missed(spark, sf_dir).select("frame", "pid", F.round(geometry.ghost_probability(F.col("miss"), F.col("cams"), F.lit(1.0)), 6).alias("ghost"))
+
+
+@_query("ghost_brightness", f"""WITH {_T}, {_MISS}, z AS (SELECT frame, pid, -1.71e0 + 2.34e0 * ln(greatest(miss, 1e-3)) + (2.5e0 + 0.57e0 * ln(spread + 0.05e0)) * (cams < 4)::INT + 1.73e0 * ln(spread + 0.05e0) AS z FROM m)
+SELECT frame, pid, round(1 / (1 + exp(-z)), 6) AS ghost FROM z""")
+def ghost_brightness(spark, sf_dir):
+    return _missed(spark, sf_dir).select("frame", "pid", F.round(geometry.ghost_with_brightness(F.col("miss"), F.col("cams"), F.lit(1.0), F.col("spread")), 6).alias("ghost"))
+
+
+@_query("search_radius", f"WITH {_E}, s AS (SELECT trajid, frame, abs(x - lag(x) {_W}) AS s FROM e) SELECT trajid, frame, CASE WHEN s > 1e-6 THEN 6e0 ELSE 8e0 END AS along, CASE WHEN s > 1e-6 THEN 2e0 ELSE 8e0 END AS across FROM s WHERE s IS NOT NULL")
+def search_radius(spark, sf_dir):
+    along, across = geometry.search_radius(F.abs(F.col("vx")), 8.0, 2.0, 3.0)
+    return kinematics.velocity(_e(spark, sf_dir)).where("vx is not null").select("trajid", "frame", along.alias("along"), across.alias("across"))
+
+
+@_query("multi_term_cost", f"WITH {_E}, s AS (SELECT trajid, frame, abs(x - lag(x) {_W}) AS d FROM e) SELECT trajid, frame, round(0.5e0 * d + 0.25e0 * d / 0.5e0 + 0.125e0 * d / 0.25e0 + 0.125e0 * (trajid % 7), 6) AS cost FROM s WHERE d IS NOT NULL")
+def multi_term_cost(spark, sf_dir):
+    cost = geometry.multi_term_cost(F.abs(F.col("vx")), F.col("trajid") % 7, 0.5, (4.0, 2.0, 1.0, 1.0))
+    return kinematics.velocity(_e(spark, sf_dir)).where("vx is not null").select("trajid", "frame", F.round(cost, 6).alias("cost"))
+
+
+@_query("quality_score", f"""WITH {_D}, s AS (SELECT pid AS trajid, frame - lag(frame) {_TW} AS step, (pid + frame) % 3 > 0 AS recip, lag(frame, 2) {_TW} IS NOT NULL AND (pid * frame) % 5 = 0 AS kink FROM d),
+g AS (SELECT trajid, count(*) AS points, count(step) AS edges, count(*) FILTER (WHERE step > 1) AS gaps, count(*) FILTER (WHERE step IS NOT NULL AND recip) AS b, count(*) FILTER (WHERE kink) AS kinks FROM s GROUP BY trajid)
+SELECT trajid, points, gaps, kinks, round(CASE WHEN edges = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, 0.4e0 * least(1e0, edges / 7e0) + 0.3e0 * b / edges
+  + 0.3e0 * CASE WHEN points < 3 THEN 0.5e0 ELSE 1 - kinks / CAST(points - 2 AS DOUBLE) END - least(0.4e0, 0.1e0 * gaps / edges))) END, 6) AS score FROM g""")
+def quality_score(spark, sf_dir):
+    w = Window.partitionBy("trajid").orderBy("frame")
+    rows = _tt(binding.dropped_out(_t(spark, sf_dir))).withColumn("step", F.col("frame") - F.lag("frame").over(w)).withColumn("edge", F.col("step").isNotNull())
+    rows = rows.withColumn("reciprocal", (F.col("trajid") + F.col("frame")) % 3 > 0).withColumn("kink", F.lag("frame", 2).over(w).isNotNull() & ((F.col("trajid") * F.col("frame")) % 5 == 0))
+    return quality.track_scores(rows, binding.FRAMES)
+
+
+@_query("anomaly_flags", f"""WITH {_E}, s AS (SELECT trajid, x - lag(x) {_W} AS p, lead(x) {_W} - x AS q FROM e), l AS (SELECT trajid, count(*) AS n FROM e GROUP BY trajid),
+j AS (SELECT round(count(*) FILTER (WHERE (abs(p) + abs(q)) / 2 > 1e-9 AND (abs(q - p) > (abs(p) + abs(q)) / 2 OR p * q < 0)) / count(*), 6) AS jump_rate FROM s WHERE p IS NOT NULL AND q IS NOT NULL),
+m AS (SELECT round(avg(n), 6) AS mean_length FROM l) SELECT mean_length, jump_rate, mean_length < 4 AS mean_length_flag, jump_rate > 0.1 AS jump_rate_flag FROM m, j""")
+def anomaly_flags(spark, sf_dir):
+    jumps = kinematics.velocity_jumps(_e(spark, sf_dir)).agg(F.round(F.sum("jumps") / F.sum("corners"), 6).alias("jump_rate"))
+    lengths = kinematics.index(_e(spark, sf_dir)).agg(F.round(F.avg("length"), 6).alias("mean_length"))
+    return quality.anomaly_flags(lengths.crossJoin(jumps))  # one row each
+
+
+@_query("matched_tracks", f"""WITH {_T}, l AS (SELECT pid // 3 AS trajid, pid, frame FROM t WHERE frame < 1 + pid % 5), b AS (SELECT trajid, pid, count(*) AS n FROM l GROUP BY trajid, pid),
+g AS (SELECT trajid, sum(n) AS points, max(n) AS majority FROM b GROUP BY trajid)
+SELECT count(*) AS tracks, count(*) FILTER (WHERE majority * 3 >= points * 2) AS matched, round(100 * count(*) FILTER (WHERE majority * 3 >= points * 2) / count(*), 6) AS pmt FROM g""")
+def matched_tracks(spark, sf_dir):
+    return quality.matched_tracks(_t(spark, sf_dir).where("frame < 1 + pid % 5").select(F.expr("pid div 3").alias("trajid"), "pid", "frame"))
+
+
+@_query("brightness_shares", f"""WITH {_T}, b AS (SELECT frame, pid // 4 AS blob, pid AS member, (pid * 31 + frame) % 50 - 10 AS g FROM t),
+f AS (SELECT frame, blob, member, coalesce(CASE WHEN g > 0 THEN g END, median(CASE WHEN g > 0 THEN g END) OVER (PARTITION BY frame, blob), 1) AS g FROM b)
+SELECT frame, blob, member, round(g / sum(g) OVER (PARTITION BY frame, blob), 6) AS share FROM f""")
+def brightness_shares(spark, sf_dir):
+    rows = _t(spark, sf_dir).select("frame", F.expr("pid div 4").alias("blob"), F.col("pid").alias("member"), ((F.col("pid") * 31 + F.col("frame")) % 50 - 10).alias("g"))
+    return quality.brightness_shares(rows)
+
+
+@_query("brightness_spread", f"WITH {_T}, g AS (SELECT frame, pid AS pnr, unnest([pid % 97 + 20, pid % 89 + 25, pid % 83 + 30]) AS s FROM t) SELECT frame, pnr, round(stddev_pop(ln(s)), 6) AS spread FROM g GROUP BY frame, pnr")
+def brightness_spread(spark, sf_dir):
+    p = F.col("pid")
+    return quality.brightness_spread(_t(spark, sf_dir).select("frame", p.alias("pnr"), F.explode(F.array(p % 97 + 20, p % 89 + 25, p % 83 + 30)).alias("sumg")))
+
+
+@_query("density_class", f"WITH {_E}, s AS (SELECT trajid, max(abs(d)) / 512 AS r FROM (SELECT trajid, x - lag(x) {_W} AS d FROM e) GROUP BY trajid) SELECT trajid, CASE WHEN r < 0.3 THEN 'low' WHEN r < 0.6 THEN 'low_to_moderate' WHEN r < 0.9 THEN 'moderate' ELSE 'high' END AS class FROM s WHERE r IS NOT NULL")
+def density_class(spark, sf_dir):
+    most = kinematics.velocity(_e(spark, sf_dir)).groupBy("trajid").agg((F.max(F.abs("vx")) / 512).alias("r")).where("r is not null")
+    return most.select("trajid", quality.density_class(F.col("r")).alias("class"))
+
+
+# --- sources and streams -----------------------------------------------------------------------------------------------------------------
+
+
+@_query("text_lines", f"WITH {_D}, r AS (SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY pid) - 1 AS INTEGER) AS row_id, x, y, z FROM d) SELECT frame, row_id, CAST(-1 AS INTEGER) AS prev, CAST(-2 AS INTEGER) AS next, x, y, z FROM r")
+def text_lines(spark, sf_dir):
+    """Points written as text of one frame each and parsed again; coordinates are multiples of 1/64, so six decimals hold them."""
+    rows = binding.dropped_out(_t(spark, sf_dir)).withColumn("row_id", (F.row_number().over(Window.partitionBy("frame").orderBy("pid")) - 1))
+    return text.parse(text.lines(rows.select("frame", "row_id", F.lit(-1).alias("prev"), F.lit(-2).alias("next"), *XYZ), "ptv_is"), "ptv_is")
+
+
+@_query("trajectory_rows", f"WITH {_E}, i AS (SELECT trajid, min(frame) AS first, max(frame) AS last, count(*) AS length FROM e GROUP BY trajid) SELECT *, CAST(coalesce(sum(length) OVER (ORDER BY trajid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_row FROM i")
+def trajectory_rows(spark, sf_dir):
+    return store.index(_e(spark, sf_dir))
+
+
+@_query("newest_generation", f"WITH {_T}, g AS (SELECT frame, pid AS row_id, n AS gen, x + n AS x FROM t, unnest(range(0, 3)) AS u(n) WHERE frame % 3 >= n) SELECT frame, row_id, gen, x FROM (SELECT *, max(gen) OVER (PARTITION BY frame) AS last FROM g) WHERE gen = last")
+def newest_generation(spark, sf_dir):
+    rows = _t(spark, sf_dir).withColumn("gen", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).where("frame % 3 >= gen")
+    return store.newest(rows.select("frame", F.col("pid").alias("row_id"), "gen", (F.col("x") + F.col("gen")).alias("x")))
+
+
+@_query("stream_session_gaps", _ALL["session_gaps"][1])
+def stream_session_gaps(spark, sf_dir):
+    return streams.run(streams.sessions(streams.source(spark, sf_dir).select("user_id", "ts")))
+
+
+@_query("stream_tumbling_chunks", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS chunk, count(*) AS events, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1")
+def stream_tumbling_chunks(spark, sf_dir):
+    return streams.run(streams.chunks(streams.source(spark, sf_dir)))

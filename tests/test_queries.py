@@ -26,7 +26,7 @@ def plain(frame):
     return list(frame.columns), sorted(tuple(repr(getattr(x, "item", lambda: x)()) for x in row) for row in frame.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", ["traj_accel_residual", "velocity_jump_rate", "turning_angle", "trim_ends", "fill_gaps", "session_gaps", "knn_join", "link_nearest_l3", "seal_trajectories", "e_track", "cliques3", "box_blur", "relink_gaps", "brown_correct", "noise_sigma"])
+@pytest.mark.parametrize("name", ["traj_accel_residual", "velocity_jump_rate", "turning_angle", "trim_ends", "fill_gaps", "session_gaps", "knn_join", "link_nearest_l3", "seal_trajectories", "e_track", "cliques3", "box_blur", "ghost_probability", "ghost_brightness", "quality_score", "anomaly_flags", "matched_tracks", "brightness_shares", "text_lines", "trajectory_rows", "newest_generation", "threshold", "stream_session_gaps", "stream_tumbling_chunks", "relink_gaps", "brown_correct", "noise_sigma"])
 def test_twin(spark, duck, name):
     assert plain(registry.queries()[name](spark, SF).toPandas()) == plain(duck.execute(registry.oracle_sql()[name]).df())
 
