@@ -8,9 +8,10 @@ import time
 
 from pyspark.sql import SparkSession
 
-#: Without the spatial joins and what builds on them: the binding's cube is fixed, so at sf 0.1 its points are ten times as dense
-#: and pairs a hundred times as many; with them a run did not end within 200 s.
-HEADLINE = ("traj_accel_residual", "velocity_jump_rate", "turning_angle", "trim_ends", "fill_gaps", "savgol_interior", "session_gaps", "camera_targets", "uniqueness_pairs", "box_blur")
+HEADLINE = (
+    "traj_accel_residual", "velocity_jump_rate", "turning_angle", "trim_ends", "fill_gaps", "savgol_interior", "session_gaps", "camera_targets", "uniqueness_pairs", "box_blur",
+    "radius_join", "knn_join", "neighbour_count", "nn_spacing", "link_nearest_l3",
+)
 
 
 def main() -> None:

@@ -18,12 +18,13 @@ def box_join(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
     """Pairs of left (frame, i, ix, iy, iz) and right (frame, k, kx, ky, kz) in the same or neighbouring cells of one frame.
 
     The right side is dealt to its cell alone, the left to the 27 around its own, so the shuffle is 28 rows for two points however
-    dense the cloud; a dense cell is one join key that adaptive execution can split.
+    dense the cloud; a dense cell is one join key that adaptive execution can split. The join is a sort-merge join by hint: Spark's
+    size estimates don't see the 27 copies, so it would broadcast them from one task, and a merge join can spill.
     """
     around = F.explode(F.array(*[F.array(*[F.lit(v) for v in s]) for s in itertools.product((-1, 0, 1), repeat=3)]))
     a = left.select("*", *_cells("i", width)).withColumn("s", around)
     a = a.select(*left.columns, *[(F.col(f"c{x}") + F.col("s")[n]).alias(f"c{x}") for n, x in enumerate(AXES)])
-    return a.join(right.select("*", *_cells("k", width)), ["frame", "cx", "cy", "cz"]).drop("cx", "cy", "cz")
+    return a.join(right.select("*", *_cells("k", width)).hint("merge"), ["frame", "cx", "cy", "cz"]).drop("cx", "cy", "cz")
 
 
 def squared(p: str = "i", q: str = "k") -> Column:
