@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm import language, lines, mixing, neardup, packing
-from skein.llm.common import documents, table
+from skein.llm.common import documents, let, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,19 +42,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's words as often as the mix takes them: whole copies, then its beginning up to the words taken.
+    """Each document's words as often as the mix takes them: whole copies, and one row of the blocks of words it chose, in the document's order.
 
-    A document from which nothing is taken goes; copies keep their doc_id.
+    A document from which nothing is taken goes; copies keep their doc_id. Blocks keep the white space behind their words.
     """
-    took = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "taken").distinct()
-    sized = docs.withColumn("_n", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
-    joined = sized.join(took, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_n") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source")))
-    whole, rest = F.expr("taken div _size"), F.col("taken") % F.col("_size")
-    copies = F.when(whole > 0, F.array_repeat(F.lit(-1), whole.cast("int"))).otherwise(F.array().cast("array<int>"))
-    parts = joined.withColumn("_part", F.explode(F.concat(copies, F.when(rest > 0, F.array(rest.cast("int"))).otherwise(F.array().cast("array<int>")))))
+    key = lambda size: F.struct("doc_id", F.col(size).alias("size"), "source")  # noqa: E731 - equal also where its parts are null
+    took = mixing.mix_sources(docs, ranges=True).where("taken > 0").select(key("size").alias("_key"), F.struct("whole", "begins", "ends").alias("_t"))
+    took = took.groupBy("_key").agg(F.sort_array(F.collect_list("_t")).alias("_all"))
+    sized = docs.withColumn("_n", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).withColumn("_key", key("_n"))
+    # rows of one key are numbered, so that each has one entry of the mix
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))
+    joined = sized.join(took.hint("merge"), "_key").withColumn("_nth", nth).withColumn("_t", F.get("_all", F.col("_nth") - 1)).where("_t is not null")
+    rest = F.when(F.size("_t.begins") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    parts = joined.withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("_t.whole").cast("int")), rest)))
     head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    first = F.array_join(F.slice(F.split(F.substr(F.col("text"), F.length(head) + 1), r"(?<=[\x20\x09-\x0D])(?![\x20\x09-\x0D])"), 1, F.col("_part")), "")
-    return _rows(parts.withColumn("text", F.when(F.col("_part") < 0, F.col("text")).otherwise(F.rtrim(first))))
+    words = F.split(F.substr(F.col("text"), F.length(head) + 1), r"(?<=[\x20\x09-\x0D])(?![\x20\x09-\x0D])")
+    taken = lambda w: F.array_join(F.flatten(F.zip_with("_t.begins", "_t.ends", lambda a, b: F.slice(w, (a + 1).cast("int"), (b - a).cast("int")))), "")
+    return _rows(parts.withColumn("text", F.when(F.col("_part"), F.rtrim(let(words, taken))).otherwise(F.col("text"))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def word_sizes(docs: DataFrame) -> DataFrame:
     return cols.mapInArrow(count, "doc_id long, source string, size long")
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 7, ranges: bool = False) -> DataFrame:
     """Words to take of every document so that the sources meet their target weights.
 
     The driver gets one row a source and apportions the mix's blocks of block_words words among sources by
@@ -96,7 +96,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
     block_words shrinks to a 50th of the smallest positive target, so that small sources also come near theirs.
     Defined results: null text has size 0 and takes 0; null source is a source of its own, last; sources without
     words have target 0; rows that are repeated count each and share the seeded order's ties by size; an empty table gives no
-    rows. Returns doc_id, source, size, source_size, target, taken.
+    rows. Returns doc_id, source, size, source_size, target, taken. With ranges also which words these are: whole copies, and begins
+    and ends of the chosen ranges of words (adjacent blocks are one range; a range that covers the document counts as a copy).
     """
     spark = docs.sparkSession
     sizes = table(word_sizes(docs))
@@ -150,9 +151,21 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
             chosen = (b["mul"].to_numpy()[doc] * j + b["add"].to_numpy()[doc]) % n[doc] < (q % n)[doc]
             part = np.minimum((j + 1) * block, stop[doc]) - np.maximum(j * block, start[doc])
             taken = taken + np.bincount(doc, part * chosen, len(b)).astype(np.int64)
-            yield b[["doc_id", "source", "size", "source_size", "target"]].assign(taken=taken)
-
-    return placed.mapInPandas(take, "doc_id long, source string, size long, source_size long, target double, taken long")
+            out = b[["doc_id", "source", "size", "source_size", "target"]].assign(taken=taken)
+            if ranges:
+                at = np.flatnonzero(chosen)
+                new = np.flatnonzero(np.diff(doc[at], prepend=-1).astype(bool) | (np.diff(j[at], prepend=-2) != 1))
+                of, last = doc[at[new]], at[np.append(new[1:], len(at))[: len(new)] - 1]
+                begin = np.maximum(j[at[new]] * block, start[of]) - start[of]
+                end = np.minimum((j[last] + 1) * block, stop[of]) - start[of]
+                part = (begin > 0) | (end < size[of])
+                whole = q // n + np.bincount(of[~part], minlength=len(b))
+                cut = np.searchsorted(of[part], np.arange(1, len(b)))
+                out = out.assign(whole=whole, begins=np.split(begin[part], cut), ends=np.split(end[part], cut))
+            yield out
+
+    schema = "doc_id long, source string, size long, source_size long, target double, taken long" + ", whole long, begins array<long>, ends array<long>" * ranges
+    return placed.mapInPandas(take, schema)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,3 +233,25 @@ def test_pipeline_near_dedup_with_repeated_ids(spark):
     got = [(r.doc_id, r.text) for r in c.near_dedup(spark, docs, "").collect()]
     assert Counter(i for i, _ in got) == {1: 1, 3: 1, None: 2, 4: 1, 5: 1} and set(got) <= set(rows)
     assert not c.near_dedup(spark, docs.where("false"), "").collect()
+
+
+def test_pipeline_mix_takes_the_chosen_blocks(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(8)
+    rows = [(i, " \t\n"[i % 3] + "".join(f"d{i}w{k}" + rng.choice([" ", "\n", " \t"]) for k in range(rng.randrange(1, 900))), "en", "abcd"[i % 4 and 1 + i % 3], 0) for i in range(40)]
+    rows += [(None, "null id one", "en", None, 0), (None, "null id two", "en", None, 0), rows[7], rows[7], (90, None, "en", "a", 0), (91, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    took = mixing.mix_sources(docs, ranges=True).collect()
+    assert all(r.taken == r.whole * r.size + sum(r.ends) - sum(r.begins) for r in took)
+    assert any(r.begins and r.begins[0] > 0 for r in took) and any(len(r.begins) > 1 for r in took) and any(r.ends and r.ends[-1] == r.size for r in took)
+    by = {(i, s): words(t) for i, t, _, s, _ in rows if i is not None}
+    want = Counter()
+    for r in took:
+        if r.doc_id is not None and r.taken:
+            w = by[r.doc_id, r.source]
+            want.update([(r.doc_id, tuple(w))] * r.whole)
+            want.update([(r.doc_id, tuple(x for a, b in zip(r.begins, r.ends) for x in w[a:b]))] * bool(r.begins))
+    got = c.mix(spark, docs, "").collect()
+    assert Counter((r.doc_id, tuple(words(r.text))) for r in got if r.doc_id is not None) == want
+    assert sum(len(words(r.text)) for r in got) == sum(r.taken for r in took) and all(r.n_chars == len(r.text) for r in got)
