@@ -255,3 +255,49 @@ def test_pipeline_mix_takes_the_chosen_blocks(spark):
     got = c.mix(spark, docs, "").collect()
     assert Counter((r.doc_id, tuple(words(r.text))) for r in got if r.doc_id is not None) == want
     assert sum(len(words(r.text)) for r in got) == sum(r.taken for r in took) and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_pipeline_pack_keeps_the_ids(spark, docs, rows):
+    import corpus_pipeline as c
+    from skein.llm import tokens
+
+    tool, want, got = tokens.encoder(), Counter(), {}
+    for r in rows:
+        ids = np.array([*tool.library.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update((r[0], k, ids[at : at + 2048].tobytes()) for k, at in enumerate(range(0, len(ids), 2048)))
+    packed = c.pack(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.piece, bytes(r.ids)) for r in packed) == want
+    for r in packed:  # the sequences can be laid out from the rows alone
+        assert len(r.ids) == 4 * r.length and not set(range(r.offset, r.offset + r.length)) & got.setdefault(r.sequence_id, set())
+        got[r.sequence_id] |= set(range(r.offset, r.offset + r.length))
+    assert all(x == set(range(len(x))) and len(x) <= 2048 for x in got.values())
+
+
+def test_pipeline_first_stages_on_their_own_input(spark, docs, rows):
+    import corpus_pipeline as c
+
+    told = Counter((r[0], r[1], r[2], r[3]) for r in rows if any(x.isalpha() for x in r[1] or ""))
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in c.language_id(spark, docs, "").collect()) == told
+    texts = {1: "a\nb\nc\nd", 2: "x\na\nb\nc", 3: "b\nc\nd\na\nb\nc\ne", 4: None, 5: "", 6: "a\nb", 7: "q\nq\nq\nq\nq", 8: "a\nb\nc", 9: " \n", 10: "c\nd\nz\ny"}
+    seen, want = set(), {}
+    for i, t in texts.items():
+        split, gone = (t or "").split("\n"), set()
+        for k in range(len(split) - 2):
+            if tuple(split[k : k + 3]) in seen:
+                gone |= {k, k + 1, k + 2}
+            seen.add(tuple(split[k : k + 3]))
+        kept = t if not gone else "\n".join(x for k, x in enumerate(split) if k not in gone)
+        if not gone or words(kept):
+            want[i] = kept
+    frame = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in c.line_dedup(spark, frame, "").collect()} == want
+    sets = {r[0]: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r[1] or "").encode().lower().split()) else set() for r in rows}
+    comp = {k: k for k in sets if k is not None}
+    for _ in comp:
+        for a in comp:
+            for b in comp:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    stay = {r[0]: r[1] for r in rows if r[0] is None or comp[r[0]] == r[0]}
+    got = c.near_dedup(spark, docs, "").collect()
+    assert {r.doc_id: r.text for r in got} == stay and len(got) == len(stay)
