@@ -136,16 +136,13 @@ def _hash(text: str) -> int:
 
 
 def _landmark(path: str) -> str | None:
-    """The path down to the article or main element, if it has one."""
-    for name in ("/article", "/main"):
-        at = (path + "/").find(name + "/")
-        if at >= 0:
-            return path[: at + len(name)]
-    return None
+    """The path down to the outermost article or main element, if it has one."""
+    found = re.match(r".*?/(?:article|main)(?=/|$)", path)
+    return found[0] if found else None
 
 
 def tokens(found: list[tuple[str, str]]) -> dict[tuple[str, int], list]:
-    """Tokens of a page: ("path", hash) for each element path with the text below it, ("text", hash) for each block outside of a landmark.
+    """Tokens of a page: ("path", hash) for each element path with the text below it, ("text", hash) for each block.
 
     Value: occurrences, characters, path.
     """
@@ -156,9 +153,8 @@ def tokens(found: list[tuple[str, str]]) -> dict[tuple[str, int], list]:
             sub = "/".join(steps[:k])
             entry = out.setdefault(("path", _hash(sub)), [0, 0, sub])
             entry[0], entry[1] = entry[0] + 1, entry[1] + len(text)
-        if _landmark(path) is None:
-            entry = out.setdefault(("text", _hash(f"{path}\n{text}")), [0, 0, ""])
-            entry[0], entry[1] = entry[0] + 1, entry[1] + len(text)
+        entry = out.setdefault(("text", _hash(f"{path}\n{text}")), [0, 0, ""])
+        entry[0], entry[1] = entry[0] + 1, entry[1] + len(text)
     return out
 
 
@@ -166,8 +162,9 @@ def templates(pages: DataFrame) -> DataFrame:
     """A row a host: its template texts (hashes) and the path of its content slot.
 
     A token's occurrence vector over the host's pages is kept as sums of page hashes times counts, which add up map-side however many
-    pages a host has. Tokens of equal vectors form a class; classes on SUPPORT of the pages, whose members occur once
-    a page, make the template. Of its nested elements, the content slot is the deepest that holds MASS of the host's text.
+    pages a host has. Texts of equal vectors form a class; classes on SUPPORT of the pages, whose members occur once
+    on each of them, make the template. Of the nested elements, the content slot is the
+    deepest that holds MASS of the host's text, widened to the article or main element around it.
     """
 
     def run(batches):
@@ -178,40 +175,44 @@ def templates(pages: DataFrame) -> DataFrame:
             for page, url, html in zip(b["page_id"], b["url"], b["html"]):
                 turn = _hash(f"{page}|{url}") % 1_000_003 + 1
                 where = host(url)
-                rows.append((where, "page", 0, 1, 1, turn, 0, ""))
-                for (kind, key), (n, chars, path) in tokens(blocks(html or "")).items():
-                    rows.append((where, kind, key, 1, n, n * turn, chars, path))
-            yield pd.DataFrame(rows, columns=["host", "kind", "key", "pages", "n", "vector", "chars", "path"])
+                found = blocks(html or "")
+                total = sum(len(text) for _, text in found)
+                rows.append((where, "page", 0, 1, 1, turn, turn, 0, total, ""))
+                for (kind, key), (n, chars, path) in tokens(found).items():
+                    rows.append((where, kind, key, 1, n, turn, n * turn, chars, total, path))
+            yield pd.DataFrame(rows, columns=["host", "kind", "key", "pages", "n", "once", "vector", "chars", "total", "path"])
 
     small_batches(pages.sparkSession)
-    parts = pages.select("page_id", "url", F.col("html").cast("string")).mapInPandas(run, "host string, kind string, key long, pages long, n long, vector long, chars long, path string")
-    summed = table(parts.groupBy("host", "kind", "key").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "vector", "chars")], F.max("path").alias("path")))
+    parts = pages.select("page_id", "url", F.col("html").cast("string")).mapInPandas(run, "host string, kind string, key long, pages long, n long, once long, vector long, chars long, total long, path string")
+    summed = parts.groupBy("host", "kind", "key").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "once", "vector", "chars", "total")], F.max("path").alias("path"))
+    summed = table(summed.where((F.col("kind") != "text") | (F.col("pages") >= LEAST_PAGES * SUPPORT)))
     counted = summed.where("kind = 'page'").select("host", F.col("pages").alias("all_pages"))
     often = summed.where("kind <> 'page'").join(counted, "host").where(F.col("pages") >= F.col("all_pages") * SUPPORT)
     mass = often.where("kind = 'path'").groupBy("host").agg(F.max("chars").alias("mass"))
     texts = often.where((F.col("kind") == "text") & (F.col("all_pages") >= LEAST_PAGES))
-    # a class of texts is valid if its vector shows one occurrence a page
-    classes = texts.where("n = pages").groupBy("host", "vector", "pages").agg(F.collect_set("key").alias("keys"))
-    template = classes.groupBy("host").agg(F.flatten(F.collect_list("keys")).alias("template"))
+    # a text is valid if it occurs once on each page that has it
+    even = texts.where("n = pages")
+    template = even.groupBy("host").agg(F.collect_list("key").alias("template"))
     slot = often.where("kind = 'path'").join(mass, "host").where(F.col("chars") >= F.col("mass") * MASS)
     deep = F.struct((F.size(F.split("path", "/")) - 100 * F.col("path").rlike(r"/(p|li|h[1-6]|tr|td|dd|dt|pre|blockquote)(/|$)").cast("int")).alias("depth"), "chars", "path")
-    slots = slot.groupBy("host").agg(F.max(deep)["path"].alias("slot"))
+    around = F.regexp_extract("path", r"^(.*?/(?:article|main))(?:/|$)", 1)
+    slots = slot.groupBy("host").agg(F.max(deep)["path"].alias("path")).select("host", F.when(around != "", around).otherwise(F.col("path")).alias("slot"))
     return table(counted.join(template, "host", "left").join(slots, "host", "left").select("host", "template", "slot"))
 
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset(), slot: str | None = None) -> str:
-    """Text of the content slot: the landmark element if the page has one, else the host's slot, without template texts.
+    """Text of the host's content slot without template texts.
 
-    If the template would leave nothing (pages that are copies of each other), its texts stay.
+    A slot that holds less than MASS of the page's text outside of the template is not this page's: then its article and main elements are
+    taken if they hold that much, else all text. If the template would leave nothing (pages that are copies of each other), its texts stay.
     """
     found = blocks(html)
-    marks = [_landmark(path) for path, _ in found]
-    if any(marks):
-        best = "/article" if any(m and m.endswith("/article") for m in marks) else "/main"
-        return "\n".join(text for (_, text), m in zip(found, marks) if m and m.endswith(best))
-    inside = [x for x in found if slot and (x[0] + "/").startswith(slot + "/")] or found
-    fresh = [text for path, text in inside if _hash(f"{path}\n{text}") not in template]
-    return "\n".join(fresh or [text for _, text in inside])
+    fresh = [x for x in found if _hash("\n".join(x)) not in template] or found
+    least = MASS * sum(len(text) for _, text in fresh)
+    for inside in ([x for x in fresh if slot and (x[0] + "/").startswith(slot + "/")], [x for x in fresh if _landmark(x[0])]):
+        if inside and sum(len(text) for _, text in inside) >= least:
+            return "\n".join(text for _, text in inside)
+    return "\n".join(text for _, text in fresh)
 
 
 def extract(pages: DataFrame) -> DataFrame:

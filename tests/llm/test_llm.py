@@ -301,3 +301,18 @@ def test_pipeline_first_stages_on_their_own_input(spark, docs, rows):
     stay = {r[0]: r[1] for r in rows if r[0] is None or comp[r[0]] == r[0]}
     got = c.near_dedup(spark, docs, "").collect()
     assert {r.doc_id: r.text for r in got} == stay and len(got) == len(stay)
+
+
+def _extracted(spark, pages):
+    return [r.text for r in sorted(html.extract(spark.createDataFrame([(i, f"http://h/{i}", x) for i, x in enumerate(pages)], "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def test_html_slots_and_templates_on_pages_with_landmarks(spark):
+    story = lambda i: "\n".join(f"story {i} part {k} " + f"word{i * 7 + k} " * 20 + "." for k in range(3))
+    para = lambda i: "".join(f"<p>{x}</p>" for x in story(i).split("\n"))
+    teaser = _extracted(spark, [f"<body><main><h1>head {i}</h1>{para(i)}<article><p>teaser {i}</p></article></main></body>" for i in range(5)])
+    assert teaser == [f"head {i}\n{story(i)}\nteaser {i}" for i in range(5)]
+    lines_ = _extracted(spark, [f"<body><article><p>Follow us</p><h1>head {i}</h1><div>{para(i)}</div><p>Sign up here</p></article></body>" for i in range(5)])
+    assert lines_ == [f"head {i}\n{story(i)}" for i in range(5)]
+    other = _extracted(spark, [f"<body><div><div>{para(i)}</div></div></body>" for i in range(4)] + [f"<body><article><h1>odd</h1>{para(9)}</article></body>"])
+    assert other == [story(i) for i in range(4)] + [f"odd\n{story(9)}"]
