@@ -162,8 +162,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """A row a host: its template texts (hashes) and the path of its content slot.
 
     A token's occurrence vector over the host's pages is kept as sums of page hashes times counts, which add up map-side however many
-    pages a host has. Texts of equal vectors form a class; classes on SUPPORT of the pages, whose members occur once
-    on each of them, make the template. Of the nested elements, the content slot is the
+    pages a host has. Texts of equal vectors form a class; classes on SUPPORT of the pages, whose members occur equally often on each
+    of them, make the template. Of the nested elements, the content slot is the
     deepest that holds MASS of the host's text, widened to the article or main element around it.
     """
 
@@ -190,8 +190,8 @@ def templates(pages: DataFrame) -> DataFrame:
     often = summed.where("kind <> 'page'").join(counted, "host").where(F.col("pages") >= F.col("all_pages") * SUPPORT)
     mass = often.where("kind = 'path'").groupBy("host").agg(F.max("chars").alias("mass"))
     texts = often.where((F.col("kind") == "text") & (F.col("all_pages") >= LEAST_PAGES))
-    # a text is valid if it occurs once on each page that has it
-    even = texts.where("n = pages")
+    # a text is a member of a class if it occurs equally often, once or more, on each page that has it
+    even = texts.where("n % pages = 0 and vector = once * (n div pages)")
     template = even.groupBy("host").agg(F.collect_list("key").alias("template"))
     slot = often.where("kind = 'path'").join(mass, "host").where(F.col("chars") >= F.col("mass") * MASS)
     deep = F.struct((F.size(F.split("path", "/")) - 100 * F.col("path").rlike(r"/(p|li|h[1-6]|tr|td|dd|dt|pre|blockquote)(/|$)").cast("int")).alias("depth"), "chars", "path")

@@ -312,7 +312,7 @@ def test_html_slots_and_templates_on_pages_with_landmarks(spark):
     para = lambda i: "".join(f"<p>{x}</p>" for x in story(i).split("\n"))
     teaser = _extracted(spark, [f"<body><main><h1>head {i}</h1>{para(i)}<article><p>teaser {i}</p></article></main></body>" for i in range(5)])
     assert teaser == [f"head {i}\n{story(i)}\nteaser {i}" for i in range(5)]
-    lines_ = _extracted(spark, [f"<body><article><p>Follow us</p><h1>head {i}</h1><div>{para(i)}</div><p>Sign up here</p></article></body>" for i in range(5)])
+    lines_ = _extracted(spark, [f"<body><article><p>Follow us</p><h1>head {i}</h1><div>{para(i)}</div><p>Follow us</p><p>Sign up here</p></article></body>" for i in range(5)])
     assert lines_ == [f"head {i}\n{story(i)}" for i in range(5)]
     other = _extracted(spark, [f"<body><div><div>{para(i)}</div></div></body>" for i in range(4)] + [f"<body><article><h1>odd</h1>{para(9)}</article></body>"])
     assert other == [story(i) for i in range(4)] + [f"odd\n{story(9)}"]
