@@ -158,12 +158,27 @@ def tokens(found: list[tuple[str, str]]) -> dict[tuple[str, int], list]:
     return out
 
 
+def template_classes(classes: list[tuple[int, float, float, list[int]]]) -> list[int]:
+    """Keys of the template among classes (pages, characters a page of the class, characters a page of all text there, keys).
+
+    From the most frequent class down. A class that holds more than MASS of what the template so far leaves of its pages is the running text
+    of copies or near copies of one article, not a template.
+    """
+    out: list[int] = []
+    known = 0.0
+    for _, own, whole, keys in sorted(classes, key=lambda c: (-c[0], c[1], c[3])):
+        if own <= MASS * (whole - known):
+            known += own
+            out += keys
+    return out
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """A row a host: its template texts (hashes) and the path of its content slot.
 
     A token's occurrence vector over the host's pages is kept as sums of page hashes times counts, which add up map-side however many
     pages a host has. Texts of equal vectors form a class; classes on SUPPORT of the pages, whose members occur equally often on each
-    of them, make the template. Of the nested elements, the content slot is the
+    of them, make the template, but for the running text of copies (template_classes). Of the nested elements, the content slot is the
     deepest that holds MASS of the host's text, widened to the article or main element around it.
     """
 
@@ -182,6 +197,12 @@ def templates(pages: DataFrame) -> DataFrame:
                     rows.append((where, kind, key, 1, n, turn, n * turn, chars, total, path))
             yield pd.DataFrame(rows, columns=["host", "kind", "key", "pages", "n", "once", "vector", "chars", "total", "path"])
 
+    def choose(batch):
+        import pandas as pd
+
+        classes = [(int(g["pages"].iloc[0]), g["chars"].sum() / g["pages"].iloc[0], g["total"].iloc[0] / g["pages"].iloc[0], sorted(g["key"].tolist())) for _, g in batch.groupby(["once", "pages"])]
+        return pd.DataFrame({"host": [batch["host"].iloc[0]], "template": [template_classes(classes)]})
+
     small_batches(pages.sparkSession)
     parts = pages.select("page_id", "url", F.col("html").cast("string")).mapInPandas(run, "host string, kind string, key long, pages long, n long, once long, vector long, chars long, total long, path string")
     summed = parts.groupBy("host", "kind", "key").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "once", "vector", "chars", "total")], F.max("path").alias("path"))
@@ -192,7 +213,7 @@ def templates(pages: DataFrame) -> DataFrame:
     texts = often.where((F.col("kind") == "text") & (F.col("all_pages") >= LEAST_PAGES))
     # a text is a member of a class if it occurs equally often, once or more, on each page that has it
     even = texts.where("n % pages = 0 and vector = once * (n div pages)")
-    template = even.groupBy("host").agg(F.collect_list("key").alias("template"))
+    template = even.groupBy("host").applyInPandas(choose, "host string, template array<long>")
     slot = often.where("kind = 'path'").join(mass, "host").where(F.col("chars") >= F.col("mass") * MASS)
     deep = F.struct((F.size(F.split("path", "/")) - 100 * F.col("path").rlike(r"/(p|li|h[1-6]|tr|td|dd|dt|pre|blockquote)(/|$)").cast("int")).alias("depth"), "chars", "path")
     around = F.regexp_extract("path", r"^(.*?/(?:article|main))(?:/|$)", 1)

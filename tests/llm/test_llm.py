@@ -316,3 +316,14 @@ def test_html_slots_and_templates_on_pages_with_landmarks(spark):
     assert lines_ == [f"head {i}\n{story(i)}" for i in range(5)]
     other = _extracted(spark, [f"<body><div><div>{para(i)}</div></div></body>" for i in range(4)] + [f"<body><article><h1>odd</h1>{para(9)}</article></body>"])
     assert other == [story(i) for i in range(4)] + [f"odd\n{story(9)}"]
+
+
+def test_html_copies_of_one_article_keep_it(spark):
+    body = "".join(f"<p>paragraph {k} of the same article " + f"w{k} " * 15 + ".</p>" for k in range(4))
+    text = "\n".join(f"paragraph {k} of the same article " + f"w{k} " * 15 + "." for k in range(4))
+    page = lambda head, x: f"<body><div>Top line</div><div><div><p>{head}</p>{x}</div></div></body>"
+    single = [f"<p>single {i} " + f"v{i} " * 60 + ".</p>" for i in range(4)]
+    got = _extracted(spark, [page(f"date {i}", body) for i in range(6)] + [page("head %d" % i, x) for i, x in enumerate(single)])
+    assert got[:6] == [f"date {i}\n{text}" for i in range(6)]
+    assert got[6:] == [f"head {i}\nsingle {i} " + f"v{i} " * 60 + "." for i in range(4)]
+    assert all(text in x for x in _extracted(spark, [page(f"date {i}", body) for i in range(5)]))
