@@ -244,7 +244,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None, kee
     before = counted.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "base")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = rows.withColumn("rank", rank - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base")).drop("salt", "base")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    if keep_ids:  # rows of up to 4 capacity bytes
+        small_batches(spark)
+    else:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset"]
 
     def place(batches):
