@@ -355,6 +355,33 @@ def pairs_unique(spark, sf_dir):
     return matching.unique_pairs(_edges(_targets(spark, sf_dir), (0, 1))[0, 1])
 
 
+# The five queries above and below that name frames work on a part of the table, as their SQL does; these work on every frame.
+
+def _every(name: str) -> str:
+    """SQL of a camera query over all frames."""
+    return _ALL[name][1].replace(" WHERE t.frame < 2", "").replace(" WHERE frame = 0", "")
+
+
+@_query("camera_targets_all", _every("camera_targets"))
+def camera_targets_all(spark, sf_dir):
+    return matching.targets(_t(spark, sf_dir))
+
+
+@_query("epipolar_candidates_all", _every("epipolar_candidates"))
+def epipolar_candidates_all(spark, sf_dir):
+    return _edges(camera_targets_all(spark, sf_dir), (0, 1))[0, 1]
+
+
+@_query("cliques3_all", _every("cliques3"))
+def cliques3_all(spark, sf_dir):
+    return matching.cliques(_edges(camera_targets_all(spark, sf_dir), (0, 1, 2)), (0, 1, 2))
+
+
+@_query("pairs_unique_all", _every("pairs_unique"))
+def pairs_unique_all(spark, sf_dir):
+    return matching.unique_pairs(_edges(camera_targets_all(spark, sf_dir), (0, 1))[0, 1])
+
+
 @_query("pixel_metric_roundtrip", f"WITH {_T} SELECT frame, pid, (x - 512e0) * 0.015625e0 AS mx, (384e0 - y) * 0.015625e0 AS my, x AS px, y AS py FROM t")
 def pixel_metric_roundtrip(spark, sf_dir):
     t = _t(spark, sf_dir)
@@ -386,11 +413,20 @@ def brown_correct(spark, sf_dir):
 @_query("skew_midpoint", f"""WITH {_T}, r AS (SELECT frame, pid, x, y, z, x - 100 AS ux, y AS uy, z + 50 AS uz, x + 100 AS vx, y - 3 AS vy, z + 50 AS vz FROM t WHERE frame = 0)
 SELECT frame, pid, round(x, 5) AS mx, round(y, 5) AS my, round(z, 5) AS mz, true AS close FROM r""")
 def skew_midpoint(spark, sf_dir):
+    return _midpoints(_t(spark, sf_dir).where("frame = 0"))
+
+
+@_query("skew_midpoint_all", _every("skew_midpoint"))
+def skew_midpoint_all(spark, sf_dir):
+    return _midpoints(_t(spark, sf_dir))
+
+
+def _midpoints(points):
     c = F.col
     p, q = (F.lit(100.0), F.lit(0.0), F.lit(-50.0)), (F.lit(-100.0), F.lit(3.0), F.lit(-50.0))
     u, v = (c("x") - 100, c("y"), c("z") + 50), (c("x") + 100, c("y") - 3, c("z") + 50)
     m, gap = geometry.skew_midpoint(p, u, q, v)
-    return _t(spark, sf_dir).where("frame = 0").select("frame", "pid", *[(F.round(x, 5) + 0.0).alias(n) for x, n in zip(m, ("mx", "my", "mz"))], (gap < 1e-6).alias("close"))
+    return points.select("frame", "pid", *[(F.round(x, 5) + 0.0).alias(n) for x, n in zip(m, ("mx", "my", "mz"))], (gap < 1e-6).alias("close"))
 
 
 @_query("camera_support", f"WITH {_T} SELECT frame, pid, CAST((pid % 2 > 0)::INT + (pid % 3 > 0)::INT + (pid % 5 > 0)::INT + 1 AS BIGINT) AS support FROM t")

@@ -67,3 +67,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["camera_targets_all", "epipolar_candidates_all", "cliques3_all", "pairs_unique_all", "skew_midpoint_all"])
+def test_camera_queries_over_every_frame(spark, duck, name):
+    got = registry.queries()[name](spark, SF).toPandas()
+    assert set(got["frame"]) == set(range(8))
+    assert plain(got) == plain(duck.execute(registry.oracle_sql()[name]).df())
