@@ -68,3 +68,29 @@ def spacing(points: DataFrame, radius: float, key: str = "pid") -> DataFrame:
     near = nearest(side(points, "i", key), side(points, "k", key), radius, 2).where("i <> k").groupBy("frame", "i").agg(F.min("d2").alias("d2"))
     d = F.sqrt("d2")
     return near.groupBy("frame").agg(F.count("*").alias("points"), F.round(F.avg(d), 6).alias("mean_nn"), F.round(F.min(d), 6).alias("min_nn"), F.round(F.max(d), 6).alias("max_nn"))
+
+
+def nearest_distances(points: DataFrame, radius: float, key: str = "pid") -> DataFrame:
+    """(frame, i, d2): squared distance of each point to the nearest other point of its frame, however far.
+
+    Rounds of doubled radius, each for the points that have found none yet; a point alone in its frame or without finite coordinates has no row.
+    """
+    from skein.operators.linking import _kept  # that module imports this one
+
+    finite = [F.coalesce(F.abs(F.col(a)) < float("inf"), F.lit(False)) for a in AXES]
+    points = points.where(finite[0] & finite[1] & finite[2])
+    several = points.groupBy("frame").agg(F.count("*").alias("n")).where("n > 1").select("frame")
+    right, found = side(points, "k", key), None
+    left = _kept(side(points, "i", key).join(several, "frame", "left_semi"))
+    while not left.isEmpty():
+        near = _kept(radius_join(left, right, radius).where("i <> k").groupBy("frame", "i").agg(F.min("d2").alias("d2")))
+        found = near if found is None else found.union(near)
+        left = _kept(left.join(near, ["frame", "i"], "left_anti"))
+        radius *= 2
+    return found if found is not None else left.select("frame", "i", F.lit(0.0).alias("d2"))
+
+
+def spacing_unbounded(points: DataFrame, radius: float, key: str = "pid") -> DataFrame:
+    """Mean, smallest and largest distance to the nearest neighbour, by frame; the search begins within radius and widens."""
+    d = F.sqrt("d2")
+    return nearest_distances(points, radius, key).groupBy("frame").agg(F.count("*").alias("points"), F.round(F.avg(d), 6).alias("mean_nn"), F.round(F.min(d), 6).alias("min_nn"), F.round(F.max(d), 6).alias("max_nn"))

@@ -178,6 +178,13 @@ def nn_spacing(spark, sf_dir):
     return spatial.spacing(_t(spark, sf_dir), RADIUS)
 
 
+@_query("nn_spacing_all", f"""WITH {_T}, n AS (SELECT a.frame, a.pid AS i, sqrt(min({_D2})) AS d FROM t a JOIN t b ON a.frame = b.frame AND a.pid <> b.pid GROUP BY a.frame, a.pid)
+SELECT frame, count(*) AS points, round(avg(d), 6) AS mean_nn, round(min(d), 6) AS min_nn, round(max(d), 6) AS max_nn FROM n GROUP BY frame""")
+def nn_spacing_all(spark, sf_dir):
+    """nn_spacing without its bound: every point has its nearest neighbour."""
+    return spatial.spacing_unbounded(_t(spark, sf_dir), RADIUS)
+
+
 # --- links ---------------------------------------------------------------------------------------------------------------------------
 
 _EDGES = f"c AS MATERIALIZED (SELECT a.frame, a.pid AS i, b.pid AS k, {_D2} AS cost FROM t a JOIN t b ON b.frame = a.frame + 1 AND {_D2} <= 4)"

@@ -7,7 +7,7 @@ import random
 import duckdb
 import pytest
 
-from skein.operators import linking
+from skein.operators import linking, spatial
 from skein.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -69,6 +69,21 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_spacing_counts_isolated_points(spark, duck):
+    assert plain(registry.queries()["nn_spacing_all"](spark, SF).toPandas()) == plain(duck.execute(registry.oracle_sql()["nn_spacing_all"]).df())
+    rng = random.Random(9)
+    cloud = [(f, i, *(rng.randrange(200) / 64 for _ in "xyz")) for f in range(2) for i in range(40)] + [(0, 50, 90.0, -400.0, 7.0), (0, 51, 3000.0, 0.0, 0.0), (1, 60, 9.0, 9.0, 9.0), (2, 0, 1.0, 1.0, 1.0), (3, 0, 0.0, 0.0, 0.0), (3, 1, 500.0, 0.0, 0.0), (3, 2, float("nan"), 0.0, 0.0)]
+    want = {}
+    for f, i, *p in cloud:
+        near = [sum((a - b) ** 2 for a, b in zip(p, q)) for g, k, *q in cloud if f == g and i != k]
+        near = [x for x in near if x == x]
+        if near:
+            want[f, i] = min(near)
+    got = spatial.nearest_distances(spark.createDataFrame(cloud, "frame long, pid long, x double, y double, z double"), 0.25).collect()
+    assert {(r.frame, r.i): r.d2 for r in got} == want and len(got) == len(want)
+    assert spatial.spacing_unbounded(spark.createDataFrame([(0, 0, 1.0, 1.0, 1.0)], "frame long, pid long, x double, y double, z double"), 2.0).count() == 0
+
+
 @pytest.mark.parametrize("name", ["camera_targets_all", "epipolar_candidates_all", "cliques3_all", "pairs_unique_all", "skew_midpoint_all"])
 def test_camera_queries_over_every_frame(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
