@@ -221,6 +221,16 @@ def enforce_reciprocity(spark, sf_dir):
     return linking.mutual(linking.candidates(_t(spark, sf_dir), RADIUS))
 
 
+@_query("merge_bidirectional", f"""WITH {_T}, {_EDGES}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY cost, k) AS r FROM c) WHERE r = 1),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, k ORDER BY cost, i) AS r FROM c) WHERE r = 1),
+v AS MATERIALIZED (SELECT frame, i, k, min(cost) + CASE WHEN count(*) = 2 THEN 0 ELSE 1e6 END AS cost FROM (SELECT frame, i, k, cost FROM f UNION ALL SELECT frame, i, k, cost FROM g) GROUP BY frame, i, k), {_rounds(12, "v")}
+SELECT frame, i, k, CASE WHEN cost >= 1e6 THEN cost - 1e6 ELSE cost END AS cost FROM links""")
+def merge_bidirectional(spark, sf_dir):
+    c = linking.candidates(_t(spark, sf_dir), RADIUS)
+    first = lambda a, b: c.withColumn("r", F.row_number().over(Window.partitionBy("frame", a).orderBy("cost", b))).where("r = 1").drop("r")
+    return linking.merge_directions(first("i", "k"), first("k", "i"))
+
+
 _SEED = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY cost, k) AS r, lead(cost) OVER (PARTITION BY frame, i ORDER BY cost, k) AS nxt FROM c) WHERE r = 1 AND cost <= 2.25 AND (nxt IS NULL OR nxt >= 4 * cost))"
 
 

@@ -89,3 +89,8 @@ def test_camera_queries_over_every_frame(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
     assert set(got["frame"]) == set(range(8))
     assert plain(got) == plain(duck.execute(registry.oracle_sql()[name]).df())
+
+
+def test_merge_bidirectional_twin(spark, duck):
+    got = plain(registry.queries()["merge_bidirectional"](spark, SF).toPandas())
+    assert got[1] and got == plain(duck.execute(registry.oracle_sql()["merge_bidirectional"]).df())
