@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import geometry
 from skein.operators import images, kinematics, linking, matching, quality, spatial
+from skein.plans import catalogue
 from skein.sources import binding, store, text
 from skein.streaming import streams
 
@@ -15,23 +18,22 @@ RADIUS = 2.0
 XYZ = ("x", "y", "z")
 _E, _T, _D = f"e AS ({binding.TRACKS_SQL})", f"t AS ({binding.TRUTH_SQL})", f"d AS ({binding.DROPPED_SQL})"
 _W = "OVER (PARTITION BY trajid ORDER BY frame)"
-_ALL: dict[str, tuple] = {}
-
+_ALL, _query = catalogue.ALL, catalogue.query
+_MODULES = ("linkage_queries",)
 
-def _query(name: str, sql: str | None = None):
-    def add(f):
-        _ALL[name] = (f, sql)
-        return f
 
-    return add
+def _gather() -> dict[str, tuple]:
+    for name in _MODULES:
+        import_module(f"skein.plans.{name}")
+    return _ALL
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in _ALL.items()}
+    return {name: f for name, (f, _) in _gather().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _gather().items() if sql}
 
 
 def _e(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,11 +218,6 @@ def link_nearest_l3(spark, sf_dir):
     return _links(spark, sf_dir)
 
 
-@_query("enforce_reciprocity", f"WITH {_T}, {_EDGES}, {_rounds(1)} SELECT * FROM links")
-def enforce_reciprocity(spark, sf_dir):
-    return linking.mutual(linking.candidates(_t(spark, sf_dir), RADIUS))
-
-
 @_query("merge_bidirectional", f"""WITH {_T}, {_EDGES}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY cost, k) AS r FROM c) WHERE r = 1),
 g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, k ORDER BY cost, i) AS r FROM c) WHERE r = 1),
 v AS MATERIALIZED (SELECT frame, i, k, min(cost) + CASE WHEN count(*) = 2 THEN 0 ELSE 1e6 END AS cost FROM (SELECT frame, i, k, cost FROM f UNION ALL SELECT frame, i, k, cost FROM g) GROUP BY frame, i, k), {_rounds(12, "v")}
@@ -234,11 +231,6 @@ def merge_bidirectional(spark, sf_dir):
 _SEED = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY cost, k) AS r, lead(cost) OVER (PARTITION BY frame, i ORDER BY cost, k) AS nxt FROM c) WHERE r = 1 AND cost <= 2.25 AND (nxt IS NULL OR nxt >= 4 * cost))"
 
 
-@_query("seed_cold_start", f"WITH {_T}, {_EDGES}, {_SEED}, {_rounds(1, 's')} SELECT * FROM links")
-def seed_cold_start(spark, sf_dir):
-    return linking.seed_cold(linking.candidates(_t(spark, sf_dir), RADIUS), 1.5)
-
-
 _PRED = """p AS MATERIALIZED (SELECT l.frame + 1 AS frame, l.k AS i, n.pid AS k, (n.x - 2 * b.x + a.x) * (n.x - 2 * b.x + a.x) + (n.y - 2 * b.y + a.y) * (n.y - 2 * b.y + a.y) + (n.z - 2 * b.z + a.z) * (n.z - 2 * b.z + a.z) AS cost
   FROM links l JOIN t a ON a.frame = l.frame AND a.pid = l.i JOIN t b ON b.frame = l.frame + 1 AND b.pid = l.k JOIN t n ON n.frame = l.frame + 2)"""
 
@@ -252,23 +244,6 @@ _KINK = """q AS MATERIALIZED (SELECT l.frame, l.i, l.k, m.k AS l, sqrt((c2.x - 2
   FROM links l JOIN links m ON m.frame = l.frame + 1 AND m.i = l.k JOIN t a ON a.frame = l.frame AND a.pid = l.i JOIN t b ON b.frame = l.frame + 1 AND b.pid = l.k JOIN t c2 ON c2.frame = l.frame + 2 AND c2.pid = m.k)"""
 
 
-@_query("kink_statistics", f"WITH {_LINKS}, {_KINK} SELECT * FROM q")
-def kink_statistics(spark, sf_dir):
-    return linking.kinks(_links(spark, sf_dir), _t(spark, sf_dir))
-
-
-@_query("prune_kinks", f"WITH {_LINKS}, {_KINK} SELECT * FROM links x WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.frame + 1 = x.frame AND q.k = x.i AND q.l = x.k AND kink > 6 * (SELECT median(kink) FROM q))")
-def prune_kinks(spark, sf_dir):
-    return linking.prune_kinks(_links(spark, sf_dir), _t(spark, sf_dir))
-
-
-@_query("seal_trajectories", f"""WITH RECURSIVE {_LINKS}, w(trajid, frame, id) AS (
-  SELECT t.frame * 1000000000 + t.pid, t.frame, t.pid FROM t WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.frame + 1 = t.frame AND l.k = t.pid)
-  UNION ALL SELECT w.trajid, w.frame + 1, l.k FROM w JOIN links l ON l.frame = w.frame AND l.i = w.id) SELECT * FROM w""")
-def seal_trajectories(spark, sf_dir):
-    return linking.seal(_links(spark, sf_dir), _t(spark, sf_dir))
-
-
 @_query("link_recall_precision", f"""WITH {_LINKS}, n AS (SELECT (SELECT count(*) FROM links) AS predicted, (SELECT count(*) FROM t WHERE frame < 7) AS true_links, (SELECT count(*) FROM links WHERE i = k) AS correct)
 SELECT *, round(correct / true_links, 6) AS recall, round(correct / predicted, 6) AS precision FROM n""")
 def link_recall_precision(spark, sf_dir):
@@ -280,13 +255,6 @@ def frame_stats(spark, sf_dir):
     return quality.frame_stats(_t(spark, sf_dir), _links(spark, sf_dir))
 
 
-@_query("self_consistency_report", f"""WITH {_LINKS}, u AS (SELECT frame, i AS pid FROM links UNION SELECT frame + 1, k FROM links),
-n AS (SELECT count(*) AS points, count(u.pid) AS linked FROM t LEFT JOIN u ON u.frame = t.frame AND u.pid = t.pid)
-SELECT points, linked, round(1 - linked / points, 6) AS ghost_rate, round(1 - linked / points, 6) > 0.4 AS flagged FROM n""")
-def self_consistency_report(spark, sf_dir):
-    return quality.self_report(_t(spark, sf_dir), _links(spark, sf_dir))
-
-
 _SEALED = _LINKS + """, w(trajid, frame, pid) AS (
   SELECT t.frame * 1000000000 + t.pid, t.frame, t.pid FROM t WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.frame + 1 = t.frame AND l.k = t.pid)
   UNION ALL SELECT w.trajid, w.frame + 1, l.k FROM w JOIN links l ON l.frame = w.frame AND l.i = w.pid)"""
@@ -320,16 +288,6 @@ def _true_chain(points):
     return points.select("frame", "pid").join(ahead, ["frame", "pid"]).select("frame", F.col("pid").alias("i"), F.col("pid").alias("k"), F.lit(0.0).alias("cost"))
 
 
-@_query("relink_gaps", f"""WITH {_T}, m AS {_MARKED}, l AS MATERIALIZED (SELECT a.frame, a.id FROM m a JOIN m b ON b.frame = a.frame + 1 AND b.id = a.id),
-n AS (SELECT t.* FROM t JOIN l ON l.id = t.pid AND l.frame + 1 = t.frame WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.id = t.pid AND o.frame = t.frame)),
-s AS (SELECT t.* FROM t JOIN l ON l.id = t.pid AND l.frame = t.frame WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.id = t.pid AND o.frame + 1 = t.frame)),
-h AS (SELECT n.frame + 2 AS frame, n.pid, n.x + (n.x - p.x) * 2 AS x, n.y + (n.y - p.y) * 2 AS y, n.z + (n.z - p.z) * 2 AS z FROM n JOIN t p ON p.pid = n.pid AND p.frame = n.frame - 1),
-c AS (SELECT a.frame - 2 AS frame, a.pid AS i, b.pid AS k, {_D2} AS cost FROM h a JOIN s b ON b.frame = a.frame AND {_D2} <= 1), {_rounds(1)} SELECT * FROM links""")
-def relink_gaps(spark, sf_dir):
-    seen = binding.dropped_out(_t(spark, sf_dir))
-    return linking.relink_gaps(_true_chain(seen), seen, 1, 1.0)
-
-
 # --- cameras -------------------------------------------------------------------------------------------------------------------------
 
 _CAMS = ", ".join(f"({c}, {s})" for c, s in matching.CAMERAS.items())

@@ -41,3 +41,25 @@ def dropped_out(points: DataFrame) -> DataFrame:
 
 
 DROPPED_SQL = f"SELECT * FROM ({TRUTH_SQL}) WHERE (pid * 13 + frame * 7) % 20 <> 0"
+
+
+def linkage(spark: SparkSession, sf_dir: str, faults: bool = True) -> DataFrame:
+    """(frame, id, pid, prev, next, x, y, z): detections with drop-outs, linked along each customer over gaps of one frame.
+
+    Some nexts are missing; with faults some prevs are missing too and some name a neighbour, and ids are numbers within the frame instead of pids.
+    """
+    by_frame, track = Window.partitionBy("frame").orderBy("pid"), Window.partitionBy("pid").orderBy("frame")
+    rows = dropped_out(truth(spark, sf_dir)).withColumn("id", (F.row_number().over(by_frame) - 1).cast("long") if faults else F.col("pid"))
+    p, q, n, f = F.lag("id").over(track), F.lead("id").over(track), F.col("pid"), F.col("frame")
+    prev = F.when((n * 3 + f) % 13 == 0, F.lit(None)).when((n + f) % 17 == 0, p + 1).otherwise(p) if faults else p
+    return rows.select("frame", "id", "pid", prev.cast("long").alias("prev"), F.when((n * 5 + f) % 11 != 0, q).alias("next"), "x", "y", "z")
+
+
+def _linkage_sql(faults: bool) -> str:
+    prev = "CASE WHEN (pid * 3 + frame) % 13 = 0 THEN NULL WHEN (pid + frame) % 17 = 0 THEN p + 1 ELSE p END" if faults else "p"
+    return f"""SELECT frame, id, pid, {prev} AS prev, CASE WHEN (pid * 5 + frame) % 11 <> 0 THEN q END AS next, x, y, z FROM (
+  SELECT *, lag(id) OVER (PARTITION BY pid ORDER BY frame) AS p, lead(id) OVER (PARTITION BY pid ORDER BY frame) AS q FROM (
+  SELECT *, {"row_number() OVER (PARTITION BY frame ORDER BY pid) - 1" if faults else "pid"} AS id FROM ({DROPPED_SQL})))"""
+
+
+LINKAGE_SQL, CLEAN_LINKAGE_SQL = _linkage_sql(True), _linkage_sql(False)
