@@ -1,4 +1,4 @@
-"""Metrics of links and trajectories against the truth, and of a run against itself."""
+"""Brightness, density and shared targets of points."""
 
 from __future__ import annotations
 
@@ -6,82 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def link_metrics(links: DataFrame, true_links: DataFrame) -> DataFrame:
-    """Recall and precision of links (frame, i, k), one row."""
-    found = links.select("frame", "i", "k").withColumn("p", F.lit(1)).join(true_links.select("frame", "i", "k").withColumn("t", F.lit(1)), ["frame", "i", "k"], "full")
-    sums = found.agg(F.count("p").alias("predicted"), F.count("t").alias("true_links"), F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("correct"))
-    share = lambda n: F.when(F.col(n) > 0, F.round(F.col("correct") / F.col(n), 6))
-    return sums.select("predicted", "true_links", "correct", share("true_links").alias("recall"), share("predicted").alias("precision"))
-
-
-def identity(labelled: DataFrame) -> DataFrame:
-    """Of predicted tracks over rows (trajid, frame, pid): points, distinct true ids, purity of the majority."""
-    by = labelled.groupBy("trajid", "pid").agg(F.count("*").alias("n"))
-    return by.groupBy("trajid").agg(F.sum("n").alias("points"), F.count("*").alias("identities"), F.max("n").alias("majority")).withColumn("purity", F.round(F.col("majority") / F.col("points"), 6))
-
-
-def track_errors(labelled: DataFrame, truth: DataFrame) -> DataFrame:
-    """Class of every true track by labelled rows (trajid, frame, pid): missed, fragmented, contaminated, incomplete, perfect; counts."""
-    pure = labelled.withColumn("ids", F.size(F.collect_set("pid").over(Window.partitionBy("trajid"))))
-    hit = pure.groupBy("pid").agg(F.count_distinct("trajid").alias("tracks"), F.max("ids").alias("ids"), F.count("*").alias("covered"))
-    whole = truth.groupBy("pid").agg(F.count("*").alias("frames"))
-    kind = F.when(F.col("tracks").isNull(), "missed").when(F.col("tracks") > 1, "fragmented").when(F.col("ids") > 1, "contaminated").when(F.col("covered") < F.col("frames"), "incomplete").otherwise("perfect")
-    return whole.join(hit, "pid", "left").groupBy(kind.alias("class")).agg(F.count("*").alias("tracks"))
-
-
-def frame_stats(points: DataFrame, links: DataFrame) -> DataFrame:
-    """Points and outgoing links of every frame."""
-    n = links.groupBy("frame").agg(F.count("*").alias("n_links"))
-    return points.groupBy("frame").agg(F.count("*").alias("n_points")).join(n, "frame", "left").select("frame", "n_points", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def self_report(points: DataFrame, links: DataFrame, key: str = "pid") -> DataFrame:
-    """One row: points, links, share of points without any link and its flag (above 0.4)."""
-    linked = links.select("frame", F.col("i").alias(key)).union(links.select((F.col("frame") + 1).alias("frame"), F.col("k").alias(key))).distinct().withColumn("l", F.lit(1))
-    sums = points.select("frame", key).join(linked, ["frame", key], "left").agg(F.count("*").alias("points"), F.count("l").alias("linked"))
-    ghost = F.round(1 - F.col("linked") / F.col("points"), 6)
-    return sums.select("points", "linked", ghost.alias("ghost_rate"), (ghost > 0.4).alias("flagged"))
-
-
 def conflicts(rows: DataFrame) -> DataFrame:
     """Of points (frame, pid, cam, target, conf) sharing a target, the one of highest confidence stays, ties to the lower id."""
     best = F.row_number().over(Window.partitionBy("frame", "cam", "target").orderBy(F.col("conf").desc(), "pid"))
     return rows.withColumn("r", best).where("r = 1").drop("r")
 
 
-def track_scores(rows: DataFrame, target_length: int) -> DataFrame:
-    """Quality of each track in rows (trajid, frame, edge, step, reciprocal, kink); a row's link to the row before, if any (edge).
-
-    0.4 length + 0.3 reciprocity + 0.3 smoothness - penalty of gaps, between 0 and 1; single points score 0, tracks of two points are half smooth.
-    """
-    n, edges = F.col("points"), F.col("edges")
-    sums = rows.groupBy("trajid").agg(
-        F.count("*").alias("points"), F.count_if("edge").alias("edges"), F.count_if(F.col("edge") & (F.col("step") > 1)).alias("gaps"),
-        F.count_if(F.col("edge") & F.col("reciprocal")).alias("both"), F.count_if("kink").alias("kinks"),
-    )
-    length = F.least(F.lit(1.0), edges / F.lit(float(max(1, target_length - 1))))
-    smooth = F.when(n < 3, 0.5).otherwise(1 - F.col("kinks") / (n - 2))
-    score = 0.4 * length + 0.3 * F.col("both") / edges + 0.3 * smooth - F.least(F.lit(0.4), 0.1 * F.col("gaps") / edges)
-    return sums.select("trajid", "points", "gaps", "kinks", F.round(F.when(edges == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))), 6).alias("score"))
-
-
-def matched_tracks(labelled: DataFrame) -> DataFrame:
-    """One row: predicted tracks, those whose majority identity holds two thirds of their points or more, and their percentage."""
-    by = identity(labelled)
-    sums = by.agg(F.count("*").alias("tracks"), F.count_if(F.col("majority") * 3 >= F.col("points") * 2).alias("matched"))
-    return sums.select("tracks", "matched", F.when(F.col("tracks") > 0, F.round(100 * F.col("matched") / F.col("tracks"), 6)).alias("pmt"))
-
-
-# Limits beyond which a run's ratio is flagged.
-LIMITS = {"reciprocity": 0.7, "mean_length": 4.0, "jump_rate": 0.1, "ghost_rate": 0.4}
-
-
-def anomaly_flags(report: DataFrame) -> DataFrame:
-    """Flags beside the ratios of a report; reciprocity and length are flagged when low, rates of jumps and ghosts when high."""
-    low = ("reciprocity", "mean_length")
-    return report.select("*", *[(F.col(k) < v if k in low else F.col(k) > v).alias(f"{k}_flag") for k, v in LIMITS.items() if k in report.columns])
-
-
 def brightness_shares(rows: DataFrame) -> DataFrame:
     """Share of each member in its blob's brightness, rows (frame, blob, member, g); g <= 0 counts as the median of the positive ones."""
     blob = Window.partitionBy("frame", "blob")

@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.shared import kept
+
 AXES = ("x", "y", "z")
 
 
@@ -63,29 +65,20 @@ def neighbour_counts(points: DataFrame, radius: float, key: str = "pid") -> Data
     return points.select("frame", F.col(key).alias("i")).join(pairs, ["frame", "i"], "left").select("frame", F.col("i").alias(key), F.coalesce("n", F.lit(0)).alias("neighbours"))
 
 
-def spacing(points: DataFrame, radius: float, key: str = "pid") -> DataFrame:
-    """Mean, smallest and largest distance to the nearest neighbour within radius, by frame."""
-    near = nearest(side(points, "i", key), side(points, "k", key), radius, 2).where("i <> k").groupBy("frame", "i").agg(F.min("d2").alias("d2"))
-    d = F.sqrt("d2")
-    return near.groupBy("frame").agg(F.count("*").alias("points"), F.round(F.avg(d), 6).alias("mean_nn"), F.round(F.min(d), 6).alias("min_nn"), F.round(F.max(d), 6).alias("max_nn"))
-
-
 def nearest_distances(points: DataFrame, radius: float, key: str = "pid") -> DataFrame:
     """(frame, i, d2): squared distance of each point to the nearest other point of its frame, however far.
 
     Rounds of doubled radius, each for the points that have found none yet; a point alone in its frame or without finite coordinates has no row.
     """
-    from skein.operators.linking import _kept  # that module imports this one
-
     finite = [F.coalesce(F.abs(F.col(a)) < float("inf"), F.lit(False)) for a in AXES]
     points = points.where(finite[0] & finite[1] & finite[2])
     several = points.groupBy("frame").agg(F.count("*").alias("n")).where("n > 1").select("frame")
     right, found = side(points, "k", key), None
-    left = _kept(side(points, "i", key).join(several, "frame", "left_semi"))
+    left = kept(side(points, "i", key).join(several, "frame", "left_semi"))
     while not left.isEmpty():
-        near = _kept(radius_join(left, right, radius).where("i <> k").groupBy("frame", "i").agg(F.min("d2").alias("d2")))
+        near = kept(radius_join(left, right, radius).where("i <> k").groupBy("frame", "i").agg(F.min("d2").alias("d2")))
         found = near if found is None else found.union(near)
-        left = _kept(left.join(near, ["frame", "i"], "left_anti"))
+        left = kept(left.join(near, ["frame", "i"], "left_anti"))
         radius *= 2
     return found if found is not None else left.select("frame", "i", F.lit(0.0).alias("d2"))
 
@@ -94,3 +87,27 @@ def spacing_unbounded(points: DataFrame, radius: float, key: str = "pid") -> Dat
     """Mean, smallest and largest distance to the nearest neighbour, by frame; the search begins within radius and widens."""
     d = F.sqrt("d2")
     return nearest_distances(points, radius, key).groupBy("frame").agg(F.count("*").alias("points"), F.round(F.avg(d), 6).alias("mean_nn"), F.round(F.min(d), 6).alias("min_nn"), F.round(F.max(d), 6).alias("max_nn"))
+
+
+def nearest_in_next(points: DataFrame, radius: float, key: str = "id") -> DataFrame:
+    """(frame, i, d2): squared distance of each point to the nearest of the next frame, however far, in rounds of doubled radius; no row where that frame is empty."""
+    there = points.select((F.col("frame") - 1).alias("frame")).distinct()
+    right, found = side(points, "k", key, -1), None
+    left = kept(side(points, "i", key).join(there, "frame", "left_semi"))
+    while not left.isEmpty():
+        near = kept(radius_join(left, right, radius).groupBy("frame", "i").agg(F.min("d2").alias("d2")))
+        found = near if found is None else found.union(near)
+        left = kept(left.join(near, ["frame", "i"], "left_anti"))
+        radius *= 2
+    return found if found is not None else left.select("frame", "i", F.lit(0.0).alias("d2"))
+
+
+def motion_scale(points: DataFrame, radius: float, least: int = 5) -> DataFrame:
+    """(frame, displacement, spacing, ratio): tenth percentile of the distance to the nearest point of the next frame, and median distance to the nearest of its own;
+    frames of fewer than `least` points, or followed by such, are left out. Percentiles are of a frame's points, which the cameras bound."""
+    size = points.groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("frame")
+    good = size.join(size.select((F.col("frame") - 1).alias("frame")), "frame")
+    own = nearest_distances(points, radius, "id").groupBy("frame").agg(F.expr("percentile(sqrt(d2), 0.5)").alias("s"))
+    ahead = nearest_in_next(points, radius).groupBy("frame").agg(F.expr("percentile(sqrt(d2), 0.1)").alias("d"))
+    rows = own.join(ahead, "frame").join(good, "frame").where("s > 0").select("frame", F.round("d", 6).alias("displacement"), F.round("s", 6).alias("spacing"))
+    return rows.withColumn("ratio", F.round(F.col("displacement") / F.col("spacing"), 4))

@@ -19,7 +19,7 @@ XYZ = ("x", "y", "z")
 _E, _T, _D = f"e AS ({binding.TRACKS_SQL})", f"t AS ({binding.TRUTH_SQL})", f"d AS ({binding.DROPPED_SQL})"
 _W = "OVER (PARTITION BY trajid ORDER BY frame)"
 _ALL, _query = catalogue.ALL, catalogue.query
-_MODULES = ("linkage_queries",)
+_MODULES = ("linkage_queries", "tracking_queries", "camera_queries")
 
 
 def _gather() -> dict[str, tuple]:
@@ -69,11 +69,6 @@ def window_acceleration(spark, sf_dir):
     return kinematics.acceleration(_e(spark, sf_dir))
 
 
-@_query("accel_kurtosis", f"WITH {_E}, {_ACC} SELECT count(*) AS samples, round(avg(ax * ax * ax * ax) / (avg(ax * ax) * avg(ax * ax)), 6) AS kurtosis FROM a")
-def accel_kurtosis(spark, sf_dir):
-    return kinematics.kurtosis(_e(spark, sf_dir))
-
-
 @_query("velocity_jump_rate", f"""WITH {_E}, s AS (SELECT trajid, x - lag(x) {_W} AS p, lead(x) {_W} - x AS q FROM e)
 SELECT trajid, count(*) AS corners, CAST(count(*) FILTER (WHERE (abs(p) + abs(q)) / 2 > 1e-9 AND (abs(q - p) > (abs(p) + abs(q)) / 2 OR p * q < 0)) AS BIGINT) AS jumps
 FROM s WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY trajid""")
@@ -81,14 +76,6 @@ def velocity_jump_rate(spark, sf_dir):
     return kinematics.velocity_jumps(_e(spark, sf_dir))
 
 
-@_query("noise_sigma", f"""WITH {_E}, s AS (SELECT trajid, frame, CASE WHEN frame - lag(frame, 2) {_W} = 2 AND count(*) OVER (PARTITION BY trajid) >= 5 THEN x - 2 * lag(x) {_W} + lag(x, 2) {_W} END AS a FROM e),
-p AS (SELECT a, lag(a) {_W} AS b FROM s), g AS (SELECT * FROM p WHERE a IS NOT NULL), m AS (SELECT median(a) AS m FROM g), d AS (SELECT median(abs(a - m)) AS mad FROM g, m),
-k AS (SELECT count(*) AS samples, count(*) FILTER (WHERE ok) AS pairs, avg(a * b) FILTER (WHERE ok) AS c FROM (SELECT *, b IS NOT NULL AND abs(a) <= 6 * 1.4826e0 * mad AND abs(b) <= 6 * 1.4826e0 * mad AS ok FROM g, d))
-SELECT samples, pairs, round(CASE WHEN samples >= 10 AND pairs >= 10 THEN sqrt(greatest(-c / 4, 0e0)) ELSE 0e0 END, 6) AS sigma FROM k""")
-def noise_sigma(spark, sf_dir):
-    return kinematics.noise_sigma(_e(spark, sf_dir))
-
-
 _TW = "OVER (PARTITION BY pid ORDER BY frame)"
 
 
@@ -174,124 +161,16 @@ def neighbour_count(spark, sf_dir):
     return spatial.neighbour_counts(_t(spark, sf_dir), RADIUS)
 
 
-@_query("nn_spacing", f"""WITH {_T}, {_PAIRS}, n AS (SELECT frame, i, sqrt(min(d2)) AS d FROM p WHERE i <> k GROUP BY frame, i)
+@_query("nn_spacing", f"""WITH {_T}, n AS (SELECT a.frame, a.pid AS i, sqrt(min({_D2})) AS d FROM t a JOIN t b ON a.frame = b.frame AND a.pid <> b.pid GROUP BY a.frame, a.pid)
 SELECT frame, count(*) AS points, round(avg(d), 6) AS mean_nn, round(min(d), 6) AS min_nn, round(max(d), 6) AS max_nn FROM n GROUP BY frame""")
 def nn_spacing(spark, sf_dir):
-    return spatial.spacing(_t(spark, sf_dir), RADIUS)
-
-
-@_query("nn_spacing_all", f"""WITH {_T}, n AS (SELECT a.frame, a.pid AS i, sqrt(min({_D2})) AS d FROM t a JOIN t b ON a.frame = b.frame AND a.pid <> b.pid GROUP BY a.frame, a.pid)
-SELECT frame, count(*) AS points, round(avg(d), 6) AS mean_nn, round(min(d), 6) AS min_nn, round(max(d), 6) AS max_nn FROM n GROUP BY frame""")
-def nn_spacing_all(spark, sf_dir):
-    """nn_spacing without its bound: every point has its nearest neighbour."""
     return spatial.spacing_unbounded(_t(spark, sf_dir), RADIUS)
 
 
-# --- links ---------------------------------------------------------------------------------------------------------------------------
-
-_EDGES = f"c AS MATERIALIZED (SELECT a.frame, a.pid AS i, b.pid AS k, {_D2} AS cost FROM t a JOIN t b ON b.frame = a.frame + 1 AND {_D2} <= 4)"
-
-
-def _rounds(n: int, source: str = "c") -> str:
-    """n rounds of mutual best and removal, as CTEs ending in links."""
-    parts, left = [], source
-    for r in range(n):
-        parts.append(f"b{r} AS MATERIALIZED (SELECT frame, i, k, cost FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY cost, i, k) AS ri, row_number() OVER (PARTITION BY frame, k ORDER BY cost, i, k) AS rk FROM {left}) WHERE ri = 1 AND rk = 1)")
-        parts.append(f"l{r} AS MATERIALIZED (SELECT frame, i, k, cost FROM {left} x WHERE NOT EXISTS (SELECT 1 FROM b{r} b WHERE b.frame = x.frame AND b.i = x.i) AND NOT EXISTS (SELECT 1 FROM b{r} b WHERE b.frame = x.frame AND b.k = x.k))")
-        left = f"l{r}"
-    return ", ".join(parts) + ", links AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM b{r}" for r in range(n)) + ")"
-
-
-_LINKS = f"{_T}, {_EDGES}, {_rounds(10)}"
-
-
-def _links(spark, sf_dir):
-    return linking.greedy(linking.candidates(_t(spark, sf_dir), RADIUS))
-
-
-def _true_links(points):
-    return points.select("frame", F.col("pid").alias("i"), F.col("pid").alias("k")).where(F.col("frame") < binding.FRAMES - 1)
-
-
-@_query("link_nearest_l3", f"WITH {_LINKS} SELECT * FROM links")
-def link_nearest_l3(spark, sf_dir):
-    return _links(spark, sf_dir)
-
-
-@_query("merge_bidirectional", f"""WITH {_T}, {_EDGES}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY cost, k) AS r FROM c) WHERE r = 1),
-g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, k ORDER BY cost, i) AS r FROM c) WHERE r = 1),
-v AS MATERIALIZED (SELECT frame, i, k, min(cost) + CASE WHEN count(*) = 2 THEN 0 ELSE 1e6 END AS cost FROM (SELECT frame, i, k, cost FROM f UNION ALL SELECT frame, i, k, cost FROM g) GROUP BY frame, i, k), {_rounds(12, "v")}
-SELECT frame, i, k, CASE WHEN cost >= 1e6 THEN cost - 1e6 ELSE cost END AS cost FROM links""")
-def merge_bidirectional(spark, sf_dir):
-    c = linking.candidates(_t(spark, sf_dir), RADIUS)
-    first = lambda a, b: c.withColumn("r", F.row_number().over(Window.partitionBy("frame", a).orderBy("cost", b))).where("r = 1").drop("r")
-    return linking.merge_directions(first("i", "k"), first("k", "i"))
-
-
-_SEED = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY cost, k) AS r, lead(cost) OVER (PARTITION BY frame, i ORDER BY cost, k) AS nxt FROM c) WHERE r = 1 AND cost <= 2.25 AND (nxt IS NULL OR nxt >= 4 * cost))"
-
-
-_PRED = """p AS MATERIALIZED (SELECT l.frame + 1 AS frame, l.k AS i, n.pid AS k, (n.x - 2 * b.x + a.x) * (n.x - 2 * b.x + a.x) + (n.y - 2 * b.y + a.y) * (n.y - 2 * b.y + a.y) + (n.z - 2 * b.z + a.z) * (n.z - 2 * b.z + a.z) AS cost
-  FROM links l JOIN t a ON a.frame = l.frame AND a.pid = l.i JOIN t b ON b.frame = l.frame + 1 AND b.pid = l.k JOIN t n ON n.frame = l.frame + 2)"""
-
-
-@_query("link_predict_l1", f"WITH {_LINKS}, {_PRED} SELECT * FROM p WHERE cost <= 1")
-def link_predict_l1(spark, sf_dir):
-    return linking.predict(_links(spark, sf_dir), _t(spark, sf_dir), 1.0)
-
-
-_KINK = """q AS MATERIALIZED (SELECT l.frame, l.i, l.k, m.k AS l, sqrt((c2.x - 2 * b.x + a.x) * (c2.x - 2 * b.x + a.x) + (c2.y - 2 * b.y + a.y) * (c2.y - 2 * b.y + a.y) + (c2.z - 2 * b.z + a.z) * (c2.z - 2 * b.z + a.z)) AS kink
-  FROM links l JOIN links m ON m.frame = l.frame + 1 AND m.i = l.k JOIN t a ON a.frame = l.frame AND a.pid = l.i JOIN t b ON b.frame = l.frame + 1 AND b.pid = l.k JOIN t c2 ON c2.frame = l.frame + 2 AND c2.pid = m.k)"""
-
-
-@_query("link_recall_precision", f"""WITH {_LINKS}, n AS (SELECT (SELECT count(*) FROM links) AS predicted, (SELECT count(*) FROM t WHERE frame < 7) AS true_links, (SELECT count(*) FROM links WHERE i = k) AS correct)
-SELECT *, round(correct / true_links, 6) AS recall, round(correct / predicted, 6) AS precision FROM n""")
-def link_recall_precision(spark, sf_dir):
-    return quality.link_metrics(_links(spark, sf_dir), _true_links(_t(spark, sf_dir)))
-
-
-@_query("frame_stats", f"WITH {_LINKS} SELECT t.frame, count(*) AS n_points, count(l.i) AS n_links FROM t LEFT JOIN links l ON l.frame = t.frame AND l.i = t.pid GROUP BY t.frame")
-def frame_stats(spark, sf_dir):
-    return quality.frame_stats(_t(spark, sf_dir), _links(spark, sf_dir))
-
-
-_SEALED = _LINKS + """, w(trajid, frame, pid) AS (
-  SELECT t.frame * 1000000000 + t.pid, t.frame, t.pid FROM t WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.frame + 1 = t.frame AND l.k = t.pid)
-  UNION ALL SELECT w.trajid, w.frame + 1, l.k FROM w JOIN links l ON l.frame = w.frame AND l.i = w.pid)"""
-
-
-def _labelled(spark, sf_dir):
-    return linking.seal(_links(spark, sf_dir), _t(spark, sf_dir)).withColumnRenamed("id", "pid")
-
-
-@_query("identity_metrics", f"""WITH RECURSIVE {_SEALED}, b AS (SELECT trajid, pid, count(*) AS n FROM w GROUP BY trajid, pid)
-SELECT trajid, CAST(sum(n) AS BIGINT) AS points, count(*) AS identities, max(n) AS majority, round(max(n) / sum(n), 6) AS purity FROM b GROUP BY trajid""")
-def identity_metrics(spark, sf_dir):
-    return quality.identity(_labelled(spark, sf_dir))
-
-
-@_query("e_track", f"""WITH RECURSIVE {_SEALED}, m AS (SELECT trajid, count(DISTINCT pid) AS ids FROM w GROUP BY trajid),
-h AS (SELECT pid, count(DISTINCT w.trajid) AS tracks, max(ids) AS ids, count(*) AS covered FROM w JOIN m ON m.trajid = w.trajid GROUP BY pid),
-g AS (SELECT pid, count(*) AS frames FROM t GROUP BY pid)
-SELECT CASE WHEN tracks IS NULL THEN 'missed' WHEN tracks > 1 THEN 'fragmented' WHEN ids > 1 THEN 'contaminated' WHEN covered < frames THEN 'incomplete' ELSE 'perfect' END AS class, count(*) AS tracks
-FROM g LEFT JOIN h ON h.pid = g.pid GROUP BY 1""")
-def e_track(spark, sf_dir):
-    return quality.track_errors(_labelled(spark, sf_dir), _t(spark, sf_dir))
-
-
-_MARKED = "MATERIALIZED (SELECT pid AS id, frame FROM t WHERE (pid * 13 + frame * 7) % 20 <> 0)"
-
-
-def _true_chain(points):
-    """Links of one frame between detections of one particle."""
-    ahead = points.select((F.col("frame") - 1).alias("frame"), "pid")
-    return points.select("frame", "pid").join(ahead, ["frame", "pid"]).select("frame", F.col("pid").alias("i"), F.col("pid").alias("k"), F.lit(0.0).alias("cost"))
-
-
 # --- cameras -------------------------------------------------------------------------------------------------------------------------
 
 _CAMS = ", ".join(f"({c}, {s})" for c, s in matching.CAMERAS.items())
-_TG = f"g AS MATERIALIZED (SELECT t.frame, CAST(cam AS BIGINT) AS cam, t.pid AS pnr, t.x + shift * t.z / 64e0 AS u, t.y AS v, t.pid % 97 + 20 AS sumg FROM t, (VALUES {_CAMS}) AS k(cam, shift) WHERE t.frame < 2)"
+_TG = f"g AS MATERIALIZED (SELECT t.frame, CAST(cam AS BIGINT) AS cam, t.pid AS pnr, t.x + shift * t.z / 64e0 AS u, t.y AS v, t.pid % 97 + 20 AS sumg FROM t, (VALUES {_CAMS}) AS k(cam, shift))"
 
 
 def _edge_sql(a: int, b: int) -> str:
@@ -300,7 +179,7 @@ def _edge_sql(a: int, b: int) -> str:
 
 
 def _targets(spark, sf_dir):
-    return matching.targets(_t(spark, sf_dir).where("frame < 2"))
+    return matching.targets(_t(spark, sf_dir))
 
 
 def _edges(t, cams):
@@ -330,33 +209,6 @@ def pairs_unique(spark, sf_dir):
     return matching.unique_pairs(_edges(_targets(spark, sf_dir), (0, 1))[0, 1])
 
 
-# The five queries above and below that name frames work on a part of the table, as their SQL does; these work on every frame.
-
-def _every(name: str) -> str:
-    """SQL of a camera query over all frames."""
-    return _ALL[name][1].replace(" WHERE t.frame < 2", "").replace(" WHERE frame = 0", "")
-
-
-@_query("camera_targets_all", _every("camera_targets"))
-def camera_targets_all(spark, sf_dir):
-    return matching.targets(_t(spark, sf_dir))
-
-
-@_query("epipolar_candidates_all", _every("epipolar_candidates"))
-def epipolar_candidates_all(spark, sf_dir):
-    return _edges(camera_targets_all(spark, sf_dir), (0, 1))[0, 1]
-
-
-@_query("cliques3_all", _every("cliques3"))
-def cliques3_all(spark, sf_dir):
-    return matching.cliques(_edges(camera_targets_all(spark, sf_dir), (0, 1, 2)), (0, 1, 2))
-
-
-@_query("pairs_unique_all", _every("pairs_unique"))
-def pairs_unique_all(spark, sf_dir):
-    return matching.unique_pairs(_edges(camera_targets_all(spark, sf_dir), (0, 1))[0, 1])
-
-
 @_query("pixel_metric_roundtrip", f"WITH {_T} SELECT frame, pid, (x - 512e0) * 0.015625e0 AS mx, (384e0 - y) * 0.015625e0 AS my, x AS px, y AS py FROM t")
 def pixel_metric_roundtrip(spark, sf_dir):
     t = _t(spark, sf_dir)
@@ -373,26 +225,9 @@ def brown_distort(spark, sf_dir):
     return _t(spark, sf_dir).select("frame", "pid", F.round(u, 6).alias("dx"), F.round(v, 6).alias("dy"))
 
 
-_BROWN = ", ".join(
-    f"n{r + 1} AS (SELECT frame, pid, x, y, x - u * (0.01e0 * q + 0.001e0 * q * q) - 0.002e0 * (q + 2 * u * u) - 2 * 0.003e0 * u * v AS u,"
-    f" y - v * (0.01e0 * q + 0.001e0 * q * q) - 0.003e0 * (q + 2 * v * v) - 2 * 0.002e0 * u * v AS v FROM (SELECT *, u * u + v * v AS q FROM n{r}))" for r in range(5)
-)
-
-
-@_query("brown_correct", f"WITH {_T}, n0 AS (SELECT frame, pid, x / 64 AS x, y / 64 AS y, x / 64 AS u, y / 64 AS v FROM t), {_BROWN} SELECT frame, pid, round(u, 6) AS cx, round(v, 6) AS cy FROM n5")
-def brown_correct(spark, sf_dir):
-    u, v = geometry.brown_correct(F.col("x") / 64, F.col("y") / 64, 0.01, 0.001, 0.0, 0.002, 0.003)
-    return _t(spark, sf_dir).select("frame", "pid", F.round(u, 6).alias("cx"), F.round(v, 6).alias("cy"))
-
-
-@_query("skew_midpoint", f"""WITH {_T}, r AS (SELECT frame, pid, x, y, z, x - 100 AS ux, y AS uy, z + 50 AS uz, x + 100 AS vx, y - 3 AS vy, z + 50 AS vz FROM t WHERE frame = 0)
+@_query("skew_midpoint", f"""WITH {_T}, r AS (SELECT frame, pid, x, y, z, x - 100 AS ux, y AS uy, z + 50 AS uz, x + 100 AS vx, y - 3 AS vy, z + 50 AS vz FROM t)
 SELECT frame, pid, round(x, 5) AS mx, round(y, 5) AS my, round(z, 5) AS mz, true AS close FROM r""")
 def skew_midpoint(spark, sf_dir):
-    return _midpoints(_t(spark, sf_dir).where("frame = 0"))
-
-
-@_query("skew_midpoint_all", _every("skew_midpoint"))
-def skew_midpoint_all(spark, sf_dir):
     return _midpoints(_t(spark, sf_dir))
 
 
@@ -417,19 +252,6 @@ def uniqueness_pairs(spark, sf_dir):
     return quality.conflicts(rows)
 
 
-@_query("ghost_scaling", f"""WITH {_T}, n AS (SELECT frame, count(*) AS points FROM t GROUP BY frame), g AS (SELECT *, pow(points, 4e0) * pow(0.05e0 / 20, 5e0) AS x FROM n)
-SELECT frame, points, round(x, 6) AS ghosts, CASE WHEN x < 1 THEN 'sparse' WHEN x >= points THEN 'dense' ELSE 'intermediate' END AS regime FROM g""")
-def ghost_scaling(spark, sf_dir):
-    n = _t(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("points"))
-    g = geometry.expected_ghosts(F.col("points"), 4, 0.05, 20.0)
-    return n.select("frame", "points", F.round(g, 6).alias("ghosts"), geometry.ghost_regime(g, F.col("points")).alias("regime"))
-
-
-@_query("quality_weights", f"WITH {_E} SELECT trajid, frame, round(greatest((1 - x / 512) * (1 - x / 512), 0.05), 6) AS weight FROM e")
-def quality_weights(spark, sf_dir):
-    return _e(spark, sf_dir).select("trajid", "frame", F.round(geometry.quality_weight(F.col("x") / 512), 6).alias("weight"))
-
-
 # --- images --------------------------------------------------------------------------------------------------------------------------
 
 _PX = "px AS MATERIALIZED (SELECT f AS img, c_custkey // 32 AS r, c_custkey % 32 AS c, (c_custkey * 7919 + f * 31) % 256 AS g FROM customer, unnest(range(0, 8)) AS t(f))"
@@ -443,26 +265,11 @@ def _pixels(spark, sf_dir):
 _BLUR = "bl AS (SELECT a.img, a.r, a.c, CAST(sum(b.g) AS BIGINT) // count(*) AS g FROM px a JOIN px b ON a.img = b.img AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.img, a.r, a.c)"
 
 
-@_query("box_blur", f"WITH {_PX}, {_BLUR} SELECT * FROM bl")
-def box_blur(spark, sf_dir):
-    return images.box_blur(_pixels(spark, sf_dir))
-
-
-@_query("high_pass", f"WITH {_PX}, {_BLUR} SELECT px.img, px.r, px.c, greatest(px.g - bl.g, 0) AS g FROM px JOIN bl ON bl.img = px.img AND bl.r = px.r AND bl.c = px.c")
-def high_pass(spark, sf_dir):
-    return images.high_pass(_pixels(spark, sf_dir))
-
-
 @_query("negative", f"WITH {_PX} SELECT img, r, c, 255 - g AS g FROM px")
 def negative(spark, sf_dir):
     return images.negative(_pixels(spark, sf_dir))
 
 
-@_query("subtract_background", f"WITH {_PX}, b AS (SELECT r, c, CAST(sum(g) AS BIGINT) // count(*) AS low FROM px GROUP BY r, c) SELECT img, px.r, px.c, greatest(g - low, 0) AS g FROM px JOIN b ON b.r = px.r AND b.c = px.c")
-def subtract_background(spark, sf_dir):
-    return images.subtract_background(_pixels(spark, sf_dir))
-
-
 @_query("threshold", f"WITH {_PX} SELECT img, count(*) AS pixels, CAST(sum(g) AS BIGINT) AS sumg, round(sum(c * g) / sum(g), 6) AS x, round(sum(r * g) / sum(g), 6) AS y FROM px WHERE g > 200 GROUP BY img")
 def threshold(spark, sf_dir):
     return images.threshold_centroid(_pixels(spark, sf_dir), 200)
@@ -501,39 +308,6 @@ def search_radius(spark, sf_dir):
     return kinematics.velocity(_e(spark, sf_dir)).where("vx is not null").select("trajid", "frame", along.alias("along"), across.alias("across"))
 
 
-@_query("multi_term_cost", f"WITH {_E}, s AS (SELECT trajid, frame, abs(x - lag(x) {_W}) AS d FROM e) SELECT trajid, frame, round(0.5e0 * d + 0.25e0 * d / 0.5e0 + 0.125e0 * d / 0.25e0 + 0.125e0 * (trajid % 7), 6) AS cost FROM s WHERE d IS NOT NULL")
-def multi_term_cost(spark, sf_dir):
-    cost = geometry.multi_term_cost(F.abs(F.col("vx")), F.col("trajid") % 7, 0.5, (4.0, 2.0, 1.0, 1.0))
-    return kinematics.velocity(_e(spark, sf_dir)).where("vx is not null").select("trajid", "frame", F.round(cost, 6).alias("cost"))
-
-
-@_query("quality_score", f"""WITH {_D}, s AS (SELECT pid AS trajid, frame - lag(frame) {_TW} AS step, (pid + frame) % 3 > 0 AS recip, lag(frame, 2) {_TW} IS NOT NULL AND (pid * frame) % 5 = 0 AS kink FROM d),
-g AS (SELECT trajid, count(*) AS points, count(step) AS edges, count(*) FILTER (WHERE step > 1) AS gaps, count(*) FILTER (WHERE step IS NOT NULL AND recip) AS b, count(*) FILTER (WHERE kink) AS kinks FROM s GROUP BY trajid)
-SELECT trajid, points, gaps, kinks, round(CASE WHEN edges = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, 0.4e0 * least(1e0, edges / 7e0) + 0.3e0 * b / edges
-  + 0.3e0 * CASE WHEN points < 3 THEN 0.5e0 ELSE 1 - kinks / CAST(points - 2 AS DOUBLE) END - least(0.4e0, 0.1e0 * gaps / edges))) END, 6) AS score FROM g""")
-def quality_score(spark, sf_dir):
-    w = Window.partitionBy("trajid").orderBy("frame")
-    rows = _tt(binding.dropped_out(_t(spark, sf_dir))).withColumn("step", F.col("frame") - F.lag("frame").over(w)).withColumn("edge", F.col("step").isNotNull())
-    rows = rows.withColumn("reciprocal", (F.col("trajid") + F.col("frame")) % 3 > 0).withColumn("kink", F.lag("frame", 2).over(w).isNotNull() & ((F.col("trajid") * F.col("frame")) % 5 == 0))
-    return quality.track_scores(rows, binding.FRAMES)
-
-
-@_query("anomaly_flags", f"""WITH {_E}, s AS (SELECT trajid, x - lag(x) {_W} AS p, lead(x) {_W} - x AS q FROM e), l AS (SELECT trajid, count(*) AS n FROM e GROUP BY trajid),
-j AS (SELECT round(count(*) FILTER (WHERE (abs(p) + abs(q)) / 2 > 1e-9 AND (abs(q - p) > (abs(p) + abs(q)) / 2 OR p * q < 0)) / count(*), 6) AS jump_rate FROM s WHERE p IS NOT NULL AND q IS NOT NULL),
-m AS (SELECT round(avg(n), 6) AS mean_length FROM l) SELECT mean_length, jump_rate, mean_length < 4 AS mean_length_flag, jump_rate > 0.1 AS jump_rate_flag FROM m, j""")
-def anomaly_flags(spark, sf_dir):
-    jumps = kinematics.velocity_jumps(_e(spark, sf_dir)).agg(F.round(F.sum("jumps") / F.sum("corners"), 6).alias("jump_rate"))
-    lengths = kinematics.index(_e(spark, sf_dir)).agg(F.round(F.avg("length"), 6).alias("mean_length"))
-    return quality.anomaly_flags(lengths.crossJoin(jumps))  # one row each
-
-
-@_query("matched_tracks", f"""WITH {_T}, l AS (SELECT pid // 3 AS trajid, pid, frame FROM t WHERE frame < 1 + pid % 5), b AS (SELECT trajid, pid, count(*) AS n FROM l GROUP BY trajid, pid),
-g AS (SELECT trajid, sum(n) AS points, max(n) AS majority FROM b GROUP BY trajid)
-SELECT count(*) AS tracks, count(*) FILTER (WHERE majority * 3 >= points * 2) AS matched, round(100 * count(*) FILTER (WHERE majority * 3 >= points * 2) / count(*), 6) AS pmt FROM g""")
-def matched_tracks(spark, sf_dir):
-    return quality.matched_tracks(_t(spark, sf_dir).where("frame < 1 + pid % 5").select(F.expr("pid div 3").alias("trajid"), "pid", "frame"))
-
-
 @_query("brightness_shares", f"""WITH {_T}, b AS (SELECT frame, pid // 4 AS blob, pid AS member, (pid * 31 + frame) % 50 - 10 AS g FROM t),
 f AS (SELECT frame, blob, member, coalesce(CASE WHEN g > 0 THEN g END, median(CASE WHEN g > 0 THEN g END) OVER (PARTITION BY frame, blob), 1) AS g FROM b)
 SELECT frame, blob, member, round(g / sum(g) OVER (PARTITION BY frame, blob), 6) AS share FROM f""")

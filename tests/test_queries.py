@@ -70,7 +70,7 @@ def test_entry(spark):
 
 
 def test_spacing_counts_isolated_points(spark, duck):
-    assert plain(registry.queries()["nn_spacing_all"](spark, SF).toPandas()) == plain(duck.execute(registry.oracle_sql()["nn_spacing_all"]).df())
+    assert plain(registry.queries()["nn_spacing"](spark, SF).toPandas()) == plain(duck.execute(registry.oracle_sql()["nn_spacing"]).df())
     rng = random.Random(9)
     cloud = [(f, i, *(rng.randrange(200) / 64 for _ in "xyz")) for f in range(2) for i in range(40)] + [(0, 50, 90.0, -400.0, 7.0), (0, 51, 3000.0, 0.0, 0.0), (1, 60, 9.0, 9.0, 9.0), (2, 0, 1.0, 1.0, 1.0), (3, 0, 0.0, 0.0, 0.0), (3, 1, 500.0, 0.0, 0.0), (3, 2, float("nan"), 0.0, 0.0)]
     want = {}
@@ -84,7 +84,7 @@ def test_spacing_counts_isolated_points(spark, duck):
     assert spatial.spacing_unbounded(spark.createDataFrame([(0, 0, 1.0, 1.0, 1.0)], "frame long, pid long, x double, y double, z double"), 2.0).count() == 0
 
 
-@pytest.mark.parametrize("name", ["camera_targets_all", "epipolar_candidates_all", "cliques3_all", "pairs_unique_all", "skew_midpoint_all"])
+@pytest.mark.parametrize("name", ["camera_targets", "epipolar_candidates", "cliques3", "pairs_unique", "skew_midpoint"])
 def test_camera_queries_over_every_frame(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
     assert set(got["frame"]) == set(range(8))
