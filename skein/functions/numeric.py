@@ -51,11 +51,20 @@ class Arrays:
         return state | {"stop": stop}
 
 
+def _lifted(f):
+    """f for columns and plain numbers."""
+    return staticmethod(lambda *a: f(*[x if isinstance(x, Column) else F.lit(float(x)) for x in a]))
+
+
 class Columns:
-    """Spark columns. let() puts a value that is used more than once into a column of its own; run() adds all of them to a table, stage by stage."""
+    """Spark columns. let() puts a value that is used more than once into a column of its own; run() adds all of them to a table, stage by stage.
+
+    For short formulas: a filter on a result of many stages is pushed through all of them by repeating their expressions, so long ones belong in
+    a task over arrays (stereo.over_cameras).
+    """
 
     _number = itertools.count()
-    sqrt, sin, cos, tan, asin, acos, atan, atan2, floor, abs, exp, log = map(staticmethod, (F.sqrt, F.sin, F.cos, F.tan, F.asin, F.acos, F.atan, F.atan2, F.floor, F.abs, F.exp, F.log))
+    sqrt, sin, cos, tan, asin, acos, atan, atan2, floor, abs, exp, log = map(_lifted, (F.sqrt, F.sin, F.cos, F.tan, F.asin, F.acos, F.atan, F.atan2, F.floor, F.abs, F.exp, F.log))
 
     def __init__(self):
         self.stages: list[tuple[str, Column]] = []

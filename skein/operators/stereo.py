@@ -1,6 +1,6 @@
 """Rigs of cameras on tables: projection, rays, triangulation, epipolar candidates and the cascade of camera matches.
 
-A rig is a list of optics.Camera, a handful; its table has a row a camera and is broadcast. Targets are rows (frame, cam, pnr, x, y[, n, nx, ny, sumg]) in
+A rig is a list of optics.Camera, a handful. Targets are rows (frame, cam, pnr, x, y[, n, nx, ny, sumg]) in
 pixels, points rows (frame, id, x, y, z).
 """
 
@@ -15,57 +15,73 @@ from pyspark.sql import functions as F
 
 from skein.functions import geometry, optics
 from skein.functions.numeric import Arrays, Columns
-from skein.functions.optics import FIELDS, Camera, Volume
+from skein.functions.optics import Camera, Volume
 
 XYZ = ("x", "y", "z")
-#: Cameras of a rig at most, so that its table may be broadcast.
+#: Cameras of a rig at most; a rig travels with its tasks.
 MOST_CAMERAS = 64
 # Fixed value: stands for a coordinate that isn't there.
 MISSING = -1e10
 
 
-def rig_table(spark, rig: list[Camera], names: str = "c_") -> DataFrame:
-    """cam and the cameras' columns, with their sensors' corners undistorted."""
+def _checked(rig: list[Camera]) -> list[Camera]:
     if len(rig) > MOST_CAMERAS:
         raise ValueError(f"a rig of {len(rig)} cameras")
-    out = optics.table(spark, rig)
-    corners = []
-    for n, c in enumerate(rig):
-        w, h = c.pix_x * c.imx / 2, c.pix_y * c.imy / 2
-        low, high = optics.undistort(Arrays, c, -w - c.xh, -h - c.yh), optics.undistort(Arrays, c, w - c.xh, h - c.yh)
-        corners.append((n, float(low[0]), float(low[1]), float(high[0]), float(high[1])))
-    edge = spark.createDataFrame(corners, "cam long, left double, low double, right double, high double")
-    joined = out.join(edge, "cam")
-    return F.broadcast(joined.select("cam", *[F.col(k).alias(f"{names}{k}") for k in (*FIELDS, "left", "low", "right", "high")]))
+    return rig
 
 
-def _bare(df: DataFrame, prefix: str = "c_") -> DataFrame:
-    return df.select(*[c for c in df.columns if not c.startswith(prefix) and not c.startswith("_n")])
+def over_cameras(df: DataFrame, rig: list[Camera], run, schema: str) -> DataFrame:
+    """df's columns and those of run(camera, rows of that camera) -> arrays, batch by batch in Arrow; the rig travels with the task.
+
+    Formulas of cameras are long, and Catalyst would repeat them wherever a filter meets their results; over arrays they run once.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    keep = [c for c in df.columns if c not in names]
+    _checked(rig)
+
+    def task(batches):
+        for b in batches:
+            out = np.full((len(names), len(b)), np.nan)
+            cams = b["cam"].to_numpy()
+            for cam in np.unique(cams):
+                at = np.flatnonzero(cams == cam)
+                with np.errstate(all="ignore"):
+                    for n, v in enumerate(run(rig[int(cam)], b.iloc[at])):
+                        out[n, at] = v
+            yield b[keep].assign(**dict(zip(names, out)))
+
+    from pyspark.sql import types as T
+
+    fields = [f for f in df.schema.fields if f.name in keep] + T.StructType.fromDDL(schema).fields
+    return df.mapInPandas(task, T.StructType(fields))
+
+
+def _xyz(rows) -> list[np.ndarray]:
+    return [rows[a].to_numpy() for a in XYZ]
 
 
 def project(points: DataFrame, rig: list[Camera], flat: bool = False, rounds: int = optics.SHIFT_ROUNDS, limit: float = optics.SHIFT_LIMIT) -> DataFrame:
     """Every point in every camera: the point's columns with cam, u, v; pixels, or ideal sensor millimetres if flat."""
-    rows = points.crossJoin(rig_table(points.sparkSession, rig))  # a row a camera
-    N, camera = Columns(), optics.of_columns("c_")
-    u, v = (optics.flat if flat else optics.pixel)(N, camera, [F.col(a) for a in XYZ], rounds=rounds, limit=limit)
-    return _bare(N.run(rows, u=u, v=v))
+    rows = points.withColumn("cam", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(rig) - 1).cast("long"))))
+    see = optics.flat if flat else optics.pixel
+    return over_cameras(rows, rig, lambda c, r: see(Arrays, c, _xyz(r), rounds=rounds, limit=limit), "u double, v double")
 
 
 def flat_targets(targets: DataFrame, rig: list[Camera], limit: float = optics.LENS_LIMIT) -> DataFrame:
     """Targets with fx, fy: pixels to millimetres, lens distortion removed, about the principal point."""
-    rows = targets.join(rig_table(targets.sparkSession, rig), "cam")
-    N, camera = Columns(), optics.of_columns("c_")
-    metric = [N.let(m) for m in optics.to_metric(N, camera, F.col("x"), F.col("y"))]
-    fx, fy = optics.to_flat(N, camera, *metric, limit=limit)
-    return _bare(N.run(rows, fx=fx, fy=fy))
+    def run(c, r):
+        return optics.to_flat(Arrays, c, *optics.to_metric(Arrays, c, r["x"].to_numpy(), r["y"].to_numpy()), limit=limit)
+
+    return over_cameras(targets, rig, run, "fx double, fy double")
 
 
 def rays(flat: DataFrame, rig: list[Camera], x: str = "fx", y: str = "fy") -> DataFrame:
     """Rows with the ray of their ideal image point: vertex vx, vy, vz and direction dx, dy, dz."""
-    rows = flat.join(rig_table(flat.sparkSession, rig), "cam")
-    N, camera = Columns(), optics.of_columns("c_")
-    vertex, direction = optics.ray(N, camera, F.col(x), F.col(y))
-    return _bare(N.run(rows, **{f"v{a}": F.lit(0.0) + p for a, p in zip(XYZ, vertex)}, **{f"d{a}": F.lit(0.0) + p for a, p in zip(XYZ, direction)}))
+    def run(c, r):
+        vertex, direction = optics.ray(Arrays, c, r[x].to_numpy(), r[y].to_numpy())
+        return [*vertex, *direction]
+
+    return over_cameras(flat, rig, run, ", ".join(f"{k}{a} double" for k in "vd" for a in XYZ))
 
 
 def lookup(wanted: DataFrame, flat: DataFrame) -> DataFrame:
@@ -96,19 +112,30 @@ def triangulate(seen: DataFrame, method: str = "pairs", key: tuple[str, ...] = (
     elif method == "weighted":
         at = [F.when(F.col("w") > 1e-12, F.col(f"w{a}") / F.col("w")).otherwise(F.col(a)) for a in XYZ]
     elif method == "lsq":
-        one = lambda r: F.struct(*[v.alias(k) for k, v in optics.normal_terms([r["v"][i] for i in range(3)], [r["d"][i] for i in range(3)]).items()])
-        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("a00", "a01", "a02", "a11", "a12", "a22", "b0", "b1", "b2")])
-        total = F.aggregate(F.transform("r", one), zero, lambda s, t: F.struct(*[(s[k] + t[k]).alias(k) for k in ("a00", "a01", "a02", "a11", "a12", "a22", "b0", "b1", "b2")]))
-        sums = sums.withColumn("s", total)
-        N = Columns()
-        det, solved = optics.solve_normal(N, {k: F.col(f"s.{k}") for k in ("a00", "a01", "a02", "a11", "a12", "a22", "b0", "b1", "b2")})
-        sums = N.run(sums, _det=det, **{f"l{a}": F.when(det > 1e-9, v) for a, v in zip(XYZ, solved)})
-        at = [F.when(F.col("_det") > 1e-9, F.col(f"l{a}")).otherwise(F.col(a)) for a in XYZ]
+        return _nearest_to_rays(sums, key)
     else:
         raise ValueError(method)
     return sums.select(*key, *[p.alias(f"_{a}") for p, a in zip(at, XYZ)], "rcm", "cams").select(*key, *[F.col(f"_{a}").alias(a) for a in XYZ], "rcm", F.col("cams").cast("long").alias("cams"))
 
 
+def _nearest_to_rays(sums: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Positions by the summed normal equations of each point's rays; the mean of the pairs where these are singular."""
+    fields = ", ".join(f"{n} {t}" for n, t in sums.select(*key, *XYZ).dtypes)
+
+    def run(batches):
+        for b in batches:
+            n = b["r"].map(len).to_numpy()
+            of = np.repeat(np.arange(len(b)), n)
+            v, d = (np.array([list(x[k]) for r in b["r"] for x in r], float).reshape(-1, 3) for k in "vd")
+            terms = {k: np.bincount(of, t, len(b)) for k, t in optics.normal_terms(v.T, d.T).items()}
+            with np.errstate(all="ignore"):
+                det, at = optics.solve_normal(Arrays, terms)
+            good = (det > 1e-9) & (n > 1)
+            yield b.assign(**{a: np.where(good, p, b[a].to_numpy(float)) for a, p in zip(XYZ, at)}).drop(columns="r")
+
+    return sums.select(*key, *XYZ, "rcm", "cams", F.coalesce("r", F.array().cast(sums.schema["r"].dataType)).alias("r")).mapInPandas(run, f"{fields}, rcm double, cams long")
+
+
 def single_camera(flat: DataFrame, rig: list[Camera], volume: Volume) -> DataFrame:
     """Points of one camera's targets, (frame, pnr, x, y, z): each ray's point midway through the volume."""
     seen = rays(flat.where("cam = 0"), rig[:1])
@@ -119,25 +146,27 @@ def single_camera(flat: DataFrame, rig: list[Camera], volume: Volume) -> DataFra
 
 def segments(flat: DataFrame, rig: list[Camera], cam: int, other: int, volume: Volume) -> DataFrame:
     """Targets of cam with their epipolar segment in the other camera: xa, ya at the lowest and xb, yb at the highest z."""
-    spark = flat.sparkSession
-    a, b = rig_table(spark, rig, "c_").where(F.col("cam") == cam), rig_table(spark, rig, "e_").where(F.col("cam") == other).drop("cam")
-    rows = flat.where(F.col("cam") == cam).join(F.broadcast(a), "cam").crossJoin(F.broadcast(b))  # one row each
-    N = Columns()
-    ends = optics.epipolar_segment(N, optics.of_columns("c_"), optics.of_columns("e_"), F.col("fx"), F.col("fy"), volume)
-    return _bare(N.run(rows, **dict(zip(("xa", "ya", "xb", "yb"), ends))))
+    def run(c, r):
+        return optics.epipolar_segment(Arrays, c, rig[other], r["fx"].to_numpy(), r["fy"].to_numpy(), volume)
+
+    return over_cameras(flat.where(F.col("cam") == cam), rig, run, "xa double, ya double, xb double, yb double")
 
 
 def epipolar_curve(flat: DataFrame, rig: list[Camera], cam: int, other: int, volume: Volume, n: int) -> DataFrame:
     """(frame, pnr, k, z, u, v): n points of each target's ray, equally spaced from the lowest to the highest z, in the other camera's pixels."""
-    spark = flat.sparkSession
-    seen = rays(flat.where(F.col("cam") == cam), rig).drop("cam")
-    steps = seen.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("z", F.lit(float(volume.z_min[0])) + F.col("k") * F.lit((volume.z_max[0] - volume.z_min[0]) / max(1, n - 1)))
-    t = (F.col("z") - F.col("vz")) / F.col("dz")
-    at = steps.select("frame", "pnr", "k", "z", (F.col("vx") + t * F.col("dx")).alias("x"), (F.col("vy") + t * F.col("dy")).alias("y"))
-    rows = at.crossJoin(F.broadcast(rig_table(spark, rig).where(F.col("cam") == other)))  # one row
-    N = Columns()
-    u, v = optics.pixel(N, optics.of_columns("c_"), [F.col(a) for a in XYZ])
-    return _bare(N.run(rows, u=u, v=v)).select("frame", "pnr", "k", "z", "u", "v")
+    steps = flat.where(F.col("cam") == cam).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("z", F.lit(float(volume.z_min[0])) + F.col("k") * F.lit((volume.z_max[0] - volume.z_min[0]) / max(1, n - 1)))
+
+    def run(c, r):
+        vertex, direction = optics.ray(Arrays, c, r["fx"].to_numpy(), r["fy"].to_numpy())
+        return optics.pixel(Arrays, rig[other], optics.at_height(Arrays, vertex, direction, r["z"].to_numpy()))
+
+    return over_cameras(steps, rig, run, "u double, v double").select("frame", "pnr", "k", "z", "u", "v")
+
+
+def _corners(c: Camera) -> tuple[float, ...]:
+    """Undistorted bounds of the sensor: left, low, right, high."""
+    w, h = c.pix_x * c.imx / 2, c.pix_y * c.imy / 2
+    return tuple(float(v) for s in (-1, 1) for v in optics.undistort(Arrays, c, s * w - c.xh, s * h - c.yh))
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -152,12 +181,12 @@ def candidates(flat: DataFrame, rig: list[Camera], cam: int, other: int, volume:
     """
     q = {"n": 0.0, "nx": 0.0, "ny": 0.0, "sumg": 0.0} | (least or {})
     cell = cell or 16 * eps
-    bound = rig_table(flat.sparkSession, rig).where(F.col("cam") == other).select(*[F.col(f"c_{k}").alias(k) for k in ("left", "low", "right", "high")])
-    a = segments(flat, rig, cam, other, volume).crossJoin(F.broadcast(bound))  # one row
+    left_, low_, right_, high_ = _corners(rig[other])
+    a = segments(flat, rig, cam, other, volume)
     a = a.withColumn("xb", F.when(F.col("xa") == F.col("xb"), F.col("xb") + 1e-10).otherwise(F.col("xb")))
     a = a.withColumn("m", (F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))).withColumn("b", F.col("ya") - F.col("m") * F.col("xa"))
     a = a.withColumns({"x1": F.least("xa", "xb"), "x2": F.greatest("xa", "xb"), "y1": F.least("ya", "yb"), "y2": F.greatest("ya", "yb")})
-    a = a.where((F.col("x2") > F.col("left")) & (F.col("x1") < F.col("right")) & (F.col("y2") > F.col("low")) & (F.col("y1") < F.col("high")))
+    a = a.where((F.col("x2") > left_) & (F.col("x1") < right_) & (F.col("y2") > low_) & (F.col("y1") < high_))
     at = lambda v: F.floor(v / cell).cast("long")
     thick = eps * F.sqrt(1 + F.col("m") * F.col("m"))
 
@@ -292,7 +321,7 @@ def search_box(points: DataFrame, rig: list[Camera], half: tuple[float, float, f
     seen = project(around, rig)
     centre = lambda c: F.max(F.when(~F.col("off"), F.col(c)))
     own = seen.groupBy("frame", "id", "cam").agg(centre("u").alias("u"), centre("v").alias("v"), *[f(F.when(F.col("off"), F.col(c))).alias(n) for n, f, c in (("x0", F.min, "u"), ("x1", F.max, "u"), ("y0", F.min, "v"), ("y1", F.max, "v"))])
-    size = rig_table(points.sparkSession, rig).select("cam", F.col("c_imx").alias("w"), F.col("c_imy").alias("h"))
+    size = F.broadcast(points.sparkSession.createDataFrame([(n, float(c.imx), float(c.imy)) for n, c in enumerate(_checked(rig))], "cam long, w double, h double"))
     rows = own.join(size, "cam")
     return rows.select(
         "frame", "id", "cam", "u", "v", (F.col("u") - F.greatest("x0", F.lit(0.0))).alias("left"), (F.least("x1", "w") - F.col("u")).alias("right"), (F.col("v") - F.greatest("y0", F.lit(0.0))).alias("up"), (F.least("y1", "h") - F.col("v")).alias("down")

@@ -18,13 +18,14 @@ _POINTS = f"WITH {_T} SELECT frame, pid AS id, x, y, z FROM t"
 VOLUME = Volume((-40.0, 60.0), (-40.0, -40.0), (60.0, 60.0))
 #: Cameras above a tank: lens, glass and water.
 LENS = {"k1": 2e-4, "k2": 1e-6, "k3": 0.0, "p1": 2e-5, "p2": 3e-5, "scx": 1.002, "she": 0.003, "xh": 0.05, "yh": -0.04}
+SOFT = LENS | {"k1": 2e-5, "k2": 1e-8}
 WATER = {"n1": 1.0, "n2": 1.46, "n3": 1.33, "d": 5.0, "gx": 0.0, "gy": 0.0, "gz": 90.0}
 #: Parallel cameras that look down, without lens or glass: their geometry is a line of SQL.
 PLAIN = [Camera(x0=float(x), y0=float(y), z0=320.0, cc=64.0, imx=4096, imy=4096, pix_x=0.015625, pix_y=0.015625) for x, y in ((-30, -10), (50, -14), (44, 32), (-26, 30))]
 
 
-def rig(n: int = 4) -> list[Camera]:
-    return stereo.standard_rig(n, (10.0, 10.0, 10.0), 300.0, 80.0, 60.0, imx=4096, imy=4096, pix_x=0.012, pix_y=0.012, **LENS, **WATER)
+def rig(n: int = 4, medium: dict | None = None) -> list[Camera]:
+    return stereo.standard_rig(n, (10.0, 10.0, 10.0), 300.0, 80.0, 60.0, imx=4096, imy=4096, pix_x=0.012, pix_y=0.012, **LENS, **(WATER if medium is None else medium))
 
 
 def _points(spark, sf_dir) -> DataFrame:
@@ -97,21 +98,21 @@ def look_at(spark, sf_dir):
 # --- lens and glass ------------------------------------------------------------------------------------------------------------------------
 
 
-@query("lens_roundtrip", f"WITH {_T} SELECT frame, pid AS id, x / 4 AS ax, y / 4 AS ay, x / 4 AS ex, y / 4 AS ey, x / 4 AS fx, y / 4 AS fy FROM t")
+@query("lens_roundtrip", f"WITH {_T} SELECT frame, pid AS id, x AS ax, y AS ay, x AS ex, y AS ey, x AS fx, y AS fy FROM t")
 def lens_roundtrip(spark, sf_dir):
     """Distorted and corrected again by both inverses, and flat to distorted and back."""
-    c, N = Camera(**LENS), Columns()
-    x, y = F.col("x") / 4, F.col("y") / 4
+    c, N = Camera(**SOFT), Columns()
+    x, y = F.col("x"), F.col("y")
     u, v = [N.let(k) for k in optics.distort(N, c, x, y)]
     p, q = [N.let(k) for k in optics.from_flat(N, c, x, y)]
     a, e, f = optics.undistort(N, c, u, v, 60), optics.undistort_exact(N, c, u, v), optics.to_flat(N, c, p, q)
     return _rounded(N.run(_points(spark, sf_dir), ax=a[0], ay=a[1], ex=e[0], ey=e[1], fx=f[0], fy=f[1]).drop(*XYZ), "ax", "ay", "ex", "ey", "fx", "fy")
 
 
-@query("brown_correct", f"WITH {_T} SELECT frame, pid, x / 4 AS cx, y / 4 AS cy FROM t")
+@query("brown_correct", f"WITH {_T} SELECT frame, pid, x AS cx, y AS cy FROM t")
 def brown_correct(spark, sf_dir):
-    c, N = Camera(**LENS), Columns()
-    u, v = [N.let(k) for k in optics.distort(N, c, F.col("x") / 4, F.col("y") / 4)]
+    c, N = Camera(**SOFT), Columns()
+    u, v = [N.let(k) for k in optics.distort(N, c, F.col("x"), F.col("y"))]
     cx, cy = optics.undistort(N, c, u, v, 60)
     return _rounded(N.run(binding.truth(spark, sf_dir), cx=cx, cy=cy).drop(*XYZ), "cx", "cy")
 
@@ -245,27 +246,27 @@ def triangulate_lsq(spark, sf_dir):
     return _triangulated(spark, sf_dir, "lsq")
 
 
-@query("single_camera_points", f"WITH {_T} SELECT frame, pid AS pnr, round(-30 + (x + 30) * (320 - 10) / (320 - z), 5) AS x, round(-10 + (y + 10) * (320 - 10) / (320 - z), 5) AS y, 10e0 AS z FROM t")
+@query("single_camera_points", f"WITH {_T} SELECT frame, pid AS pnr, round(-30 + (x + 30) * (320 - 10) / (320 - z) + 1.3e-9, 6) AS x, round(-10 + (y + 10) * (320 - 10) / (320 - z) + 1.3e-9, 6) AS y, 10e0 AS z FROM t")
 def single_camera_points(spark, sf_dir):
     flat = stereo.project(_points(spark, sf_dir), PLAIN[:1], flat=True).select("frame", F.col("id").alias("pnr"), "cam", F.col("u").alias("fx"), F.col("v").alias("fy"))
-    return stereo.single_camera(flat, PLAIN, VOLUME).withColumns({c: F.round(c, 5) for c in "xyz"})
+    return stereo.single_camera(flat, PLAIN, VOLUME).withColumns({c: F.round(F.col(c) + 1.3e-9, 6) for c in "xyz"})
 
 
-@query("mid_volume_points", f"WITH {_T} SELECT frame, pid AS id, round(-30 + (x + 30) * 310 / (320 - z), 5) AS mx, round(-10 + (y + 10) * 310 / (320 - z), 5) AS my, 10e0 AS mz FROM t")
+@query("mid_volume_points", f"WITH {_T} SELECT frame, pid AS id, round(-30 + (x + 30) * 310 / (320 - z) + 1.3e-9, 6) AS mx, round(-10 + (y + 10) * 310 / (320 - z) + 1.3e-9, 6) AS my, 10e0 AS mz FROM t")
 def mid_volume_points(spark, sf_dir):
     N = Columns()
     rows = stereo.project(_points(spark, sf_dir), PLAIN[:1], flat=True)
     at = optics.mid_point(N, PLAIN[0], F.col("u"), F.col("v"), VOLUME)
-    return N.run(rows, mx=F.round(at[0], 5), my=F.round(at[1], 5), mz=F.round(at[2], 6)).select("frame", "id", "mx", "my", "mz")
+    return N.run(rows, mx=F.round(at[0] + 1.3e-9, 6), my=F.round(at[1] + 1.3e-9, 6), mz=F.round(at[2], 6)).select("frame", "id", "mx", "my", "mz")
 
 
 @query("dumbbell", f"""WITH {_T}, d AS (SELECT a.frame, a.pid, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)) AS d, (a.pid % 8) / 16e0 AS m FROM t a JOIN t b ON b.frame = a.frame AND b.pid = a.pid + 1 WHERE a.pid % 2 = 1)
 SELECT 2 * count(*) AS points, round(sum(m) * 2 / (2 * count(*)), 6) AS miss, round(avg(CASE WHEN d > 12 THEN 1 - 12 / d ELSE 1 - d / 12 END), 6) AS length_error, round(sum(m) * 2 / (2 * count(*)) + 0.5e0 * avg(CASE WHEN d > 12 THEN 1 - 12 / d ELSE 1 - d / 12 END), 6) AS score FROM d""")
 def dumbbell(spark, sf_dir):
     n = F.col("id")
-    rows = _points(spark, sf_dir).select((F.col("frame") * 10_000_000 + F.expr("(id - 1) div 2")).alias("frame"), ((n - 1) % 2).alias("end"), *XYZ, (((n - (n - 1) % 2) % 8) / F.lit(16.0)).alias("rcm"), F.expr("(id - 1) div 2").alias("pair"))
+    rows = _points(spark, sf_dir).select((F.col("frame") * 10_000_000 + F.expr("(id + 1) div 2")).alias("frame"), ((n + 1) % 2).alias("end"), *XYZ, (((n - (n - 1) % 2) % 8) / F.lit(16.0)).alias("rcm"))
     whole = rows.join(rows.groupBy("frame").agg(F.count("*").alias("c")).where("c = 2").select("frame"), "frame")
-    return stereo.dumbbell(whole.drop("pair"), 12.0, 0.5).withColumns({c: F.round(c, 6) for c in ("miss", "length_error", "score")})
+    return stereo.dumbbell(whole, 12.0, 0.5).withColumns({c: F.round(c, 6) for c in ("miss", "length_error", "score")})
 
 
 # --- matching ------------------------------------------------------------------------------------------------------------------------------
@@ -323,16 +324,21 @@ def cliques4(spark, sf_dir):
 _SEEN = "(pid * 13 + {cam} * 5 + frame * 7) % 11 <> 0"
 
 
+#: The rig in air, where epipolar lines are straight.
+AIR = rig(medium={"gz": 90.0})
+
+
 def _seen(spark, sf_dir, cameras: list[Camera]) -> DataFrame:
     """Pixels of every camera; each misses an eleventh of the points."""
-    seen = stereo.project(_points(spark, sf_dir), cameras, rounds=200, limit=1e-10).where((F.col("id") * 13 + F.col("cam") * 5 + F.col("frame") * 7) % 11 != 0)
+    apart = F.expr("id div 1280")  # customers 1280 apart start at one place
+    points = _points(spark, sf_dir).withColumns({"x": F.col("x") + apart / F.lit(8.0), "z": F.col("z") + apart / F.lit(16.0)})
+    seen = stereo.project(points, cameras, rounds=200, limit=1e-10).where((F.col("id") * 13 + F.col("cam") * 5 + F.col("frame") * 7) % 11 != 0)
     return _sized(seen.select("frame", "cam", F.col("id").alias("pnr"), F.col("u").alias("x"), F.col("v").alias("y")))
 
 
 def _cascade(spark, sf_dir):
-    cameras = rig()
-    flat = stereo.flat_targets(_seen(spark, sf_dir, cameras), cameras, limit=1e-12)
-    return flat, stereo.cascade(stereo.edges(flat, cameras, VOLUME, 4e-4), 4, 0.0)
+    flat = stereo.flat_targets(_seen(spark, sf_dir, AIR), AIR, limit=1e-12)
+    return flat, stereo.cascade(stereo.edges(flat, AIR, VOLUME, 4e-4, cell=0.5), 4, 0.0)
 
 
 _CAMS4 = ", ".join(f"CASE WHEN {_SEEN.format(cam=k)} THEN pid ELSE -2 END AS p{k}" for k in range(4))
@@ -341,17 +347,17 @@ _COUNT4 = " + ".join(f"({_SEEN.format(cam=k)})::INT" for k in range(4))
 
 @query("match_cascade", f"WITH {_T} SELECT frame, {_COUNT4} AS n_cams, {_CAMS4} FROM t WHERE {_COUNT4} >= 3")
 def match_cascade(spark, sf_dir):
-    """Four cameras above a tank: quadruplets, then triplets, of all points seen by so many; the twin is the truth."""
+    """Four cameras with lenses: quadruplets, then triplets, of all points seen by so many; the twin is the truth."""
     _, found = _cascade(spark, sf_dir)
     return found.select("frame", "n_cams", *[F.get("p", F.lit(k)).alias(f"p{k}") for k in range(4)])
 
 
-@query("matched_points", f"WITH {_T} SELECT frame, pid AS id, {_COUNT4} AS cams, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM t WHERE {_COUNT4} >= 3")
+@query("matched_points", f"WITH {_T} SELECT frame, pid AS id, {_COUNT4} AS cams, x + (pid // 1280) / 8e0 AS x, y, z + (pid // 1280) / 16e0 AS z FROM t WHERE {_COUNT4} >= 3")
 def matched_points(spark, sf_dir):
     """Matches triangulated; ids are those of their targets here, which are the truth's."""
     flat, found = _cascade(spark, sf_dir)
-    rows = stereo.match_points(stereo.numbered(found), flat, rig())
-    return rows.select("frame", F.array_max("cam_ids").alias("id"), "cams", *[(F.round(c, 3)).alias(c) for c in XYZ])
+    rows = stereo.match_points(stereo.numbered(found), flat, AIR)
+    return rows.select("frame", F.array_max("cam_ids").alias("id"), F.col("cams").cast("long").alias("cams"), *[(F.round(c, 6) + 0.0).alias(c) for c in XYZ])
 
 
 @query("match_two_cameras", f"WITH {_T}, {_CAM}, {_FLAT}, {_band(0, 1)}, a AS (SELECT *, count(*) OVER (PARTITION BY frame, p1) AS n FROM e01), b AS (SELECT *, row_number() OVER (PARTITION BY frame, p2 ORDER BY corr / greatest(dist, 1e-12) DESC, p1) AS r FROM a WHERE n = 1) SELECT frame, 2 AS n_cams, p1 AS p0, p2 AS p1 FROM b WHERE r = 1")
