@@ -1,62 +1,81 @@
-"""Helpers shared by the corpus operators: shared-folder tables, hashing and connected components."""
+"""Helpers shared by the corpus operators: shared-folder tables, bounded batches, hashing and connected components."""
 
 from __future__ import annotations
 
 import atexit
-import tempfile
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import shared
+
 #: Word pattern of all contracts: runs of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of text in one Arrow batch; bounds what a Python worker holds at once.
-TEXT_BATCH = 256
+#: Bytes of one Arrow batch; bounds what a Python worker holds at once, whatever the texts' lengths (a longer text is a batch of its own).
+BATCH_BYTES = 2_000_000
 
 _MINE: list[tuple[object, str]] = []
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one of our own only where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="skein-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _forget() -> None:
+def _forget_all() -> None:
     for spark, path in _MINE:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended already; the folder is the cluster's to clean
             return
 
 
-atexit.register(_forget)
+atexit.register(_forget_all)
 
 
 def table(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Tables lie in a folder named after the application, so that what a killed driver leaves behind can be found.
+    """
     spark = df.sparkSession
-    path = f"{_shared_dir(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"
+    path = f"{shared.folder(spark)}/skein-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _MINE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_skein_path", None)
+        if path:
+            _MINE[:] = [m for m in _MINE if m[1] != path]
+            _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def tables_of(*kept: DataFrame):
+    """Delete all tables written inside the block at its end, but for those added to the list it gives and those kept."""
+    before = {path for _, path in _MINE}
+    stay: list[DataFrame] = list(kept)
+    yield stay
+    names = {getattr(df, "_skein_path", None) for df in stay}
+    for spark, path in [m for m in _MINE if m[1] not in before and m[1] not in names]:
+        _MINE[:] = [m for m in _MINE if m[1] != path]
+        _delete(spark, path)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, which keeps partitions and their row order."""
-    _shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return shared.kept(df)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -64,8 +83,23 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts can be long: keep Arrow batches to few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    """Bound Arrow batches by bytes. Every operator sets the same bound, so frames that run later find it as it was when they were built."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_STORES: dict[str, dict] = {}
+
+
+def store(owner: str) -> dict:
+    """What an operator keeps in its Python worker (word hashes, models). Workers are used again by other operators; the first call of one drops the others' stores."""
+    if owner not in _STORES:
+        _STORES.clear()
+        _STORES[owner] = {}
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # hand freed memory back to the system
+        except OSError:
+            pass
+    return _STORES[owner]
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -129,8 +163,10 @@ def components(edges: DataFrame) -> DataFrame:
         if parent:
             yield pd.DataFrame({"a": list(parent), "b": [find(x) for x in parent]})
 
+    small_batches(spark)
     pairs = table(edges.mapInPandas(forest, "a long, b long").where("a <> b"))
     both = table(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    forget(pairs)
     labels = table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         seen = labels.select(F.col("node").alias("b"), F.col("comp").alias("c"))
@@ -139,6 +175,9 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("c2"))
         new = table(hop.join(up, "comp", "left").select("node", "was", F.least("comp", "c2").alias("comp")))
         moved = new.where("comp <> was").limit(1).count()
+        forget(labels)
         labels = new.select("node", "comp")
+        labels._skein_path = new._skein_path
         if not moved:
+            forget(both)
             return labels

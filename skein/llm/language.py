@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, small_batches, utf8
+from skein.llm.common import documents, small_batches, store, utf8
 
 #: Characters of labelled text that each language's automaton is fitted on at most, and of one document in it.
 SAMPLE_CHARS = 40_000
@@ -96,9 +96,6 @@ class Model:
         return self.langs[ranked[0]], score
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -133,9 +130,8 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     names = base.columns
 
     def run(batches):
-        model = _MODELS.get(key)
-        if model is None:
-            model = _MODELS[key] = Model(texts)
+        known = store("language")
+        model = known.get(key) or known.setdefault(key, Model(texts))
         for b in batches:
             found = [model.predict(x.decode("utf-8", "replace")) for x in utf8(b.column("text"))]
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]

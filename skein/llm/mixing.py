@@ -18,7 +18,10 @@ MAX_SHARDS = 4096
 
 
 def water_fill(weights, sizes, share: float = 1.5, most: float = 2.0) -> list[float]:
-    """Targets proportional to weights that sum to share of all sizes; none above most times its size, excess reshared."""
+    """Targets proportional to weights that sum to share of all sizes; none above most times its size, excess reshared.
+
+    Each round fills one source at least, so the work is quadratic in the number of sources: fine for thousands of them, not for a source a host.
+    """
     left = share * float(sum(sizes))
     targets, free = [0.0] * len(sizes), list(range(len(sizes)))
     while free:

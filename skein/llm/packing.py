@@ -45,7 +45,7 @@ class _Stock:
             self.lengths.pop(bisect.bisect_left(self.lengths, length))
 
 
-def best_fit(packing: Packing, counts, capacity: int, rng: random.Random | None = None, open_below: int = 64) -> Packing:
+def best_fit(packing: Packing, counts, capacity: int, rng: random.Random | None = None) -> Packing:
     """Add pieces to a packing: first into the fullest open bins that take them, longest first, then into new bins.
 
     Bins are patterns with a count, so the work follows the number of lengths and not that of pieces. A new bin takes the largest
@@ -237,6 +237,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None, kee
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = table(pieces(docs, capacity, file, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
     counted = table(rows.groupBy("length", "salt").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -244,10 +245,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None, kee
     before = counted.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "base")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = rows.withColumn("rank", rank - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base")).drop("salt", "base")
-    if keep_ids:  # rows of up to 4 capacity bytes
-        small_batches(spark)
-    else:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    small_batches(spark)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset"]
 
     def place(batches):

@@ -13,9 +13,11 @@ import re
 
 import numpy as np
 
+from skein.llm.common import store
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept by a Python worker; beyond that the store starts anew.
-STORE = 400_000
+STORE = 200_000
 
 # The vocabulary file's own split pattern over the plain alphabet, and its special tokens.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")
@@ -88,12 +90,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(file: str | None = None) -> Encoder:
     """One encoder a worker process."""
-    file = file or path()
-    if file not in _ENCODERS:
-        _ENCODERS[file] = Encoder(file)
-    return _ENCODERS[file]
+    known, file = store("tokens"), file or path()
+    if file not in known:
+        known[file] = Encoder(file)
+    return known[file]
