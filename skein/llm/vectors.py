@@ -8,13 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, documents, table
+from skein.llm.common import components, documents, forget, small_batches, table
 
 THRESHOLD = 0.95
-#: Blocks of the rotated space, and leading dimensions of a block on which its range join lays cells.
-BLOCKS, CELL_DIMS = 4, 1
-#: Vectors on one side of a tile; cells of more are cut into chunks of about as many.
-TILE = 8192
+#: Blocks of the rotated space.
+BLOCKS = 4
+#: Vectors that a leaf of a block's tree should hold, and on one side of a tile; leaves of more are cut into chunks of about as many.
+TILE = 4096
+#: Vectors on which the trees' planes are fitted; they decide how even the leaves are, never which pairs are found.
+SAMPLE = 20_000
 SEED = 11
 
 _ROTATIONS: dict[int, np.ndarray] = {}
@@ -33,6 +35,41 @@ def _bounds(dim: int, blocks: int) -> list[tuple[int, int]]:
     return list(itertools.pairwise(edges))
 
 
+class Tree:
+    """Planes of a k-d tree over one block: medians of a sample, level by level, along the dimension of the largest spread. Nodes are numbered as in a heap."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth = depth if len(sample) else 0
+        self.dim, self.cut = np.zeros(2**self.depth, int), np.zeros(2**self.depth)
+        node = np.ones(len(sample), int)
+        for level in range(self.depth):
+            for n in range(2**level, 2 ** (level + 1)):
+                part = sample[node == n]
+                if len(part):
+                    self.dim[n] = int(part.var(0).argmax())
+                    self.cut[n] = np.median(part[:, self.dim[n]])
+            node = 2 * node + (sample[np.arange(len(sample)), self.dim[node]] >= self.cut[node])
+
+    def leaf(self, y: np.ndarray) -> np.ndarray:
+        node = np.ones(len(y), int)
+        for _ in range(self.depth):
+            node = 2 * node + (y[np.arange(len(y)), self.dim[node]] >= self.cut[node])
+        return node
+
+    def reached(self, y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of all leaves whose box lies within radius: along each dimension the largest step to the box counts, and their squares add up."""
+        row, node, gap = np.arange(len(y)), np.ones(len(y), int), np.zeros((len(y), y.shape[1]))
+        for _ in range(self.depth):
+            d = self.dim[node]
+            off = y[row, d] - self.cut[node]
+            right = off >= 0
+            far = gap.copy()
+            far[np.arange(len(row)), d] = np.maximum(far[np.arange(len(row)), d], np.abs(off))
+            ok = (far * far).sum(1) <= radius * radius * (1 + 1e-9)
+            row, gap, node = np.concatenate([row, row[ok]]), np.concatenate([gap, far[ok]]), np.concatenate([2 * node + right, (2 * node + ~right)[ok]])
+        return row, node
+
+
 def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Merge the sets of a[i] and b[i]; label points to each set's smallest member."""
     while len(a):
@@ -45,22 +82,23 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, cell_dims: int = CELL_DIMS, tile: int = TILE) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
     """Links of cosine >= threshold between vectors and their components.
 
     Unit vectors of cosine c lie at squared distance 2 - 2c. After a random rotation, the space is cut into blocks; a close pair
     is, in one block at least, within that block's share of the squared distance, proportional to its dimensions. In every
-    block a range join finds such pairs: cells as wide as the radius on the block's leading dimensions, cells and
-    their neighbours cut into tiles of bounded size, block distances by matrix products. Candidates are verified by cosine in
+    block a range join finds such pairs: the leaves of a k-d tree hold every vector once, and a vector also goes to each later leaf whose box lies within
+    the radius; leaves and visitors are cut into tiles of bounded size, block distances come from matrix products. Candidates are verified by cosine in
     double precision. A pair belongs to the first block that finds it, so tiles return counts and spanning edges instead of pairs.
-    Equal vectors are one class, aggregated first.
+    Equal vectors are one class, aggregated first. The trees' depth follows the number of vectors; on isotropic vectors of few millions most leaves are
+    still within reach of each other, so pruning sets in only with size.
 
     Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows
     of null vec_id (component null, kept); vectors link only with those of as many components; each row counts, repeated ones too; an
     empty table gives no rows; extra columns are ignored. Returns vec_id, n_links, component_id, kept.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    small_batches(spark)
 
     def clean(batches):
         import pandas as pd
@@ -75,35 +113,51 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int =
     ids = table(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInPandas(clean, "vec_id long, raw binary"))
     classes = table(ids.where("raw is not null and vec_id is not null").groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")))
 
+    n = classes.count()
+    depth = max(0, int(np.ceil(np.log2(max(1, n) / tile))))
+    share = min(1.0, sample / max(1, n))
+    chosen = classes.where(F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < int(share * 1_000_000)).select("raw").limit(2 * sample).collect() if depth else []  # bounded by sample
+    by_dim: dict[int, list[bytes]] = {}
+    for r in chosen:
+        by_dim.setdefault(len(r["raw"]) // 8, []).append(bytes(r["raw"]))
+
+    def turned(raw, dim: int) -> np.ndarray:
+        x = np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
+        return x / np.sqrt((x * x).sum(1))[:, None] @ rotation(dim)
+
+    trees = {}
+    for dim, raw in by_dim.items():
+        y = turned(raw, dim)
+        trees[dim] = [Tree(y[:, lo:hi], depth) for lo, hi in _bounds(dim, blocks)]
+
     def cells(batches):
         import pandas as pd
 
         for b in batches:
             for dim, part in b.groupby(b["raw"].str.len() // 8):
-                x = np.frombuffer(b"".join(part["raw"]), "<f8").reshape(-1, dim)
-                y = x / np.sqrt((x * x).sum(1))[:, None] @ rotation(int(dim))
-                for k, (lo, hi) in enumerate(_bounds(int(dim), blocks)):
-                    width = np.sqrt((2 - 2 * threshold) * (hi - lo) / dim) * (1 + 1e-9)
-                    at = np.floor(y[:, lo : min(hi, lo + cell_dims)] / width).astype("int32")
-                    yield pd.DataFrame({"dim": int(dim), "k": k, "cell": list(at), "rep": part["rep"].to_numpy(), "members": part["members"].to_numpy(), "raw": part["raw"].to_numpy()})
-
-    placed = classes.mapInPandas(cells, "dim int, k int, cell array<int>, rep long, members long, raw binary")
-    placed = table(placed)
-    counted = placed.groupBy("dim", "k", "cell").agg(F.count("*").alias("c")).withColumn("chunks", F.ceil(F.col("c") / tile).cast("int")).drop("c")
-    counted = table(counted)
-    dims = max([r[0] for r in counted.select(F.size("cell")).distinct().collect()], default=cell_dims)
-    steps = [s for s in itertools.product((-1, 0, 1), repeat=dims) if s >= (0,) * dims]  # half of the neighbours, and the cell itself
-    moves = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-    a = counted.select("dim", "k", F.col("cell").alias("cell_a"), F.col("chunks").alias("n_a"), F.explode(moves).alias("step"))
-    a = a.withColumn("cell_b", F.transform("cell_a", lambda x, i: x + F.get("step", i)))
-    tiles = a.join(counted.select("dim", "k", F.col("cell").alias("cell_b"), F.col("chunks").alias("n_b")), ["dim", "k", "cell_b"])
-    tiles = tiles.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)))
-    tiles = tiles.where((F.col("cell_a") != F.col("cell_b")) | (F.col("i") <= F.col("j"))).withColumn("own", (F.col("cell_a") == F.col("cell_b")) & (F.col("i") == F.col("j")))
-    tiles = table(tiles.select("dim", "k", "cell_a", "cell_b", "i", "j", "own").withColumn("tile", F.xxhash64("dim", "k", "cell_a", "cell_b", "i", "j")))
-    chunked = placed.join(counted, ["dim", "k", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).drop("chunks")
-    left = tiles.select("dim", "k", F.col("cell_a").alias("cell"), F.col("i").alias("chunk"), "tile", F.lit(0).alias("side"))
-    right = tiles.where("not own").select("dim", "k", F.col("cell_b").alias("cell"), F.col("j").alias("chunk"), "tile", F.lit(1).alias("side"))
-    dealt = chunked.join(left.union(right), ["dim", "k", "cell", "chunk"]).select("tile", "side", "dim", "k", "rep", "members", "raw")
+                dim = int(dim)
+                y = turned(part["raw"], dim)
+                for k, (lo, hi) in enumerate(_bounds(dim, blocks)):
+                    tree = trees[dim][k] if dim in trees else Tree(y[:0, lo:hi], 0)
+                    own = tree.leaf(y[:, lo:hi])
+                    row, leaf = tree.reached(y[:, lo:hi], np.sqrt((2 - 2 * threshold) * (hi - lo) / dim))
+                    ok = leaf >= own[row]
+                    row, leaf = row[ok], leaf[ok]
+                    for at in range(0, len(row), 20_000):
+                        r, to = row[at : at + 20_000], leaf[at : at + 20_000]
+                        yield pd.DataFrame({"dim": dim, "k": k, "leaf": to, "guest": (to != own[r]), "rep": part["rep"].to_numpy()[r], "members": part["members"].to_numpy()[r], "raw": part["raw"].to_numpy()[r]})
+
+    placed = table(classes.mapInPandas(cells, "dim int, k int, leaf long, guest boolean, rep long, members long, raw binary"))
+    place = ["dim", "k", "leaf", "guest"]
+    counted = table(placed.groupBy(*place).agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")))
+    home = counted.where("not guest").select("dim", "k", "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
+    other = counted.select(*place, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    tiles = home.join(other, ["dim", "k", "leaf"]).where(F.col("guest") | (F.col("i") <= F.col("j"))).withColumn("own", ~F.col("guest") & (F.col("i") == F.col("j")))
+    tiles = table(tiles.withColumn("tile", F.xxhash64("dim", "k", "leaf", "i", "guest", "j")))
+    chunked = placed.join(counted, place).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).drop("chunks")
+    left = tiles.select("dim", "k", "leaf", F.lit(False).alias("guest"), F.col("i").alias("chunk"), "tile", F.lit(0).alias("side"))
+    right = tiles.where("not own").select(*place, F.col("j").alias("chunk"), "tile", F.lit(1).alias("side"))
+    dealt = chunked.join(left.union(right), [*place, "chunk"]).select("tile", "side", "dim", "k", "rep", "members", "raw")
 
     def compare(part):
         import pandas as pd
@@ -146,6 +200,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int =
         return pd.DataFrame({"a": rep[some], "b": rep[label[some]], "n": links[some]})
 
     found = table(dealt.groupBy("tile").applyInPandas(compare, "a long, b long, n long"))
+    forget(placed, counted, tiles)
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(found.select("a", "b")).select(F.col("node").alias("rep"), "comp")
     per_class = classes.join(counts, "rep", "left").join(labels, "rep", "left").select(

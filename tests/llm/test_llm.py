@@ -184,8 +184,8 @@ def test_vectors(spark):
     for _ in comp:
         for i, near in links.items():
             comp[i] = min([comp[i], *(comp[j] for j in near)])
-    for tile in (8192, 7):
-        got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=tile).collect()
+    for tile, sample in ((8192, 20_000), (7, 20_000), (3, 20)):
+        got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=tile, sample=sample).collect()
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (len(links.get(i, [])), comp[i], comp[i] == i) for i, _ in rows}
 
 
