@@ -45,7 +45,7 @@ def removed_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Remove later occurrences of repeated windows of consecutive lines.
 
-    A window is `window` consecutive lines (text split at \\n, lines compared exactly) of which one at least has a word. Of windows
+    A window is `window` consecutive lines (text split at \\n, windows compared by 64-bit hashes) of which one at least has a word. Of windows
     with equal lines, the first by (doc_id, hash of text, line number) stays; every line covered by a later
     one goes, the covered ranges of a document merging where windows overlap. What remains is joined by \\n.
 

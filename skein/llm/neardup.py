@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, documents, mix, small_batches, table, utf8
+from skein.llm.common import components, documents, forget, mix, small_batches, store, table, utf8
 
 WORDS = 5
 PERCENT = 75
@@ -16,18 +16,19 @@ PERCENT = 75
 BANDS, ROWS = 50, 5
 #: How often a star whose hub belongs to another star joins that one.
 HOPS = 2
-STORE = 400_000
+#: Members of a star that one copy of its hub's set is held against; hubs of more are copied.
+SHARE = 512
+STORE = 200_000
 
 _U = np.uint64
 _MULT = mix(np.arange(1, 65, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
-_WORD_HASH: dict[bytes, int] = {}
 
 
 def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's n-word shingles; a text of fewer words is one shingle; none for no words."""
     import xxhash
 
-    known = _WORD_HASH
+    known = store("shingles")
     if len(known) > STORE:
         known.clear()
     ids = []
@@ -134,12 +135,16 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
                 rest.append(q[~has].view(np.int64))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(ok, pa.bool_()), pa.array(inside, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "ok", "i", "rest"])
 
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s2")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s1")), "a")
+    # a hub with many members is no hot key: its set is copied, a copy for each SHARE members
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("n"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "n").cast("int")).drop("n")
+    hubs = parts.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s1")), "a").select("a", "s1", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    both = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s2")), "b").join(hubs, ["a", "part"])
     return both.select("a", "b", "s1", "s2").mapInArrow(hold, "a long, b long, ok boolean, i long, rest array<long>")
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, hops: int = HOPS) -> DataFrame:
-    """Components of documents whose sets of n-word shingles have Jaccard similarity of percent or more.
+    """Components of documents whose sets of n-word shingles have Jaccard similarity of percent or more. Shingles are compared by 64-bit hashes.
 
     1. Every whole text gives its set's fingerprint and the band keys of a fast similarity sketch.
     2. Documents of equal sets form a class, aggregated before anything is shuffled by key; only its smallest doc_id goes on.
@@ -199,12 +204,15 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ban
     least = star.groupBy("a").agg(F.min("n").alias("least"))
     enough = lambda i, k, l: F.col(i) * (100 + percent) >= (F.col(k) + F.col(l)) * percent
     tight = star.where("not ok").join(least, "a").where(enough("i", "n", "least")).select("a", "x", "n", "i", "comp")
-    within = tight.join(y(star, "a"), "a").where(apart & enough("i", "n", "y_n") & enough("y_i", "n", "y_n")).select("x", "y_x")
+    # partners' sizes differ by a quarter at most, so they lie in the same or neighbouring classes of size
+    size = lambda n: F.floor(F.log(F.col(n)) / F.lit(math.log(100 / percent))).cast("long")
+    near = F.explode(F.array(*[size("n") + d for d in (-1, 0, 1)]))
+    within = tight.withColumn("z", near).join(y(star, "a", size("n").alias("z")), ["a", "z"]).where(apart & enough("i", "n", "y_n") & enough("y_i", "n", "y_n")).select("x", "y_x")
 
     # different stars that share a bucket
     starred = members.join(star.select("x", "a", "i", "comp"), "x")
     mixed = table(starred.join(starred.groupBy("key").agg(F.min("a").alias("a1"), F.max("a").alias("a2")).where("a1 <> a2").select("key"), "key"))
-    across = mixed.join(y(mixed, "key", F.col("a").alias("y_a")), "key").where(apart & (F.col("a") != F.col("y_a")) & (F.col("x") < F.col("y_x"))).select("x", "y_x")
+    across = mixed.withColumn("z", near).join(y(mixed, "key", F.col("a").alias("y_a"), size("n").alias("z")), ["key", "z"]).where(apart & (F.col("a") != F.col("y_a")) & (F.col("x") < F.col("y_x"))).select("x", "y_x")
 
     pairs = beyond.union(within).union(across).select(F.least("x", "y_x").alias("a"), F.greatest("x", "y_x").alias("b")).distinct()
     more = _verify(table(pairs), docs, n, percent).where("ok").select("a", "b")
