@@ -28,8 +28,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     spark = docs.sparkSession
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = table(docs.select(F.col("doc_id").cast("long"), (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")))
-    order = ("doc_id", "text_crc32", "size")
-    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    # rows that are equal in all three are told apart by where they lie, so that even they spread over ranges; which of them comes first changes nothing
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())
+    order = ("doc_id", "text_crc32", "size", "tie")
+    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop("tie")
     dealt = checkpoint(dealt.withColumn("pid", F.spark_partition_id()))
     totals = sorted(tuple(r) for r in dealt.groupBy("pid").agg(F.count("*"), F.sum("size")).collect())
     first, rank0, byte0 = {}, 0, 0
