@@ -1,4 +1,7 @@
-"""Corpus pipeline: language ID, line dedup, near-dedup, mixing, packing. Each stage works on all that the one before it kept."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, mixing, packing. Each stage works on all that the one before it kept.
+
+All stages: an empty table gives no rows; other columns than those of documents are ignored; null doc_id, lang and source are carried as they are.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm import language, lines, mixing, neardup, packing
-from skein.llm.common import documents, let, table
+from skein.llm.common import documents, forget, let, table, tables_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -17,19 +20,25 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (null text, no letter) go."""
+    """Documents whose language cannot be told (null and empty texts, no letter) go. Repeated rows fare alike; ties of language don't matter here."""
     found = language.identify(docs, language.fit(docs))
     return _rows(found.where(F.col("lang_pred") != language.UNKNOWN))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows go; documents that are left without a word go too."""
+    """Later occurrences of repeated three-line windows go; documents that are left without a word go too.
+
+    Rows of one doc_id and text count as one document and fare alike; null and empty texts that lose nothing stay; null doc_id comes first in the order.
+    """
     found = lines.dedup_lines(docs)
     return _rows(found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest doc_id; of repeated rows one."""
+    """One document of each group of near duplicates stays, the one of the smallest doc_id; of repeated rows one.
+
+    Rows of one doc_id are one document, for which the row of the smallest hash of its text stands. Rows of null doc_id all stay, as do texts without words.
+    """
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(*COLUMNS)
     # rows of one doc_id are one node, so the smallest of them by a hash of the text stands for it; only ids and hashes are grouped
@@ -44,7 +53,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's words as often as the mix takes them: whole copies, and one row of the blocks of words it chose, in the document's order.
 
-    A document from which nothing is taken goes; copies keep their doc_id. Blocks keep the white space behind their words.
+    A document from which nothing is taken goes (null and empty texts too); copies keep their doc_id. Blocks keep the white space behind their words. Of rows
+    of equal doc_id, size and source each has one entry of the mix.
     """
     key = lambda size: F.struct("doc_id", F.col(size).alias("size"), "source")  # noqa: E731 - equal also where its parts are null
     took = mixing.mix_sources(docs, ranges=True).where("taken > 0").select(key("size").alias("_key"), F.struct("whole", "begins", "ends").alias("_t"))
@@ -62,7 +72,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents in sequences of 2048 tokens, with their ids."""
+    """Pieces of the kept documents in sequences of 2048 tokens, with their ids. A null or empty text is the one id 0; repeated rows are packed each."""
     return packing.pack(docs, keep_ids=True)
 
 
@@ -72,11 +82,13 @@ STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents, each stage's rows written and read again."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = table(docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with tables_of() as stay:  # a stage's own tables go once its rows are written
+            found = table(stage(spark, docs, sf_dir))
+            stay.append(found)
+        forget(docs)
+        docs = found
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Seeded block selection and the genetic algorithm are not SQL; tests/llm holds each stage against a brute-force version.
