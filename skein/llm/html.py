@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, small_batches, table
+from skein.llm.common import documents, forget, small_batches, table
 
 #: Share of a host's pages that a class must occur on to be part of its template, and pages a host must have for text to count as template.
 SUPPORT, LEAST_PAGES = 0.5, 4
@@ -40,6 +41,9 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[^a-z0-9]+")
+_DIGIT = re.compile(r"\d")
+#: Elements that hold one paragraph's or item's text and are no content slot.
+LEAFY = frozenset("p li h1 h2 h3 h4 h5 h6 tr td dd dt pre blockquote".split())
 
 
 def _marked(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -58,70 +62,136 @@ def _marked(tag: str, attrs: str, inside_article: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[str, str]]:
-    """(path, text) of the blocks of text outside of boilerplate, in page order; text has one blank for any white space."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, dropped
-    parts: list[str] = []
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                out.append((next(x[1] for x in reversed(stack) if x[0] in BLOCK or not x[0]), text))
-            parts.clear()
-
-    pos, end = 0, len(html)
-    while pos < end:
-        m = _TOKEN.match(html, pos)
-        if m is None:
-            break
-        pos = m.end()
-        text = m["text"]
-        if text is not None:
-            if not stack[-1][2]:
+class Page:
+    """A page's block elements and texts, in page order.
+
+    Of each element (0 is the page): parent, key of its path (names of the elements down to it, with their first class or id), depth, whether it lies in a
+    paragraph-like element, the article or main element around it (-1: none) and whether it or one around it is boilerplate by kind or name. texts:
+    (element, text, marked), text with one blank for any white space; marked as its element, or by an inline element around it. Linear in the page, however deep.
+    """
+
+    __slots__ = ("depth", "key", "landmark", "leafy", "marked", "parent", "texts")
+
+    def __init__(self, html: str):
+        self.parent, self.key, self.depth, self.leafy, self.landmark, self.marked = [-1], [0], [0], [False], [-1], [False]
+        self.texts: list[tuple[int, str, bool]] = []
+        self._read(html)
+
+    def _element(self, parent: int, tag: str, attrs: str, marked: bool) -> int:
+        found = _ATTR.search(attrs) if attrs else None
+        name = "".join(found.groups("")[1:]).split()[:1] if found and found[1].lower() != "role" else []
+        step = tag + "".join("." + x for x in name if not _DIGIT.search(x))
+        self.parent.append(parent)
+        self.key.append(_hash(f"{self.key[parent]}/{step}"))
+        self.depth.append(self.depth[parent] + 1)
+        self.leafy.append(self.leafy[parent] or tag in LEAFY)
+        here = len(self.key) - 1
+        self.landmark.append(self.landmark[parent] if self.landmark[parent] >= 0 else here if tag in ("article", "main") else -1)
+        self.marked.append(marked)
+        return here
+
+    def _read(self, html: str) -> None:
+        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, block element, marked
+        open_: dict[str, int] = {}
+        parts: list[str] = []
+        marks: list[bool] = []
+
+        def cut(at: int) -> None:
+            for x in stack[at:]:
+                open_[x[0]] -= 1
+            del stack[at:]
+
+        def flush() -> None:
+            if parts:
+                text = " ".join(entities.unescape("".join(parts)).split())
+                if text:
+                    self.texts.append((stack[-1][1], text, all(marks)))
+                parts.clear()
+                marks.clear()
+
+        pos, end = 0, len(html)
+        while pos < end:
+            m = _TOKEN.match(html, pos)
+            if m is None:
+                break
+            pos = m.end()
+            text = m["text"]
+            if text is not None:
+                if stack[-1][2] and not self.marked[stack[-1][1]]:
+                    continue  # inside a marked inline element of a block that isn't marked
                 parts.append(text)
-            continue
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
-            continue
-        tag, closing, attrs = tag.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
-        block = tag in BLOCK
-        if block or tag == "br":
-            flush()
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if not block and any(x[0] in BLOCK for x in stack[k:]):
-                        break  # an inline end tag doesn't close blocks
-                    del stack[k:]
-                    break
-            continue
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
-            pos = found.end() if found else end
-            continue
-        if block:
-            if stack[-1][0] == "head" and tag not in ("noscript", "template"):
-                stack.pop()
-            for k in range(len(stack) - 1, 0, -1):  # a paragraph ends where a block begins, an item where the next one does
-                if stack[k][0] == "p" or stack[k][0] == tag and tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        elif attrs == "" and tag not in DROPPED:
-            continue  # plain inline markup
-        if attrs.rstrip().endswith("/") and not block:
-            continue
-        _, path, dropped = stack[-1]
-        if not dropped:
-            dropped = _marked(tag, attrs, "/article" in path)
-        stack.append((tag, f"{path}/{tag}" if block else path, dropped))
-    flush()
-    return out
+                marks.append(stack[-1][2])
+                continue
+            tag = m["tag"] or m["tag2"]
+            if tag is None:
+                continue
+            tag, closing, attrs = tag.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
+            block = tag in BLOCK
+            if block or tag == "br":
+                flush()
+            if closing:
+                if open_.get(tag):
+                    k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
+                    if block or not any(x[0] in BLOCK for x in stack[k:]):  # an inline end tag doesn't close blocks
+                        cut(k)
+                continue
+            if tag in VOID:
+                continue
+            if tag in RAW:
+                found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
+                pos = found.end() if found else end
+                continue
+            if block:
+                if stack[-1][0] == "head" and tag not in ("noscript", "template"):
+                    cut(len(stack) - 1)
+                for k in range(len(stack) - 1, 0, -1):  # a paragraph ends where a block begins, an item where the next one does
+                    if stack[k][0] == "p" or stack[k][0] == tag and tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
+                        cut(k)
+                        break
+                    if stack[k][0] in BLOCK:
+                        break
+            elif attrs == "" and tag not in DROPPED:
+                continue  # plain inline markup
+            if attrs.rstrip().endswith("/") and not block:
+                continue
+            _, at, marked = stack[-1]
+            marked = marked or _marked(tag, attrs, self.landmark[at] >= 0)
+            stack.append((tag, self._element(at, tag, attrs, marked) if block else at, marked))
+            open_[tag] = open_.get(tag, 0) + 1
+        flush()
+
+    def roles(self) -> list[int]:
+        """A key for each text: its path and words, and how many times they have come before on the page."""
+        seen: dict[int, int] = {}
+        out = []
+        for at, text, _ in self.texts:
+            key = _hash(f"{self.key[at]}\n{text}")
+            n = seen[key] = seen.get(key, 0) + 1
+            out.append(key if n == 1 else _hash(f"{key}#{n}"))
+        return out
+
+    def mass(self) -> dict[int, tuple[int, int, int, bool]]:
+        """Of each path that has text which isn't marked: characters below it, depth, key of the article or main element around it (0: none), and whether it is paragraph-like."""
+        chars = [0] * len(self.key)
+        for at, text, marked in self.texts:
+            if not marked:
+                chars[at] += len(text)
+        for k in range(len(chars) - 1, 0, -1):  # children come after their parents
+            chars[self.parent[k]] += chars[k]
+        out: dict[int, tuple[int, int, int, bool]] = {}
+        for k in range(1, len(chars)):
+            if chars[k]:
+                known = out.get(self.key[k], (0, self.depth[k], 0, self.leafy[k]))
+                mark = self.landmark[k]
+                out[self.key[k]] = (known[0] + chars[k], self.depth[k], self.key[mark] if mark >= 0 else 0, self.leafy[k])
+        return out
+
+    def below(self, key: int) -> list[bool]:
+        """Of each element, whether it is or lies below an element of this path."""
+        out = [False] * len(self.key)
+        for k in range(1, len(out)):
+            out[k] = out[self.parent[k]] or self.key[k] == key
+        return out
 
 
 def host(url: str | None) -> str:
@@ -135,26 +205,27 @@ def _hash(text: str) -> int:
     return (zlib.crc32(raw) << 31) ^ zlib.adler32(raw)
 
 
-def _landmark(path: str) -> str | None:
-    """The path down to the outermost article or main element, if it has one."""
-    found = re.match(r".*?/(?:article|main)(?=/|$)", path)
-    return found[0] if found else None
+def classes_in_order(rows: list[tuple[int, int]]) -> dict[int, list[int]]:
+    """Positions of each class on a page, of (class, position) pairs."""
+    out: dict[int, list[int]] = {}
+    for c, at in sorted(rows, key=lambda r: r[1]):
+        out.setdefault(c, []).append(at)
+    return out
 
 
-def tokens(found: list[tuple[str, str]]) -> dict[tuple[str, int], list]:
-    """Tokens of a page: ("path", hash) for each element path with the text below it, ("text", hash) for each block.
+def signatures(roles: list[int], of: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(class, role, signature) of a page's roles that belong to a class. Classes are numbered from the most frequent.
 
-    Value: occurrences, characters, path.
+    The signature holds the role's place in the order of its own class and, for every more frequent class that the page has, the gap of that class that it
+    lies in. Where it is the same on all pages of the class, the class is ordered and the role nests in one slot of each larger class.
     """
-    out: dict[tuple[str, int], list] = {}
-    for path, text in found:
-        steps = path.split("/")
-        for k in range(2, len(steps) + 1):
-            sub = "/".join(steps[:k])
-            entry = out.setdefault(("path", _hash(sub)), [0, 0, sub])
-            entry[0], entry[1] = entry[0] + 1, entry[1] + len(text)
-        entry = out.setdefault(("text", _hash(f"{path}\n{text}")), [0, 0, ""])
-        entry[0], entry[1] = entry[0] + 1, entry[1] + len(text)
+    places = classes_in_order([(of[r], at) for at, r in enumerate(roles) if r in of])
+    out = []
+    for at, r in enumerate(roles):
+        if r in of:
+            own = of[r]
+            gaps = [bisect.bisect(places[c], at) for c in sorted(places) if c < own]
+            out.append((own, r, _hash(f"{bisect.bisect(places[own], at)}|{gaps}")))
     return out
 
 
@@ -174,78 +245,97 @@ def template_classes(classes: list[tuple[int, float, float, list[int]]]) -> list
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """A row a host: its template texts (hashes) and the path of its content slot.
-
-    A token's occurrence vector over the host's pages is kept as sums of page hashes times counts, which add up map-side however many
-    pages a host has. Texts of equal vectors form a class; classes on SUPPORT of the pages, whose members occur equally often on each
-    of them, make the template, but for the running text of copies (template_classes). Of the nested elements, the content slot is the
-    deepest that holds MASS of the host's text, widened to the article or main element around it.
+    """A row a host: its template (roles of texts) and the path of its content slot.
+
+    1. Every page gives its roles in order and the characters below each path; the sequences are kept as a table of numbers.
+    2. A role's occurrence vector over the host's pages is a sum of page hashes, which adds up map-side however many pages a host has. Roles of equal vectors
+       form an equivalence class; those on SUPPORT of the pages are frequent.
+    3. The sequences are read again: a frequent class is valid if its roles come in one order on all its pages and each nests in one slot of every more frequent class.
+    4. Valid classes make the template, but for the running text of copies (template_classes). Of the nested elements, the content slot is the deepest that
+       holds MASS of the host's text (texts of boilerplate names aside), widened to the article or main element around it.
     """
-
-    def run(batches):
+    def read(batches):
         import pandas as pd
 
         for b in batches:
             rows = []
             for page, url, html in zip(b["page_id"], b["url"], b["html"]):
-                turn = _hash(f"{page}|{url}") % 1_000_003 + 1
-                where = host(url)
-                found = blocks(html or "")
-                total = sum(len(text) for _, text in found)
-                rows.append((where, "page", 0, 1, 1, turn, turn, 0, total, ""))
-                for (kind, key), (n, chars, path) in tokens(found).items():
-                    rows.append((where, kind, key, 1, n, turn, n * turn, chars, total, path))
-            yield pd.DataFrame(rows, columns=["host", "kind", "key", "pages", "n", "once", "vector", "chars", "total", "path"])
+                found = Page(html or "")
+                mass = found.mass()
+                lengths = [len(t) for _, t, _ in found.texts]
+                rows.append((host(url), _hash(f"{page}|{url}") % 1_000_003 + 1, found.roles(), lengths, sum(lengths), list(mass), [v[0] for v in mass.values()], [v[1] - 100 * v[3] for v in mass.values()], [v[2] for v in mass.values()]))
+            yield pd.DataFrame(rows, columns=["host", "turn", "roles", "lengths", "total", "paths", "chars", "depths", "marks"])
+
+    small_batches(pages.sparkSession)
+    parts = pages.select("page_id", "url", F.col("html").cast("string"))
+    seqs = table(parts.mapInPandas(read, "host string, turn long, roles array<long>, lengths array<int>, total long, paths array<long>, chars array<long>, depths array<int>, marks array<long>"))
+    counted = table(seqs.groupBy("host").agg(F.count("*").alias("all_pages")))
+    each = seqs.select("host", "turn", "total", F.explode(F.arrays_zip("roles", "lengths")).alias("r")).select("host", "turn", "total", F.col("r.roles").alias("key"), F.col("r.lengths").alias("length"))
+    summed = each.groupBy("host", "key").agg(F.count("*").alias("pages"), F.sum("turn").alias("vector"), F.sum(F.col("turn") * F.col("turn")).alias("vector2"), F.sum("length").alias("chars"), F.sum("total").alias("total"))
+    often = summed.where(F.col("pages") >= LEAST_PAGES * SUPPORT).join(counted.hint("merge"), "host").where((F.col("pages") >= F.col("all_pages") * SUPPORT) & (F.col("all_pages") >= LEAST_PAGES))
+    frequent = table(often.select("host", "key", "pages", "vector", "vector2", "chars", "total"))
+    rank = F.dense_rank().over(Window.partitionBy("host").orderBy(F.col("pages").desc(), "vector", "vector2"))
+    known = table(frequent.withColumn("class", rank).groupBy("host").agg(F.collect_list(F.struct("key", "class")).alias("known")))
+
+    def check(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for name, roles, members in zip(b["host"], b["roles"], b["known"]):
+                of = {int(m["key"]): int(m["class"]) for m in members}
+                out += [(name, c, r, v) for c, r, v in signatures([int(r) for r in roles], of)]
+            yield pd.DataFrame(out, columns=["host", "class", "key", "sign"])
+
+    signed = seqs.select("host", "roles").join(known.hint("merge"), "host").mapInPandas(check, "host string, class int, key long, sign long")
+    order = signed.groupBy("host", "class", "key").agg((F.min("sign") == F.max("sign")).alias("same"))
+    valid = order.groupBy("host", "class").agg(F.every("same").alias("valid"), F.collect_list("key").alias("keys")).where("valid").select("host", "class", F.explode("keys").alias("key"))
 
     def choose(batch):
         import pandas as pd
 
-        classes = [(int(g["pages"].iloc[0]), g["chars"].sum() / g["pages"].iloc[0], g["total"].iloc[0] / g["pages"].iloc[0], sorted(g["key"].tolist())) for _, g in batch.groupby(["once", "pages"])]
+        classes = [(int(g["pages"].iloc[0]), g["chars"].sum() / g["pages"].iloc[0], g["total"].iloc[0] / g["pages"].iloc[0], sorted(g["key"].tolist())) for _, g in batch.groupby("class")]
         return pd.DataFrame({"host": [batch["host"].iloc[0]], "template": [template_classes(classes)]})
 
-    small_batches(pages.sparkSession)
-    parts = pages.select("page_id", "url", F.col("html").cast("string")).mapInPandas(run, "host string, kind string, key long, pages long, n long, once long, vector long, chars long, total long, path string")
-    summed = parts.groupBy("host", "kind", "key").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "once", "vector", "chars", "total")], F.max("path").alias("path"))
-    summed = table(summed.where((F.col("kind") != "text") | (F.col("pages") >= LEAST_PAGES * SUPPORT)))
-    counted = summed.where("kind = 'page'").select("host", F.col("pages").alias("all_pages"))
-    often = summed.where("kind <> 'page'").join(counted, "host").where(F.col("pages") >= F.col("all_pages") * SUPPORT)
-    mass = often.where("kind = 'path'").groupBy("host").agg(F.max("chars").alias("mass"))
-    texts = often.where((F.col("kind") == "text") & (F.col("all_pages") >= LEAST_PAGES))
-    # a text is a member of a class if it occurs equally often, once or more, on each page that has it
-    even = texts.where("n % pages = 0 and vector = once * (n div pages)")
-    template = even.groupBy("host").applyInPandas(choose, "host string, template array<long>")
-    slot = often.where("kind = 'path'").join(mass, "host").where(F.col("chars") >= F.col("mass") * MASS)
-    deep = F.struct((F.size(F.split("path", "/")) - 100 * F.col("path").rlike(r"/(p|li|h[1-6]|tr|td|dd|dt|pre|blockquote)(/|$)").cast("int")).alias("depth"), "chars", "path")
-    around = F.regexp_extract("path", r"^(.*?/(?:article|main))(?:/|$)", 1)
-    slots = slot.groupBy("host").agg(F.max(deep)["path"].alias("path")).select("host", F.when(around != "", around).otherwise(F.col("path")).alias("slot"))
-    return table(counted.join(template, "host", "left").join(slots, "host", "left").select("host", "template", "slot"))
-
-
-def main_text(html: str, template: frozenset[int] | set[int] = frozenset(), slot: str | None = None) -> str:
-    """Text of the host's content slot without template texts.
+    template = frequent.join(valid, ["host", "key"]).groupBy("host").applyInPandas(choose, "host string, template array<long>")
+    paths = seqs.select("host", F.explode(F.arrays_zip("paths", "chars", "depths", "marks")).alias("p")).select("host", "p.*")
+    on = paths.groupBy("host", F.col("paths").alias("path")).agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.max("depths").alias("depth"), F.max("marks").alias("mark"))
+    wide = on.join(counted.hint("merge"), "host").where(F.col("pages") >= F.col("all_pages") * SUPPORT)
+    mass = wide.groupBy("host").agg(F.max("chars").alias("mass"))
+    deep = wide.join(mass, "host").where(F.col("chars") >= F.col("mass") * MASS).groupBy("host").agg(F.max(F.struct("depth", "chars", "path", "mark")).alias("m"))
+    slots = deep.select("host", F.when(F.col("m.mark") != 0, F.col("m.mark")).otherwise(F.col("m.path")).alias("slot"))
+    found = table(counted.join(template, "host", "left").join(slots, "host", "left").select("host", "template", "slot"))
+    forget(seqs, counted, frequent, known)
+    return found
+
+
+def main_text(html: str, template: frozenset[int] | set[int] = frozenset(), slot: int | None = None) -> str:
+    """Text of the host's content slot without the template's texts, nor those that names mark.
 
     A slot that holds less than MASS of the page's text outside of the template is not this page's: then its article and main elements are
     taken if they hold that much, else all text. If the template would leave nothing (pages that are copies of each other), its texts stay.
     """
-    found = blocks(html)
-    fresh = [x for x in found if _hash("\n".join(x)) not in template] or found
-    least = MASS * sum(len(text) for _, text in fresh)
-    for inside in ([x for x in fresh if slot and (x[0] + "/").startswith(slot + "/")], [x for x in fresh if _landmark(x[0])]):
-        if inside and sum(len(text) for _, text in inside) >= least:
-            return "\n".join(text for _, text in inside)
-    return "\n".join(text for _, text in fresh)
+    page = Page(html)
+    plain = [(at, text, role) for (at, text, marked), role in zip(page.texts, page.roles()) if not marked]
+    fresh = [x for x in plain if x[2] not in template] or plain
+    least = MASS * sum(len(text) for _, text, _ in fresh)
+    inside = page.below(slot) if slot else None
+    for own in ([x for x in fresh if inside and inside[x[0]]], [x for x in fresh if page.landmark[x[0]] >= 0]):
+        if own and sum(len(text) for _, text, _ in own) >= least:
+            return "\n".join(text for _, text, _ in own)
+    return "\n".join(text for _, text, _ in fresh)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page from its whole html.
 
     Defined results: null or empty html gives an empty text; a null or odd url belongs to the host ''; null page_id is carried; repeated
-    rows are all returned and count as pages; an empty table gives no rows; extra columns are ignored; markup that isn't closed ends
+    rows are all returned and count as pages; hosts of fewer than LEAST_PAGES pages have no template, so names and slots alone decide there; an empty table gives no rows; extra columns are ignored; markup that isn't closed ends
     with the page. Returns page_id, url, text, n_chars.
     """
     found = templates(pages)
     hosted = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#\\]*)", 1), r"^.*@|:.*$", ""))
-    joined = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), hosted.alias("host")).join(found, "host", "left").select("page_id", "url", "html", "template", "slot")
+    joined = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), hosted.alias("host")).join(found.hint("merge"), "host", "left").select("page_id", "url", "html", "template", "slot")
 
     def run(batches):
         import pandas as pd
@@ -257,7 +347,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 keys = frozenset()
                 if template is not None and len(template):
                     keys = known.setdefault(template.tobytes(), None) or known.setdefault(template.tobytes() + b"!", frozenset(template.tolist()))
-                texts.append(main_text(html or "", keys, slot))
+                texts.append(main_text(html or "", keys, None if slot is None or slot != slot else int(slot)))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(x) for x in texts]})
 
     small_batches(pages.sparkSession)

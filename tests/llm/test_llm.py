@@ -327,3 +327,52 @@ def test_html_copies_of_one_article_keep_it(spark):
     assert got[:6] == [f"date {i}\n{text}" for i in range(6)]
     assert got[6:] == [f"head {i}\nsingle {i} " + f"v{i} " * 60 + "." for i in range(4)]
     assert all(text in x for x in _extracted(spark, [page(f"date {i}", body) for i in range(5)]))
+
+
+def test_html_classes_must_be_ordered_and_nested():
+    of = {1: 1, 2: 1, 3: 2, 4: 2}
+    first, same, moved, out = ([1, 9, 3, 8, 4, 2], [1, 3, 4, 7, 2], [2, 3, 4, 1], [3, 1, 4, 2])
+    sign = lambda roles: {r: (c, v) for c, r, v in html.signatures(roles, of)}
+    assert sign(first) == sign(same)  # other texts between don't matter
+    assert sign(first)[1] != sign(moved)[1] and sign(first)[3] == sign(moved)[3]  # class 1 is out of order, class 2 still lies between its members
+    assert sign(first)[3] != sign(out)[3] and sign(first)[1] == sign(out)[1]  # class 2 leaves its slot
+
+
+def test_html_classes_against_brute_force(spark):
+    rng = random.Random(4)
+    lines_ = [f"line {k} of the frame" for k in range(6)]
+    pages = []
+    for i in range(12):
+        top = [lines_[0], lines_[1] if i % 3 else None, lines_[2]]
+        if i % 2:
+            top[0], top[2] = top[2], top[0]  # lines 0 and 2 swap places, so their class has no order
+        pages.append("<body><div>" + "".join(f"<p>{x}</p>" for x in top if x) + f"<p>own words {i} " + "w " * 40 + f"</p><p>{lines_[4]}</p><p>{rng.random()}</p><p>{lines_[5]}</p></div></body>")
+    rows = [(i, f"http://h/{i}", x) for i, x in enumerate(pages)]
+    found = html.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()[0]
+    roles = [html.Page(x).roles() for x in pages]
+    vectors_ = {}
+    for i, r in enumerate(roles):
+        for k in r:
+            vectors_.setdefault(k, []).append(i)
+    classes = {}
+    for k, v in vectors_.items():
+        if len(v) >= 6:
+            classes.setdefault(tuple(v), []).append(k)
+    valid = [ks for v, ks in classes.items() if len({tuple(k for k in roles[i] if k in ks) for i in v}) == 1]
+    assert sorted(found["template"]) == sorted(k for ks in valid for k in ks) and len(classes) == 2
+    # lines 0, 2, 4 and 5 are one class without order; line 1 is on two thirds of the pages and lies on either side of its members
+    assert len(found["template"]) == len([k for ks in valid for k in ks])
+
+
+def test_html_very_deep_and_unclosed_page():
+    depth = 50_000
+    page = "<body>" + "<div class='a'>" * depth + "deep words" + "</span>" * 1000 + "<p>more" * 2000
+    found = html.Page(page)
+    assert html.main_text(page).startswith("deep words\nmore") and len(found.key) == depth + 2002
+
+
+def test_html_template_decides(spark):
+    story = lambda i: f"story {i} " + " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"http://h/{i}", f"<body><article><p>Follow us on all channels</p><p>{story(i)}</p></article></body>") for i in range(5)] + [(9, "http://other/9", f"<body><article><p>Follow us on all channels</p><p>{story(9)}</p></article></body>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, host string, template string")).collect()}
+    assert all(got[i] == story(i) for i in range(5)) and got[9] == f"Follow us on all channels\n{story(9)}"
