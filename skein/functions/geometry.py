@@ -37,25 +37,6 @@ def brown_distort(x: Column, y: Column, k1: float, k2: float, k3: float, p1: flo
     return scale * u - sin * v, cos * v
 
 
-def brown_correct(x: Column, y: Column, k1: float, k2: float, k3: float, p1: float, p2: float, rounds: int = 5) -> tuple[Column, Column]:
-    """Inverse of brown_distort without scale and shear, by a fixed number of rounds of substitution.
-
-    A fold holds the pair between rounds: nested columns would repeat each round's expression and grow exponentially.
-    """
-
-    def step(at: Column, _: Column) -> Column:
-        u, v, a, b = at["u"], at["v"], at["x"], at["y"]
-        r2 = u * u + v * v
-        radial = k1 * r2 + k2 * r2 * r2 + k3 * r2 * r2 * r2
-        nu = a - u * radial - p1 * (r2 + 2 * u * u) - 2 * p2 * u * v
-        nv = b - v * radial - p2 * (r2 + 2 * v * v) - 2 * p1 * u * v
-        return F.struct(nu.alias("u"), nv.alias("v"), a.alias("x"), b.alias("y"))
-
-    x, y = x.cast("double"), y.cast("double")
-    end = F.aggregate(F.array_repeat(F.lit(0), rounds), F.struct(x.alias("u"), y.alias("v"), x.alias("x"), y.alias("y")), step)
-    return end["u"], end["v"]
-
-
 def skew_midpoint(p, u, q, v) -> tuple[tuple[Column, Column, Column], Column]:
     """Midpoint of and distance between the closest points of the rays p + s u and q + t v; parallel rays: of their vertices."""
     w = tuple(b - a for a, b in zip(p, q))
@@ -77,17 +58,9 @@ GHOST_4 = (0.01, 0.03, 0.04, 0.09, 0.28, 0.45)
 GHOST_BLOB = (-1.71, 2.34, 2.5, 1.73, 0.57)
 
 
-def expected_ghosts(n_points: Column, n_cams: int, tolerance: float, length: float) -> Column:
-    """n^c * (d / L)^(2 c - 3)."""
-    return F.pow(n_points.cast("double"), F.lit(float(n_cams))) * F.pow(F.lit(tolerance / length), F.lit(2.0 * n_cams - 3))
-
-
-def ghost_regime(ghosts: Column, n_points: Column) -> Column:
-    return F.when(ghosts < 1, "sparse").when(ghosts >= n_points, "dense").otherwise("intermediate")
-
-
-def quality_weight(ghost: Column) -> Column:
-    return F.greatest((1 - ghost) * (1 - ghost), F.lit(0.05))
+def quality_weight(ghost: Column, power: float = 2.0, least: float = 0.05) -> Column:
+    """(1 - ghost)^power, not below least."""
+    return F.greatest(F.pow(1 - ghost, F.lit(power)), F.lit(least))
 
 
 def interpolate(x: Column, xs: tuple[float, ...], ys: tuple[float, ...]) -> Column:
@@ -120,7 +93,8 @@ def search_radius(speed: Column, v_max: float, a_max: float, aspect: float) -> t
     return F.when(moving, a_max * aspect).otherwise(v_max), F.when(moving, a_max).otherwise(v_max)
 
 
-def multi_term_cost(distance: Column, intensity: Column, dt: float, weights=(1.0, 1.0, 1.0, 1.0)) -> Column:
-    """Weighted distance, speed, acceleration and difference of intensity; weights are normalised to 1."""
+def multi_term_cost(distance: Column, intensity: Column, dt: float, weights=(1.0, 1.0, 1.0, 1.0), speed: Column | None = None, accel: Column | None = None) -> Column:
+    """Weighted distance, speed, acceleration and difference of intensity; weights are normalised to 1. Speed and acceleration are the distance's where none are given."""
     d, v, a, i = (w / sum(weights) for w in weights)
-    return d * distance + v * distance / dt + a * distance / (dt * dt) + i * F.abs(intensity)
+    speed, accel = distance if speed is None else speed, distance if accel is None else accel
+    return d * distance + v * speed / dt + a * accel / (dt * dt) + i * F.abs(intensity)

@@ -19,7 +19,7 @@ XYZ = ("x", "y", "z")
 _E, _T, _D = f"e AS ({binding.TRACKS_SQL})", f"t AS ({binding.TRUTH_SQL})", f"d AS ({binding.DROPPED_SQL})"
 _W = "OVER (PARTITION BY trajid ORDER BY frame)"
 _ALL, _query = catalogue.ALL, catalogue.query
-_MODULES = ("linkage_queries", "tracking_queries", "camera_queries")
+_MODULES = ("linkage_queries", "tracking_queries", "camera_queries", "quality_queries", "image_queries", "source_queries")
 
 
 def _gather() -> dict[str, tuple]:
@@ -252,29 +252,6 @@ def uniqueness_pairs(spark, sf_dir):
     return quality.conflicts(rows)
 
 
-# --- images --------------------------------------------------------------------------------------------------------------------------
-
-_PX = "px AS MATERIALIZED (SELECT f AS img, c_custkey // 32 AS r, c_custkey % 32 AS c, (c_custkey * 7919 + f * 31) % 256 AS g FROM customer, unnest(range(0, 8)) AS t(f))"
-
-
-def _pixels(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("img"))
-    return rows.select("img", F.expr("k div 32").alias("r"), (F.col("k") % 32).alias("c"), ((F.col("k") * 7919 + F.col("img") * 31) % 256).alias("g"))
-
-
-_BLUR = "bl AS (SELECT a.img, a.r, a.c, CAST(sum(b.g) AS BIGINT) // count(*) AS g FROM px a JOIN px b ON a.img = b.img AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.img, a.r, a.c)"
-
-
-@_query("negative", f"WITH {_PX} SELECT img, r, c, 255 - g AS g FROM px")
-def negative(spark, sf_dir):
-    return images.negative(_pixels(spark, sf_dir))
-
-
-@_query("threshold", f"WITH {_PX} SELECT img, count(*) AS pixels, CAST(sum(g) AS BIGINT) AS sumg, round(sum(c * g) / sum(g), 6) AS x, round(sum(r * g) / sum(g), 6) AS y FROM px WHERE g > 200 GROUP BY img")
-def threshold(spark, sf_dir):
-    return images.threshold_centroid(_pixels(spark, sf_dir), 200)
-
-
 # --- quality of points and runs --------------------------------------------------------------------------------------------------------
 
 _MISS = "m AS (SELECT frame, pid, (pid % 64) / 16e0 AS miss, CAST(3 + pid % 2 AS BIGINT) AS cams, (pid % 17) / 32e0 AS spread FROM t)"
