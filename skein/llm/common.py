@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -87,6 +88,33 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Hand memory that is free back to the system."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+def lean(run):
+    """A function of batches that leaves its Python worker small when its task ends: idle workers stay beside those at work."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
 _STORES: dict[str, dict] = {}
 
 
@@ -95,10 +123,7 @@ def store(owner: str) -> dict:
     if owner not in _STORES:
         _STORES.clear()
         _STORES[owner] = {}
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)  # hand freed memory back to the system
-        except OSError:
-            pass
+        trim()
     return _STORES[owner]
 
 
@@ -164,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": list(parent), "b": [find(x) for x in parent]})
 
     small_batches(spark)
-    pairs = table(edges.mapInPandas(forest, "a long, b long").where("a <> b"))
+    pairs = table(edges.mapInPandas(lean(forest), "a long, b long").where("a <> b"))
     both = table(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     forget(pairs)
     labels = table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))

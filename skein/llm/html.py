@@ -10,7 +10,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, forget, small_batches, table
+from skein.llm.common import documents, forget, lean, small_batches, table
 
 #: Share of a host's pages that a class must occur on to be part of its template, and pages a host must have for text to count as template.
 SUPPORT, LEAST_PAGES = 0.5, 4
@@ -268,7 +268,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     small_batches(pages.sparkSession)
     parts = pages.select("page_id", "url", F.col("html").cast("string"))
-    seqs = table(parts.mapInPandas(read, "host string, turn long, roles array<long>, lengths array<int>, total long, paths array<long>, chars array<long>, depths array<int>, marks array<long>"))
+    seqs = table(parts.mapInPandas(lean(read), "host string, turn long, roles array<long>, lengths array<int>, total long, paths array<long>, chars array<long>, depths array<int>, marks array<long>"))
     counted = table(seqs.groupBy("host").agg(F.count("*").alias("all_pages")))
     each = seqs.select("host", "turn", "total", F.explode(F.arrays_zip("roles", "lengths")).alias("r")).select("host", "turn", "total", F.col("r.roles").alias("key"), F.col("r.lengths").alias("length"))
     summed = each.groupBy("host", "key").agg(F.count("*").alias("pages"), F.sum("turn").alias("vector"), F.sum(F.col("turn") * F.col("turn")).alias("vector2"), F.sum("length").alias("chars"), F.sum("total").alias("total"))
@@ -287,7 +287,7 @@ def templates(pages: DataFrame) -> DataFrame:
                 out += [(name, c, r, v) for c, r, v in signatures([int(r) for r in roles], of)]
             yield pd.DataFrame(out, columns=["host", "class", "key", "sign"])
 
-    signed = seqs.select("host", "roles").join(known.hint("merge"), "host").mapInPandas(check, "host string, class int, key long, sign long")
+    signed = seqs.select("host", "roles").join(known.hint("merge"), "host").mapInPandas(lean(check), "host string, class int, key long, sign long")
     order = signed.groupBy("host", "class", "key").agg((F.min("sign") == F.max("sign")).alias("same"))
     valid = order.groupBy("host", "class").agg(F.every("same").alias("valid"), F.collect_list("key").alias("keys")).where("valid").select("host", "class", F.explode("keys").alias("key"))
 
@@ -351,7 +351,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(x) for x in texts]})
 
     small_batches(pages.sparkSession)
-    return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInPandas(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, small_batches, store, utf8
+from skein.llm.common import documents, lean, small_batches, store, utf8
 
 #: Characters of labelled text that each language's automaton is fitted on at most, and of one document in it.
 SAMPLE_CHARS = 40_000
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def language_id(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> DataFrame:

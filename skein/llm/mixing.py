@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, small_batches, table, utf8
+from skein.llm.common import documents, lean, small_batches, table, utf8
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -84,7 +84,7 @@ def word_sizes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
 
     cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
-    return cols.mapInArrow(count, "doc_id long, source string, size long")
+    return cols.mapInArrow(lean(count), "doc_id long, source string, size long")
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, seed: int = 7, ranges: bool = False) -> DataFrame:
@@ -168,7 +168,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
             yield out
 
     schema = "doc_id long, source string, size long, source_size long, target double, taken long" + ", whole long, begins array<long>, ends array<long>" * ranges
-    return placed.mapInPandas(take, schema)
+    return placed.mapInPandas(lean(take), schema)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

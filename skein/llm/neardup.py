@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, documents, forget, mix, small_batches, store, table, utf8
+from skein.llm.common import components, documents, forget, lean, mix, small_batches, store, table, utf8
 
 WORDS = 5
 PERCENT = 75
@@ -18,7 +18,7 @@ BANDS, ROWS = 50, 5
 HOPS = 2
 #: Members of a star that one copy of its hub's set is held against; hubs of more are copied.
 SHARE = 512
-STORE = 200_000
+STORE = 100_000
 
 _U = np.uint64
 _MULT = mix(np.arange(1, 65, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -93,7 +93,7 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 keys.append(band_keys(s, bands, rows).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n long, f1 long, f2 long, keys array<long>")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -120,8 +120,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(tool.decompress(x), n).tobytes() for x in b.column("z").to_pylist()], pa.binary())], ["doc_id", "s"])
 
     # texts travel compressed, and by the same join at every size
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL").mapInArrow(squeeze, "doc_id long, z binary")
-    sets = table(texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(build, "doc_id long, s binary"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL").mapInArrow(lean(squeeze), "doc_id long, z binary")
+    sets = table(texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(lean(build), "doc_id long, s binary"))
 
     def hold(batches):
         for x in batches:
@@ -140,7 +140,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "n").cast("int")).drop("n")
     hubs = parts.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s1")), "a").select("a", "s1", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
     both = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s2")), "b").join(hubs, ["a", "part"])
-    return both.select("a", "b", "s1", "s2").mapInArrow(hold, "a long, b long, ok boolean, i long, rest array<long>")
+    return both.select("a", "b", "s1", "s2").mapInArrow(lean(hold), "a long, b long, ok boolean, i long, rest array<long>")
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, hops: int = HOPS) -> DataFrame:

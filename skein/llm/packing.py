@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, small_batches, table, utf8
+from skein.llm.common import documents, lean, small_batches, table, utf8
 
 CAPACITY = 2048
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 6, 3, 4, 2
@@ -174,7 +174,7 @@ def pack_lengths(spark: SparkSession, counts: dict[int, int], capacity: int = CA
                     best = evolve(counts, [_read(x) for x in packings], generations, capacity, seed + 101 * int(island) + 10007 * epoch)[0]
                     yield pd.DataFrame({"island": [island], "packing": [_written(best)]})
 
-        found = {r["island"]: _read(r["packing"]) for r in start.mapInPandas(run, "island int, packing string").collect()}
+        found = {r["island"]: _read(r["packing"]) for r in start.mapInPandas(lean(run), "island int, packing string").collect()}
         best = min(found.values(), key=lambda x: (fitness(x, capacity), sorted(x.items())))
         if fitness(best, capacity)[0] <= least:
             return best
@@ -206,7 +206,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None, k
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)][: 5 + keep_ids], names[: 5 + keep_ids])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), schema)
 
 
 def _slots(packing: Packing) -> dict[int, np.ndarray]:
@@ -260,7 +260,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None, kee
             yield b.assign(sequence_id=sequence, offset=offset)[names]
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
-    return ranked.mapInPandas(place, schema)
+    return ranked.mapInPandas(lean(place), schema)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import checkpoint, documents, partitions, table
+from skein.llm.common import checkpoint, documents, lean, partitions, table
 
 #: Fixed overhead of a stored document in bytes.
 ROW_BYTES = 8
@@ -53,7 +53,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24) -> DataFrame:
             at[pid] = (rank + len(batch), before + int(size.sum()))
             yield batch.drop(columns="pid").assign(rank=rank + np.arange(len(batch)), shard=shard.astype("int32"))
 
-    placed = dealt.mapInPandas(place, "doc_id long, size long, text_crc32 long, rank long, shard int")
+    placed = dealt.mapInPandas(lean(place), "doc_id long, size long, text_crc32 long, rank long, shard int")
     starts = {r[0]: r[1] for r in placed.groupBy("shard").agg(F.min("rank")).collect()}
     start = F.element_at(F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)]), F.col("shard")) if starts else F.lit(0)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

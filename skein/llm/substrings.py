@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, mix, partitions, small_batches, table, utf8
+from skein.llm.common import documents, lean, mix, partitions, small_batches, table, utf8
 
 LENGTH = 400
 #: Bytes of the leading gram by which suffixes are sampled and dealt.
@@ -161,7 +161,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int =
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k0)), pa.array(np.full(n, k1)), pa.array(h), pa.array(f), pa.array(at), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["k0", "k1", "h", "f", "at", "low", "high"])
 
-    rows = keyed.mapInArrow(sample, "k0 long, k1 long, h long, f long, at long, low int, high int")
+    rows = keyed.mapInArrow(lean(sample), "k0 long, k1 long, h long, f long, at long, low int, high int")
     rows = table(rows.groupBy("k1", "at", "h", "f", "low", "high").agg(F.min("k0").alias("k0")))
     contexts = table(rows.groupBy("h", "f").agg(F.count("*").alias("c"), F.min(F.struct("k0", "k1", "at", "low", "high")).alias("r")))
     span = [(F.col("at") - F.col("high")).alias("lo"), (F.col("at") - F.col("low") + length).alias("hi")]
@@ -190,7 +190,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int =
     def _batch(rows_):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows_), fields)], [n for n, _ in fields])
 
-    suffixes = keyed.join(wanted, ["k0", "k1"]).select("text", "s").mapInArrow(cut, "h long, f long, m long, alone boolean, low int, high int, left binary, right binary, lead binary")
+    suffixes = keyed.join(wanted, ["k0", "k1"]).select("text", "s").mapInArrow(lean(cut), "h long, f long, m long, alone boolean, low int, high int, left binary, right binary, lead binary")
     suffixes = table(suffixes)
 
     # Range partitions by the leading bytes: Spark samples the splitters, and equal leads never straddle a boundary.
@@ -219,7 +219,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int =
             yield judge(kept)
 
     small_batches(spark)
-    found = table(dealt.mapInPandas(compare, "h long, f long, least int, most int"))
+    found = table(dealt.mapInPandas(lean(compare), "h long, f long, least int, most int"))
 
     # frequent leading grams: the exact way without comparing members, by counting every window's hash
     def windows(batches):
@@ -234,7 +234,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, f)), pa.array(np.full(n, alone)), pa.array(d.astype(np.int32)), pa.array(w.view(np.int64))], ["h", "f", "alone", "d", "w"])
 
     hot = suffixes.where(F.col("m") > run).dropDuplicates(["h", "f"])
-    each = table(hot.mapInArrow(windows, "h long, f long, alone boolean, d int, w long"))
+    each = table(hot.mapInArrow(lean(windows), "h long, f long, alone boolean, d int, w long"))
     twice = each.groupBy("h", "d", "w").agg(F.count("*").alias("c")).where("c > 1").select("h", "d", "w")
     hot_found = each.where("alone").join(twice, ["h", "d", "w"]).groupBy("h", "f").agg(F.min("d").alias("least"), F.max("d").alias("most"))
     partly = found.union(hot_found).join(open_.where("alone").select("h", "f", "k0", "k1", "at"), ["h", "f"]).select(
@@ -289,7 +289,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ru
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out[4], pa.binary())] if texts else columns, [*names, "kept"] if texts else names)
 
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return joined.mapInArrow(lean(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

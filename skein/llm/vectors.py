@@ -8,13 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, documents, forget, small_batches, table
+from skein.llm.common import components, documents, forget, lean, small_batches, table
 
 THRESHOLD = 0.95
 #: Blocks of the rotated space.
 BLOCKS = 4
 #: Vectors that a leaf of a block's tree should hold, and on one side of a tile; leaves of more are cut into chunks of about as many.
-TILE = 4096
+TILE = 16_384
 #: Vectors on which the trees' planes are fitted; they decide how even the leaves are, never which pairs are found.
 SAMPLE = 20_000
 SEED = 11
@@ -30,6 +30,25 @@ def rotation(dim: int) -> np.ndarray:
     return _ROTATIONS[dim]
 
 
+def pack(x: np.ndarray) -> bytes:
+    """A vector's bytes, in single precision where that is exact; the first byte tells the width. Equal vectors give equal bytes."""
+    short = x.astype("<f4")
+    return b"4" + short.tobytes() if (short == x).all() else b"8" + x.astype("<f8").tobytes()
+
+
+def width(raw: bytes) -> int:
+    """Components of a packed vector."""
+    return (len(raw) - 1) // int(raw[:1])
+
+
+def unpack(raw, dim: int) -> np.ndarray:
+    """Packed vectors of dim components as rows in double precision."""
+    out = np.empty((len(raw), dim))
+    for n, r in enumerate(raw):
+        out[n] = np.frombuffer(r, "<f4" if r[:1] == b"4" else "<f8", offset=1)
+    return out
+
+
 def _bounds(dim: int, blocks: int) -> list[tuple[int, int]]:
     edges = [dim * k // min(blocks, dim) for k in range(min(blocks, dim) + 1)]
     return list(itertools.pairwise(edges))
@@ -107,10 +126,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int =
             raw = []
             for v in b["embedding"]:
                 x = None if v is None or len(v) == 0 else np.array([np.nan if c is None else c for c in v], dtype="<f8")
-                raw.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() and np.isfinite((x * x).sum()) and (x * x).sum() > 0 else None)
+                raw.append(pack(x) if x is not None and np.isfinite(x).all() and x.any() and np.isfinite((x * x).sum()) and (x * x).sum() > 0 else None)
             yield pd.DataFrame({"vec_id": b["vec_id"], "raw": raw})
 
-    ids = table(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInPandas(clean, "vec_id long, raw binary"))
+    ids = table(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInPandas(lean(clean), "vec_id long, raw binary"))
     classes = table(ids.where("raw is not null and vec_id is not null").groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")))
 
     n = classes.count()
@@ -119,10 +138,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int =
     chosen = classes.where(F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < int(share * 1_000_000)).select("raw").limit(2 * sample).collect() if depth else []  # bounded by sample
     by_dim: dict[int, list[bytes]] = {}
     for r in chosen:
-        by_dim.setdefault(len(r["raw"]) // 8, []).append(bytes(r["raw"]))
+        by_dim.setdefault(width(bytes(r["raw"])), []).append(bytes(r["raw"]))
 
     def turned(raw, dim: int) -> np.ndarray:
-        x = np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
+        x = unpack(list(raw), dim)
         return x / np.sqrt((x * x).sum(1))[:, None] @ rotation(dim)
 
     trees = {}
@@ -134,7 +153,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int =
         import pandas as pd
 
         for b in batches:
-            for dim, part in b.groupby(b["raw"].str.len() // 8):
+            for dim, part in b.groupby(b["raw"].map(width)):
                 dim = int(dim)
                 y = turned(part["raw"], dim)
                 for k, (lo, hi) in enumerate(_bounds(dim, blocks)):
@@ -147,7 +166,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int =
                         r, to = row[at : at + 20_000], leaf[at : at + 20_000]
                         yield pd.DataFrame({"dim": dim, "k": k, "leaf": to, "guest": (to != own[r]), "rep": part["rep"].to_numpy()[r], "members": part["members"].to_numpy()[r], "raw": part["raw"].to_numpy()[r]})
 
-    placed = table(classes.mapInPandas(cells, "dim int, k int, leaf long, guest boolean, rep long, members long, raw binary"))
+    placed = table(classes.mapInPandas(lean(cells), "dim int, k int, leaf long, guest boolean, rep long, members long, raw binary"))
     place = ["dim", "k", "leaf", "guest"]
     counted = table(placed.groupBy(*place).agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")))
     home = counted.where("not guest").select("dim", "k", "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
@@ -166,7 +185,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int =
         bounds, limit = _bounds(dim, blocks), 2 - 2 * threshold
         part = part.sort_values(["side", "rep"], kind="stable")
         n_a = int((part["side"] == 0).sum())
-        x = np.frombuffer(b"".join(part["raw"]), "<f8").reshape(-1, dim)
+        x = unpack(part["raw"].tolist(), dim)
         rep, weight = part["rep"].to_numpy(), part["members"].to_numpy()
         unit = x / np.sqrt((x * x).sum(1))[:, None]
         turn = rotation(dim)
