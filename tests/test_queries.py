@@ -5,6 +5,7 @@ import os
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 
 from skein.operators import linking, spatial
@@ -23,16 +24,28 @@ def duck():
 
 def plain(frame):
     frame = frame[sorted(frame.columns)]
-    return list(frame.columns), sorted(tuple(repr(getattr(x, "item", lambda: x)()) for x in row) for row in frame.itertuples(index=False, name=None))
+    show = lambda x: "none" if x is None or (not hasattr(x, "__len__") and pd.isna(x)) else repr(getattr(x, "item", lambda: x)())
+    return list(frame.columns), sorted(tuple(show(x) for x in row) for row in frame.astype(object).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", ["traj_accel_residual", "velocity_jump_rate", "turning_angle", "trim_ends", "fill_gaps", "session_gaps", "knn_join", "link_nearest_l3", "seal_trajectories", "e_track", "cliques3", "box_blur", "ghost_probability", "ghost_brightness", "quality_score", "anomaly_flags", "matched_tracks", "brightness_shares", "text_lines", "trajectory_rows", "newest_generation", "threshold", "stream_session_gaps", "stream_tumbling_chunks", "relink_gaps", "brown_correct", "noise_sigma"])
+#: A twin of every family; the driver holds all queries against theirs.
+TWINS = """traj_accel_residual velocity_jump_rate turning_angle trim_ends fill_gaps_hermite session_gaps knn_join link_nearest_l3 greedy_selection link_predict_l1 link_neighbour_flow_l2 enforce_reciprocity confirm_link_tuples confirm_links relink_gaps seal_trajectories self_consistency_report prune_kinks trajectory_scores stitch_chunks merge_bidirectional identity_metrics e_track link_recall_precision accel_kurtosis noise_sigma motion_scale match_cascade match_two_cameras cliques4 epipolar_band triangulate_lsq ray_roundtrip lens_roundtrip pixel_candidates lut_bilinear conflict_components split_blobs normalize_rcm reconnect_pieces stitch_fragments dataset_stats tracker_recommendation box_blur lowpass_3 target_components store_seal store_blocks calibrate_full calibrate_linear ghost_probability brightness_shares text_lines trajectory_rows threshold stream_session_gaps stream_sliding""".split()
+
+
+@pytest.mark.parametrize("name", TWINS)
 def test_twin(spark, duck, name):
     assert plain(registry.queries()[name](spark, SF).toPandas()) == plain(duck.execute(registry.oracle_sql()[name]).df())
 
 
-def test_every_query_has_a_twin():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+#: Queries that SQL can't express; what they are held against is in the tests named.
+PLAIN = {
+    "cascade_track", "cascade_track_chunks", "link_4be", "track_back", "nearest_assignment_track", "two_phase_track", "two_phase_bidirectional", "hybrid_track", "mht_relink", "shared_observations",
+    "assignment_hungarian", "fit_scale", "uniqueness_ilp", "unique_tracks", "weighted_savgol", "irls_smooth", "resolve_components", "targ_rec", "peak_fit", "detect_bubbles", "stream_linker", "made_scenario",
+}
+
+
+def test_which_queries_have_no_twin():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == PLAIN
 
 
 def test_greedy_equals_a_sequential_pass(spark):
@@ -43,23 +56,9 @@ def test_greedy_equals_a_sequential_pass(spark):
         if (f, 0, i) not in used and (f, 1, k) not in used:
             used |= {(f, 0, i), (f, 1, k)}
             want.append((f, i, k, c))
-    got = linking.greedy(spark.createDataFrame(edges, "frame long, i long, k long, cost double")).collect()
-    assert sorted(tuple(r) for r in got) == sorted(want)
-
-
-def test_merged_directions_prefer_links_that_both_have(spark):
-    rng = random.Random(5)
-    draw = lambda: {(f, i, k): rng.randrange(40) / 4 for f in range(3) for i in range(6) for k in range(6) if rng.random() < 0.4}
-    forward, backward = draw(), draw()
-    votes = {e: (e not in forward or e not in backward, min(d[e] for d in (forward, backward) if e in d)) for e in forward | backward}
-    used, want = set(), []
-    for (f, i, k), (once, c) in sorted(votes.items(), key=lambda e: (e[0][0], e[1], e[0][1:])):
-        if (f, 0, i) not in used and (f, 1, k) not in used:
-            used |= {(f, 0, i), (f, 1, k)}
-            want.append((f, i, k, c))
-    frame = lambda d: spark.createDataFrame([(*e, c) for e, c in d.items()], "frame long, i long, k long, cost double")
-    got = linking.merge_directions(frame(forward), frame(backward)).collect()
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    for most in (0, 20, 10**6):  # by rounds, by both ways, in tasks
+        got = linking.greedy(spark.createDataFrame(edges, "frame long, i long, k long, cost double"), most).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
 
 
 def test_entry(spark):
@@ -89,8 +88,3 @@ def test_camera_queries_over_every_frame(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
     assert set(got["frame"]) == set(range(8))
     assert plain(got) == plain(duck.execute(registry.oracle_sql()[name]).df())
-
-
-def test_merge_bidirectional_twin(spark, duck):
-    got = plain(registry.queries()["merge_bidirectional"](spark, SF).toPandas())
-    assert got[1] and got == plain(duck.execute(registry.oracle_sql()["merge_bidirectional"]).df())
