@@ -111,7 +111,7 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, doc_chars: int = DOC_
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in there.items() for x in (k, min(1.0, 3.0 * sample_chars / n))]), F.col("lang"))
     texts: dict[str, list[str]] = {k: [] for k in there}
     held = dict.fromkeys(there, 0)
-    chosen = rows.where(F.pmod("turn", F.lit(1_000_000)) < share * 1_000_000)
+    chosen = rows.where(F.pmod("turn", F.lit(10**12)) < share * 1e12).distinct()  # rows that repeat are learnt once
     for r in sorted(chosen.collect(), key=lambda r: (r["turn"], r["doc_id"], r["text"])):
         room = sample_chars - held[r["lang"]]
         if room > 0:
@@ -151,7 +151,7 @@ def language_id(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     that needs fewest phrases over the same characters wins.
 
     Defined results: null texts and texts without a letter are `und` with score 0, as is everything if nothing is labelled; ties go to
-    the first language by name; null doc_id is never learnt from nor held out; repeated rows fare alike;
+    the first language by name; null doc_id is never learnt from nor held out; rows that repeat are learnt once and fare alike;
     an empty table gives no rows; clashing columns lang_pred and score are replaced. Returns doc_id, held_out, lang_pred, score.
     """
     rows = docs.select(F.col("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
