@@ -132,7 +132,7 @@ def direct_linear(points: np.ndarray, px: np.ndarray, base: Camera | None = None
     rows = []
     for (x, y), p in zip(seen, q):
         rows += [np.r_[p, np.zeros(4), -x * p], np.r_[np.zeros(4), p, -y * p]]
-    m = np.linalg.svd(np.array(rows))[2][-1].reshape(3, 4)
+    m = np.linalg.svd(np.array(rows), full_matrices=False)[2][-1].reshape(3, 4)
     m = m @ np.block([[np.eye(3) / size, -shift[:, None] / size], [np.zeros((1, 3)), np.ones((1, 1))]])
     # x = (-cc (a . d) + xh (z . d)) / (z . d) with a, b, z the camera's axes and d the way from the camera
     where = -np.linalg.solve(m[:, :3], m[:, 3])
@@ -417,7 +417,7 @@ def label_from_marks(dots: np.ndarray, coded: np.ndarray) -> np.ndarray:
 def plane_metrics(points: np.ndarray, labels: np.ndarray, pitch: float) -> dict[str, float]:
     """Flatness and regularity of a plate: rms distance from its plane, mean and deviation of the distance of neighbouring dots, and rms from the ideal grid moved onto it."""
     mid = points.mean(0)
-    normal = np.linalg.svd(points - mid)[2][-1]
+    normal = np.linalg.svd(points - mid, full_matrices=False)[2][-1]
     at = {tuple(v): k for k, v in enumerate(labels.tolist())}
     steps = [np.linalg.norm(points[at[i + di, j + dj]] - points[k]) for (i, j), k in at.items() for di, dj in ((1, 0), (0, 1)) if (i + di, j + dj) in at]
     ideal = np.c_[labels * pitch, np.zeros(len(labels))]
