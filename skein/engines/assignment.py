@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
+#: Cells of a table of costs above which only the edges are held.
+DENSE = 4096
+
 
 def greedy(i: np.ndarray, k: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Edges that a pass over all by (cost, i, k) takes if both ends are still free; by rounds of edges that come first at both their ends."""
@@ -55,6 +60,58 @@ def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of[columns][order], columns[order]
 
 
+def sparse(i: np.ndarray, k: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Edges of a matching with as many edges as can be and, of those, the least total cost: shortest augmenting paths over the edges alone, whose memory is theirs.
+
+    Every row may also stay without a partner, at a price above all costs together.
+    """
+    ri, a = np.unique(i, return_inverse=True)
+    rk, b = np.unique(k, return_inverse=True)
+    none = float(cost.clip(min=0).sum() + 1.0)
+    out: list[list[tuple[int, float, int]]] = [[] for _ in ri]
+    for r, c, w, e in zip(a.tolist(), b.tolist(), cost.tolist(), range(len(cost))):
+        out[r].append((c, w, e))
+    u, v = [min(w for _, w, _ in edges) for edges in out], [0.0] * len(rk)
+    row_of, col_of, edge_of = [-1] * len(rk), [-1] * len(ri), [-1] * len(ri)
+    for start in range(len(ri)):
+        dist: dict[int, float] = {}
+        via: dict[int, tuple[int, int]] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        seen, row, far = [], start, 0.0
+        alone, quits = np.inf, start
+        while True:
+            seen.append((row, far))
+            for c, w, e in out[row]:
+                if c not in done and (d := far + w - u[row] - v[c]) < dist.get(c, np.inf):
+                    dist[c], via[c] = d, (row, e)
+                    heapq.heappush(heap, (d, c))
+            if far + none - u[row] < alone:
+                alone, quits = far + none - u[row], row
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= alone:
+                end, far = -1, alone
+                break
+            far, end = heapq.heappop(heap)
+            if row_of[end] < 0:
+                break
+            done.add(end)
+            row = row_of[end]
+        for r, d in seen:
+            u[r] += far - d
+        for c in done:
+            v[c] -= far - dist[c]
+        if end < 0:
+            end, col_of[quits], edge_of[quits] = col_of[quits], -1, -1
+        while end >= 0:  # each column of the path goes to the row it was reached from
+            r, e = via[end]
+            row_of[end], before = r, col_of[r]
+            col_of[r], edge_of[r] = end, e
+            end = before if r != start else -1
+    return np.array(sorted(e for e in edge_of if e >= 0), dtype=np.intp)
+
+
 def components(i: np.ndarray, k: np.ndarray) -> np.ndarray:
     """A component number for each edge of the bipartite graph."""
     i, k = np.unique(i, return_inverse=True)[1], np.unique(k, return_inverse=True)[1]
@@ -89,10 +146,13 @@ def best(i: np.ndarray, k: np.ndarray, cost: np.ndarray, most: int | None = None
         if most is not None and len(ri) + len(rk) > most:
             out.append(part[greedy(i[part], k[part], cost[part])])
             continue
+        if len(ri) * len(rk) > DENSE:
+            out.append(part[sparse(i[part], k[part], cost[part])])
+            continue
         none = cost[part].clip(min=0).sum() + 1.0
         table, edge = np.full((len(ri), len(rk)), none), np.full((len(ri), len(rk)), -1)
-        for n in np.argsort(-cost[part], kind="stable"):  # of repeated edges the cheapest stays
-            table[a[n], b[n]], edge[a[n], b[n]] = cost[part[n]], part[n]
+        n = np.argsort(-cost[part], kind="stable")  # of repeated edges the cheapest stays
+        table[a[n], b[n]], edge[a[n], b[n]] = cost[part[n]], part[n]
         r, c = hungarian(table)
         found = edge[r, c]
         out.append(found[found >= 0])

@@ -216,32 +216,34 @@ def hybrid(frames, stride: int = 5, v_max: float = 10.0, a_max: float = 50.0, ma
     coarse = sorted({*range(0, n, stride), n - 1})
     seed = (stride - 1) * v_max + 0.5 * a_max * stride**2
     found = nearest_assignment([frames[t] for t in coarse], v_max * stride, max(seed, a_max), 0, float(stride), max_angle)
-    used = [np.zeros(len(x), bool) for x in frames]
-    out = []
-    for track in found:
+    tracks, wants = [], [[] for _ in frames]  # wants: (place of the node, track, point wanted) of each frame between, in order of tracks
+    for number, track in enumerate(found):
         at = [(coarse[t], r) for t, r in track]
         x, t = np.array([frames[f][r] for f, r in at]), np.array([f for f, _ in at], float)
         v = np.diff(x, axis=0) / np.diff(t)[:, None]
         v = np.vstack([v, v[-1:]])
         nodes: list[tuple[int, int] | None] = []
-        for f, r in at:
-            used[f][r] = True
         for (fa, ra), (fb, _), pa, pb, va, vb in zip(at, at[1:], x, x[1:], v, v[1:]):
             nodes.append((fa, ra))
             long = fb - fa
             for f in range(fa + 1, fb):
                 s = (f - fa) / long
                 a, b = va if va.any() else (pb - pa) / long, vb if vb.any() else (pb - pa) / long
-                want = (2 * s**3 - 3 * s**2 + 1) * pa + (s**3 - 2 * s**2 + s) * a * long + (3 * s**2 - 2 * s**3) * pb + (s**3 - s**2) * b * long
-                free = np.flatnonzero(~used[f])
-                d = _norm(frames[f][free] - want)
-                if len(free) and d.min() <= gate:
-                    r = int(free[d.argmin()])
-                    used[f][r] = True
-                    nodes.append((f, r))
-                else:
-                    nodes.append(None)
-        nodes.append(at[-1])
+                wants[f].append((len(nodes), number, (2 * s**3 - 3 * s**2 + 1) * pa + (s**3 - 2 * s**2 + s) * a * long + (3 * s**2 - 2 * s**3) * pb + (s**3 - s**2) * b * long))
+                nodes.append(None)
+        tracks.append([*nodes, at[-1]])
+    for f, asked in enumerate(wants):
+        if not asked or not len(frames[f]):
+            continue
+        i, k, d2 = cells.within(np.array([p for *_, p in asked]), frames[f], gate)
+        used, done = np.zeros(len(frames[f]), bool), np.zeros(len(asked), bool)
+        for e in np.lexsort((k, d2, i)):
+            if not done[i[e]] and not used[k[e]]:
+                done[i[e]] = used[k[e]] = True
+                place, number, _ = asked[i[e]]
+                tracks[number][place] = (f, int(k[e]))
+    out = []
+    for nodes in tracks:
         run: list[tuple[int, int]] = []
         for node in [*nodes, None]:
             if node is not None:

@@ -298,3 +298,22 @@ def test_greedy_matches_a_pass():
     cost = np.array([float(rng.randrange(9)) for _ in range(200)])
     won = assignment.greedy(i, k, cost)
     assert len(set(i[won])) == len(won) == len(set(k[won]))
+
+
+def test_assignment_over_edges_alone():
+    """The sparse search finds as many edges at the same total as the table of costs."""
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n, m = rng.integers(1, 9, 2)
+        on = rng.random((n, m)) < 0.5
+        i, k = np.nonzero(on)
+        if not len(i):
+            continue
+        cost = rng.integers(-2, 6, len(i)) / 2.0
+        table = np.full((n, m), 1000.0)
+        table[i, k] = cost
+        r, c = assignment.hungarian(table)
+        want = [table[p] for p in zip(r, c) if on[p]]
+        got = assignment.sparse(i, k, cost)
+        assert len(got) == len(want) and cost[got].sum() == pytest.approx(sum(want))
+        assert len(set(i[got])) == len(set(k[got])) == len(got)
