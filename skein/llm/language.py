@@ -15,7 +15,7 @@ from skein.llm.common import documents, lean, small_batches, store, utf8
 SAMPLE_CHARS = 40_000
 DOC_CHARS = 1_000
 #: Words whose phrase counts a Python worker keeps.
-STORE = 200_000
+STORE = 100_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -67,11 +67,11 @@ def words(text: str) -> list[str]:
 
 
 class Model:
-    """Automata of the languages. Words are parsed one by one, each with a blank before and after it."""
+    """Automata of the languages. Words are parsed one by one, each with a blank before and after it, so a word that repeats in the labelled text adds no match and is taken once."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        self.automata = [suffix_automaton(" " + " ".join(words(texts[x])) + " ") for x in self.langs]
+        self.automata = [suffix_automaton(" " + " ".join(dict.fromkeys(words(texts[x]))) + " ") for x in self.langs]
         self.known: dict[str, tuple[int, ...]] = {}
 
     def predict(self, text: str) -> tuple[str, float]:
