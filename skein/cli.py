@@ -116,15 +116,15 @@ def warmup(args) -> None:
     frames = [r["frame"] for r in points.select("frame").distinct().orderBy("frame").limit(args.frames).collect()]
     points = points.where(F.col("frame").isin(frames))
 
-    def agree(edges):
-        back = trackers.resolve("priority_segment_3d")(points.withColumn("frame", -F.col("frame")), half=agree.half)
+    def agree(found):
+        half, edges = found
+        back = trackers.resolve("priority_segment_3d")(points.withColumn("frame", -F.col("frame")), half=half)
         turned = back.select((-F.col("frame") - 1).alias("frame"), F.col("k").alias("i"), F.col("i").alias("k"))
         both, n = edges.join(turned, ["frame", "i", "k"]).count(), edges.count()
         return both * both / n if n else 0.0
 
     def run(p):
-        agree.half = p["half"]
-        return trackers.resolve("priority_segment_3d")(points, **p)
+        return p["half"], trackers.resolve("priority_segment_3d")(points, **p)
 
     best, tried = advice.search(spark, {"half": [args.start * 1.5**k for k in range(8)]}, run, agree)
     print(best, f"of {len(tried)} tried")
