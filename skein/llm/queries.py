@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "vectors", "lines", "mixing", "quality", "html", "neardup", "substrings", "sharding", "language")
+MODULES = ("packing", "vectors", "lines", "mixing", "quality", "html", "neardup", "substrings", "sharding", "language", "urls", "phrases", "alignment")
 
 
 def _gather(what: str) -> dict:
