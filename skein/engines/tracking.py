@@ -126,30 +126,36 @@ def march(frames: list[np.ndarray], step) -> list[np.ndarray]:
 
 
 def cascade(frames, half=(2.0, 2.0, 2.0), gate: float | None = None, **more) -> list[np.ndarray]:
-    """The three-level cascade over a chunk; unless given, the gate of level 3 is 1 in frames of 50 points or more and off in others."""
-    return march(frames, lambda x0, x1, prev, x2, x3: cascade_step(x0, x1, prev, x2, half, (1.0 if len(x1) >= 50 else 0.0) if gate is None else gate, **more))
+    """The three-level cascade over a chunk."""
+    return march(frames, cascade_link(half, gate, **more))
 
 
 def four_be(frames, half=(2.0, 2.0, 2.0), strict: bool = False, greedy: bool = False) -> list[np.ndarray]:
-    return march(frames, lambda x0, x1, prev, x2, x3: four_be_step(x0, x1, prev, x2, x3, half, strict, greedy))
+    return march(frames, four_be_link(half, strict, greedy))
+
+
+def back_step(x0, x1, x2, into: np.ndarray, out: np.ndarray, half, accel: float, angle: float = 0.0) -> np.ndarray:
+    """Next rows of x0 (into: those it has) with the links that the points of x1 without prev but with next (out, rows of x2) take backwards:
+    they go back at their velocity to the nearest free point of x0 within accel, cheapest first."""
+    nxt = into.copy()
+    rows = np.flatnonzero((_turned(into, len(x1)) < 0) & (out >= 0))
+    free = np.flatnonzero(into < 0)
+    i, k, d = candidates(2 * x1[rows] - x2[out[rows]], x0[free], half)
+    v1, v2 = x1[rows[i]] - x0[free[k]], x2[out[rows[i]]] - x1[rows[i]]
+    with np.errstate(all="ignore"):
+        gon = np.where(_norm(v1) * _norm(v2) > 0, np.arccos(np.clip((v1 * v2).sum(1) / (_norm(v1) * _norm(v2)), -1, 1)) * 200 / np.pi, 0.0)
+    ok = ((d < accel) & ((gon < angle) | (angle <= 0))) | (d < accel / 10)
+    i, k, d = i[ok], k[ok], d[ok]
+    won = assignment.greedy(i, k, d)
+    nxt[free[k[won]]] = rows[i[won]]
+    return nxt
 
 
 def back(frames, forward: list[np.ndarray], half, accel: float, angle: float = 0.0) -> list[np.ndarray]:
-    """Links that a pass backwards adds: points without prev but with next go back at their velocity to the nearest free point within accel."""
+    """Links of all frames after a pass backwards."""
     nxt = [x.copy() for x in forward]
     for t in range(len(frames) - 2, 0, -1):
-        prev = _turned(nxt[t - 1], len(frames[t]))
-        rows = np.flatnonzero((prev < 0) & (nxt[t] >= 0))
-        free = np.flatnonzero(nxt[t - 1] < 0)
-        at = 2 * frames[t][rows] - frames[t + 1][nxt[t][rows]]
-        i, k, d = candidates(at, frames[t - 1][free], half)
-        v1, v2 = frames[t][rows[i]] - frames[t - 1][free[k]], frames[t + 1][nxt[t][rows[i]]] - frames[t][rows[i]]
-        with np.errstate(all="ignore"):
-            gon = np.where(_norm(v1) * _norm(v2) > 0, np.arccos(np.clip((v1 * v2).sum(1) / (_norm(v1) * _norm(v2)), -1, 1)) * 200 / np.pi, 0.0)
-        ok = ((d < accel) & ((gon < angle) | (angle <= 0))) | (d < accel / 10)
-        i, k, d = i[ok], k[ok], d[ok]
-        won = assignment.greedy(i, k, d)
-        nxt[t - 1][free[k[won]]] = rows[i[won]]
+        nxt[t - 1] = back_step(frames[t - 1], frames[t], frames[t + 1], nxt[t - 1], nxt[t], half, accel, angle)
     return nxt
 
 
@@ -159,52 +165,96 @@ def multi_term(distance, v, a, di, dt: float, weights) -> np.ndarray:
     return w[0] * distance + w[1] * v / dt + w[2] * a / (dt * dt) + w[3] * np.abs(di)
 
 
-def nearest_assignment(frames, v_max: float = 10.0, a_max: float = 50.0, max_gap: int = 2, dt: float = 0.1, max_angle: float | None = None, weights=None) -> list[list[tuple[int, int]]]:
-    """Tracks, lists of (frame, row), of two points or more: constant velocity and least total distance.
+class Nearest:
+    """Constant velocity and least total distance, frame by frame.
 
     A track of one point looks v_max around it, a longer one a_max around where its velocity takes it; after max_gap frames without a point it ends.
     Matches that turn by more than max_angle degrees are dropped after the assignment. A frame without points or without tracks ends all tracks.
     """
-    done: list[list[tuple[int, int]]] = []
-    tracks: list[dict] = [{"at": [(0, r)], "x": p, "v": np.zeros(3), "gap": 0} for r, p in enumerate(frames[0])] if frames else []
-    for f in range(1, len(frames)):
-        points = frames[f]
-        new = lambda rows: [{"at": [(f, int(r))], "x": points[r], "v": np.zeros(3), "gap": 0} for r in rows]  # noqa: E731, B023
-        if not tracks or not len(points):
-            done += [t["at"] for t in tracks]
-            tracks = new(range(len(points)))
-            continue
-        x, v = np.array([t["x"] for t in tracks]), np.array([t["v"] for t in tracks])
-        seeded = np.array([len(t["at"]) > 1 for t in tracks])
+
+    behind = ahead = 0
+
+    def __init__(self, v_max: float = 10.0, a_max: float = 50.0, max_gap: int = 2, dt: float = 0.1, max_angle: float | None = None, weights=None):
+        self.v_max, self.a_max, self.max_gap, self.dt, self.max_angle, self.weights = v_max, a_max, max_gap, dt, max_angle, weights
+
+    def blank(self) -> dict[str, np.ndarray]:
+        return _open(np.empty(0, int), np.empty((0, 3)), 0) | {"gap": np.empty(0, int)}
+
+    def step(self, state, t: int, frames):
+        ids, points, _ = frames(t)
+        new = lambda rows: _open(ids[rows], points[rows], t) | {"gap": np.zeros(len(rows), int)}
+        n = len(state["t"])
+        if not n or not len(points):
+            return new(np.arange(len(points))), NO_EDGES
+        x, v, seeded = state["x"], state["v"], state["n"] > 1
         at = np.where(seeded[:, None], x + v, x)
-        radius = np.where(seeded, a_max, v_max)
+        radius = np.where(seeded, self.a_max, self.v_max)
         i, k, d2 = cells.within(at, points, float(radius.max()))
         near = np.sqrt(d2) <= radius[i]
         i, k, d = i[near], k[near], np.sqrt(d2[near])
-        cost = d if weights is None else multi_term(d, d, d, 0.0, dt, weights)
-        won = assignment.best(i, k, cost)
-        if max_angle is not None and len(won):
-            step = points[k[won]] - x[i[won]]
-            n, m = _norm(step), _norm(v[i[won]])
+        won = assignment.best(i, k, d if self.weights is None else multi_term(d, d, d, 0.0, self.dt, self.weights))
+        i, k = i[won], k[won]
+        if self.max_angle is not None and len(i):
+            step = points[k] - x[i]
+            a, b = _norm(step), _norm(v[i])
             with np.errstate(all="ignore"):
-                angle = np.degrees(np.arccos(np.clip((step * v[i[won]]).sum(1) / (n * m), -1, 1)))
-            won = won[~(seeded[i[won]] & (m > 1e-9) & (n > 1e-9) & (angle > max_angle))]
-        hit = dict(zip(i[won].tolist(), k[won].tolist()))
-        alive = []
-        for n, t in enumerate(tracks):
-            if n in hit:
-                p = points[hit[n]]
-                t["v"] = (p - t["x"]) / max((f - t["at"][-1][0]) * dt, 1e-6)
-                t["x"], t["gap"] = p, 0
-                t["at"].append((f, hit[n]))
-                alive.append(t)
-            elif t["gap"] < max_gap:
-                t["gap"] += 1
-                alive.append(t)
-            else:
-                done.append(t["at"])
-        tracks = alive + new(sorted(set(range(len(points))) - set(hit.values())))
-    return [t for t in [*done, *[t["at"] for t in tracks]] if len(t) > 1]
+                angle = np.degrees(np.arccos(np.clip((step * v[i]).sum(1) / (a * b), -1, 1)))
+            kept = ~(seeded[i] & (b > 1e-9) & (a > 1e-9) & (angle > self.max_angle))
+            i, k = i[kept], k[kept]
+        edges = np.stack([state["t"][i], state["id"][i], t - state["t"][i], ids[k]], 1)
+        moved = {"t": np.full(len(i), t), "id": ids[k], "x": points[k], "v": (points[k] - x[i]) / np.maximum((t - state["t"][i]) * self.dt, 1e-6)[:, None], "n": np.full(len(i), 2), "gap": np.zeros(len(i), int)}
+        stay = np.ones(n, bool)
+        stay[i] = False
+        stay &= state["gap"] < self.max_gap
+        waiting = {c: w[stay] for c, w in state.items()}
+        waiting["gap"] = waiting["gap"] + 1
+        return _joined(waiting, moved, new(np.setdiff1d(np.arange(len(points)), k))), edges
+
+
+NO_EDGES = np.empty((0, 4), int)
+
+
+def _open(ids: np.ndarray, x: np.ndarray, t: int) -> dict[str, np.ndarray]:
+    """Tracks that begin with these points."""
+    return {"t": np.full(len(ids), t), "id": np.asarray(ids, int), "x": x, "v": np.zeros((len(ids), 3)), "n": np.ones(len(ids), int)}
+
+
+def _joined(*parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Open tracks in order of their last point, whatever way they came to be open."""
+    whole = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    order = np.lexsort((whole["id"], whole["t"]))
+    return {c: v[order] for c, v in whole.items()}
+
+
+def run(stepper, frames: list[np.ndarray], extras: list[dict] | None = None) -> np.ndarray:
+    """Edges (frame, row, step, row) of a stepper over all frames, one after the other."""
+    nothing = np.empty(0, int), np.empty((0, 3)), {}
+
+    def at(t):
+        return (np.arange(len(frames[t])), frames[t], extras[t] if extras else {}) if 0 <= t < len(frames) else nothing
+
+    state, out = stepper.blank(), [NO_EDGES]
+    for t in range(len(frames)):
+        state, edges = stepper.step(state, t, at)
+        out.append(edges)
+    return np.concatenate(out)
+
+
+def chains(edges: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Tracks, lists of (frame, row), of edges (frame, row, step, row) each end of which is used once."""
+    after = {(f, i): (f + s, k) for f, i, s, k in edges.tolist()}
+    out = []
+    for at in sorted(after.keys() - set(after.values())):
+        track = [at]
+        while (at := after.get(at)) is not None:
+            track.append(at)
+        out.append(track)
+    return out
+
+
+def nearest_assignment(frames, *a, **more) -> list[list[tuple[int, int]]]:
+    """Tracks of two points or more of Nearest over all frames."""
+    return chains(run(Nearest(*a, **more), frames))
 
 
 def hybrid(frames, stride: int = 5, v_max: float = 10.0, a_max: float = 50.0, max_angle: float | None = None, gate: float = 0.8) -> list[list[tuple[int, int]]]:
@@ -216,31 +266,32 @@ def hybrid(frames, stride: int = 5, v_max: float = 10.0, a_max: float = 50.0, ma
     coarse = sorted({*range(0, n, stride), n - 1})
     seed = (stride - 1) * v_max + 0.5 * a_max * stride**2
     found = nearest_assignment([frames[t] for t in coarse], v_max * stride, max(seed, a_max), 0, float(stride), max_angle)
-    tracks, wants = [], [[] for _ in frames]  # wants: (place of the node, track, point wanted) of each frame between, in order of tracks
+    tracks, wants = [], [[] for _ in frames]  # wants: (place of the node, track, point wanted, the coarse point before) of each frame between, in order of the coarse points
     for number, track in enumerate(found):
         at = [(coarse[t], r) for t, r in track]
         x, t = np.array([frames[f][r] for f, r in at]), np.array([f for f, _ in at], float)
         v = np.diff(x, axis=0) / np.diff(t)[:, None]
         v = np.vstack([v, v[-1:]])
         nodes: list[tuple[int, int] | None] = []
-        for (fa, ra), (fb, _), pa, pb, va, vb in zip(at, at[1:], x, x[1:], v, v[1:]):
+        for (fa, ra), (fb, _), pa, pb, va, vb in zip(at, at[1:], x, x[1:], v, v[1:], strict=False):
             nodes.append((fa, ra))
             long = fb - fa
             for f in range(fa + 1, fb):
                 s = (f - fa) / long
                 a, b = va if va.any() else (pb - pa) / long, vb if vb.any() else (pb - pa) / long
-                wants[f].append((len(nodes), number, (2 * s**3 - 3 * s**2 + 1) * pa + (s**3 - 2 * s**2 + s) * a * long + (3 * s**2 - 2 * s**3) * pb + (s**3 - s**2) * b * long))
+                wants[f].append((len(nodes), number, (2 * s**3 - 3 * s**2 + 1) * pa + (s**3 - 2 * s**2 + s) * a * long + (3 * s**2 - 2 * s**3) * pb + (s**3 - s**2) * b * long, (fa, ra)))
                 nodes.append(None)
         tracks.append([*nodes, at[-1]])
     for f, asked in enumerate(wants):
         if not asked or not len(frames[f]):
             continue
-        i, k, d2 = cells.within(np.array([p for *_, p in asked]), frames[f], gate)
+        asked.sort(key=lambda w: w[3])
+        i, k, d2 = cells.within(np.array([w[2] for w in asked]), frames[f], gate)
         used, done = np.zeros(len(frames[f]), bool), np.zeros(len(asked), bool)
         for e in np.lexsort((k, d2, i)):
             if not done[i[e]] and not used[k[e]]:
                 done[i[e]] = used[k[e]] = True
-                place, number, _ = asked[i[e]]
+                place, number = asked[i[e]][:2]
                 tracks[number][place] = (f, int(k[e]))
     out = []
     for nodes in tracks:
@@ -297,37 +348,113 @@ def two_phase_match(pred, points, pred_xy, xy, radius: float, cfg: TwoPhase, see
     return i[won], k[won]
 
 
+class TwoPhaseStep:
+    """Tracks of constant velocity that may miss max_gap - 1 frames, matched frame by frame; a frame's extras may hold xy, ghost and logb."""
+
+    behind = ahead = 0
+
+    def __init__(self, cfg: TwoPhase, project=None):
+        self.cfg, self.project = cfg, project
+
+    def blank(self) -> dict[str, np.ndarray]:
+        return _open(np.empty(0, int), np.empty((0, 3)), 0)
+
+    def step(self, state, t: int, frames):
+        cfg = self.cfg
+        ids, points, extra = frames(t)
+        ghost, logb, xy = extra.get("ghost"), extra.get("logb"), extra.get("xy")
+        keep = t - state["t"] <= cfg.max_gap
+        state = {c: v[keep] for c, v in state.items()}
+        i = k = np.empty(0, int)
+        if len(state["t"]) and len(points):
+            gap = (t - state["t"]).astype(float)
+            pred = state["x"] + state["v"] * gap[:, None] * cfg.dt if cfg.use_velocity else state["x"]
+            young = state["n"] < cfg.q_young if ghost is not None and cfg.q_young else None
+            logb0 = state.get("logb") if logb is not None and cfg.blob_gate else None
+            xy = np.empty((len(points), 0, 2)) if xy is None else xy
+            i, k = two_phase_match(pred, points, self.project(pred) if self.project else None, xy, cfg.v_max, cfg, ghost=ghost, young=young, logb0=logb0, logb1=logb)
+        edges = np.stack([state["t"][i], state["id"][i], t - state["t"][i], ids[k]], 1)
+        moved = {"t": np.full(len(i), t), "id": ids[k], "x": points[k], "v": (points[k] - state["x"][i]) / ((t - state["t"][i]) * cfg.dt)[:, None], "n": np.minimum(state["n"][i] + 1, max(cfg.q_young, 2))}
+        fresh = np.setdiff1d(np.arange(len(points)), k)
+        if ghost is not None and cfg.q_seed is not None:
+            fresh = fresh[ghost[fresh] <= cfg.q_seed]
+        began = _open(ids[fresh], points[fresh], t)
+        if logb is not None:
+            moved, began = moved | {"logb": logb[k]}, began | {"logb": logb[fresh]}
+            state.setdefault("logb", np.empty((0, logb.shape[1])))
+        waits = np.ones(len(state["t"]), bool)
+        waits[i] = False
+        return _joined({c: v[waits] for c, v in state.items()}, moved, began), edges
+
+
 def two_phase(frames, cfg: TwoPhase, xy=None, project=None, ghost=None, logb=None) -> list[tuple[int, int, int, int]]:
-    """Edges (frame, row, frame, row) of tracks with constant velocity that may miss max_gap - 1 frames."""
+    """Edges (frame, row, frame, row) of TwoPhaseStep over all frames, with bidirectional both ways."""
     if cfg.bidirectional:
         turn = lambda v: None if v is None else v[::-1]
         one = TwoPhase(**{**cfg.__dict__, "bidirectional": False})
         last = len(frames) - 1
         backward = [(last - b, s, last - a, r) for a, r, b, s in two_phase(frames[::-1], one, turn(xy), project, turn(ghost), turn(logb))]
         return merge_directions(two_phase(frames, one, xy, project, ghost, logb), backward, frames)
-    tracks = [{"t": 0, "r": r, "x": p, "v": np.zeros(3), "n": 1} for r, p in enumerate(frames[0])] if frames else []
-    out = []
-    for t in range(1, len(frames)):
-        points = frames[t]
-        tracks = [x for x in tracks if t - x["t"] <= cfg.max_gap]
-        hit: dict[int, int] = {}
-        if tracks and len(points):
-            gap = np.array([t - x["t"] for x in tracks], float)
-            at, v = np.array([x["x"] for x in tracks]), np.array([x["v"] for x in tracks])
-            pred = at + v * gap[:, None] * cfg.dt if cfg.use_velocity else at
-            young = np.array([x["n"] < cfg.q_young for x in tracks]) if ghost is not None and cfg.q_young else None
-            logb0 = np.array([logb[x["t"]][x["r"]] for x in tracks]) if logb is not None and cfg.blob_gate else None
-            i, k = two_phase_match(pred, points, project(pred) if project else None, xy[t] if xy is not None else np.empty((len(points), 0, 2)), cfg.v_max, cfg, ghost=None if ghost is None else ghost[t], young=young, logb0=logb0, logb1=None if logb is None else logb[t])
-            hit = dict(zip(i.tolist(), k.tolist()))
-        for n, x in enumerate(tracks):
-            if n in hit:
-                out.append((x["t"], x["r"], t, hit[n]))
-                x["v"] = (points[hit[n]] - x["x"]) / ((t - x["t"]) * cfg.dt)
-                x.update(x=points[hit[n]], t=t, r=hit[n], n=x["n"] + 1)
-        for r in sorted(set(range(len(points))) - set(hit.values())):
-            if ghost is None or cfg.q_seed is None or ghost[t][r] <= cfg.q_seed:
-                tracks.append({"t": t, "r": r, "x": points[r], "v": np.zeros(3), "n": 1})
-    return out
+    named = {"xy": xy, "ghost": ghost, "logb": logb}
+    extras = [{c: v[t] for c, v in named.items() if v is not None} for t in range(len(frames))]
+    return [(f, i, f + s, k) for f, i, s, k in run(TwoPhaseStep(cfg, project), frames, extras).tolist()]
+
+
+class March:
+    """A tracker of pairs of frames (cascade_step, four_be_step) as steps: the state is what links into the frame."""
+
+    behind, ahead = 1, 2
+
+    def __init__(self, link):
+        self.link = link  # (x0, x1, prev1, x2, x3) -> next rows
+
+    def blank(self) -> dict[str, np.ndarray]:
+        return {"id": np.empty(0, int), "prev": np.empty(0, int)}
+
+    def step(self, state, t: int, frames):
+        (ids0, x0, _), (ids1, x1, _), (ids2, x2, _), (_, x3, _) = (frames(t + d) for d in (-1, 0, 1, 2))
+        prev = np.full(len(ids1), NONE)
+        prev[np.searchsorted(ids1, state["id"])] = np.searchsorted(ids0, state["prev"])
+        nxt = self.link(x0, x1, prev, x2, x3) if len(ids2) else np.full(len(ids1), NONE)
+        i = np.flatnonzero(nxt >= 0)
+        k = nxt[i]
+        edges = np.stack([np.full(len(i), t), ids1[i], np.ones(len(i), int), ids2[k]], 1) if len(i) else NO_EDGES
+        order = np.argsort(k)
+        return {"id": ids2[k[order]].astype(int), "prev": ids1[i[order]].astype(int)}, edges
+
+
+def cascade_link(half=(2.0, 2.0, 2.0), gate: float | None = None, **more):
+    """The step of the cascade; unless given, the gate of level 3 is 1 in frames of 50 points or more and off in others."""
+    return lambda x0, x1, prev, x2, x3: cascade_step(x0, x1, prev, x2, half, (1.0 if len(x1) >= 50 else 0.0) if gate is None else gate, **more)
+
+
+def four_be_link(half=(2.0, 2.0, 2.0), strict: bool = False, greedy: bool = False):
+    return lambda x0, x1, prev, x2, x3: four_be_step(x0, x1, prev, x2, x3, half, strict, greedy)
+
+
+class Back:
+    """The pass backwards as steps over turned time (frame -t stands for t): the state is the links out of the frame, extras hold the forward next as ids (-1: none)."""
+
+    behind = ahead = 1
+
+    def __init__(self, half, accel: float, angle: float = 0.0):
+        self.half, self.accel, self.angle = half, accel, angle
+
+    def blank(self) -> dict[str, np.ndarray]:
+        return {"id": np.empty(0, int), "next": np.empty(0, int)}
+
+    def step(self, state, t: int, frames):
+        (ids2, x2, _), (ids1, x1, _), (ids0, x0, extra) = (frames(t + d) for d in (-1, 0, 1))
+        forward = np.asarray(extra.get("next", np.empty(0, int)), int)
+        into = np.full(len(ids0), NONE)
+        linked = np.flatnonzero(forward >= 0)
+        into[linked] = np.searchsorted(ids1, forward[linked])
+        out = np.full(len(ids1), NONE)
+        out[np.searchsorted(ids1, state["id"])] = np.searchsorted(ids2, state["next"])
+        nxt = back_step(x0, x1, x2, into, out, self.half, self.accel, self.angle)
+        i = np.flatnonzero(nxt >= 0)
+        edges = np.stack([np.full(len(i), -t - 1), ids0[i], np.ones(len(i), int), ids1[nxt[i]]], 1) if len(i) else NO_EDGES
+        return {"id": ids0[i].astype(int), "next": ids1[nxt[i]].astype(int)}, edges
 
 
 def merge_directions(forward, backward, frames) -> list[tuple[int, int, int, int]]:

@@ -1,7 +1,7 @@
 """Trackers on point tables (frame, id, x, y, z): each pair of frames, or each chunk of frames, is one grouped task.
 
 A frame holds what the cameras resolve, so a pair of frames is bounded; a run has as many tasks as frames or chunks. Trackers that look back work on chunks
-of consecutive frames that overlap, as their state can't be cut elsewhere; linkage.stitch_chunks joins the chunks.
+of consecutive frames that overlap (linkage.stitch_chunks joins the chunks) or, exactly, in windows that carry their state (skein.operators.windows).
 """
 
 from __future__ import annotations
@@ -160,28 +160,6 @@ def linkage_of(points: DataFrame, edges: DataFrame) -> DataFrame:
     return ln.with_edges(blank, edges)
 
 
-def mht_relink(linkage: DataFrame, window: int = 3, tol: float = 2.0) -> DataFrame:
-    """Linkage with links made anew by multi-hypothesis windows (tracking.mht); one chunk, since each window sees the links of the one before."""
-
-    def run(rows, lo, hi):
-        import pandas as pd
-
-        first, x, ids, (prev, nxt) = _by_frame(rows, ("prev", "next"))
-        at = [dict(zip(v.tolist(), range(len(v)))) for v in ids]
-        row = lambda values, there: np.array([there.get(v, -1) if v == v else -1 for v in values], dtype=int) if len(values) else np.empty(0, int)
-        none: dict = {}
-        p = [row(v, at[t - 1] if t else none) for t, v in enumerate(prev)]
-        n = [row(v, at[t + 1] if t + 1 < len(at) else none) for t, v in enumerate(nxt)]
-        p, n, _, _ = tracking.mht(x, p, n, window, tol)
-        out = []
-        for t, v in enumerate(ids):
-            name = lambda rows_, there: [int(there[r]) if r >= 0 else None for r in rows_]
-            out.append(pd.DataFrame({"frame": first + t, "id": v, "prev": pd.array(name(p[t], ids[t - 1] if t else []), "Int64"), "next": pd.array(name(n[t], ids[t + 1] if t + 1 < len(ids) else []), "Int64"), "x": x[t][:, 0], "y": x[t][:, 1], "z": x[t][:, 2]}))
-        return pd.concat(out)
-
-    return by_chunks(linkage, run, "frame long, id long, prev long, next long, x double, y double, z double")
-
-
 def neighbour_flow(points: DataFrame, known: DataFrame, half: float) -> DataFrame:
     """(frame, id, n, vx, vy, vz): mean velocity of points of known velocity (frame, id, vx, vy, vz, x, y, z) strictly inside the box around each point, itself excepted."""
     from skein.operators import spatial

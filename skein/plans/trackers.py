@@ -13,7 +13,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.engines import tracking as engine
-from skein.operators import linkage, tracking
+from skein.operators import linkage, tracking, windows
 
 
 class SequencePlugin(Protocol):
@@ -115,28 +115,27 @@ def apply_preset(name: str, track: dict, plugins: dict | None = None, custom: st
 
 
 def cascade_3d(points: DataFrame, half=2.0, frames: int | None = None, **more) -> DataFrame:
-    return tracking.track(points, lambda x: engine.cascade(x, half, **more), frames)
+    return windows.cascade(points, half, frames=frames or windows.FRAMES, **more)
 
 
 def four_be(points: DataFrame, half=2.0, frames: int | None = None, **more) -> DataFrame:
-    return tracking.track(points, lambda x: engine.four_be(x, half, **more), frames)
+    return windows.four_be(points, half, frames=frames or windows.FRAMES, **more)
 
 
 def two_directional(points: DataFrame, half=2.0, dacc: float = 1.0, angle: float = 0.0, frames: int | None = None) -> DataFrame:
-    return tracking.track(points, lambda x: engine.back(x, engine.cascade(x, half), half, dacc, angle), frames)
+    return windows.two_directional(points, half, dacc, angle, frames or windows.FRAMES)
 
 
 def nearest_assignment(points: DataFrame, frames: int | None = None, **more) -> DataFrame:
-    return tracking.track_edges(points, lambda x: engine.nearest_assignment(x, **more), frames)
+    return windows.nearest_assignment(points, frames or windows.FRAMES, **more)
 
 
 def hybrid(points: DataFrame, frames: int | None = None, **more) -> DataFrame:
-    return tracking.track_edges(points, lambda x: engine.hybrid(x, **more), frames)
+    return windows.hybrid(points, frames=frames or windows.FRAMES, **more)
 
 
 def two_phase(points: DataFrame, frames: int | None = None, **more) -> DataFrame:
-    cfg = engine.TwoPhase(**more)
-    return tracking.track_edges(points, lambda x: engine.two_phase(x, cfg), frames)
+    return windows.two_phase(points, engine.TwoPhase(**more), frames or windows.FRAMES)
 
 
 def full_multipass(points: DataFrame, half=2.0, dacc: float = 1.0, max_gap: int = 2, frames: int | None = None) -> DataFrame:

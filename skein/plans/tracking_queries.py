@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.engines import tracking as engine
-from skein.operators import kinematics, linking, metrics, reports, spatial, tracking
+from skein.operators import kinematics, linking, metrics, reports, spatial, tracking, windows
 from skein.plans.catalogue import query
 from skein.sources import binding
 
@@ -82,71 +82,63 @@ def link_neighbour_flow_l2(spark, sf_dir):
     return tracking.link_predicted(ahead, _points(spark, sf_dir), _HALF).withColumn("cost", F.round("cost", 6))
 
 
+# Windows of two frames: small, so that even this short run has several whose states are carried on.
+_FRAMES = 2
+
+
 @query("cascade_track")
 def cascade_track(spark, sf_dir):
-    """All three levels over whole runs; held against a plain sequential version in pytest."""
-    return tracking.track(_points(spark, sf_dir), lambda x: engine.cascade(x, 0.75))
+    """All three levels over whole runs; windows are held against one sequential pass in pytest, the steps against plain loops."""
+    return windows.cascade(_points(spark, sf_dir), 0.75, frames=_FRAMES)
 
 
 @query("cascade_track_chunks")
 def cascade_track_chunks(spark, sf_dir):
+    """Chunks that overlap, with no state carried."""
     return tracking.track(_points(spark, sf_dir), lambda x: engine.cascade(x, 0.75), frames=4, overlap=2)
 
 
 @query("link_4be")
 def link_4be(spark, sf_dir):
-    """Best estimate over four frames; held against a plain version in pytest."""
-    return tracking.track(_points(spark, sf_dir), lambda x: engine.four_be(x, 0.75))
+    """Best estimate over four frames."""
+    return windows.four_be(_points(spark, sf_dir), 0.75, frames=_FRAMES)
 
 
 @query("track_back")
 def track_back(spark, sf_dir):
-    return tracking.track(_points(spark, sf_dir), lambda x: engine.back(x, engine.cascade(x, 0.75), 0.75, 0.5))
+    return windows.two_directional(_points(spark, sf_dir), 0.75, 0.5, frames=_FRAMES)
 
 
 @query("nearest_assignment_track")
 def nearest_assignment_track(spark, sf_dir):
-    return tracking.track_edges(_points(spark, sf_dir), lambda x: engine.nearest_assignment(x, 0.9, 0.4, 1, 1.0))
+    return windows.nearest_assignment(_points(spark, sf_dir), frames=_FRAMES, v_max=0.9, a_max=0.4, max_gap=1, dt=1.0)
 
 
 @query("two_phase_track")
 def two_phase_track(spark, sf_dir):
-    return tracking.track_edges(_points(spark, sf_dir), lambda x: engine.two_phase(x, engine.TwoPhase(v_max=0.9, max_gap=2)))
+    return windows.two_phase(_points(spark, sf_dir), engine.TwoPhase(v_max=0.9, max_gap=2), frames=_FRAMES)
 
 
 @query("two_phase_bidirectional")
 def two_phase_bidirectional(spark, sf_dir):
-    return tracking.track_edges(_points(spark, sf_dir), lambda x: engine.two_phase(x, engine.TwoPhase(v_max=0.9, bidirectional=True)))
+    return windows.two_phase(_points(spark, sf_dir), engine.TwoPhase(v_max=0.9, bidirectional=True), frames=_FRAMES)
 
 
 @query("hybrid_track")
 def hybrid_track(spark, sf_dir):
-    return tracking.track_edges(_points(spark, sf_dir), lambda x: engine.hybrid(x, 3, 0.3, 0.1, gate=0.5))
+    return windows.hybrid(_points(spark, sf_dir), 3, 0.3, 0.1, gate=0.5, frames=_FRAMES)
 
 
 @query("mht_relink")
 def mht_relink(spark, sf_dir):
-    rows = tracking.mht_relink(binding.linkage(spark, sf_dir, faults=False).drop("pid"), 3, 0.5)
+    rows = windows.mht_relink(binding.linkage(spark, sf_dir, faults=False).drop("pid"), 3, 0.5)
     return rows.withColumns({"prev": F.coalesce("prev", F.lit(-1)), "next": F.coalesce("next", F.lit(-2))})
 
 
 @query("shared_observations")
 def shared_observations(spark, sf_dir):
     """Points that several tracks would claim, with the claimants."""
-
-    def run(rows, lo, hi):
-        import numpy as np
-        import pandas as pd
-
-        first, x, ids, (prev, nxt) = tracking._by_frame(rows, ("prev", "next"))
-        row = lambda v, there: np.array([there.get(a, -1) if a == a else -1 for a in v], dtype=int)
-        at = [dict(zip(v.tolist(), range(len(v)))) for v in ids]
-        p = [row(v, at[t - 1] if t else {}) for t, v in enumerate(prev)]
-        n = [row(v, at[t + 1] if t + 1 < len(at) else {}) for t, v in enumerate(nxt)]
-        out = [(first + f, ids[f][r], first + g, ids[g][s]) for f, r, g, s in engine.shared_points(x, p, n, 0.5)]
-        return pd.DataFrame(out, columns=["frame", "id", "by_frame", "by_id"]).astype("int64")
-
-    return tracking.by_chunks(binding.linkage(spark, sf_dir, faults=False), run, "frame long, id long, by_frame long, by_id long")
+    return windows.shared_points(binding.linkage(spark, sf_dir, faults=False), 0.5, frames=_FRAMES)
 
 
 @query("assignment_hungarian")

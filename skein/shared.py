@@ -1,8 +1,10 @@
-"""The cluster's shared folder, reliable checkpoints and exact quantiles."""
+"""The cluster's shared folder, tables and checkpoints in it that go with the application, and exact quantiles."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,25 @@ from pyspark.sql import functions as F
 BINS, FEW = 1024, 10_000
 
 
+_OURS: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clean() -> None:
+    for spark, path in _OURS:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended already; the folder is the cluster's to clean
+            return
+
+
+atexit.register(_clean)
+
+
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the checkpoint folder that is set already; a folder of this machine only where Spark runs on it alone."""
     sc = spark.sparkContext
@@ -24,9 +45,35 @@ def folder(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="skein-")
     if not current.isDefined():
         sc.setCheckpointDir(found)
+        _OURS.append((spark, sc._jsc.sc().getCheckpointDir().get()))  # a folder of this application's own below
     return found.rstrip("/")
 
 
+def place(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the shared folder, for tables, stores and streams; what lies there goes when the application ends."""
+    path = f"{folder(spark)}/skein-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+    _OURS.append((spark, path))
+    return path
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = place(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_skein_path", None)
+        if path:
+            _OURS[:] = [m for m in _OURS if m[1] != path]
+            _delete(df.sparkSession, path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     folder(df.sparkSession)
