@@ -1,8 +1,9 @@
-"""Operator 12, phrase collocations: candidates in a minimal perfect hash, counted as numpy arrays that are summed in a tree, cuts read by slot.
+"""Operator 12, phrase collocations: candidates in minimal perfect hashes, counted as numpy arrays that are summed in a tree, cuts read by slot.
 
 Phrases are known by 64-bit keys of their words' 64-bit hashes (which hold the language). Level by level, as Apriori says, only phrases whose first and last
-part are frequent become candidates. Their keys go into minimal perfect hashes of a bounded number of keys each; a mapper looks a phrase up, compares the stored
-key, and adds to the slot of an array. Arrays come back in blocks, summed in a tree. Nothing but one hash and its counts (some 20 MB) is ever on the driver or broadcast.
+part are frequent become candidates: mappers look the parts up in the perfect hash of the level before, stored keys compared. What a mapper counts goes as arrays, cut
+by key, to the task that owns that part of the keys, where a perfect hash of its candidates gives the slots to add to. (An array over all candidates in every mapper, the
+plainer form, would grow with the corpus.) Nothing but one hash of frequent phrases and its counts (some 40 MB) is ever on the driver or broadcast.
 """
 
 from __future__ import annotations
@@ -17,16 +18,15 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import documents, forget, lean, mix, small_batches, store, table
 
-#: Keys of one perfect hash, slots of one block of counts, arrays summed by one node of the tree.
-SHARD, BLOCK, FAN = 1 << 20, 1 << 15, 32
-#: Words a Python worker keeps, entries of a mapper's table before it is handed on.
-STORE, HELD = 400_000, 300_000
+#: Keys of one perfect hash that is broadcast, occurrences of one part's arrays, branches of the tree that sums them.
+SHARD, PART, FAN = 1 << 21, 1 << 22, 16
+#: Words a Python worker keeps, entries of a mapper's arrays before they are handed on.
+STORE, HELD = 400_000, 1_000_000
 LEAST, LONGEST, TOP, SWALLOWED = 30, 4, 2000, 80
 _BREAK = b"\xff"  # never a byte of UTF-8
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
 _BELOW = np.array([[bin(b & ((1 << k) - 1)).count("1") for k in range(8)] for b in range(256)], "<i8")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_CANDIDATES = "key long, suffix long, lang string, words array<long>"
 
 
 class PerfectHash:
@@ -144,12 +144,13 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
 
 
 class Level:
-    """Perfect hashes of one length of phrases, each of at most about SHARD keys, with the counts by slot; a key's shard is its remainder."""
+    """Frequent phrases of one length in perfect hashes of some SHARD keys each, with the counts by slot; a key's shard is its remainder."""
 
-    def __init__(self, keys: DataFrame, counted: bool):
-        """keys: distinct key (and n if counted)."""
-        self.spark = keys.sparkSession
-        self.shards = max(1, -(-keys.count() // SHARD))
+    def __init__(self, found: DataFrame):
+        """found: distinct key, n."""
+        self.spark = found.sparkSession
+        size, self.total = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.shards = max(1, -(-size // SHARD))
 
         def build(rows):
             import pandas as pd
@@ -157,150 +158,163 @@ class Level:
             key = rows["key"].to_numpy().astype("<i8").view("<u8")
             made = PerfectHash(key)
             n = np.zeros(len(made.keys), "<i8")
-            if counted:
-                n[made.slots(key)] = rows["n"]
-            return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "made": [pickle.dumps(made)], "counts": [n.tobytes()]})
+            n[made.slots(key)] = rows["n"]
+            return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "made": [pickle.dumps((made, n))]})
 
         shard = F.pmod("key", F.lit(self.shards)).cast("int").alias("shard")
-        found = keys.select(shard, "key", (F.col("n") if counted else F.lit(0).cast("long")).alias("n"))
-        self.hashes = table(found.groupBy("shard").applyInPandas(build, "shard int, made binary, counts binary"))
-        self.counts: DataFrame | None = None
-
-    def hash(self, shard: int) -> tuple[PerfectHash, np.ndarray]:
-        row = self.hashes.where(F.col("shard") == shard).first()
-        if row is None:
-            return PerfectHash(np.zeros(0, "<u8")), np.zeros(0, "<i8")
-        made, counts = pickle.loads(row["made"]), np.frombuffer(row["counts"], "<i8").copy()
-        if self.counts is not None:
-            for block in self.counts.where(F.col("shard") == shard).collect():  # as many counts as the shard has keys
-                part = np.frombuffer(block["counts"], "<i8")
-                counts[block["block"] * BLOCK : block["block"] * BLOCK + len(part)] = part
-        return made, counts
+        self.hashes = table(found.select(shard, "key", "n").groupBy("shard").applyInPandas(build, "shard int, made binary"))
 
     @contextlib.contextmanager
     def loaded(self, shard: int):
-        sent = self.spark.sparkContext.broadcast(self.hash(shard))
+        """One shard's hash and counts, as a broadcast value."""
+        row = self.hashes.where(F.col("shard") == shard).first()
+        sent = self.spark.sparkContext.broadcast(pickle.loads(row["made"]) if row else (PerfectHash(np.zeros(0, "<u8")), np.zeros(0, "<i8")))
         yield sent
         sent.unpersist()
 
-    def count(self, docs: DataFrame, n: int) -> None:
-        """Count the phrases of n words: every task adds to arrays by slot, and a tree sums them."""
-
-        def counting(sent):
-            def run(batches):
-                import pandas as pd
-                from pyspark import TaskContext
-
-                made, _ = sent.value
-                counts = np.zeros(len(made.keys), "<i8")
-                for batch in batches:
-                    for lang, words in _words(batch):
-                        key, valid = keys_of(_hashes(lang, words), n)
-                        slots = made.slots(key[valid])
-                        slots, times = np.unique(slots[slots >= 0], return_counts=True)
-                        counts[slots] += times
-                parts = [(b // BLOCK, counts[b : b + BLOCK]) for b in range(0, len(counts), BLOCK)]
-                parts = [(b, x.tobytes()) for b, x in parts if x.any()]
-                if parts:
-                    task = TaskContext.get().partitionId()
-                    yield pd.DataFrame({"block": [b for b, _ in parts], "node": task, "counts": [x for _, x in parts]})
-
-            return run
-
-        def summed(rows):
-            import pandas as pd
 
-            total = sum((np.frombuffer(x, "<i8") for x in rows["counts"]), np.int64(0))
-            return pd.DataFrame({"block": [rows["block"].iloc[0]], "node": [rows["node"].iloc[0]], "counts": [total.tobytes()]})
-
-        kind, found = "block int, node int, counts binary", []
-        for shard in range(self.shards):
-            with self.loaded(shard) as sent:
-                arrays = table(_texts(docs).mapInPandas(lean(counting(sent)), kind))
-            nodes = (arrays.agg(F.max("node")).first()[0] or 0) + 1
-            tree = arrays
-            while True:
-                tree = tree.withColumn("node", (F.col("node") / FAN).cast("int")).groupBy("block", "node").applyInPandas(summed, kind)
-                nodes = -(-nodes // FAN)
-                if nodes == 1:
-                    break
-            found.append(table(tree.select(F.lit(shard).alias("shard"), "block", "counts")))
-            forget(arrays)
-        out = found[0]
-        for more in found[1:]:
-            out = out.union(more)
-        self.counts = out
-
-
-def candidates(docs: DataFrame, n: int, under: Level, least: int) -> DataFrame:
-    """Phrases of n words whose first and last n - 1 words are frequent: key, lang and the words' hashes."""
-
-    def emitting(sent, shard, shards):
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their sums: the keys get a minimal perfect hash, and every block adds to the slots of one array."""
+    made = PerfectHash(np.unique(np.concatenate(keys)) if keys else np.zeros(0, "<u8"))
+    total = np.zeros(len(made.keys), "<i8")
+    for key, n in zip(keys, counts, strict=True):
+        total[made.slots(key)] += n  # a block holds a key once
+    return made.keys, total
+
+
+def count(docs: DataFrame, n: int, under: Level, least: int) -> DataFrame:
+    """key, n of the phrases of n words that occur often enough. Only phrases whose first and last n - 1 words are frequent are counted.
+
+    Mappers count what they hold in arrays, cut by key into parts; arrays of a part are summed in a tree of two levels. Parts are as many as keep an array small,
+    however many phrases there are.
+    """
+    spark = docs.sparkSession
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-under.total // PART))
+
+    def counting(sent, shard, shards):
         def run(batches):
             import pandas as pd
+            from pyspark import TaskContext
+
+            made, often = sent.value
+            task = TaskContext.get().partitionId()
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+
+            def parts():
+                keys, counts = _summed([k for k, _ in held], [c for _, c in held])
+                part = (keys % np.uint64(wide)).astype("<i8")
+                order = np.argsort(part, kind="stable")
+                keys, counts, part = keys[order], counts[order], part[order]
+                cut = np.flatnonzero(np.diff(part)) + 1
+                blocks = zip(part[np.concatenate([[0], cut])].tolist(), np.split(keys, cut), np.split(counts, cut), strict=True)
+                return pd.DataFrame([(p, task % FAN, k.tobytes(), c.tobytes()) for p, k, c in blocks], columns=["part", "node", "keys", "counts"])
 
-            made, counts = sent.value
-            seen = np.zeros(0, "<u8")
             for batch in batches:
                 for lang, words in _words(batch):
                     words = _hashes(lang, words)
                     short, valid = keys_of(words, n - 1)
-                    mine = np.mod(short.view("<i8"), shards) == shard
+                    mine = valid if shards == 1 else valid & (np.mod(short.view("<i8"), shards) == shard)
                     slots = made.slots(short)
-                    often = valid & mine & (slots >= 0)
-                    often[often] = counts[slots[often]] >= least
+                    good = mine & (slots >= 0)
+                    good[good] = often[slots[good]] >= least
                     key, whole = keys_of(words, n)
-                    size = len(key)
-                    at = np.flatnonzero(whole & often[:size] & (often[1 : size + 1] | ~mine[1 : size + 1]))  # a part of another shard is looked up by the join below
-                    found, first = np.unique(key[at], return_index=True)
-                    new = ~np.isin(found, seen)
-                    found, at = found[new], at[first[new]]
-                    if not len(found):
-                        continue
-                    seen = np.concatenate([seen, found]) if len(seen) < HELD else found
-                    yield pd.DataFrame({"key": found.view("<i8"), "suffix": short[at + 1].view("<i8"), "lang": lang, "words": [words[i : i + n].view("<i8") for i in at]})
+                    whole &= good[: len(key)] & (good[1 : len(key) + 1] | ~mine[1 : len(key) + 1])  # a last part of another shard can't be told here
+                    found, times = np.unique(key[whole], return_counts=True)
+                    if len(found):
+                        held.append((found, times))
+                        size += len(found)
+                if size > HELD:
+                    yield parts()
+                    held, size = [], 0
+            if held:
+                yield parts()
 
         return run
 
-    parts = []
+    def merged(rows, last):
+        import pandas as pd
+
+        keys, counts = _summed([np.frombuffer(k, "<u8") for k in rows["keys"]], [np.frombuffer(c, "<i8") for c in rows["counts"]])
+        if last:
+            return pd.DataFrame({"key": keys[counts >= least].view("<i8"), "n": counts[counts >= least]})
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "node": [rows["node"].iloc[0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
+
+    kind, found = "part long, node int, keys binary, counts binary", []
     for shard in range(under.shards):
         with under.loaded(shard) as sent:
-            found = _texts(docs).mapInPandas(lean(emitting(sent, shard, under.shards)), _CANDIDATES)
-            parts.append(table(found.groupBy("key", "suffix", "lang").agg(F.first("words").alias("words"))))
+            arrays = _texts(docs).mapInPandas(lean(counting(sent, shard, under.shards)), kind)
+            arrays = arrays.groupBy("part", "node").applyInPandas(lambda rows: merged(rows, False), kind)
+            found.append(table(arrays.groupBy("part").applyInPandas(lambda rows: merged(rows, True), "key long, n long")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def spelt(docs: DataFrame, level: Level, n: int) -> DataFrame:
+    """key, lang, words (hashes) and a of every phrase of a level: each task tells a phrase once."""
+
+    def telling(sent, shard, shards):
+        def run(batches):
+            import pandas as pd
+
+            made, often = sent.value
+            told = np.zeros(len(often), bool)
+            for batch in batches:
+                for lang, words in _words(batch):
+                    words = _hashes(lang, words)
+                    key, valid = keys_of(words, n)
+                    slots = made.slots(key)
+                    at = np.flatnonzero(valid & (slots >= 0))
+                    at = at[~told[slots[at]]]
+                    new, first = np.unique(slots[at], return_index=True)
+                    if len(new):
+                        told[new] = True
+                        at = at[first]
+                        yield pd.DataFrame({"key": key[at].view("<i8"), "lang": lang, "a": often[new], **{f"w{k}": words[at + k].view("<i8") if k < n else 0 for k in range(4)}})
+
+        return run
+
+    each = ", ".join(f"w{k} long" for k in range(4))
+    parts = []
+    for shard in range(level.shards):
+        with level.loaded(shard) as sent:
+            found = _texts(docs).mapInPandas(lean(telling(sent, shard, level.shards)), f"key long, lang string, a long, {each}").dropDuplicates(["key"])
+            parts.append(table(found.select("key", "lang", F.array(*[f"w{k}" for k in range(n)]).alias("words"), "a")))
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)
     return out
 
 
+_PARTS = "key long, lang string, words array<long>, a long, c1 array<long>, c2 array<long>, c3 array<long>, c4 array<long>"
+
+
 def _mapped(frame: DataFrame, level: Level, make, schema: str) -> DataFrame:
     """frame through make(hash, counts, shard, shards), once for each of the level's hashes, written each time so that one hash alone is held."""
     for shard in range(level.shards):
+        before = frame
         with level.loaded(shard) as sent:
-            frame = table(frame.mapInPandas(lean(make(sent, shard, level.shards)), schema))
+            frame = table(before.mapInPandas(lean(make(sent, shard, level.shards)), schema))
+        forget(before)
     return frame
 
 
-_FOUND = "key long, suffix long, lang string, words array<long>, a long"
-_PARTS = "key long, lang string, words array<long>, a long, c1 array<long>, c2 array<long>, c3 array<long>, c4 array<long>"
+def _by_length(rows):
+    """(positions, words as a matrix) of the phrases of each length."""
+    size = rows["words"].map(len).to_numpy()
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        yield at, np.array(rows["words"].iloc[at].tolist(), "<i8").view("<u8").reshape(len(at), n)
 
 
-def frequent(found: DataFrame, level: Level, least: int) -> DataFrame:
-    """Candidates with their counts, those that occur often enough."""
-
-    def make(sent, shard, shards):
-        def run(batches):
-            made, counts = sent.value
-            for rows in batches:
-                key = rows["key"].to_numpy().astype("<i8")
-                slots = made.slots(key.view("<u8"))
-                mine = (np.mod(key, shards) == shard) & (slots >= 0)
-                rows.loc[mine, "a"] = counts[slots[mine]]
-                yield rows
-
-        return run
-
-    return _mapped(found.withColumn("a", F.lit(0).cast("long")), level, make, _FOUND).where(F.col("a") >= least)
+def _part_keys(words: np.ndarray, at: int, size: int) -> np.ndarray:
+    """Keys of the parts of size words that begin at a place."""
+    key = words[:, at].copy()
+    for k in range(at + 1, at + size):
+        key = longer(key, words[:, k])
+    return key
 
 
 def parts(found: DataFrame, level: Level, n: int) -> DataFrame:
@@ -310,15 +324,19 @@ def parts(found: DataFrame, level: Level, n: int) -> DataFrame:
         def run(batches):
             made, counts = sent.value
             for rows in batches:
-                words = [np.asarray(w, "<i8").view("<u8") for w in rows["words"]]
-                keys = [keys_of(w, n)[0] if len(w) > n else np.zeros(0, "<u8") for w in words]
-                flat = np.concatenate(keys) if keys else np.zeros(0, "<u8")
-                slots = made.slots(flat)
-                mine = (np.mod(flat.view("<i8"), shards) == shard) & (slots >= 0)
-                value = np.zeros(len(flat), "<i8")
-                value[mine] = counts[slots[mine]]
-                ends = np.cumsum([len(k) for k in keys])
-                rows[f"c{n}"] = [was + x if len(was) else x for was, x in zip((np.asarray(x, "<i8") for x in rows[f"c{n}"]), np.split(value, ends[:-1]), strict=True)]
+                out = rows[f"c{n}"].tolist()
+                for at, words in _by_length(rows):
+                    if words.shape[1] <= n:
+                        continue
+                    value = np.zeros((len(at), words.shape[1] - n + 1), "<i8")
+                    for k in range(value.shape[1]):
+                        key = _part_keys(words, k, n)
+                        slots = made.slots(key)
+                        mine = (np.mod(key.view("<i8"), shards) == shard) & (slots >= 0)
+                        value[mine, k] = counts[slots[mine]]
+                    for i, v in zip(at.tolist(), value, strict=True):
+                        out[i] = out[i] + v if len(out[i]) else v
+                rows[f"c{n}"] = out
                 yield rows
 
         return run
@@ -334,16 +352,19 @@ def scores(found: DataFrame, swallowed: int) -> DataFrame:
 
         for rows in batches:
             out = []
-            for words, a, *counts in zip(rows["words"], rows["a"], rows["c1"], rows["c2"], rows["c3"], strict=True):
-                n, a = len(words), int(a)
-                of = lambda size, at, counts=counts: int(counts[size - 1][at])
-                cuts = [(2_000_000 * a // (of(k, 0) + of(n - k, k)), k) for k in range(1, n)]
-                score, k = min(cuts)
-                packed = np.asarray(words, "<i8").view("<u8")
-                gone = [int(keys_of(packed[at : at + size], size)[0].view("<i8")[0]) for size in range(2, n) for at in range(n - size + 1) if 100 * a >= swallowed * of(size, at)]
-                out.append((of(k, 0), of(n - k, k), score, gone))
-            made = pd.DataFrame(out, columns=["l", "r", "score", "gone"])
-            yield pd.concat([rows[["key", "lang", "words", "a"]].reset_index(drop=True), made], axis=1)
+            for at, words in _by_length(rows):
+                n, part = words.shape[1], rows.iloc[at]
+                a = part["a"].to_numpy().astype(object)  # Python's whole numbers: products may pass 64 bits
+                of = {size: np.array(part[f"c{size}"].tolist(), "<i8").reshape(len(at), n - size + 1).astype(object) for size in range(1, n)}
+                cuts = np.stack([2_000_000 * a // (of[k][:, 0] + of[n - k][:, k]) for k in range(1, n)], 1)
+                k = np.argmin(cuts, 1) + 1
+                pick = lambda values: np.select([k == j for j in range(1, n)], values).astype("<i8")  # noqa: E731, B023
+                keys = [(_part_keys(words, i, size).view("<i8"), 100 * a >= swallowed * of[size][:, i]) for size in range(2, n) for i in range(n - size + 1)]
+                gone = [[int(key[r]) for key, holds in keys if holds[r]] for r in range(len(at))]
+                made = {"l": pick([of[j][:, 0].astype("<i8") for j in range(1, n)]), "r": pick([of[n - j][:, j].astype("<i8") for j in range(1, n)]), "score": cuts.min(1).astype("<i8"), "gone": gone}
+                out.append(part[["key", "lang", "words", "a"]].assign(**made))
+            if out:
+                yield pd.concat(out)
 
     return found.mapInPandas(run, "key long, lang string, words array<long>, a long, l long, r long, score long, gone array<long>")
 
@@ -361,19 +382,14 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         raise ValueError("phrases have at most 4 words")
     docs = docs.select("lang", "text")
     words = word_counts(docs, least)
-    levels = [Level(words.where("word is not null").select("key", "n"), counted=True)]
+    levels = [Level(words.where("word is not null").select("key", "n"))]
     phrases = None
     for n in range(2, longest + 1):
-        under = levels[-1]
-        found = candidates(docs, n, under, least)
-        if under.shards > 1:  # the last part may lie in another shard than the first
-            often = words.where("word is not null").select("key") if n == 2 else short.select("key")  # noqa: F821 - the level before
-            found = table(found.join(often.withColumnRenamed("key", "suffix"), "suffix", "left_semi").select("key", "suffix", "lang", "words"))
-        level = Level(found.select("key"), counted=False)
-        level.count(docs, n)
-        levels.append(level)
-        short = frequent(found, level, least)
-        phrases = short if phrases is None else phrases.union(short)
+        found = count(docs, n, levels[-1], least)
+        levels.append(Level(found))
+        forget(found)
+        told = spelt(docs, levels[-1], n)
+        phrases = told if phrases is None else phrases.union(told)
     empty = F.array().cast("array<long>")
     read = phrases.select("key", "lang", "words", "a", *[empty.alias(f"c{n}") for n in range(1, 5)])
     for n, level in enumerate(levels[:-1], 1):
@@ -382,9 +398,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     kept = scored.join(scored.select(F.explode("gone").alias("key")).distinct(), "key", "left_anti")
     by = Window.partitionBy("lang")
     first = kept.withColumn("_at", F.rank().over(by.orderBy(F.desc("score"), F.desc("a")))).where(F.col("_at") <= top)
-    spelt = first.select("key", F.posexplode("words").alias("_at", "_word")).join(words.select(F.col("key").alias("_word"), "word"), "_word")
-    spelt = spelt.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    ranked = first.drop("_at").join(spelt, "key").withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")).where(F.col("rank") <= top)
+    names = first.select("key", F.posexplode("words").alias("_at", "_word")).join(words.select(F.col("key").alias("_word"), "word"), "_word")
+    names = names.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    ranked = first.drop("_at").join(names, "key").withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")).where(F.col("rank") <= top)
     totals = words.where("word is null").select("lang", "n")
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 

@@ -106,9 +106,9 @@ def talk(n, seed):
     return rows + [(None, None, "en"), (None, "", None), (3, "solo", "fr"), (3, "solo", "fr")]
 
 
-@pytest.mark.parametrize("shard,block,fan,top", [(phrases.SHARD, phrases.BLOCK, phrases.FAN, 2000), (250, 100, 2, 5)])
-def test_phrases_match_plain_counts(spark, monkeypatch, shard, block, fan, top):
-    for name, value in (("SHARD", shard), ("BLOCK", block), ("FAN", fan)):
+@pytest.mark.parametrize("shard,part,fan,top", [(phrases.SHARD, phrases.PART, phrases.FAN, 2000), (150, 100, 2, 5)])
+def test_phrases_match_plain_counts(spark, monkeypatch, shard, part, fan, top):
+    for name, value in (("SHARD", shard), ("PART", part), ("FAN", fan), ("HELD", part)):
         monkeypatch.setattr(phrases, name, value)
     rows = talk(60, 5)
     df = spark.createDataFrame([(*r, "k", "w", 1, "b", "p") for r in rows], DOCS).repartition(3)
