@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import uuid
 
@@ -21,10 +20,16 @@ from skein.llm.common import documents, lean, small_batches, store, table
 from skein.llm.tokens import path
 
 #: UTF-8 bytes of the texts of one block (a longer text is a block of its own), and units a Python worker keeps.
-BLOCK_BYTES, STORE = 8_000_000, 250_000
+BLOCK_BYTES, STORE = 8_000_000, 200_000
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Ids of B are below this; a pair is A's id times it plus B's.
 RADIX = 1 << 31
+# Fixed value: the pattern by which byte-level vocabularies split text.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Units that are aligned as one text.
+TOGETHER = 5000
+#: Units that may meet a neighbour's blank or are changed by B: alone.
+_ODD = re.compile(r"^\s|^$| $|▁")
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 _COLUMNS = ("n_a", "n_b", "n_groups", "n_links")
 _BLOCKS = (
@@ -39,83 +44,115 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
 
-def merge(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[str, int, list[int]]:
-    """Two pointers over the token ends of one text: its groups as text, how many they are, and its links as pairs."""
-    groups, links, i, j, first_a, first_b, end_a, end_b = [], [], 0, 0, 0, 0, 0, 0
-    end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-    while True:
-        links.append(a[i] * RADIX + b[j])
-        at_a, at_b = end_a <= end_b, end_b <= end_a
-        if at_a and at_b:
-            groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-            first_a, first_b = i + 1, j + 1
-        if at_a:
-            i += 1
-        if at_b:
-            j += 1
-        if i == len(a) or j == len(b):
-            return ";".join(groups), len(groups), links
-        if at_a:
-            end_a += len(a_bytes[a[i]])
-        if at_b:
-            end_b += len(b_bytes[b[j]])
+def merge(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two pointers over the token ends of one text, as searches in sorted arrays: for each link the place where it ends and its two tokens' numbers, and which links end a group.
+
+    Between two neighbouring ends lies one token of each side, so every end of either side is the end of exactly one link.
+    """
+    ends_a, ends_b = np.cumsum(a_size[a]), np.cumsum(b_size[b])
+    ends = np.union1d(ends_a, ends_b)
+    i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    return ends, i, j, (ends_a[np.minimum(i, len(a) - 1)] == ends) & (ends_b[np.minimum(j, len(b) - 1)] == ends)
 
 
 class Aligner:
     """Both tokenizers and the aligned units of a Python worker."""
 
     def __init__(self, a_file: str, b_file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_file)
-        self.a.encode_special_tokens = True
         byte = byte_level()
         with open(a_file, encoding="utf-8") as f:
             found = json.load(f)
+        self.a_file, self.library = a_file, None
         vocab = found["model"]["vocab"] | {x["content"]: x["id"] for x in found["added_tokens"]}
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.a_bytes[i] = bytes(byte[c] for c in token)
+        special = {x["id"] for x in found["added_tokens"]}
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        same = found["normalizer"] is None and all((found["pre_tokenizer"] or {}).get(k) == v for k, v in plain.items())
+        ranks = {self.a_bytes[i]: i for i in vocab.values() if i not in special}
+        self.fast = tiktoken.Encoding("bytes", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}) if same else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in names], "<i8") for names in (self.a_bytes, self.b_bytes))
+        self.names = [str(n) for n in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.links: list[list[int]] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # none: the bytes of one side are not those of the text
-
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both sides for a blank and each text; None where the bytes of a side are others."""
-        whole = [" " + x for x in texts]
-        out = []
-        for x, a, b in zip(whole, self.a.encode_batch(whole, add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            raw = x.encode()
-            same = b"".join([self.a_bytes[i] for i in a.ids]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
-            out.append((a.ids, b) if same else None)
-        return out
+        self.groups: list[bytes] = []
+        self.links: list[bytes] = []  # pairs as 64-bit numbers
+        self.sizes = np.zeros((0, 4), "<i8")  # all 0: the bytes of one side are not those of the text
+
+    def encode_a(self, text: str) -> list[int]:
+        if self.fast is not None:
+            return self.fast.encode_ordinary(text)
+        return self.encode_by_library(text)
+
+    def encode_by_library(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.a_file)
+            self.library.encode_special_tokens = True
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def tokens(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides for a blank and a text; None where the bytes of a side are others."""
+        a, b, raw = self.encode_a(" " + text), self.b.encode(text, num_threads=1), (" " + text).encode()
+        return (a, b) if b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw else None
 
     def units(self, text: str) -> list[str]:
         """Units of a text, each without the blank before it; the first one's blank is the one that both sides add."""
         return _CUT.split(text) if self.cuts else [text]
 
     def learn(self, units: list[str]) -> None:
-        for unit, found in zip(units, self.tokens(units), strict=True):
-            self.known[unit] = len(self.sizes)
+        """Align new units: many together, as one text, those that could meet their neighbours in it alone."""
+        odd = [u for u in units if not self.cuts or _ODD.search(u)]
+        if odd:
+            alone = set(odd)
+            units = [u for u in units if u not in alone]
+        for at in range(0, len(units), TOGETHER):
+            some = units[at : at + TOGETHER]
+            found = self.tokens(" ".join(some))
+            if found is None:  # whichever unit it is
+                odd += some
+            else:
+                self._add(some, *found)
+        for unit in odd:
+            found = self.tokens(unit)
             if found is None:
-                self.groups.append("")
-                self.links.append([])
-                self.sizes.append(())
+                self.known[unit] = len(self.groups)
+                self.groups.append(b"")
+                self.links.append(b"")
+                self.sizes = np.concatenate([self.sizes, np.zeros((1, 4), "<i8")])
             else:
-                text, n, links = merge(*found, self.a_bytes, self.b_bytes)
-                self.groups.append(text)
-                self.links.append(links)
-                self.sizes.append((len(found[0]), len(found[1]), n, len(links)))
+                self._add([unit], *found)
+
+    def _add(self, units: list[str], a: list[int], b: list[int]) -> None:
+        ids_a, ids_b = np.array(a, "<i8"), np.array(b, "<i8")
+        ends, i, j, closes = merge(ids_a, ids_b, self.a_size, self.b_size)
+        stops = np.cumsum([1 + len(u.encode()) for u in units])
+        last = np.searchsorted(ends, stops) + 1  # links up to the end of each unit
+        group = np.flatnonzero(closes)
+        last_group = np.searchsorted(group, last)
+        until_a, until_b = (i[group] + 1).tolist(), (j[group] + 1).tolist()
+        names_a, names_b = [self.names[k] for k in a], [self.names[k] for k in b]
+        texts = [f"{','.join(names_a[p:q])}|{','.join(names_b[r:s])}" for p, q, r, s in zip([0, *until_a[:-1]], until_a, [0, *until_b[:-1]], until_b, strict=True)]
+        raw = (ids_a[i] * RADIX + ids_b[j]).astype("<i8").tobytes()
+        sides = np.stack([i[last - 1] + 1, j[last - 1] + 1, last_group, last], 1)
+        self.sizes = np.concatenate([self.sizes, np.diff(sides, axis=0, prepend=np.zeros((1, 4), "<i8"))])
+        first = first_group = 0
+        for unit, n, g in zip(units, last.tolist(), last_group.tolist(), strict=True):
+            self.known[unit] = len(self.groups)
+            self.groups.append(";".join(texts[first_group:g]).encode())
+            self.links.append(raw[8 * first : 8 * n])
+            first, first_group = n, g
 
 
 def _aligner(a_file: str, b_file: str) -> Aligner:
@@ -132,26 +169,28 @@ def _block(own: Aligner, ids: list, texts: list) -> dict:
     cut = [own.units(x) if x else [] for x in texts]
     own.learn([u for u in {u for units in cut for u in units} if u not in own.known])
     codes = [[own.known[u] for u in units] for units in cut]
+    del cut
+    bad = set(np.flatnonzero(own.sizes[:, 0] == 0).tolist())
     for n, units in enumerate(codes):
-        if not all(own.sizes[c] for c in units):  # a side changes this text's bytes: it has no tokens, unless what its units change adds up to the same
+        if bad and not bad.isdisjoint(units):  # a side changes this text's bytes: it has no tokens, unless what its units change adds up to the same
             whole = texts[n]
             if whole not in own.known:
                 own.learn([whole])
-            codes[n] = [own.known[whole]] if own.sizes[own.known[whole]] else []
+            codes[n] = [own.known[whole]] if own.sizes[own.known[whole], 0] else []
     per_doc = np.array([len(units) for units in codes], "<i8")
     flat = np.array([c for units in codes for c in units], "<i8")
     used, local = np.unique(flat, return_inverse=True)
-    sizes = np.array([own.sizes[c] for c in used], "<i8").reshape(len(used), 4)
+    sizes = own.sizes[used]
     ends = np.concatenate([[0], np.cumsum(per_doc)])
     sums = np.concatenate([np.zeros((1, 4), "<i8"), np.cumsum(sizes[local], 0)])
     totals = sums[ends[1:]] - sums[ends[:-1]]
-    per_unit = np.array([len(own.links[c]) for c in used], "<i8")
-    links = np.array([p for c in used for p in own.links[c]], "<i8")
+    per_unit = sizes[:, 3]
+    links = np.frombuffer(b"".join([own.links[c] for c in used]), "<i8")
     pairs, link = np.unique(links, return_inverse=True)
     times = np.repeat(np.bincount(local, minlength=len(used)), per_unit)
     counts = np.zeros(len(pairs), "<i8")
     np.add.at(counts, link, times)
-    sha = [hashlib.sha256(";".join([own.groups[c] for c in units]).encode()).hexdigest() if units else "" for units in codes]
+    sha = [hashlib.sha256(b";".join([own.groups[c] for c in units])).hexdigest() if units else "" for units in codes]
     row = {"block": uuid.uuid4().hex, "doc_id": ids, "sha": sha, "units": local.astype("<i4").tobytes(), "per_doc": per_doc.astype("<i4").tobytes()}
     row |= {name: totals[:, k] for k, name in enumerate(_COLUMNS)}
     return row | {"links": link.astype("<i4").tobytes(), "per_unit": per_unit.astype("<i4").tobytes(), "pairs": pairs, "counts": counts}

@@ -143,7 +143,8 @@ def plain_alignment(rows):
     own = alignment.Aligner(path(alignment.A_FILE), path(alignment.B_FILE))
     count, found = Counter(), {}
     for i, text in rows:
-        tokens = own.tokens([text])[0] if text else None
+        tokens = own.tokens(text) if text else None
+        assert not text or own.encode_by_library(" " + text) == own.encode_a(" " + text)
         if tokens is None:
             found[i] = None
             continue
@@ -193,13 +194,23 @@ def test_units_are_cut_only_where_both_sides_agree():
     own = alignment.Aligner(path(alignment.A_FILE), path(alignment.B_FILE))
     assert own.cuts
     for text in filter(None, TEXTS):
-        parts, whole = own.tokens(own.units(text)), own.tokens([text])[0]
+        parts, whole = [own.tokens(u) for u in own.units(text)], own.tokens(text)
         if whole is not None:
             assert [sum((p[side] for p in parts), []) for side in (0, 1)] == list(whole)
 
 
 def test_merge_gives_groups_and_links():
-    a, b = [b"", b"ab", b"c", b"de"], [b"", b"a", b"bc", b"de"]
-    text, n, links = alignment.merge([1, 2, 3], [1, 2, 3], a, b)
-    assert text == "1,2|1,2;3|3" and n == 2
-    assert [divmod(x, alignment.RADIX) for x in links] == [(1, 1), (1, 2), (2, 2), (3, 3)]
+    a, b = np.array([1, 2, 3]), np.array([1, 2, 3])
+    ends, i, j, closes = alignment.merge(a, b, np.array([0, 2, 1, 2]), np.array([0, 1, 2, 2]))  # ab c de, a bc de
+    assert ends.tolist() == [1, 2, 3, 5] and list(zip(a[i].tolist(), b[j].tolist())) == [(1, 1), (1, 2), (2, 2), (3, 3)]
+    assert closes.tolist() == [False, False, True, True]
+
+
+def test_units_learnt_together_and_alone_are_the_same():
+    own, other = (alignment.Aligner(path(alignment.A_FILE), path(alignment.B_FILE)) for _ in range(2))
+    units = list(dict.fromkeys(u for text in TEXTS if text for u in own.units(text)))
+    own.learn(units)
+    for u in units:
+        other.learn([u])
+    of = lambda x, u: (x.groups[x.known[u]], x.links[x.known[u]], x.sizes[x.known[u]].tolist())
+    assert all(of(own, u) == of(other, u) for u in units) and any("▁" in u for u in units)
