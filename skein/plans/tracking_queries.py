@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein.engines import imaging
 from skein.engines import tracking as engine
-from skein.operators import kinematics, linking, metrics, reports, spatial, tracking, windows
+from skein.operators import kinematics, linking, metrics, reports, spatial, stereo, tracking, windows
 from skein.plans.catalogue import query
 from skein.sources import binding
 
@@ -129,6 +130,28 @@ def hybrid_track(spark, sf_dir):
     return windows.hybrid(_points(spark, sf_dir), 3, 0.3, 0.1, gate=0.5, frames=_FRAMES)
 
 
+def _images(spark, sf_dir):
+    """Detections with drop-outs, and the targets of all points in four plain cameras: those of missing detections are free."""
+    from skein.plans.camera_queries import PLAIN
+
+    n = F.col("pid")
+    points = binding.dropped_out(binding.truth(spark, sf_dir)).select("frame", n.alias("id"), *"xyz", F.array(n, n, n, n).alias("cam_ids"))
+    seen = stereo.project(_points(spark, sf_dir), PLAIN).select("frame", "cam", F.col("id").alias("pnr"), F.col("u").alias("x"), F.col("v").alias("y"))
+    return windows.in_images(points, seen, PLAIN, imaging.Search((-0.35,) * 3, (0.35,) * 3, 0.2, 60.0), frames=_FRAMES)
+
+
+@query("image_track")
+def image_track(spark, sf_dir):
+    """Links chosen in the images, with points added from free targets; steps are held against loops over particles in pytest, windows against one pass."""
+    return _images(spark, sf_dir)[0]
+
+
+@query("image_added_points")
+def image_added_points(spark, sf_dir):
+    """The points that the tracker added, each with the targets it claimed."""
+    return _images(spark, sf_dir)[1].withColumns({a: F.round(a, 6) for a in "xyz"})
+
+
 @query("mht_relink")
 def mht_relink(spark, sf_dir):
     rows = windows.mht_relink(binding.linkage(spark, sf_dir, faults=False).drop("pid"), 3, 0.5)
