@@ -132,7 +132,12 @@ def direct_linear(points: np.ndarray, px: np.ndarray, base: Camera | None = None
     rows = []
     for (x, y), p in zip(seen, q):
         rows += [np.r_[p, np.zeros(4), -x * p], np.r_[np.zeros(4), p, -y * p]]
-    m = np.linalg.svd(np.array(rows), full_matrices=False)[2][-1].reshape(3, 4)
+    return from_projection(np.linalg.svd(np.array(rows), full_matrices=False)[2][-1].reshape(3, 4), shift, size, base, points)
+
+
+def from_projection(m: np.ndarray, shift: np.ndarray, size: float, base: Camera, points: np.ndarray | None = None) -> Camera:
+    """Camera of a 3 x 4 projection of points that were shifted and divided by a size; the points (or their middle) are before the camera."""
+    points = np.asarray(shift, float)[None] if points is None else points
     m = m @ np.block([[np.eye(3) / size, -shift[:, None] / size], [np.zeros((1, 3)), np.ones((1, 1))]])
     # x = (-cc (a . d) + xh (z . d)) / (z . d) with a, b, z the camera's axes and d the way from the camera
     where = -np.linalg.solve(m[:, :3], m[:, 3])
