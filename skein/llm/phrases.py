@@ -94,17 +94,38 @@ def _words(batch) -> list[tuple[str, list[bytes]]]:
     return [(lang, b"\n".join(found).translate(_FOLD).replace(_BREAK, b" \xff ").split()) for lang, found in texts.items()]
 
 
+class _Words(dict):
+    """64-bit hashes of words of a language, each computed once; 0 for breaks."""
+
+    def __init__(self, lang: str):
+        import xxhash
+
+        super().__init__({_BREAK: 0})
+        self.hash, self.seed = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest(lang.encode())
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = self.hash(word, seed=self.seed) or 1
+        return found
+
+
 def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word of a language, 0 for breaks."""
-    import xxhash
-
     known = store("phrases")
     if sum(map(len, known.values())) > STORE:
         known.clear()
-    mine, seed = known.setdefault(lang, {_BREAK: 0}), xxhash.xxh3_64_intdigest(lang.encode())
-    for word in [w for w in set(words) if w not in mine]:  # a difference with keys() would walk all that is known
-        mine[word] = xxhash.xxh3_64_intdigest(word, seed=seed) or 1
-    return np.fromiter(map(mine.__getitem__, words), "<u8", len(words))
+    if lang not in known:
+        known[lang] = _Words(lang)
+    return np.fromiter(map(known[lang].__getitem__, words), "<u8", len(words))
+
+
+def squeezed(codes: np.ndarray) -> np.ndarray:
+    """Codes without those that stand alone between zeros, and one zero between runs: what no phrase needs goes."""
+    there = codes != 0
+    near = np.zeros(len(codes), bool)
+    near[1:] |= there[:-1]
+    near[:-1] |= there[1:]
+    at = np.flatnonzero(there & near)
+    return np.insert(codes[at], np.flatnonzero(np.diff(at) > 1) + 1, np.uint64(0))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -182,21 +203,71 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return made.keys, total
 
 
-def count(docs: DataFrame, n: int, under: Level, least: int) -> DataFrame:
-    """key, n of the phrases of n words that occur often enough. Only phrases whose first and last n - 1 words are frequent are counted.
+def coded(docs: DataFrame, words: Level, least: int) -> DataFrame:
+    """lang, codes: the texts as 64-bit hashes of their frequent words, zeros for all others and for breaks; a row for each batch of texts."""
+
+    def first(sent, shard, shards):
+        def run(batches):
+            import pandas as pd
+
+            for batch in batches:
+                rows = [(lang, _known(_hashes(lang, words), sent.value, shard, shards, least)) for lang, words in _words(batch)]
+                if not rows:
+                    continue
+                yield pd.DataFrame({"lang": [g for g, _ in rows], "codes": [c.tobytes() for _, c in rows]})
+
+        return run
+
+    def more(sent, shard, shards):
+        def run(batches):
+            for rows in batches:
+                yield rows.assign(codes=[_known(np.frombuffer(c, "<u8"), sent.value, shard, shards, least).tobytes() for c in rows["codes"]])
+
+        return run
+
+    kind = "lang string, codes binary"
+    with words.loaded(0) as sent:
+        out = table(_texts(docs).mapInPandas(lean(first(sent, 0, words.shards)), kind))
+    for shard in range(1, words.shards):
+        before = out
+        with words.loaded(shard) as sent:
+            out = table(before.mapInPandas(lean(more(sent, shard, words.shards)), kind))
+        forget(before)
+    return out
+
+
+def _known(codes: np.ndarray, level: tuple[PerfectHash, np.ndarray], shard: int, shards: int, least: int) -> np.ndarray:
+    """Codes without the words of a shard that aren't frequent."""
+    made, often = level
+    if not len(codes):
+        return codes
+    mine = np.flatnonzero((codes != 0) & (np.mod(codes.view("<i8"), shards) == shard))
+    slots = made.slots(codes[mine])
+    bad = slots < 0
+    bad[~bad] = often[slots[~bad]] < least
+    codes = codes.copy()
+    codes[mine[bad]] = 0
+    return squeezed(codes)
+
+
+def _rows(batch):
+    return zip(batch["lang"], (np.frombuffer(c, "<u8") for c in batch["codes"]), strict=True)
+
+
+def count(texts: DataFrame, n: int, under: Level | None, total: int, least: int) -> DataFrame:
+    """key, n of the phrases of n words that occur often enough in coded texts. Only phrases whose first and last n - 1 words are frequent are counted (under; None for words).
 
     Mappers count what they hold in arrays, cut by key into parts; arrays of a part are summed in a tree of two levels. Parts are as many as keep an array small,
-    however many phrases there are.
+    however many phrases there are (total: occurrences of the level before).
     """
-    spark = docs.sparkSession
-    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-under.total // PART))
+    spark = texts.sparkSession
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
 
     def counting(sent, shard, shards):
         def run(batches):
             import pandas as pd
             from pyspark import TaskContext
 
-            made, often = sent.value
             task = TaskContext.get().partitionId()
             held: list[tuple[np.ndarray, np.ndarray]] = []
             size = 0
@@ -211,15 +282,19 @@ def count(docs: DataFrame, n: int, under: Level, least: int) -> DataFrame:
                 return pd.DataFrame([(p, task % FAN, k.tobytes(), c.tobytes()) for p, k, c in blocks], columns=["part", "node", "keys", "counts"])
 
             for batch in batches:
-                for lang, words in _words(batch):
-                    words = _hashes(lang, words)
-                    short, valid = keys_of(words, n - 1)
-                    mine = valid if shards == 1 else valid & (np.mod(short.view("<i8"), shards) == shard)
-                    slots = made.slots(short)
-                    good = mine & (slots >= 0)
-                    good[good] = often[slots[good]] >= least
-                    key, whole = keys_of(words, n)
-                    whole &= good[: len(key)] & (good[1 : len(key) + 1] | ~mine[1 : len(key) + 1])  # a last part of another shard can't be told here
+                for _, codes in _rows(batch):
+                    key, whole = keys_of(codes, n)
+                    if sent is not None:
+                        short, valid = keys_of(codes, n - 1)
+                        made, often = sent.value
+                        mine = valid if shards == 1 else valid & (np.mod(short.view("<i8"), shards) == shard)
+                        at = np.flatnonzero(mine)
+                        slots = made.slots(short[at])
+                        hit = slots >= 0
+                        hit[hit] = often[slots[hit]] >= least
+                        good = np.zeros(len(short), bool)
+                        good[at[hit]] = True
+                        whole = whole & good[: len(key)] & (good[1 : len(key) + 1] | ~mine[1 : len(key) + 1])  # a last part of another shard can't be told here
                     found, times = np.unique(key[whole], return_counts=True)
                     if len(found):
                         held.append((found, times))
@@ -241,9 +316,10 @@ def count(docs: DataFrame, n: int, under: Level, least: int) -> DataFrame:
         return pd.DataFrame({"part": [rows["part"].iloc[0]], "node": [rows["node"].iloc[0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
 
     kind, found = "part long, node int, keys binary, counts binary", []
-    for shard in range(under.shards):
-        with under.loaded(shard) as sent:
-            arrays = _texts(docs).mapInPandas(lean(counting(sent, shard, under.shards)), kind)
+    small_batches(spark)
+    for shard in range(under.shards if under else 1):
+        with under.loaded(shard) if under else contextlib.nullcontext() as sent:
+            arrays = texts.mapInPandas(lean(counting(sent, shard, under.shards if under else 1)), kind)
             arrays = arrays.groupBy("part", "node").applyInPandas(lambda rows: merged(rows, False), kind)
             found.append(table(arrays.groupBy("part").applyInPandas(lambda rows: merged(rows, True), "key long, n long")))
     out = found[0]
@@ -252,7 +328,7 @@ def count(docs: DataFrame, n: int, under: Level, least: int) -> DataFrame:
     return out
 
 
-def spelt(docs: DataFrame, level: Level, n: int) -> DataFrame:
+def spelt(texts: DataFrame, level: Level, n: int) -> DataFrame:
     """key, lang, words (hashes) and a of every phrase of a level: each task tells a phrase once."""
 
     def telling(sent, shard, shards):
@@ -262,16 +338,16 @@ def spelt(docs: DataFrame, level: Level, n: int) -> DataFrame:
             made, often = sent.value
             told = np.zeros(len(often), bool)
             for batch in batches:
-                for lang, words in _words(batch):
-                    words = _hashes(lang, words)
+                for lang, words in _rows(batch):
                     key, valid = keys_of(words, n)
-                    slots = made.slots(key)
-                    at = np.flatnonzero(valid & (slots >= 0))
-                    at = at[~told[slots[at]]]
-                    new, first = np.unique(slots[at], return_index=True)
+                    at = np.flatnonzero(valid)
+                    slots = made.slots(key[at])
+                    fresh = slots >= 0
+                    fresh[fresh] = ~told[slots[fresh]]
+                    new, first = np.unique(slots[fresh], return_index=True)
                     if len(new):
                         told[new] = True
-                        at = at[first]
+                        at = at[fresh][first]
                         yield pd.DataFrame({"key": key[at].view("<i8"), "lang": lang, "a": often[new], **{f"w{k}": words[at + k].view("<i8") if k < n else 0 for k in range(4)}})
 
         return run
@@ -280,7 +356,7 @@ def spelt(docs: DataFrame, level: Level, n: int) -> DataFrame:
     parts = []
     for shard in range(level.shards):
         with level.loaded(shard) as sent:
-            found = _texts(docs).mapInPandas(lean(telling(sent, shard, level.shards)), f"key long, lang string, a long, {each}").dropDuplicates(["key"])
+            found = texts.mapInPandas(lean(telling(sent, shard, level.shards)), f"key long, lang string, a long, {each}").dropDuplicates(["key"])
             parts.append(table(found.select("key", "lang", F.array(*[f"w{k}" for k in range(n)]).alias("words"), "a")))
     out = parts[0]
     for more in parts[1:]:
@@ -383,13 +459,14 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     docs = docs.select("lang", "text")
     words = word_counts(docs, least)
     levels = [Level(words.where("word is not null").select("key", "n"))]
-    phrases = None
+    texts, phrases = coded(docs, levels[0], least), None
     for n in range(2, longest + 1):
-        found = count(docs, n, levels[-1], least)
+        found = count(texts, n, levels[-1] if n > 2 else None, levels[-1].total, least)
         levels.append(Level(found))
         forget(found)
-        told = spelt(docs, levels[-1], n)
+        told = spelt(texts, levels[-1], n)
         phrases = told if phrases is None else phrases.union(told)
+    forget(texts)
     empty = F.array().cast("array<long>")
     read = phrases.select("key", "lang", "words", "a", *[empty.alias(f"c{n}") for n in range(1, 5)])
     for n, level in enumerate(levels[:-1], 1):
