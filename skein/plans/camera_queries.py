@@ -214,9 +214,11 @@ def lut_project(spark, sf_dir):
     return M.run(rows, near=(F.abs(a[0] - b[0]) < 1e-3) & (F.abs(a[1] - b[1]) < 1e-3) & (F.col("f") > 0)).select("frame", "id", "near")
 
 
-@query("volume_bounds", "SELECT round(max(x), 6) AS x_high, round(min(x), 6) AS x_low, round(max(y), 6) AS y_high, round(min(y), 6) AS y_low, 60e0 AS z_high, -40e0 AS z_low FROM (SELECT x0 + sx * 32e0 * (320 - z) / 64 AS x, y0 + sy * 32e0 * (320 - z) / 64 AS y FROM (VALUES (-30e0, -10e0), (50e0, -14e0), (44e0, 32e0), (-26e0, 30e0)) AS c(x0, y0), (VALUES (-1), (1)) AS a(sx), (VALUES (-1), (1)) AS b(sy), (VALUES (-40e0), (60e0)) AS d(z))")
+@query("volume_bounds", f"WITH {_T}, h AS (SELECT min(z) AS z FROM t UNION ALL SELECT max(z) FROM t) SELECT round(max(x), 6) AS x_high, round(min(x), 6) AS x_low, round(max(y), 6) AS y_high, round(min(y), 6) AS y_low, max(z) AS z_high, min(z) AS z_low FROM (SELECT z, x0 + sx * 32e0 * (320 - z) / 64 AS x, y0 + sy * 32e0 * (320 - z) / 64 AS y FROM (VALUES (-30e0, -10e0), (50e0, -14e0), (44e0, 32e0), (-26e0, 30e0)) AS c(x0, y0), (VALUES (-1), (1)) AS a(sx), (VALUES (-1), (1)) AS b(sy), h)")
 def volume_bounds(spark, sf_dir):
-    found = stereo.volume_bounds(spark, PLAIN, VOLUME)
+    """What the cameras see between the heights of the lowest and the highest point."""
+    low, high = _points(spark, sf_dir).agg(F.min("z"), F.max("z")).first()
+    found = stereo.volume_bounds(spark, PLAIN, Volume((-40.0, 60.0), (low, low), (high, high)))
     return spark.range(1).select(*[F.round(F.lit(v), 6).alias(k) for k, v in zip(("x_high", "x_low", "y_high", "y_low", "z_high", "z_low"), found)])
 
 

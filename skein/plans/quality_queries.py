@@ -336,12 +336,13 @@ v AS (SELECT max(d) AS max_step, avg(d) AS mean_step, stddev_pop(d) AS sd_step,
 o AS (SELECT frames, round(mean_points, 6) AS mean_points, max_points, round(sd_points, 6) AS sd_points, size_x, size_y, size_z, round(spacing, 6) AS spacing, round(max_step, 6) AS max_step, round(mean_step, 6) AS mean_step, round(sd_step, 6) AS sd_step, round(p25, 6) AS p25_step, round(p50, 6) AS p50_step, round(p95, 6) AS p95_step,
   CASE WHEN max_step / spacing < 0.3 THEN 'low' WHEN max_step / spacing < 0.6 THEN 'low_to_moderate' WHEN max_step / spacing < 0.9 THEN 'moderate' ELSE 'high' END AS density, round(1 - min_points / max_points, 6) AS gap_share, 1 - min_points / max_points > 0.15 AS has_gaps,
   CASE WHEN sd_points <= 0.1 * mean_points THEN 'stable' WHEN m2 > 1.2 * m1 THEN 'growing' WHEN m2 < 0.8 * m1 THEN 'dropping' ELSE 'erratic' END AS counts FROM k, z, q, v)"""
-_THIN = "e AS (SELECT * FROM t WHERE frame < 4 OR pid % 4 > 0)"
+_THIN = "e AS (SELECT pid, frame, x, y, z FROM t UNION ALL SELECT pid + 10000000, frame, x + 0.5, y + 0.25, z + 0.125 FROM t WHERE frame < 4 AND pid % 4 = 0)"
 
 
 def _thin(spark, sf_dir):
-    """A quarter of the customers leave halfway."""
-    return _t(spark, sf_dir).where("frame < 4 OR id % 4 > 0")
+    """All points, and companions of a quarter of the customers that leave halfway."""
+    t = _t(spark, sf_dir).select("frame", "id", "x", "y", "z")
+    return t.union(t.where("frame < 4 AND id % 4 = 0").select("frame", F.col("id") + 10000000, F.col("x") + 0.5, F.col("y") + 0.25, F.col("z") + 0.125))
 
 
 @query("dataset_stats", f"WITH {_T}, {_THIN}, {_STATS} SELECT * FROM o")
@@ -367,9 +368,11 @@ def recommendation(spark, sf_dir):
     return advice.recommend(advice.dataset(_thin(spark, sf_dir), 1.0), trackers.trackers(spark)).drop("alternates")
 
 
-@query("tracker_table", f"SELECT name, speed, dens AS density FROM (VALUES {_TABLE}) AS w(name, speed, dens, gap, fresh)")
+@query("tracker_table", f"WITH {_T} SELECT frame, name, speed, dens AS density, n AS points FROM (SELECT frame, count(*) AS n FROM t GROUP BY frame), (VALUES {_TABLE}) AS w(name, speed, dens, gap, fresh)")
 def tracker_table(spark, sf_dir):
-    return trackers.trackers(spark).select("name", "speed", "density")
+    """Every tracker beside each frame and its number of points; trackers are a handful."""
+    size = _t(spark, sf_dir).groupBy("frame").agg(F.count("*").alias("points"))
+    return size.crossJoin(F.broadcast(trackers.trackers(spark).select("name", "speed", "density")))
 
 
 @query("advice", f"""WITH {_T}, a AS (SELECT DISTINCT pid % 90 AS id, (pid % 10) / 16e0 AS three_cams, CASE WHEN pid % 9 = 0 THEN NULL ELSE (pid % 15) / 64e0 END AS flagged, pid % 10 AS neighbours, (pid % 5) / 4e0 AS ratio, (pid % 18) / 32e0 AS median_kink, (pid % 6) / 16e0 AS median_step FROM t)
@@ -402,10 +405,10 @@ def probe_score(spark, sf_dir):
     return _t(spark, sf_dir).select("frame", "id", advice.probe_score(n % 9, (n % 4) / F.lit(4.0), (n % 8) / F.lit(8.0)).alias("score"))
 
 
-@query("decision_records", f"WITH {_T} SELECT pid AS id, 'unified' AS tracker, pid % 3 AS rounds FROM t WHERE frame = 0")
+@query("decision_records", f"WITH {_T} SELECT pid AS id, 'unified' AS tracker, (pid + frame) % 3 AS rounds FROM t")
 def decision_records(spark, sf_dir):
     """Decisions to JSON and back."""
-    rows = _t(spark, sf_dir).where("frame = 0").select("id", F.lit("unified").alias("tracker"), (F.col("id") % 3).alias("rounds"))
+    rows = _t(spark, sf_dir).select("id", F.lit("unified").alias("tracker"), ((F.col("id") + F.col("frame")) % 3).alias("rounds"))
     return advice.decisions(rows).select(F.from_json("record", "id long, tracker string, rounds long").alias("r")).select("r.*")
 
 

@@ -19,7 +19,7 @@ XYZ = ("x", "y", "z")
 _E, _T, _D = f"e AS ({binding.TRACKS_SQL})", f"t AS ({binding.TRUTH_SQL})", f"d AS ({binding.DROPPED_SQL})"
 _W = "OVER (PARTITION BY trajid ORDER BY frame)"
 _ALL, _query = catalogue.ALL, catalogue.query
-_MODULES = ("linkage_queries", "tracking_queries", "camera_queries", "quality_queries", "image_queries", "source_queries", "calibration_queries")
+_MODULES = ("linkage_queries", "tracking_queries", "camera_queries", "quality_queries", "image_queries", "source_queries", "calibration_queries", "merge_queries")
 
 
 def _gather() -> dict[str, tuple]:
