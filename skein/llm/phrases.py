@@ -20,8 +20,8 @@ from skein.llm.common import documents, forget, lean, mix, small_batches, store,
 
 #: Keys of one perfect hash that is broadcast, occurrences of one part's arrays, branches of the tree that sums them.
 SHARD, PART, FAN = 1 << 21, 1 << 22, 16
-#: Words a Python worker keeps, entries of a mapper's arrays before they are handed on.
-STORE, HELD = 400_000, 1_000_000
+#: Words a Python worker keeps, words of a mapper's table and entries of its arrays before they are handed on.
+STORE, WORDS, HELD = 200_000, 150_000, 500_000
 LEAST, LONGEST, TOP, SWALLOWED = 30, 4, 2000, 80
 _BREAK = b"\xff"  # never a byte of UTF-8
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
@@ -154,7 +154,7 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
                 counts.update(words)
                 counts[_BREAK] = 0
                 counts[_BREAK] = sum(counts.values())  # all words of this language, in the row without a word
-            if sum(map(len, held.values())) > HELD:
+            if sum(map(len, held.values())) > WORDS:
                 yield rows(held)
                 held.clear()
         if held:
