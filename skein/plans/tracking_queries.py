@@ -195,7 +195,7 @@ def layer_assignment(spark, sf_dir):
 # --- against the truth: tracks that are cut, swapped, shifted and missing -----------------------------------------------------------------
 
 _TT = f"t AS MATERIALIZED (SELECT pid, frame, x + 64 * (pid // 1280) AS x, y, z FROM ({binding.TRUTH_SQL}))"
-_P = """p AS MATERIALIZED (SELECT CASE WHEN pid % 7 = 0 AND frame >= 4 THEN pid + 1 WHEN pid % 7 = 1 AND frame >= 4 AND pid > 1 THEN pid - 1 WHEN pid % 5 = 2 AND frame >= 3 THEN pid + 10000000 ELSE pid END AS trajid,
+_P = """p AS MATERIALIZED (SELECT CASE WHEN pid % 7 = 0 AND frame >= 4 THEN pid + 1 WHEN pid % 7 = 1 AND frame >= 4 THEN pid - 1 WHEN pid % 5 = 2 AND frame >= 3 THEN pid + 10000000 ELSE pid END AS trajid,
   frame, pid, CASE WHEN pid % 13 = 0 THEN x + 300 WHEN pid % 11 = 3 AND frame = 5 THEN x + 200 ELSE x END AS x, y, z FROM t WHERE NOT (pid % 6 = 5 AND frame = 2))"""
 _M = f"m AS MATERIALIZED (SELECT p.*, a.pid AS hit FROM p LEFT JOIN t a ON a.frame = p.frame AND (a.x - p.x) * (a.x - p.x) + (a.y - p.y) * (a.y - p.y) + (a.z - p.z) * (a.z - p.z) <= 1e-6)"
 
@@ -212,7 +212,7 @@ def _shift(n, f):
 def _tracks(spark, sf_dir):
     """Tracks of all customers with planted faults: some are cut, swapped or shifted, and a sixth has a gap at frame 2, which is what the metrics are to find."""
     n, f = F.col("pid"), F.col("frame")
-    of = F.when((n % 7 == 0) & (f >= 4), n + 1).when((n % 7 == 1) & (f >= 4) & (n > 1), n - 1).when((n % 5 == 2) & (f >= 3), n + 10000000).otherwise(n)
+    of = F.when((n % 7 == 0) & (f >= 4), n + 1).when((n % 7 == 1) & (f >= 4), n - 1).when((n % 5 == 2) & (f >= 3), n + 10000000).otherwise(n)
     rows = _true(spark, sf_dir).where("NOT (pid % 6 = 5 AND frame = 2)")
     return rows.select(of.alias("trajid"), "frame", (F.col("x") + _shift(n, f)).alias("x"), "y", "z")
 
