@@ -67,14 +67,16 @@ class Page:
 
     Of each element (0 is the page): parent, key of its path (names of the elements down to it, with their first class or id), depth, whether it lies in a
     paragraph-like element, the article or main element around it (-1: none) and whether it or one around it is boilerplate by kind or name. texts:
-    (element, text, marked), text with one blank for any white space; marked as its element, or by an inline element around it. Linear in the page, however deep.
+    (element, text, marked), text with one blank for any white space; marked as its element, or by an inline element around it. order: elements (as they
+    open) and texts as they come, (False, element) or (True, place in texts). Linear in the page, however deep.
     """
 
-    __slots__ = ("depth", "key", "landmark", "leafy", "marked", "parent", "texts")
+    __slots__ = ("depth", "key", "landmark", "leafy", "marked", "order", "parent", "texts")
 
     def __init__(self, html: str):
         self.parent, self.key, self.depth, self.leafy, self.landmark, self.marked = [-1], [0], [0], [False], [-1], [False]
         self.texts: list[tuple[int, str, bool]] = []
+        self.order: list[tuple[bool, int]] = []
         self._read(html)
 
     def _element(self, parent: int, tag: str, attrs: str, marked: bool) -> int:
@@ -86,6 +88,7 @@ class Page:
         self.depth.append(self.depth[parent] + 1)
         self.leafy.append(self.leafy[parent] or tag in LEAFY)
         here = len(self.key) - 1
+        self.order.append((False, here))
         self.landmark.append(self.landmark[parent] if self.landmark[parent] >= 0 else here if tag in ("article", "main") else -1)
         self.marked.append(marked)
         return here
@@ -105,6 +108,7 @@ class Page:
             if parts:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 if text:
+                    self.order.append((True, len(self.texts)))
                     self.texts.append((stack[-1][1], text, all(marks)))
                 parts.clear()
                 marks.clear()
@@ -160,37 +164,40 @@ class Page:
             open_[tag] = open_.get(tag, 0) + 1
         flush()
 
-    def roles(self) -> list[int]:
-        """A key for each text: its path and words, and how many times they have come before on the page."""
+    def tokens(self) -> tuple[list[int], list[int]]:
+        """A token for each element and each text: its path (and words), and how many times they have come before on the page."""
         seen: dict[int, int] = {}
-        out = []
-        for at, text, _ in self.texts:
-            key = _hash(f"{self.key[at]}\n{text}")
-            n = seen[key] = seen.get(key, 0) + 1
-            out.append(key if n == 1 else _hash(f"{key}#{n}"))
-        return out
+        tags, words = [0] * len(self.key), [0] * len(self.texts)
+        for is_text, n in self.order:
+            key = _hash(f"{self.key[self.texts[n][0]]}\n{self.texts[n][1]}") if is_text else _hash(f"<{self.key[n]}")
+            turn = seen[key] = seen.get(key, 0) + 1
+            (words if is_text else tags)[n] = key if turn == 1 else _hash(f"{key}#{turn}")
+        return tags, words
+
+    def roles(self) -> list[int]:
+        """Tokens of texts and of elements that aren't paragraph-like, as they come."""
+        tags, words = self.tokens()
+        return [(words if is_text else tags)[n] for is_text, n in self.order if is_text or not self.leafy[n]]
+
+    def lengths(self) -> list[int]:
+        """Characters of each token's text, 0 for tags."""
+        return [len(self.texts[n][1]) if is_text else 0 for is_text, n in self.order if is_text or not self.leafy[n]]
 
-    def mass(self) -> dict[int, tuple[int, int, int, bool]]:
-        """Of each path that has text which isn't marked: characters below it, depth, key of the article or main element around it (0: none), and whether it is paragraph-like."""
+    def regions(self, tags: list[int]) -> list[tuple[int, int, int, int, bool]]:
+        """Of each element that has text which isn't marked: its token, characters below it, depth, token of the article or main element around it (0: none), and whether it is paragraph-like."""
         chars = [0] * len(self.key)
         for at, text, marked in self.texts:
             if not marked:
                 chars[at] += len(text)
         for k in range(len(chars) - 1, 0, -1):  # children come after their parents
             chars[self.parent[k]] += chars[k]
-        out: dict[int, tuple[int, int, int, bool]] = {}
-        for k in range(1, len(chars)):
-            if chars[k]:
-                known = out.get(self.key[k], (0, self.depth[k], 0, self.leafy[k]))
-                mark = self.landmark[k]
-                out[self.key[k]] = (known[0] + chars[k], self.depth[k], self.key[mark] if mark >= 0 else 0, self.leafy[k])
-        return out
+        return [(tags[k], chars[k], self.depth[k], tags[self.landmark[k]] if self.landmark[k] >= 0 else 0, self.leafy[k]) for k in range(1, len(chars)) if chars[k]]
 
-    def below(self, key: int) -> list[bool]:
-        """Of each element, whether it is or lies below an element of this path."""
+    def below(self, tags: list[int], token: int) -> list[bool]:
+        """Of each element, whether it is or lies below the element of this token."""
         out = [False] * len(self.key)
         for k in range(1, len(out)):
-            out[k] = out[self.parent[k]] or self.key[k] == key
+            out[k] = out[self.parent[k]] or tags[k] == token
         return out
 
 
@@ -245,14 +252,15 @@ def template_classes(classes: list[tuple[int, float, float, list[int]]]) -> list
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """A row a host: its template (roles of texts) and the path of its content slot.
-
-    1. Every page gives its roles in order and the characters below each path; the sequences are kept as a table of numbers.
-    2. A role's occurrence vector over the host's pages is a sum of page hashes, which adds up map-side however many pages a host has. Roles of equal vectors
-       form an equivalence class; those on SUPPORT of the pages are frequent.
-    3. The sequences are read again: a frequent class is valid if its roles come in one order on all its pages and each nests in one slot of every more frequent class.
-    4. Valid classes make the template, but for the running text of copies (template_classes). Of the nested elements, the content slot is the deepest that
-       holds MASS of the host's text (texts of boilerplate names aside), widened to the article or main element around it.
+    """A row a host: its template (tokens) and its content slot (the token of an element).
+
+    1. Every page gives its tokens in order, elements as they open and texts, and the characters below each element; the sequences are kept as a table of numbers.
+    2. A token's occurrence vector over the host's pages is a sum of page hashes, which adds up map-side however many pages a host has. Tokens of equal vectors
+       form an equivalence class, elements and texts apart; those on SUPPORT of the pages are frequent. (Equal sums and sums of squares are taken as equal vectors.)
+    3. The sequences are read again: a frequent class is valid if its tokens come in one order on all its pages and each nests in one slot of every more frequent class.
+    4. Valid classes make the template, but for the running text of copies (template_classes). What lies between its tokens are slots. The template's elements nest; the content slot
+       is the deepest of them, paragraphs and the like aside, between whose tokens lies MASS of the host's text (texts of boilerplate names aside), widened to the article or
+       main element around it. A host none of whose elements is in a valid class takes the deepest frequent one instead.
     """
     def read(batches):
         import pandas as pd
@@ -261,9 +269,9 @@ def templates(pages: DataFrame) -> DataFrame:
             rows = []
             for page, url, html in zip(b["page_id"], b["url"], b["html"]):
                 found = Page(html or "")
-                mass = found.mass()
-                lengths = [len(t) for _, t, _ in found.texts]
-                rows.append((host(url), _hash(f"{page}|{url}") % 1_000_003 + 1, found.roles(), lengths, sum(lengths), list(mass), [v[0] for v in mass.values()], [v[1] - 100 * v[3] for v in mass.values()], [v[2] for v in mass.values()]))
+                mass = found.regions(found.tokens()[0])
+                lengths = found.lengths()
+                rows.append((host(url), _hash(f"{page}|{url}") % 1_000_003 + 1, found.roles(), lengths, sum(lengths), [v[0] for v in mass], [v[1] for v in mass], [v[2] - 100 * v[4] for v in mass], [v[3] for v in mass]))
             yield pd.DataFrame(rows, columns=["host", "turn", "roles", "lengths", "total", "paths", "chars", "depths", "marks"])
 
     small_batches(pages.sparkSession)
@@ -274,7 +282,7 @@ def templates(pages: DataFrame) -> DataFrame:
     summed = each.groupBy("host", "key").agg(F.count("*").alias("pages"), F.sum("turn").alias("vector"), F.sum(F.col("turn") * F.col("turn")).alias("vector2"), F.sum("length").alias("chars"), F.sum("total").alias("total"))
     often = summed.where(F.col("pages") >= LEAST_PAGES * SUPPORT).join(counted.hint("merge"), "host").where((F.col("pages") >= F.col("all_pages") * SUPPORT) & (F.col("all_pages") >= LEAST_PAGES))
     frequent = table(often.select("host", "key", "pages", "vector", "vector2", "chars", "total"))
-    rank = F.dense_rank().over(Window.partitionBy("host").orderBy(F.col("pages").desc(), "vector", "vector2"))
+    rank = F.dense_rank().over(Window.partitionBy("host").orderBy(F.col("pages").desc(), "vector", "vector2", F.col("chars") > 0))  # of equal vectors elements come first, texts nest in them
     known = table(frequent.withColumn("class", rank).groupBy("host").agg(F.collect_list(F.struct("key", "class")).alias("known")))
 
     def check(batches):
@@ -289,7 +297,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     signed = seqs.select("host", "roles").join(known.hint("merge"), "host").mapInPandas(lean(check), "host string, class int, key long, sign long")
     order = signed.groupBy("host", "class", "key").agg((F.min("sign") == F.max("sign")).alias("same"))
-    valid = order.groupBy("host", "class").agg(F.every("same").alias("valid"), F.collect_list("key").alias("keys")).where("valid").select("host", "class", F.explode("keys").alias("key"))
+    valid = table(order.groupBy("host", "class").agg(F.every("same").alias("valid"), F.collect_list("key").alias("keys")).where("valid").select("host", "class", F.explode("keys").alias("key")))
 
     def choose(batch):
         import pandas as pd
@@ -302,10 +310,12 @@ def templates(pages: DataFrame) -> DataFrame:
     on = paths.groupBy("host", F.col("paths").alias("path")).agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.max("depths").alias("depth"), F.max("marks").alias("mark"))
     wide = on.join(counted.hint("merge"), "host").where(F.col("pages") >= F.col("all_pages") * SUPPORT)
     mass = wide.groupBy("host").agg(F.max("chars").alias("mass"))
-    deep = wide.join(mass, "host").where(F.col("chars") >= F.col("mass") * MASS).groupBy("host").agg(F.max(F.struct("depth", "chars", "path", "mark")).alias("m"))
+    sure = valid.select("host", F.col("key").alias("path"), F.lit(True).alias("sure"))
+    deep = wide.join(mass, "host").where(F.col("chars") >= F.col("mass") * MASS).join(sure, ["host", "path"], "left")
+    deep = deep.groupBy("host").agg(F.max(F.struct(F.coalesce("sure", F.lit(False)).alias("sure"), "depth", "chars", "path", "mark")).alias("m"))
     slots = deep.select("host", F.when(F.col("m.mark") != 0, F.col("m.mark")).otherwise(F.col("m.path")).alias("slot"))
     found = table(counted.join(template, "host", "left").join(slots, "host", "left").select("host", "template", "slot"))
-    forget(seqs, counted, frequent, known)
+    forget(seqs, counted, frequent, known, valid)
     return found
 
 
@@ -316,10 +326,11 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset(), slot
     taken if they hold that much, else all text. If the template would leave nothing (pages that are copies of each other), its texts stay.
     """
     page = Page(html)
-    plain = [(at, text, role) for (at, text, marked), role in zip(page.texts, page.roles()) if not marked]
+    tags, words = page.tokens()
+    plain = [(at, text, word) for (at, text, marked), word in zip(page.texts, words) if not marked]
     fresh = [x for x in plain if x[2] not in template] or plain
     least = MASS * sum(len(text) for _, text, _ in fresh)
-    inside = page.below(slot) if slot else None
+    inside = page.below(tags, slot) if slot else None
     for own in ([x for x in fresh if inside and inside[x[0]]], [x for x in fresh if page.landmark[x[0]] >= 0]):
         if own and sum(len(text) for _, text, _ in own) >= least:
             return "\n".join(text for _, text, _ in own)
