@@ -9,6 +9,7 @@ plainer form, would grow with the corpus.) Nothing but one hash of frequent phra
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import pickle
 from collections import Counter
 
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from skein.llm.common import documents, forget, lean, mix, small_batches, store, table
 
 #: Keys of one perfect hash that is broadcast, occurrences of one part's arrays, branches of the tree that sums them.
-SHARD, PART, FAN = 1 << 21, 1 << 22, 16
+SHARD, PART, FAN = 1 << 21, 1 << 22, 4
 #: Words a Python worker keeps, words of a mapper's table and entries of its arrays before they are handed on.
-STORE, WORDS, HELD = 200_000, 150_000, 500_000
+STORE, WORDS, HELD = 150_000, 100_000, 500_000
 LEAST, LONGEST, TOP, SWALLOWED = 30, 4, 2000, 80
 _BREAK = b"\xff"  # never a byte of UTF-8
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
@@ -160,7 +161,7 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
         if held:
             yield rows(held)
 
-    counted = _texts(docs).mapInPandas(lean(run), "key long, lang string, word string, n long").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
+    counted = _texts(docs).mapInPandas(_forgetful(run), "key long, lang string, word string, n long").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
     return table(counted.where((F.col("n") >= least) | F.col("word").isNull()))
 
 
@@ -194,6 +195,31 @@ class Level:
         sent.unpersist()
 
 
+def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n[order], first)
+
+
+def _give_back() -> None:
+    """Free memory goes back to the system, as groups are many and a worker waits beside others."""
+    with contextlib.suppress(OSError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _forgetful(run):
+    """A function of batches whose words are forgotten when its task ends."""
+
+    def task(batches):
+        yield from run(batches)
+        store("phrases").clear()
+
+    return lean(task)
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their sums: the keys get a minimal perfect hash, and every block adds to the slots of one array."""
     made = PerfectHash(np.unique(np.concatenate(keys)) if keys else np.zeros(0, "<u8"))
@@ -227,7 +253,7 @@ def coded(docs: DataFrame, words: Level, least: int) -> DataFrame:
 
     kind = "lang string, codes binary"
     with words.loaded(0) as sent:
-        out = table(_texts(docs).mapInPandas(lean(first(sent, 0, words.shards)), kind))
+        out = table(_texts(docs).mapInPandas(_forgetful(first(sent, 0, words.shards)), kind))
     for shard in range(1, words.shards):
         before = out
         with words.loaded(shard) as sent:
@@ -273,7 +299,7 @@ def count(texts: DataFrame, n: int, under: Level | None, total: int, least: int)
             size = 0
 
             def parts():
-                keys, counts = _summed([k for k, _ in held], [c for _, c in held])
+                keys, counts = _folded([k for k, _ in held], [c for _, c in held])
                 part = (keys % np.uint64(wide)).astype("<i8")
                 order = np.argsort(part, kind="stable")
                 keys, counts, part = keys[order], counts[order], part[order]
@@ -310,7 +336,8 @@ def count(texts: DataFrame, n: int, under: Level | None, total: int, least: int)
     def merged(rows, last):
         import pandas as pd
 
-        keys, counts = _summed([np.frombuffer(k, "<u8") for k in rows["keys"]], [np.frombuffer(c, "<i8") for c in rows["counts"]])
+        keys, counts = (_summed if last else _folded)([np.frombuffer(k, "<u8") for k in rows["keys"]], [np.frombuffer(c, "<i8") for c in rows["counts"]])
+        _give_back()
         if last:
             return pd.DataFrame({"key": keys[counts >= least].view("<i8"), "n": counts[counts >= least]})
         return pd.DataFrame({"part": [rows["part"].iloc[0]], "node": [rows["node"].iloc[0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
