@@ -12,6 +12,7 @@ HEADLINE = (
     "traj_accel_residual", "velocity_jump_rate", "turning_angle", "trim_ends", "fill_gaps", "savgol_interior", "session_gaps", "camera_targets", "uniqueness_pairs", "box_blur",
     "radius_join", "knn_join", "neighbour_count", "nn_spacing", "link_nearest_l3", "seal_trajectories", "confirm_links", "cascade_track_chunks", "two_phase_track",
     "hybrid_track", "match_cascade", "triangulate_lsq", "conflict_components", "trajectory_scores", "stitch_chunks",
+    "image_track", "membership_extended",
 )
 
 

@@ -29,7 +29,7 @@ def plain(frame):
 
 
 #: A twin of every family; the driver holds all queries against theirs.
-TWINS = """traj_accel_residual velocity_jump_rate turning_angle trim_ends fill_gaps_hermite session_gaps knn_join link_nearest_l3 greedy_selection link_predict_l1 link_neighbour_flow_l2 enforce_reciprocity confirm_link_tuples confirm_links relink_gaps seal_trajectories self_consistency_report prune_kinks trajectory_scores stitch_chunks merge_bidirectional identity_metrics e_track link_recall_precision accel_kurtosis noise_sigma motion_scale match_cascade match_two_cameras cliques4 epipolar_band triangulate_lsq ray_roundtrip lens_roundtrip pixel_candidates lut_bilinear conflict_components split_blobs normalize_rcm reconnect_pieces stitch_fragments dataset_stats tracker_recommendation box_blur lowpass_3 target_components store_seal store_blocks calibrate_full calibrate_linear ghost_probability brightness_shares text_lines trajectory_rows threshold stream_session_gaps stream_sliding""".split()
+TWINS = """traj_accel_residual velocity_jump_rate turning_angle trim_ends fill_gaps_hermite session_gaps knn_join link_nearest_l3 greedy_selection link_predict_l1 link_neighbour_flow_l2 enforce_reciprocity confirm_link_tuples confirm_links relink_gaps seal_trajectories self_consistency_report prune_kinks trajectory_scores stitch_chunks merge_bidirectional identity_metrics e_track link_recall_precision accel_kurtosis noise_sigma motion_scale match_cascade match_two_cameras cliques4 epipolar_band triangulate_lsq ray_roundtrip lens_roundtrip pixel_candidates lut_bilinear conflict_components split_blobs normalize_rcm reconnect_pieces stitch_fragments dataset_stats tracker_recommendation box_blur lowpass_3 target_components store_seal store_blocks calibrate_full calibrate_linear ghost_probability brightness_shares text_lines trajectory_rows threshold stream_session_gaps stream_sliding membership_extended births signatures_estimated calibrate_jointly volume_bounds made_flows""".split()
 
 
 @pytest.mark.parametrize("name", TWINS)
@@ -41,6 +41,7 @@ def test_twin(spark, duck, name):
 PLAIN = {
     "cascade_track", "cascade_track_chunks", "link_4be", "track_back", "nearest_assignment_track", "two_phase_track", "two_phase_bidirectional", "hybrid_track", "mht_relink", "shared_observations",
     "assignment_hungarian", "fit_scale", "uniqueness_ilp", "unique_tracks", "weighted_savgol", "irls_smooth", "resolve_components", "targ_rec", "peak_fit", "detect_bubbles", "stream_linker", "made_scenario",
+    "image_track", "image_added_points", "signatures_across_cameras", "corrective_pass",
 }
 
 
