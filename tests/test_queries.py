@@ -41,7 +41,7 @@ def test_twin(spark, duck, name):
 PLAIN = {
     "cascade_track", "cascade_track_chunks", "link_4be", "track_back", "nearest_assignment_track", "two_phase_track", "two_phase_bidirectional", "hybrid_track", "mht_relink", "shared_observations",
     "assignment_hungarian", "fit_scale", "uniqueness_ilp", "unique_tracks", "weighted_savgol", "irls_smooth", "resolve_components", "targ_rec", "peak_fit", "detect_bubbles", "stream_linker", "made_scenario",
-    "image_track", "image_added_points", "signatures_across_cameras", "corrective_pass",
+    "image_track", "image_added_points", "signatures_across_cameras", "corrective_pass", "shaken_points",
 }
 
 
