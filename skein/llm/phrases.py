@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import documents, forget, lean, mix, small_batches, store, table
 
-#: Keys of one perfect hash that is broadcast, occurrences of one part's arrays, branches of the tree that sums them.
-SHARD, PART, FAN = 1 << 21, 1 << 22, 4
+#: Keys of one perfect hash that is broadcast, occurrences of one part's arrays, tasks whose arrays one node of the tree sums.
+SHARD, PART, FAN = 1 << 21, 1 << 22, 256
 #: Words a Python worker keeps, words of a mapper's table and entries of its arrays before they are handed on.
 STORE, WORDS, HELD = 150_000, 100_000, 500_000
 LEAST, LONGEST, TOP, SWALLOWED = 30, 4, 2000, 80
@@ -169,7 +169,7 @@ class Level:
     """Frequent phrases of one length in perfect hashes of some SHARD keys each, with the counts by slot; a key's shard is its remainder."""
 
     def __init__(self, found: DataFrame):
-        """found: distinct key, n."""
+        """found: distinct key, n, tag (of a row of the coded texts that holds the phrase)."""
         self.spark = found.sparkSession
         size, self.total = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         self.shards = max(1, -(-size // SHARD))
@@ -179,29 +179,29 @@ class Level:
 
             key = rows["key"].to_numpy().astype("<i8").view("<u8")
             made = PerfectHash(key)
-            n = np.zeros(len(made.keys), "<i8")
-            n[made.slots(key)] = rows["n"]
-            return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "made": [pickle.dumps((made, n))]})
+            n, tag, slots = np.zeros(len(made.keys), "<i8"), np.zeros(len(made.keys), "<u4"), made.slots(key)
+            n[slots], tag[slots] = rows["n"], rows["tag"]
+            return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "made": [pickle.dumps((made, n, tag))]})
 
         shard = F.pmod("key", F.lit(self.shards)).cast("int").alias("shard")
-        self.hashes = table(found.select(shard, "key", "n").groupBy("shard").applyInPandas(build, "shard int, made binary"))
+        self.hashes = table(found.select(shard, "key", "n", "tag").groupBy("shard").applyInPandas(build, "shard int, made binary"))
 
     @contextlib.contextmanager
     def loaded(self, shard: int):
         """One shard's hash and counts, as a broadcast value."""
         row = self.hashes.where(F.col("shard") == shard).first()
-        sent = self.spark.sparkContext.broadcast(pickle.loads(row["made"]) if row else (PerfectHash(np.zeros(0, "<u8")), np.zeros(0, "<i8")))
+        sent = self.spark.sparkContext.broadcast(pickle.loads(row["made"]) if row else (PerfectHash(np.zeros(0, "<u8")), np.zeros(0, "<i8"), np.zeros(0, "<u4")))
         yield sent
         sent.unpersist()
 
 
-def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
+def _folded(keys: list[np.ndarray], counts: list[np.ndarray], tags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sums of their counts and the first of their tags."""
     key, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(n[order], first)
+    return key[first], np.add.reduceat(n[order], first), np.concatenate(tags)[order][first]
 
 
 def _give_back() -> None:
@@ -220,13 +220,15 @@ def _forgetful(run):
     return lean(task)
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and their sums: the keys get a minimal perfect hash, and every block adds to the slots of one array."""
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray], tags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their sums and one tag each: the keys get a minimal perfect hash, and every block adds to the slots of one array."""
     made = PerfectHash(np.unique(np.concatenate(keys)) if keys else np.zeros(0, "<u8"))
-    total = np.zeros(len(made.keys), "<i8")
-    for key, n in zip(keys, counts, strict=True):
-        total[made.slots(key)] += n  # a block holds a key once
-    return made.keys, total
+    total, tag = np.zeros(len(made.keys), "<i8"), np.zeros(len(made.keys), "<u4")
+    for key, n, t in zip(keys, counts, tags, strict=True):
+        slots = made.slots(key)
+        total[slots] += n  # a block holds a key once
+        tag[slots] = t
+    return made.keys, total, tag
 
 
 def coded(docs: DataFrame, words: Level, least: int) -> DataFrame:
@@ -262,9 +264,9 @@ def coded(docs: DataFrame, words: Level, least: int) -> DataFrame:
     return out
 
 
-def _known(codes: np.ndarray, level: tuple[PerfectHash, np.ndarray], shard: int, shards: int, least: int) -> np.ndarray:
+def _known(codes: np.ndarray, level: tuple[PerfectHash, np.ndarray, np.ndarray], shard: int, shards: int, least: int) -> np.ndarray:
     """Codes without the words of a shard that aren't frequent."""
-    made, often = level
+    made, often, _ = level
     if not len(codes):
         return codes
     mine = np.flatnonzero((codes != 0) & (np.mod(codes.view("<i8"), shards) == shard))
@@ -277,13 +279,17 @@ def _known(codes: np.ndarray, level: tuple[PerfectHash, np.ndarray], shard: int,
 
 
 def _rows(batch):
-    return zip(batch["lang"], (np.frombuffer(c, "<u8") for c in batch["codes"]), strict=True)
+    """lang, codes and tag of each row; equal rows have one tag."""
+    import xxhash
+
+    for lang, codes in zip(batch["lang"], batch["codes"], strict=True):
+        yield lang, np.frombuffer(codes, "<u8"), xxhash.xxh3_64_intdigest(codes) & 0xFFFFFFFF
 
 
 def count(texts: DataFrame, n: int, under: Level | None, total: int, least: int) -> DataFrame:
     """key, n of the phrases of n words that occur often enough in coded texts. Only phrases whose first and last n - 1 words are frequent are counted (under; None for words).
 
-    Mappers count what they hold in arrays, cut by key into parts; arrays of a part are summed in a tree of two levels. Parts are as many as keep an array small,
+    Mappers count what they hold in arrays, cut by key into parts; arrays of a part are summed in a tree, of two levels where there are more than FAN tasks. Parts are as many as keep an array small,
     however many phrases there are (total: occurrences of the level before).
     """
     spark = texts.sparkSession
@@ -295,24 +301,24 @@ def count(texts: DataFrame, n: int, under: Level | None, total: int, least: int)
             from pyspark import TaskContext
 
             task = TaskContext.get().partitionId()
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             size = 0
 
             def parts():
-                keys, counts = _folded([k for k, _ in held], [c for _, c in held])
+                keys, counts, tags = _folded(*map(list, zip(*held, strict=True)))
                 part = (keys % np.uint64(wide)).astype("<i8")
                 order = np.argsort(part, kind="stable")
-                keys, counts, part = keys[order], counts[order], part[order]
+                keys, counts, tags, part = keys[order], counts[order], tags[order], part[order]
                 cut = np.flatnonzero(np.diff(part)) + 1
-                blocks = zip(part[np.concatenate([[0], cut])].tolist(), np.split(keys, cut), np.split(counts, cut), strict=True)
-                return pd.DataFrame([(p, task % FAN, k.tobytes(), c.tobytes()) for p, k, c in blocks], columns=["part", "node", "keys", "counts"])
+                blocks = zip(part[np.concatenate([[0], cut])].tolist(), np.split(keys, cut), np.split(counts.astype("<u4"), cut), np.split(tags, cut), strict=True)
+                return pd.DataFrame([(p, task // FAN, k.tobytes(), c.tobytes(), t.tobytes()) for p, k, c, t in blocks], columns=["part", "node", "keys", "counts", "tags"])
 
             for batch in batches:
-                for _, codes in _rows(batch):
+                for _, codes, tag in _rows(batch):
                     key, whole = keys_of(codes, n)
                     if sent is not None:
                         short, valid = keys_of(codes, n - 1)
-                        made, often = sent.value
+                        made, often, _ = sent.value
                         mine = valid if shards == 1 else valid & (np.mod(short.view("<i8"), shards) == shard)
                         at = np.flatnonzero(mine)
                         slots = made.slots(short[at])
@@ -323,7 +329,7 @@ def count(texts: DataFrame, n: int, under: Level | None, total: int, least: int)
                         whole = whole & good[: len(key)] & (good[1 : len(key) + 1] | ~mine[1 : len(key) + 1])  # a last part of another shard can't be told here
                     found, times = np.unique(key[whole], return_counts=True)
                     if len(found):
-                        held.append((found, times))
+                        held.append((found, times, np.full(len(found), tag, "<u4")))
                         size += len(found)
                 if size > HELD:
                     yield parts()
@@ -336,19 +342,23 @@ def count(texts: DataFrame, n: int, under: Level | None, total: int, least: int)
     def merged(rows, last):
         import pandas as pd
 
-        keys, counts = (_summed if last else _folded)([np.frombuffer(k, "<u8") for k in rows["keys"]], [np.frombuffer(c, "<i8") for c in rows["counts"]])
+        parts = [(np.frombuffer(k, "<u8"), np.frombuffer(c, "<u4" if 2 * len(c) == len(k) else "<i8").astype("<i8"), np.frombuffer(t, "<u4")) for k, c, t in zip(rows["keys"], rows["counts"], rows["tags"], strict=True)]
+        keys, counts, tags = (_summed if last else _folded)(*map(list, zip(*parts, strict=True)))
         _give_back()
         if last:
-            return pd.DataFrame({"key": keys[counts >= least].view("<i8"), "n": counts[counts >= least]})
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "node": [rows["node"].iloc[0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
+            often = counts >= least
+            return pd.DataFrame({"key": keys[often].view("<i8"), "n": counts[often], "tag": tags[often].astype("<i8")})
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "node": [rows["node"].iloc[0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "tags": [tags.tobytes()]})
 
-    kind, found = "part long, node int, keys binary, counts binary", []
+    kind, found = "part long, node int, keys binary, counts binary, tags binary", []
+    deep = texts.rdd.getNumPartitions() > FAN
     small_batches(spark)
     for shard in range(under.shards if under else 1):
         with under.loaded(shard) if under else contextlib.nullcontext() as sent:
             arrays = texts.mapInPandas(lean(counting(sent, shard, under.shards if under else 1)), kind)
-            arrays = arrays.groupBy("part", "node").applyInPandas(lambda rows: merged(rows, False), kind)
-            found.append(table(arrays.groupBy("part").applyInPandas(lambda rows: merged(rows, True), "key long, n long")))
+            if deep:
+                arrays = arrays.groupBy("part", "node").applyInPandas(lambda rows: merged(rows, False), kind)
+            found.append(table(arrays.groupBy("part").applyInPandas(lambda rows: merged(rows, True), "key long, n long, tag long")))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -356,24 +366,22 @@ def count(texts: DataFrame, n: int, under: Level | None, total: int, least: int)
 
 
 def spelt(texts: DataFrame, level: Level, n: int) -> DataFrame:
-    """key, lang, words (hashes) and a of every phrase of a level: each task tells a phrase once."""
+    """key, lang, words (hashes) and a of every phrase of a level, told by the row of the coded texts whose tag the phrase has."""
 
     def telling(sent, shard, shards):
         def run(batches):
             import pandas as pd
 
-            made, often = sent.value
-            told = np.zeros(len(often), bool)
+            made, often, tags = sent.value
             for batch in batches:
-                for lang, words in _rows(batch):
+                for lang, words, tag in _rows(batch):
                     key, valid = keys_of(words, n)
                     at = np.flatnonzero(valid)
                     slots = made.slots(key[at])
                     fresh = slots >= 0
-                    fresh[fresh] = ~told[slots[fresh]]
+                    fresh[fresh] = tags[slots[fresh]] == tag
                     new, first = np.unique(slots[fresh], return_index=True)
                     if len(new):
-                        told[new] = True
                         at = at[fresh][first]
                         yield pd.DataFrame({"key": key[at].view("<i8"), "lang": lang, "a": often[new], **{f"w{k}": words[at + k].view("<i8") if k < n else 0 for k in range(4)}})
 
@@ -425,7 +433,7 @@ def parts(found: DataFrame, level: Level, n: int) -> DataFrame:
 
     def make(sent, shard, shards):
         def run(batches):
-            made, counts = sent.value
+            made, counts, _ = sent.value
             for rows in batches:
                 out = rows[f"c{n}"].tolist()
                 for at, words in _by_length(rows):
@@ -485,7 +493,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         raise ValueError("phrases have at most 4 words")
     docs = docs.select("lang", "text")
     words = word_counts(docs, least)
-    levels = [Level(words.where("word is not null").select("key", "n"))]
+    levels = [Level(words.where("word is not null").select("key", "n", F.lit(0).cast("long").alias("tag")))]
     texts, phrases = coded(docs, levels[0], least), None
     for n in range(2, longest + 1):
         found = count(texts, n, levels[-1] if n > 2 else None, levels[-1].total, least)

@@ -106,7 +106,7 @@ def talk(n, seed):
     return rows + [(None, None, "en"), (None, "", None), (3, "solo", "fr"), (3, "solo", "fr")]
 
 
-@pytest.mark.parametrize("shard,part,fan,top", [(phrases.SHARD, phrases.PART, phrases.FAN, 2000), (150, 100, 2, 5)])
+@pytest.mark.parametrize("shard,part,fan,top", [(phrases.SHARD, phrases.PART, phrases.FAN, 2000), (150, 100, 1, 5)])
 def test_phrases_match_plain_counts(spark, monkeypatch, shard, part, fan, top):
     for name, value in (("SHARD", shard), ("PART", part), ("FAN", fan), ("HELD", part)):
         monkeypatch.setattr(phrases, name, value)
