@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import documents, forget, lean, mix, small_batches, store, table
 
 #: Keys of one perfect hash that is broadcast, occurrences of one part's arrays, tasks whose arrays one node of the tree sums.
-SHARD, PART, FAN = 1 << 21, 1 << 22, 256
+SHARD, PART, FAN = 1 << 21, 1 << 19, 256
 #: Words a Python worker keeps, words of a mapper's table and entries of its arrays before they are handed on.
 STORE, WORDS, HELD = 150_000, 100_000, 500_000
 LEAST, LONGEST, TOP, SWALLOWED = 30, 4, 2000, 80
