@@ -10,17 +10,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, lean, small_batches, store, table
+from skein.llm.common import documents, lean, small_batches, store, table, trim
 from skein.llm.tokens import path
 
-#: UTF-8 bytes of the texts of one block (a longer text is a block of its own), and units a Python worker keeps.
-BLOCK_BYTES, STORE = 8_000_000, 200_000
+#: UTF-8 bytes of the texts of one block (a longer text is a block of its own), and units a Python worker keeps when it begins a block.
+BLOCK_BYTES, STORE = 4_000_000, 100_000
+#: UTF-8 bytes of texts that are cut into units at once; of a block's texts before them only numbers are held.
+CUT_BYTES = 500_000
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Ids of B are below this; a pair is A's id times it plus B's.
 RADIX = 1 << 31
@@ -33,8 +34,8 @@ _ODD = re.compile(r"^\s|^$| $|▁")
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 _COLUMNS = ("n_a", "n_b", "n_groups", "n_links")
 _BLOCKS = (
-    "block string, doc_id array<string>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
-    "units binary, per_doc binary, links binary, per_unit binary, pairs array<long>, counts array<long>"
+    "block long, doc_id array<string>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
+    "n_units long, n_used long, all_links long, units binary, per_doc binary, links binary, per_unit binary, pairs array<long>, counts array<long>"
 )
 
 
@@ -162,57 +163,89 @@ def _aligner(a_file: str, b_file: str) -> Aligner:
     return known[a_file, b_file]
 
 
-def _block(own: Aligner, ids: list, texts: list) -> dict:
-    """One row for a block of documents: what each of them has alone, and units and links for what needs the corpus's counts."""
-    if len(own.known) > STORE:
-        own.reset()
-    cut = [own.units(x) if x else [] for x in texts]
-    own.learn([u for u in {u for units in cut for u in units} if u not in own.known])
-    codes = [[own.known[u] for u in units] for units in cut]
-    del cut
-    bad = set(np.flatnonzero(own.sizes[:, 0] == 0).tolist())
-    for n, units in enumerate(codes):
-        if bad and not bad.isdisjoint(units):  # a side changes this text's bytes: it has no tokens, unless what its units change adds up to the same
-            whole = texts[n]
-            if whole not in own.known:
-                own.learn([whole])
-            codes[n] = [own.known[whole]] if own.sizes[own.known[whole], 0] else []
-    per_doc = np.array([len(units) for units in codes], "<i8")
-    flat = np.array([c for units in codes for c in units], "<i8")
-    used, local = np.unique(flat, return_inverse=True)
-    sizes = own.sizes[used]
-    ends = np.concatenate([[0], np.cumsum(per_doc)])
-    sums = np.concatenate([np.zeros((1, 4), "<i8"), np.cumsum(sizes[local], 0)])
-    totals = sums[ends[1:]] - sums[ends[:-1]]
-    per_unit = sizes[:, 3]
-    links = np.frombuffer(b"".join([own.links[c] for c in used]), "<i8")
-    pairs, link = np.unique(links, return_inverse=True)
-    times = np.repeat(np.bincount(local, minlength=len(used)), per_unit)
-    counts = np.zeros(len(pairs), "<i8")
-    np.add.at(counts, link, times)
-    sha = [hashlib.sha256(b";".join([own.groups[c] for c in units])).hexdigest() if units else "" for units in codes]
-    row = {"block": uuid.uuid4().hex, "doc_id": ids, "sha": sha, "units": local.astype("<i4").tobytes(), "per_doc": per_doc.astype("<i4").tobytes()}
-    row |= {name: totals[:, k] for k, name in enumerate(_COLUMNS)}
-    return row | {"links": link.astype("<i4").tobytes(), "per_unit": per_unit.astype("<i4").tobytes(), "pairs": pairs, "counts": counts}
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 as bytes of the narrowest kind that holds them all; _numbers reads them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype("<i8") if n else np.zeros(0, "<i8")
+
+
+class _Block:
+    """A block of documents under way: of each document its own figures and its units' numbers, of the texts nothing."""
+
+    def __init__(self, own: Aligner):
+        if len(own.known) > STORE:
+            own.reset()
+        self.own, self.ids, self.sha, self.codes, self.totals, self.per_doc = own, [], [], [], [], []
+
+    def add(self, ids: list, texts: list) -> None:
+        own = self.own
+        cut = [own.units(x) if x else [] for x in texts]
+        own.learn([u for u in {u for units in cut for u in units} if u not in own.known])
+        codes = [[own.known[u] for u in units] for units in cut]
+        del cut
+        bad = set(np.flatnonzero(own.sizes[:, 0] == 0).tolist())
+        for n, units in enumerate(codes):
+            if bad and not bad.isdisjoint(units):  # a side changes this text's bytes: it has no tokens, unless what its units change adds up to the same
+                whole = texts[n]
+                if whole not in own.known:
+                    own.learn([whole])
+                codes[n] = [own.known[whole]] if own.sizes[own.known[whole], 0] else []
+        per_doc = np.array([len(units) for units in codes], "<i8")
+        flat = np.array([c for units in codes for c in units], "<i4")
+        ends = np.concatenate([[0], np.cumsum(per_doc)])
+        sums = np.concatenate([np.zeros((1, 4), "<i8"), np.cumsum(own.sizes[flat], 0)])
+        self.ids += ids
+        self.sha += [hashlib.sha256(b";".join([own.groups[c] for c in units])).hexdigest() if units else "" for units in codes]
+        self.codes.append(flat)
+        self.per_doc.append(per_doc)
+        self.totals.append(sums[ends[1:]] - sums[ends[:-1]])
+
+    def row(self, number: int) -> dict:
+        """One row for the block: what each of its documents has alone, and units and links for what needs the corpus's counts."""
+        own, flat, per_doc, totals = self.own, np.concatenate(self.codes), np.concatenate(self.per_doc), np.concatenate(self.totals)
+        uses = np.bincount(flat, minlength=len(own.known))
+        used = np.flatnonzero(uses)
+        place = np.zeros(len(uses), "<i4")
+        place[used] = np.arange(len(used))
+        per_unit = own.sizes[used, 3]
+        links = np.frombuffer(b"".join([own.links[c] for c in used.tolist()]), "<i8")
+        pairs, link = np.unique(links, return_inverse=True)
+        counts = np.zeros(len(pairs), "<i8")
+        np.add.at(counts, link, np.repeat(uses[used], per_unit))
+        row = {"block": number, "doc_id": self.ids, "sha": self.sha, "units": _small(place[flat]), "per_doc": per_doc.astype("<i4").tobytes()}
+        row |= {name: totals[:, k] for k, name in enumerate(_COLUMNS)}
+        return row | {"n_units": len(flat), "n_used": len(used), "all_links": len(link), "links": _small(link), "per_unit": _small(per_unit), "pairs": pairs, "counts": counts}
 
 
 def blocks(docs: DataFrame, a_file: str, b_file: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents as _BLOCKS says; the places of pairs in a block are those of its own list."""
+    """Blocks of documents as _BLOCKS says; the places of pairs in a block are those of its own list. A block's number is its task's and its own in the task."""
 
     def run(batches):
         import pandas as pd
+        from pyspark import TaskContext
 
-        own, ids, texts, size = _aligner(a_file, b_file), [], [], 0
+        own, number = _aligner(a_file, b_file), TaskContext.get().partitionId() << 32
+        block, size, ids, texts, cut = None, 0, [], [], 0
         for batch in batches:
             for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+                block = block or _Block(own)
                 ids.append(i)
                 texts.append(text)
-                size += len(text.encode()) if text else 0
+                n = len(text.encode()) if text else 0
+                size, cut = size + n, cut + n
+                if cut >= CUT_BYTES or size >= block_bytes:
+                    block.add(ids, texts)
+                    ids, texts, cut = [], [], 0
                 if size >= block_bytes:
-                    yield pd.DataFrame([_block(own, ids, texts)])
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield pd.DataFrame([_block(own, ids, texts)])
+                    yield pd.DataFrame([block.row(number)])
+                    block, size, number = None, 0, number + 1
+        if block:
+            if ids:
+                block.add(ids, texts)
+            yield pd.DataFrame([block.row(number)])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string")).mapInPandas(lean(run), _BLOCKS)
@@ -245,16 +278,16 @@ def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None,
         row = left.iloc[0]
         order = np.argsort(right["at"].to_numpy(), kind="stable")
         n, best = right["n"].to_numpy()[order], right["best"].to_numpy()[order].astype("i8")
-        read = lambda name: np.frombuffer(row[name], "<i4").astype("i8")
         after = lambda x: np.concatenate([np.zeros(1, "i8"), np.cumsum(x)])
-        links, units = read("links"), read("units")
-        unit_ends, doc_ends = after(read("per_unit")), after(read("per_doc"))
+        links, units = _numbers(row["links"], row["all_links"]), _numbers(row["units"], row["n_units"])
+        unit_ends, doc_ends = after(_numbers(row["per_unit"], row["n_used"])), after(np.frombuffer(row["per_doc"], "<i4"))
 
         def each(values):  # sums wrap, differences of sums don't unless a document's own sum does
             by_unit = np.diff(after(values[links])[unit_ends])
             return np.diff(after(by_unit[units])[doc_ends])
 
         ids = pd.array([None if x is None else int(x) for x in row["doc_id"]], dtype="Int64")
+        trim()
         out = {"doc_id": ids} | {name: row[name] for name in _COLUMNS}
         return pd.DataFrame(out | {"n_best": each(best), "count_sum": each(n), "groups_sha256": row["sha"]})
 

@@ -214,3 +214,22 @@ def test_units_learnt_together_and_alone_are_the_same():
         other.learn([u])
     of = lambda x, u: (x.groups[x.known[u]], x.links[x.known[u]], x.sizes[x.known[u]].tolist())
     assert all(of(own, u) == of(other, u) for u in units) and any("▁" in u for u in units)
+
+
+def test_alignment_block_holds_numbers_not_texts():
+    import tracemalloc
+
+    own = alignment.Aligner(path(alignment.A_FILE), path(alignment.B_FILE))
+    texts = ["the quick brown fox jumps over the lazy dog " * 40] * 500  # 0.9 MB in 180,000 units of 9 words
+    block = alignment._Block(own)
+    block.add([1], texts[:1])
+    tracemalloc.start()
+    for n in range(0, len(texts), 10):
+        block.add(list(range(10)), texts[n : n + 10])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    row = block.row(7)
+    assert peak < 4_000_000  # units as strings alone would take 9 MB
+    assert row["block"] == 7 and row["n_units"] == 501 * 360 and row["n_used"] < 256 and len(row["units"]) == row["n_units"]
+    for values in ([], [0], [0, 255], [3, 256, 65535], [1 << 20]):
+        assert alignment._numbers(alignment._small(np.array(values, "<i8")), len(values)).tolist() == values
