@@ -26,13 +26,13 @@ def robust_weights(x: np.ndarray, rounds: int = 3) -> np.ndarray:
     return w
 
 
-def robust_residual(x: np.ndarray, rounds: int = 3) -> float:
-    """Root mean square distance of a track's points from their robust cubic; 0 below three points."""
+def robust_residual(x: np.ndarray, rounds: int = 3, weight: np.ndarray | None = None) -> float:
+    """Root mean square distance of a track's points from their robust cubic, by robust_weights unless they are given; 0 below three points."""
     n = len(x)
     if n < 3:
         return 0.0
     a = np.arange(n, dtype=float)[:, None] ** np.arange(min(3, n - 1), -1, -1)
-    return float(np.sqrt(((x - a @ _solve(a, robust_weights(x, rounds), x)) ** 2).sum(1).mean()))
+    return float(np.sqrt(((x - a @ _solve(a, robust_weights(x, rounds) if weight is None else weight, x)) ** 2).sum(1).mean()))
 
 
 def predict(t: np.ndarray, x: np.ndarray, at: float, window: int = 6, degree: int = 2) -> tuple[np.ndarray, np.ndarray, float]:

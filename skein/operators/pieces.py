@@ -22,73 +22,119 @@ def _weighted(tracks: DataFrame) -> DataFrame:
     return tracks.select("trajid", "frame", *AXES, F.col("weight") if "weight" in tracks.columns else F.lit(1.0).alias("weight"))
 
 
+def over_tracks(tracks: DataFrame, run, schema: str) -> DataFrame:
+    """run(trajid, frames, positions, weights) of each whole track, its points in order of frame: a dict of arrays or lists as `schema` names them, or None for no rows.
+
+    Tracks lie together in sorted partitions and are taken from batches of Arrow; one whose rows go on in the next batch waits for them. So a short track costs
+    its own arithmetic alone, and a task holds a batch and one track.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = T.StructType.fromDDL(schema)
+
+    def task(batches):
+        import pyarrow as pa
+
+        kinds = to_arrow_schema(fields)
+
+        def keys(b):
+            return b.column("trajid").fill_null(0).to_numpy(zero_copy_only=False), b.column("trajid").is_null().to_numpy(zero_copy_only=False)
+
+        def done(parts):
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            if not rows.num_rows:
+                return
+            rows = rows.to_batches()[0]
+            ids, none = keys(rows)
+            first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])]))
+            t, w = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("frame", "weight"))
+            x = np.stack([rows.column(a).to_numpy(zero_copy_only=False).astype(float) for a in AXES], 1)
+            out = {k: [] for k in kinds.names}
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(ids)]):
+                found = run(None if none[i] else int(ids[i]), t[i:j], x[i:j], w[i:j])
+                if found is not None:
+                    for k, v in found.items():
+                        out[k] += v.tolist() if isinstance(v, np.ndarray) else v
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
+
+        parts, last = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, none = keys(b)
+            change = np.flatnonzero((ids[1:] != ids[:-1]) | (none[1:] != none[:-1])) + 1
+            if len(change) or (parts and (ids[0], none[0]) != last):
+                cut = int(change[-1]) if len(change) else 0
+                yield from done([*parts, b.slice(0, cut)])
+                parts = [b.slice(cut)]
+            else:
+                parts.append(b)
+            last = (ids[-1], none[-1])
+        if parts:
+            yield from done(parts)
+
+    rows = _weighted(tracks).select(F.col("trajid").cast("long"), F.col("frame").cast("long"), *[F.col(c).cast("double") for c in (*AXES, "weight")])
+    return rows.repartition("trajid").sortWithinPartitions("trajid", F.col("frame").asc_nulls_last()).mapInArrow(task, fields)
+
+
+def _named(trajid: int | None, t: np.ndarray) -> dict:
+    return {"trajid": [trajid] * len(t), "frame": [int(v) if v == v else None for v in t.tolist()]}
+
+
 def smooth(tracks: DataFrame, fps: float = 1.0, window: int = 9, order: int = 3, least: int = 5) -> DataFrame:
     """Positions, velocities and accelerations by weighted local polynomials in windows that shift inward at a track's ends; shorter tracks than `least` are left out."""
 
-    def run(rows):
-        import pandas as pd
-
-        rows = rows.sort_values("frame")
-        found = curves.smooth(rows["frame"].to_numpy(float), rows[XYZ].to_numpy(), rows["weight"].to_numpy(float), fps, window, order, least)
+    def run(trajid, t, x, weight):
+        found = curves.smooth(t, x, weight, fps, window, order, least)
         if found is None:
-            return pd.DataFrame({c: [] for c in ("trajid", "frame", *XYZ, *"uvw", "ax", "ay", "az")})
-        out = rows[["trajid", "frame"]].reset_index(drop=True)
-        return pd.concat([out, *(pd.DataFrame(v, columns=c) for v, c in zip(found, (XYZ, list("uvw"), ["ax", "ay", "az"])))], axis=1)
+            return None
+        return _named(trajid, t) | {c: v[:, k] for v, names in zip(found, (XYZ, "uvw", ("ax", "ay", "az"))) for k, c in enumerate(names)}
 
-    return _weighted(tracks).groupBy("trajid").applyInPandas(run, "trajid long, frame long, x double, y double, z double, u double, v double, w double, ax double, ay double, az double")
+    return over_tracks(tracks, run, "trajid long, frame long, x double, y double, z double, u double, v double, w double, ax double, ay double, az double")
 
 
 def leave_one_out(tracks: DataFrame, window: int = 9, order: int = 2, least: int = 5) -> DataFrame:
     """(trajid, frame, x, y, z, support): where a point's neighbours in its track say that it is; null in tracks of fewer than `least` points."""
 
-    def run(rows):
-        rows = rows.sort_values("frame")
-        at, support = curves.leave_one_out(rows["frame"].to_numpy(float), rows[XYZ].to_numpy(), rows["weight"].to_numpy(float), window, order, least)
-        return rows[["trajid", "frame"]].assign(x=at[:, 0], y=at[:, 1], z=at[:, 2], support=support)
+    def run(trajid, t, x, weight):
+        at, support = curves.leave_one_out(t, x, weight, window, order, least)
+        return _named(trajid, t) | {a: at[:, k] for k, a in enumerate(AXES)} | {"support": support}
 
-    out = _weighted(tracks).groupBy("trajid").applyInPandas(run, "trajid long, frame long, x double, y double, z double, support double")
+    out = over_tracks(tracks, run, "trajid long, frame long, x double, y double, z double, support double")
     return out.withColumns({a: F.when(~F.isnan(a), F.col(a)) for a in AXES})
 
 
 def robust(tracks: DataFrame, rounds: int = 3) -> DataFrame:
     """(trajid, frame, weight, residual): each point's weight in its track's robust cubic, and the track's residual."""
 
-    def run(rows):
-        rows = rows.sort_values("frame")
-        x = rows[XYZ].to_numpy()
-        return rows[["trajid", "frame"]].assign(weight=curves.robust_weights(x, rounds), residual=curves.robust_residual(x, rounds))
+    def run(trajid, t, x, _):
+        weight = curves.robust_weights(x, rounds)
+        return _named(trajid, t) | {"weight": weight, "residual": [curves.robust_residual(x, rounds, weight)] * len(t)}
 
-    return tracks.select("trajid", "frame", *AXES).groupBy("trajid").applyInPandas(run, "trajid long, frame long, weight double, residual double")
+    return over_tracks(tracks.drop("weight"), run, "trajid long, frame long, weight double, residual double")
 
 
 def predict_next(tracks: DataFrame, window: int = 6, degree: int = 2) -> DataFrame:
     """(trajid, frame, x, y, z, u, v, w, residual): where each track would be in the frame after its last, and how fast."""
 
-    def run(rows):
-        import pandas as pd
-
-        rows = rows.sort_values("frame")
-        t = rows["frame"].to_numpy(float)
-        x, v, r = curves.predict(t[-window:], rows[XYZ].to_numpy()[-window:], t[-1] + 1, window, degree)
-        return pd.DataFrame([[rows["trajid"].iloc[0], int(t[-1]) + 1, *x, *v, r]], columns=["trajid", "frame", *XYZ, *"uvw", "residual"])
+    def run(trajid, t, x, _):
+        at, v, r = curves.predict(t[-window:], x[-window:], t[-1] + 1, window, degree)
+        return {"trajid": [trajid], "frame": [int(t[-1]) + 1], "residual": [r]} | {c: [float(n)] for c, n in zip((*XYZ, *"uvw"), (*at, *v), strict=True)}
 
-    return tracks.select("trajid", "frame", *AXES).groupBy("trajid").applyInPandas(run, "trajid long, frame long, x double, y double, z double, u double, v double, w double, residual double")
+    return over_tracks(tracks.drop("weight"), run, "trajid long, frame long, x double, y double, z double, u double, v double, w double, residual double")
 
 
 def ends(tracks: DataFrame, n: int = 10, degree: int = 1, least: int = 4) -> DataFrame:
     """A row a track of `least` points or more: first and last frame and point, coefficients of the polynomials through both ends, and their residuals."""
 
-    def run(rows):
-        import pandas as pd
-
-        rows = rows.sort_values("frame")
-        t, x = rows["frame"].to_numpy(float), rows[XYZ].to_numpy()
+    def run(trajid, t, x, _):
         if len(t) < least:
-            return pd.DataFrame({c: [] for c in ("trajid", "f0", "f1", "p0", "p1", "c0", "c1", "s0", "s1")})
+            return None
         (c0, _, s0), (c1, _, s1) = curves.end_fit(t, x, False, n, degree), curves.end_fit(t, x, True, n, degree)
-        return pd.DataFrame({"trajid": [rows["trajid"].iloc[0]], "f0": [int(t[0])], "f1": [int(t[-1])], "p0": [x[0].tolist()], "p1": [x[-1].tolist()], "c0": [c0.ravel().tolist()], "c1": [c1.ravel().tolist()], "s0": [s0], "s1": [s1]})
+        return {"trajid": [trajid], "f0": [int(t[0])], "f1": [int(t[-1])], "p0": [x[0].tolist()], "p1": [x[-1].tolist()], "c0": [c0.ravel().tolist()], "c1": [c1.ravel().tolist()], "s0": [s0], "s1": [s1]}
 
-    return tracks.select("trajid", "frame", *AXES).groupBy("trajid").applyInPandas(run, "trajid long, f0 long, f1 long, p0 array<double>, p1 array<double>, c0 array<double>, c1 array<double>, s0 double, s1 double")
+    return over_tracks(tracks.drop("weight"), run, "trajid long, f0 long, f1 long, p0 array<double>, p1 array<double>, c0 array<double>, c1 array<double>, s0 double, s1 double")
 
 
 def _at(coefficients: str, dt, degree: int) -> list:

@@ -221,3 +221,34 @@ def test_parameter_search(spark):
 def test_independent_greedy_beyond_the_limit():
     sets = [{n // 2} for n in range(60)]
     assert len(assignment.independent(sets, np.arange(60.0), most=20)) == 30
+
+
+def test_tracks_are_taken_from_batches_whole(spark):
+    import numpy as np
+
+    from skein.engines import curves
+    from skein.operators import pieces
+
+    rng = np.random.default_rng(3)
+    rows = [(t, f, *(float(v) for v in rng.normal(size=3))) for t, n in ((None, 5), (0, 6), (3, 1), (-4, 30), (1 << 60, 7), (8, 4), (9, 21)) for f in range(n)]
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([rows[k] for k in order], "trajid long, frame long, x double, y double, z double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (4, 7, 10000):  # tracks longer than a batch, tracks that end with one, all in one
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            found = pieces.predict_next(df)
+            assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()  # a group a track costs more than the track
+            got = {r.trajid: (r.frame, r.x, r.u, r.residual) for r in found.collect()}
+            fits = {(r.trajid, r.frame): (r.x, r.support) for r in pieces.leave_one_out(df, 5, 2).collect()}
+            assert len(fits) == len(rows)
+            for t in {r[0] for r in rows}:
+                x = np.array([r[2:] for r in rows if r[0] == t])
+                f = np.arange(len(x), dtype=float)
+                at, v, residual = curves.predict(f[-6:], x[-6:], f[-1] + 1, 6, 2)
+                assert got.pop(t) == (len(x), at[0], v[0], residual)
+                left, support = curves.leave_one_out(f, x, np.ones(len(x)), 5, 2)
+                assert all(fits[t, k] == ((None if np.isnan(left[k, 0]) else left[k, 0]), support[k]) for k in range(len(x)))
+            assert not got
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
