@@ -7,6 +7,7 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import linking, spatial
 from skein.plans import registry
@@ -89,3 +90,20 @@ def test_camera_queries_over_every_frame(spark, duck, name):
     got = registry.queries()[name](spark, SF).toPandas()
     assert set(got["frame"]) == set(range(8))
     assert plain(got) == plain(duck.execute(registry.oracle_sql()[name]).df())
+
+
+def test_copies_of_a_point_are_not_paired(spark):
+    rng = random.Random(5)
+    cloud = [(f, f * 1000 + i, *(rng.randrange(4) / 2 for _ in "xyz")) for f in range(2) for i in range(90)] + [(0, 500, 7.0, -0.0, 7.0), (0, 501, 7.0, 0.0, 7.0), (0, 502, float("nan"), 1.0, 1.0), (0, 503, float("nan"), 1.0, 1.0), (0, 504, None, 1.0, 1.0)]
+    df = spark.createDataFrame(cloud, "frame long, pid long, x double, y double, z double")
+    d2 = lambda p, q: sum((a - b) ** 2 for a, b in zip(p, q)) if None not in (*p, *q) else float("nan")
+    want = {(f, i): sum(f == g and i != k and d2(p, q) <= 1 for g, k, *q in cloud) for f, i, *p in cloud}
+    got = spatial.neighbour_counts(df, 1.0).collect()
+    assert {(r.frame, r.pid): r.neighbours for r in got} == want and len(got) == len(want)
+    ahead = {(f, i): min(d2(p, q) for g, k, *q in cloud if g == 1) for f, i, *p in cloud if f == 0 and i < 502}
+    got = spatial.nearest_in_next(df.where("pid NOT IN (502, 503, 504)"), 0.25, "pid").collect()
+    assert {(r.frame, r.i): r.d2 for r in got} == ahead and len(got) == len(ahead)
+    one = spark.range(3000).select(F.lit(0).cast("long").alias("frame"), F.col("id").alias("pid"), *[F.lit(1.0).alias(a) for a in "xyz"])
+    near = spatial.neighbour_counts(one, 1.0)
+    assert [tuple(r) for r in near.groupBy("neighbours").count().collect()] == [(2999, 3000)]
+    assert spatial.places(one, "pid").count() == 1  # nine million pairs of points, one of places
