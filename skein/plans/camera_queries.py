@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import optics, vectors
-from skein.functions.numeric import Columns
+from skein.functions.numeric import Arrays, Columns
 from skein.functions.optics import Camera, Volume
 from skein.operators import stereo
 from skein.plans.catalogue import query
@@ -98,23 +99,30 @@ def look_at(spark, sf_dir):
 # --- lens and glass ------------------------------------------------------------------------------------------------------------------------
 
 
+def _seen_by(rows: DataFrame, c: Camera, run, *names: str) -> DataFrame:
+    """Rows with the named results of run(camera, rows) for one camera: iterated formulas run over arrays, as rounds of columns are interpreted row by row."""
+    return stereo.over_cameras(rows.withColumn("cam", F.lit(0).cast("long")), [c], run, ", ".join(f"{k} double" for k in names)).drop("cam")
+
+
 @query("lens_roundtrip", f"WITH {_T} SELECT frame, pid AS id, x AS ax, y AS ay, x AS ex, y AS ey, x AS fx, y AS fy FROM t")
 def lens_roundtrip(spark, sf_dir):
     """Distorted and corrected again by both inverses, and flat to distorted and back."""
-    c, N = Camera(**SOFT), Columns()
-    x, y = F.col("x"), F.col("y")
-    u, v = [N.let(k) for k in optics.distort(N, c, x, y)]
-    p, q = [N.let(k) for k in optics.from_flat(N, c, x, y)]
-    a, e, f = optics.undistort(N, c, u, v, 60), optics.undistort_exact(N, c, u, v), optics.to_flat(N, c, p, q)
-    return _rounded(N.run(_points(spark, sf_dir), ax=a[0], ay=a[1], ex=e[0], ey=e[1], fx=f[0], fy=f[1]).drop(*XYZ), "ax", "ay", "ex", "ey", "fx", "fy")
+
+    def run(c, r):
+        x, y = r["x"].to_numpy(), r["y"].to_numpy()
+        u, v = optics.distort(Arrays, c, x, y)
+        return [*optics.undistort(Arrays, c, u, v, 60), *optics.undistort_exact(Arrays, c, u, v), *optics.to_flat(Arrays, c, *optics.from_flat(Arrays, c, x, y))]
+
+    names = ("ax", "ay", "ex", "ey", "fx", "fy")
+    return _rounded(_seen_by(_points(spark, sf_dir), Camera(**SOFT), run, *names).drop(*XYZ), *names)
 
 
 @query("brown_correct", f"WITH {_T} SELECT frame, pid, x AS cx, y AS cy FROM t")
 def brown_correct(spark, sf_dir):
-    c, N = Camera(**SOFT), Columns()
-    u, v = [N.let(k) for k in optics.distort(N, c, F.col("x"), F.col("y"))]
-    cx, cy = optics.undistort(N, c, u, v, 60)
-    return _rounded(N.run(binding.truth(spark, sf_dir), cx=cx, cy=cy).drop(*XYZ), "cx", "cy")
+    def run(c, r):
+        return optics.undistort(Arrays, c, *optics.distort(Arrays, c, r["x"].to_numpy(), r["y"].to_numpy()), 60)
+
+    return _rounded(_seen_by(binding.truth(spark, sf_dir), Camera(**SOFT), run, "cx", "cy").drop(*XYZ), "cx", "cy")
 
 
 @query("interlaced_pixels", f"WITH {_T} SELECT frame, pid AS id, x AS x1, y AS y1, x AS x2, y AS y2 FROM t")
@@ -161,11 +169,13 @@ def ray_roundtrip(spark, sf_dir):
 @query("sight_rays", f"WITH {_T} SELECT frame, pid AS id, x, y, z FROM t")
 def sight_rays(spark, sf_dir):
     """From pixels, lens included."""
-    N, c = Columns(), rig()[0]
-    rows = _fine(_points(spark, sf_dir), [c], flat=False).drop("cam")
-    vertex, direction = optics.sight(N, c, F.col("u"), F.col("v"))
-    at = optics.at_height(N, vertex, direction, F.col("z"))
-    return _rounded(N.run(rows, x=at[0], y=at[1]).select("frame", "id", *XYZ), "x", "y")
+    def run(c, r):
+        vertex, direction = optics.sight(Arrays, c, r["u"].to_numpy(), r["v"].to_numpy())
+        return optics.at_height(Arrays, vertex, direction, r["z"].to_numpy())[:2]
+
+    c = rig()[0]
+    rows = _fine(_points(spark, sf_dir), [c], flat=False).drop("x", "y", "cam")
+    return _rounded(_seen_by(rows, c, run, "x", "y").select("frame", "id", *XYZ), "x", "y")
 
 
 @query("glass_frame", _POINTS)
@@ -180,16 +190,16 @@ def glass_frame(spark, sf_dir):
 @query("layer_shift", f"WITH {_T} SELECT frame, pid AS id, true AS meets FROM t")
 def layer_shift(spark, sf_dir):
     """Two layers of glass: the shifted point's straight ray, refracted by Snell's law at each face, passes through the point."""
-    c, N = Camera(x0=5.0, y0=5.0, z0=300.0, n1=1.0, n3=1.33), Columns()
-    n2, d = [1.5, 1.4], [4.0, 3.0]
-    p = [F.col("x"), F.col("y"), F.col("z") - 60]
-    sx, sy = [N.let(v) for v in optics.shifted(N, c, p, n2, d, 400, 1e-9)]
-    r = N.let(F.sqrt((sx - 5) * (sx - 5) + (sy - 5) * (sy - 5)))
-    beta = N.let(F.atan(r / (300 - p[2])))
-    sine = lambda n: F.asin(F.sin(beta) / n)
-    reach = (300 - 4.0) * F.tan(beta) + 4.0 * F.tan(sine(1.5)) + 3.0 * F.tan(sine(1.4)) - (p[2] + 3.0) * F.tan(sine(1.33))
-    own = F.sqrt((F.col("x") - 5) * (F.col("x") - 5) + (F.col("y") - 5) * (F.col("y") - 5))
-    return N.run(_points(spark, sf_dir), meets=F.abs(reach - own) < 1e-6).select("frame", "id", "meets")
+    def run(c, r):
+        x, y, z = (r[a].to_numpy() for a in XYZ)
+        sx, sy = optics.shifted(Arrays, c, [x, y, z - 60], [1.5, 1.4], [4.0, 3.0], 400, 1e-9)
+        beta = np.arctan(np.hypot(sx - 5, sy - 5) / (300 - (z - 60)))
+        sine = lambda n: np.arcsin(np.sin(beta) / n)
+        reach = (300 - 4.0) * np.tan(beta) + 4.0 * np.tan(sine(1.5)) + 3.0 * np.tan(sine(1.4)) - (z - 60 + 3.0) * np.tan(sine(1.33))
+        return [np.abs(reach - np.hypot(x - 5, y - 5))]
+
+    rows = _seen_by(_points(spark, sf_dir), Camera(x0=5.0, y0=5.0, z0=300.0, n1=1.0, n3=1.33), run, "off")
+    return rows.select("frame", "id", (F.col("off") < 1e-6).alias("meets"))
 
 
 @query("lut_bilinear", f"""WITH {_T}, p AS (SELECT frame, pid AS id, pid % 4 AS cam, abs(x) AS radius, z AS height FROM t), g AS (SELECT *, floor(radius / 2) AS ir, floor((height + 30) / 2) AS iz, radius / 2 - floor(radius / 2) AS sr, (height + 30) / 2 - floor((height + 30) / 2) AS sz FROM p)
@@ -209,9 +219,14 @@ def lut_project(spark, sf_dir):
     frame = optics.glass_frame(N, c, [F.col(a) for a in XYZ])
     rows = N.run(points, radius=frame["radius"], height=frame["height"], cam=F.lit(0).cast("long"))
     rows = stereo.shift_lookup(rows, stereo.shift_table(spark, c, VOLUME))
-    M = Columns()
-    a, b = optics.flat(M, c, [F.col(k) for k in XYZ], factor=F.col("f")), optics.flat(M, c, [F.col(k) for k in XYZ], rounds=200, limit=1e-10)
-    return M.run(rows, near=(F.abs(a[0] - b[0]) < 1e-3) & (F.abs(a[1] - b[1]) < 1e-3) & (F.col("f") > 0)).select("frame", "id", "near")
+
+    def run(c, r):
+        at = [r[k].to_numpy() for k in XYZ]
+        a, b = optics.flat(Arrays, c, at, factor=r["f"].to_numpy()), optics.flat(Arrays, c, at, rounds=200, limit=1e-10)
+        return [np.abs(a[0] - b[0]), np.abs(a[1] - b[1])]
+
+    near = (F.col("du") < 1e-3) & (F.col("dv") < 1e-3) & (F.col("f") > 0)
+    return _seen_by(rows.select("frame", "id", *XYZ, "f"), c, run, "du", "dv").select("frame", "id", near.alias("near"))
 
 
 @query("volume_bounds", f"WITH {_T}, h AS (SELECT min(z) AS z FROM t UNION ALL SELECT max(z) FROM t) SELECT round(max(x), 6) AS x_high, round(min(x), 6) AS x_low, round(max(y), 6) AS y_high, round(min(y), 6) AS y_low, max(z) AS z_high, min(z) AS z_low FROM (SELECT z, x0 + sx * 32e0 * (320 - z) / 64 AS x, y0 + sy * 32e0 * (320 - z) / 64 AS y FROM (VALUES (-30e0, -10e0), (50e0, -14e0), (44e0, 32e0), (-26e0, 30e0)) AS c(x0, y0), (VALUES (-1), (1)) AS a(sx), (VALUES (-1), (1)) AS b(sy), h)")

@@ -107,3 +107,12 @@ def test_copies_of_a_point_are_not_paired(spark):
     near = spatial.neighbour_counts(one, 1.0)
     assert [tuple(r) for r in near.groupBy("neighbours").count().collect()] == [(2999, 3000)]
     assert spatial.places(one, "pid").count() == 1  # nine million pairs of points, one of places
+
+
+@pytest.mark.parametrize("name", ["brown_correct", "lens_roundtrip", "layer_shift", "sight_rays", "lut_project"])
+def test_iterated_formulas_run_over_arrays(spark, duck, name):
+    found = registry.queries()[name](spark, SF)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "MapInPandas" in plan
+    assert name == "lut_project" or "lambda" not in plan  # rounds of columns are interpreted row by row; the look-up table alone, of a few thousand rows, is made so
+    assert plain(found.toPandas()) == plain(duck.execute(registry.oracle_sql()[name]).df())
