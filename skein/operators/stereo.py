@@ -316,16 +316,18 @@ def unified(points: DataFrame, targets: DataFrame) -> DataFrame:
 
 def search_box(points: DataFrame, rig: list[Camera], half: tuple[float, float, float]) -> DataFrame:
     """(frame, id, cam, u, v, left, right, up, down): each point's image and how far the images of the corners of the box around it reach, inside the sensor."""
-    corner = F.explode(F.array(*[F.struct(*[F.lit(float(s * h)).alias(f"s{a}") for a, s, h in zip(XYZ, signs, half)], F.lit(k > 0).alias("off")) for k, signs in enumerate([(0, 0, 0), *itertools.product((-1, 1), repeat=3)])])).alias("s")
-    around = points.select("frame", "id", *XYZ, corner).select("frame", "id", "s.off", *[(F.col(a) + F.col(f"s.s{a}")).alias(a) for a in XYZ])
-    seen = project(around, rig)
-    centre = lambda c: F.max(F.when(~F.col("off"), F.col(c)))
-    own = seen.groupBy("frame", "id", "cam").agg(centre("u").alias("u"), centre("v").alias("v"), *[f(F.when(F.col("off"), F.col(c))).alias(n) for n, f, c in (("x0", F.min, "u"), ("x1", F.max, "u"), ("y0", F.min, "v"), ("y1", F.max, "v"))])
-    size = F.broadcast(points.sparkSession.createDataFrame([(n, float(c.imx), float(c.imy)) for n, c in enumerate(_checked(rig))], "cam long, w double, h double"))
-    rows = own.join(size, "cam")
-    return rows.select(
-        "frame", "id", "cam", "u", "v", (F.col("u") - F.greatest("x0", F.lit(0.0))).alias("left"), (F.least("x1", "w") - F.col("u")).alias("right"), (F.col("v") - F.greatest("y0", F.lit(0.0))).alias("up"), (F.least("y1", "h") - F.col("v")).alias("down")
-    )
+
+    def run(c, r):
+        at = _xyz(r)
+        u, v = optics.pixel(Arrays, c, at)
+        corners = [optics.pixel(Arrays, c, [x + sign * h for x, sign, h in zip(at, signs, half)]) for signs in itertools.product((-1, 1), repeat=3)]
+        # a corner that is nowhere is no lowest and is the highest, as in Spark's order
+        low, high = ([reduce(f, [k[n] for k in corners]) for n in (0, 1)] for f in (np.fmin, np.maximum))
+        return [u, v, u - np.maximum(low[0], 0.0), np.fmin(high[0], float(c.imx)) - u, v - np.maximum(low[1], 0.0), np.fmin(high[1], float(c.imy)) - v]
+
+    rows = points.select("frame", "id", *XYZ, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(_checked(rig)) - 1).cast("long"))).alias("cam"))
+    names = ("u", "v", "left", "right", "up", "down")
+    return over_cameras(rows, rig, run, ", ".join(f"{k} double" for k in names)).select("frame", "id", "cam", *names)
 
 
 def pixel_candidates(boxes: DataFrame, targets: DataFrame, matched: bool = True, most: int = 4, cell: float = 32.0) -> DataFrame:

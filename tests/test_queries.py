@@ -116,3 +116,14 @@ def test_iterated_formulas_run_over_arrays(spark, duck, name):
     assert "MapInPandas" in plan
     assert name == "lut_project" or "lambda" not in plan  # rounds of columns are interpreted row by row; the look-up table alone, of a few thousand rows, is made so
     assert plain(found.toPandas()) == plain(duck.execute(registry.oracle_sql()[name]).df())
+
+
+def test_search_boxes_need_no_shuffle(spark):
+    from skein.operators import stereo
+    from skein.plans.camera_queries import PLAIN
+
+    points = spark.range(50).selectExpr("0L AS frame", "id", "id / 5D AS x", "id / 7D AS y", "id / 9D AS z")
+    found = stereo.search_box(points, PLAIN, (0.5, 0.5, 0.5))
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # nine images a camera in one task's arrays, not in groups
+    got = found.collect()
+    assert len(got) == 200 and all(min(r.left, r.right, r.up, r.down) > 0 for r in got)
