@@ -28,3 +28,26 @@ def test_rings_choose_as_one_pass_over_all_edges(spark):
     assert sorted(zip(*(v.tolist() for v in assignment.nearest_first(a, b, linking.radii(2.0))))) == want
     rows = spark.createDataFrame([(f, n, *map(float, p)) for f, side in enumerate((a, b)) for n, p in enumerate(side)], "frame long, id long, x double, y double, z double")
     assert sorted(map(tuple, linking.nearest_first(rows, 2.0, "id", most=0).select("i", "k", "cost").collect())) == want
+
+
+def test_sectors_hold_all_candidates_of_a_strip(spark):
+    """The same edges as a loop over all pairs, dealt to few sectors: also from cameras that see each other, whose lines meet on the sensor."""
+    rng = np.random.default_rng(7)
+    points = rng.uniform(0, 20, (60, 3))
+    facing = [optics.Camera(z0=300.0, cc=60.0, imx=4096, imy=4096, pix_x=0.012, pix_y=0.012), optics.Camera(x0=2.0, z0=500.0, cc=60.0, imx=4096, imy=4096, pix_x=0.012, pix_y=0.012)]
+    for rig, eps in ((camera_queries.AIR, 0.02), (camera_queries.PLAIN, 0.02), (camera_queries.rig(), 0.02), (facing, 0.02)):
+        flat = [optics.flat(Arrays, c, list(points.T)) for c in rig]
+        rows = [(0, c, n, float(u), float(v), 9, 3, 3, 50) for c, (us, vs) in enumerate(flat) for n, (u, v) in enumerate(zip(us, vs))]
+        table = spark.createDataFrame(rows, "frame long, cam long, pnr long, fx double, fy double, n int, nx int, ny int, sumg int")
+        for cam, other in itertools.permutations(range(2), 2):
+            xa, ya, xb, yb = (np.asarray(v) for v in optics.epipolar_segment(Arrays, rig[cam], rig[other], *flat[cam], camera_queries.VOLUME))
+            m = (yb - ya) / (xb - xa)
+            x, y = flat[other]
+            want = set()
+            for n in range(60):
+                off = np.abs(y - m[n] * x - (ya[n] - m[n] * xa[n])) / np.sqrt(m[n] ** 2 + 1)
+                near = (off < eps) & (x > min(xa[n], xb[n]) - eps) & (x < max(xa[n], xb[n]) + eps) & (y > min(ya[n], yb[n]) - eps) & (y < max(ya[n], yb[n]) + eps)
+                want |= {(n, int(k)) for k in np.flatnonzero(near)}
+            got = stereo.candidates(table, rig, cam, other, camera_queries.VOLUME, eps)
+            assert {(r["p1"], r["p2"]) for r in got.select("p1", "p2").collect()} == want and got.count() == len(want)
+    assert stereo._pole(facing, 0, 1) is None and stereo._pole(camera_queries.AIR, 0, 1) and stereo._pole(camera_queries.PLAIN, 0, 1)[1] == 1.0
