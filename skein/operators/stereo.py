@@ -377,18 +377,55 @@ def search_box(points: DataFrame, rig: list[Camera], half: tuple[float, float, f
     return over_cameras(rows, rig, run, ", ".join(f"{k} double" for k in names)).select("frame", "id", "cam", *names)
 
 
-def pixel_candidates(boxes: DataFrame, targets: DataFrame, matched: bool = True, most: int = 4, cell: float = 32.0) -> DataFrame:
+def pixel_candidates(boxes: DataFrame, targets: DataFrame, matched: bool = True, most: int = 4, cell: float = 8.0) -> DataFrame:
     """(frame, id, cam, pnr, tnr, d, rank): the nearest targets strictly inside each box around (u, v); those that are matched (tnr >= 0), or else those that are not."""
+    from skein.shared import kept
+
+    same, like = same_boxes(kept(boxes))
+    found = _place_candidates(like, kept(targets), matched, most, cell)
+    return same.join(found.hint("merge"), ["frame", "cam", "at"]).select("frame", "id", "cam", "pnr", "tnr", "d", "rank")
+
+
+BOX = ("u", "v", "left", "right", "up", "down")
+
+
+def same_boxes(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which box is like which (frame, cam, id, at: the least id of an equal box), and one box (frame, cam, at, u, v, left, right, up, down) of each kind."""
+    like = boxes.groupBy("frame", "cam", *BOX).agg(F.min("id").alias("at"))
+    return boxes.join(like.hint("merge"), ["frame", "cam", *BOX]).select("frame", "cam", "id", "at"), like
+
+
+def _place_candidates(boxes: DataFrame, targets: DataFrame, matched: bool, most: int, cell: float) -> DataFrame:
+    """(frame, at, cam, pnr, tnr, d, rank) of different boxes. Of targets at one place the first `most` by number can matter, so places are paired, not copies."""
     at = lambda v: F.floor(v / cell).cast("long")
     box = boxes.withColumns({"x0": F.col("u") - F.col("left"), "x1": F.col("u") + F.col("right"), "y0": F.col("v") - F.col("up"), "y1": F.col("v") + F.col("down")}).where("x1 >= x0 AND y1 >= y0")
     cells = F.flatten(F.transform(F.sequence(at(F.col("x0")), at(F.col("x1"))), lambda cx: F.transform(F.sequence(at(F.col("y0")), at(F.col("y1"))), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-    left = box.select("frame", "id", "cam", "u", "v", "x0", "x1", "y0", "y1", F.explode(cells).alias("c")).select("*", "c.cx", "c.cy").drop("c")
+    left = box.select("frame", "at", "cam", "u", "v", "x0", "x1", "y0", "y1", F.explode(cells).alias("c")).select("*", "c.cx", "c.cy").drop("c")
     free = F.coalesce("tnr", F.lit(-1)) < 0
-    right = targets.where(~free if matched else free).select("frame", "cam", "pnr", "x", "y", "tnr", at(F.col("x")).alias("cx"), at(F.col("y")).alias("cy"))
-    near = left.join(right, ["frame", "cam", "cx", "cy"]).where("x > x0 AND x < x1 AND y > y0 AND y < y1")
+    here = F.row_number().over(Window.partitionBy("frame", "cam", "x", "y").orderBy("pnr"))
+    right = targets.where(~free if matched else free).select("frame", "cam", "pnr", "x", "y", "tnr").withColumn("_n", here).where(F.col("_n") <= most)
+    place = right.groupBy("frame", "cam", "x", "y").agg(F.sort_array(F.collect_list(F.struct("pnr", "tnr"))).alias("who"))  # `most` at most
+    place = place.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y")), "first": F.col("who")[0]["pnr"]})
+    near = left.join(place.hint("merge"), ["frame", "cam", "cx", "cy"]).where("x > x0 AND x < x1 AND y > y0 AND y < y1")
     d = F.sqrt((F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v")))
-    rank = F.row_number().over(Window.partitionBy("frame", "id", "cam").orderBy("d", "pnr")).cast("long")
-    return near.withColumn("d", d).withColumn("rank", rank).where(F.col("rank") <= most).select("frame", "id", "cam", "pnr", "tnr", "d", "rank")
+    by = Window.partitionBy("frame", "at", "cam")
+    # a place beyond the first `most` by (d, first number) has as many targets before it
+    near = near.select("frame", "at", "cam", d.alias("d"), "first").withColumn("_p", F.row_number().over(by.orderBy("d", "first"))).where(F.col("_p") <= most)
+    each = near.join(place.select("frame", "cam", "first", "who").hint("merge"), ["frame", "cam", "first"]).select("frame", "at", "cam", "d", F.inline("who"))
+    return each.withColumn("rank", F.row_number().over(by.orderBy("d", "pnr")).cast("long")).where(F.col("rank") <= most).select("frame", "at", "cam", "pnr", "tnr", "d", "rank")
+
+
+def candidate_votes(boxes: DataFrame, targets: DataFrame, least: int = 2) -> DataFrame:
+    """votes() of pixel_candidates: equal boxes of a point in all cameras have equal votes, so these are counted once a kind and then told to every point."""
+    from skein.shared import kept
+
+    same, like = same_boxes(kept(boxes))
+    kind = same.groupBy("frame", "id").agg(F.sort_array(F.collect_list(F.struct("cam", "at"))).alias("kind"))  # as many as cameras
+    first = kind.groupBy("frame", "kind").agg(F.min("id").alias("of"))
+    found = _place_candidates(like, kept(targets), True, 4, 8.0)
+    one = first.select("frame", F.col("of").alias("id"), F.inline("kind")).join(found.hint("merge"), ["frame", "cam", "at"])
+    told = votes(one, least).withColumnRenamed("id", "of")
+    return kind.join(first.hint("merge"), ["frame", "kind"]).select("frame", "id", "of").join(told.hint("merge"), ["frame", "of"]).select("frame", "id", "tnr", "votes", "rank")
 
 
 def votes(found: DataFrame, least: int = 2) -> DataFrame:

@@ -439,7 +439,7 @@ def pixel_candidates_free(spark, sf_dir):
 
 @query("candidate_votes", f"WITH {_T}, {_BOXES}, {_NEAR % 'true'}, {_RANK % 4} SELECT frame, id, tnr, count(DISTINCT cam) AS votes FROM r GROUP BY frame, id, tnr HAVING count(DISTINCT cam) >= 2")
 def candidate_votes(spark, sf_dir):
-    return stereo.votes(stereo.pixel_candidates(*_boxes(spark, sf_dir))).drop("rank")
+    return stereo.candidate_votes(*_boxes(spark, sf_dir)).drop("rank")
 
 
 @query("new_position_cameras", f"WITH {_T}, {_BOXES}, {_NEAR % 'false'}, {_RANK % 1} SELECT frame, id, count(*) AS cams FROM r GROUP BY frame, id")

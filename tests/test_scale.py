@@ -19,6 +19,30 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_copies_of_boxes_and_targets_meet_once(spark):
+    rng = random.Random(3)
+    at = [(float(rng.randrange(40)), float(rng.randrange(40))) for _ in range(12)]
+    targets = [(0, 0, n, *at[n % 12], n if n % 3 else -1) for n in range(120)]
+    boxes = [(0, n, 0, *at[n % 12], 9.0, 7.0, 8.0, 6.0) for n in range(60)]
+    b = spark.createDataFrame(boxes, "frame long, id long, cam long, u double, v double, left double, right double, up double, down double")
+    t = spark.createDataFrame(targets, "frame long, cam long, pnr long, x double, y double, tnr long")
+    for matched, most in ((True, 4), (False, 1)):
+        want = []
+        for _, n, _, u, v, le, ri, up, do in boxes:
+            near = sorted((float(np.sqrt((x - u) ** 2 + (y - v) ** 2)), p) for _, _, p, x, y, k in targets if (k >= 0) == matched and u - le < x < u + ri and v - up < y < v + do)
+            want += [(n, p, d, r + 1) for r, (d, p) in enumerate(near[:most])]
+        got = stereo.pixel_candidates(b, t, matched, most)
+        assert sorted(tuple(r) for r in got.select("id", "pnr", "d", "rank").collect()) == sorted(want)
+    found = stereo.pixel_candidates(b, t)
+    assert sorted(map(tuple, stereo.candidate_votes(b, t, 1).collect())) == sorted(map(tuple, stereo.votes(found, 1).collect()))
+
+
+def test_boxes_are_not_broadcast(spark):
+    """Sizes are estimated before rows are exploded, so Spark would send them through the driver."""
+    found = stereo.pixel_candidates(*camera_queries._boxes(spark, SF), matched=False, most=1)
+    assert "BroadcastHashJoin" not in plan(found) and "BroadcastExchange" not in plan(found)
+
+
 def test_rings_choose_as_one_pass_over_all_edges(spark):
     rng = np.random.default_rng(5)
     a, b = (rng.integers(0, 12, (150, 3)) / 4.0 for _ in range(2))
