@@ -6,23 +6,32 @@ import numpy as np
 
 
 def _solve(a: np.ndarray, w: np.ndarray, y: np.ndarray, ridge: float = 0.0) -> np.ndarray:
-    m = a.T @ (w[:, None] * a) + ridge * np.eye(a.shape[1])
+    """Coefficients of one track (a: points by powers) or of many of equal length at once (one axis more in front)."""
+    at = a.swapaxes(-1, -2)
+    m = at @ (w[..., None] * a) + ridge * np.eye(a.shape[-1])
     try:
-        return np.linalg.solve(m, a.T @ (w[:, None] * y))
+        return np.linalg.solve(m, at @ (w[..., None] * y))
     except np.linalg.LinAlgError:
-        return np.linalg.lstsq(a, y, rcond=None)[0]
+        if a.ndim == 2:
+            return np.linalg.lstsq(a, y, rcond=None)[0]
+        return np.stack([_solve(*one, ridge) for one in zip(a, w, y)])
 
 
 def robust_weights(x: np.ndarray, rounds: int = 3) -> np.ndarray:
     """Weights of points along a track by cubic fits over their positions in it: exp(-(residual / median residual)^2 / 2), within 0.001 .. 1; 1 below three points."""
-    n = len(x)
-    w = np.ones(n)
+    return robust_weights_all(x[None], rounds)[0]
+
+
+def robust_weights_all(x: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """robust_weights of many tracks of equal length: x (tracks, points, axes)."""
+    n = x.shape[1]
+    w = np.ones(x.shape[:2])
     if n < 3:
         return w
-    a = np.arange(n, dtype=float)[:, None] ** np.arange(min(3, n - 1), -1, -1)
+    a = np.broadcast_to(np.arange(n, dtype=float)[:, None] ** np.arange(min(3, n - 1), -1, -1), (len(x), n, min(3, n - 1) + 1))
     for _ in range(max(1, rounds)):
-        r = np.sqrt(((x - a @ _solve(a, w, x)) ** 2).sum(1))
-        w = np.clip(np.exp(-0.5 * (r / (np.median(r) + 2e-12)) ** 2), 0.001, 1.0)
+        r = np.sqrt(((x - a @ _solve(a, w, x)) ** 2).sum(2))
+        w = np.clip(np.exp(-0.5 * (r / (np.median(r, 1)[:, None] + 2e-12)) ** 2), 0.001, 1.0)
     return w
 
 
@@ -37,19 +46,25 @@ def robust_residual(x: np.ndarray, rounds: int = 3, weight: np.ndarray | None =
 
 def predict(t: np.ndarray, x: np.ndarray, at: float, window: int = 6, degree: int = 2) -> tuple[np.ndarray, np.ndarray, float]:
     """Position, velocity at a time and the fit's residual, by a robust polynomial through the `window` points nearest in time; a line up to three points, at rest for one."""
-    if len(t) > window:
-        near = np.sort(np.argsort(np.abs(t - at), kind="stable")[:window])
-        t, x = t[near], x[near]
-    n = len(t)
+    place, v, r = predict_all(t[None], x[None], np.array([at], float), window, degree)
+    return place[0], v[0], float(r[0])
+
+
+def predict_all(t: np.ndarray, x: np.ndarray, at: np.ndarray, window: int = 6, degree: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """predict of many tracks of equal length: t (tracks, points), x (tracks, points, axes), a time each."""
+    if t.shape[1] > window:
+        near = np.sort(np.argsort(np.abs(t - at[:, None]), axis=1, kind="stable")[:, :window], axis=1)
+        t, x = np.take_along_axis(t, near, 1), np.take_along_axis(x, near[:, :, None], 1)
+    n = t.shape[1]
     if n == 1:
-        return x[0].copy(), np.zeros(x.shape[1]), 0.0
-    d = t - t[-1]
+        return x[:, 0].copy(), np.zeros((len(x), x.shape[2])), np.zeros(len(x))
+    d = t - t[:, -1:]
     p = np.arange(min(degree, 1 if n <= 3 else n - 1) + 1)
-    a = d[:, None] ** p
-    beta = _solve(a, robust_weights(x) if n >= 4 else np.ones(n), x, 1e-12)
-    tau = at - t[-1]
-    v = (p[1:, None] * beta[1:] * tau ** (p[1:, None] - 1)).sum(0)
-    return tau**p @ beta, v, float(np.sqrt(((x - a @ beta) ** 2).sum(1).mean()))
+    a = d[:, :, None] ** p
+    beta = _solve(a, robust_weights_all(x) if n >= 4 else np.ones(t.shape), x, 1e-12)
+    tau = (at - t[:, -1])[:, None]
+    v = ((p[1:] * tau ** (p[1:] - 1))[:, :, None] * beta[:, 1:]).sum(1)
+    return ((tau**p)[:, None, :] @ beta)[:, 0], v, np.sqrt(((x - a @ beta) ** 2).sum(2).mean(1))
 
 
 def _windows(n: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +108,17 @@ def leave_one_out(t: np.ndarray, x: np.ndarray, weight: np.ndarray, window: int
 
 def end_fit(t: np.ndarray, x: np.ndarray, tail: bool, n: int = 10, degree: int = 1) -> tuple[np.ndarray, float, float]:
     """Coefficients of a polynomial through the first or last n points in time from the outermost, that time, and the residual an axis."""
-    m = min(n, len(t))
-    t, x = (t[-m:], x[-m:]) if tail else (t[:m], x[:m])
-    at = float(t[-1] if tail else t[0])
+    c, at, r = end_fits(t[None], x[None], tail, n, degree)
+    return c[0], float(at[0]), float(r[0])
+
+
+def end_fits(t: np.ndarray, x: np.ndarray, tail: bool, n: int = 10, degree: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """end_fit of many tracks of equal length."""
+    m = min(n, t.shape[1])
+    t, x = (t[:, -m:], x[:, -m:]) if tail else (t[:, :m], x[:, :m])
+    at = t[:, -1] if tail else t[:, 0]
     d = max(0, min(degree, m - 2))
-    a = (t - at)[:, None] ** np.arange(d + 1)
-    c = _solve(a, np.ones(m), x, 1e-12)
-    r = float(np.sqrt(((x - a @ c) ** 2).sum() / max(m - d - 1, 1) / 3.0))
-    return np.vstack([c, np.zeros((degree - d, x.shape[1]))]), at, r
+    a = (t - at[:, None])[:, :, None] ** np.arange(d + 1)
+    c = _solve(a, np.ones(t.shape), x, 1e-12)
+    r = np.sqrt(((x - a @ c) ** 2).sum((1, 2)) / max(m - d - 1, 1) / 3.0)
+    return np.concatenate([c, np.zeros((len(x), degree - d, x.shape[2]))], 1), at, r

@@ -22,9 +22,11 @@ def _weighted(tracks: DataFrame) -> DataFrame:
     return tracks.select("trajid", "frame", *AXES, F.col("weight") if "weight" in tracks.columns else F.lit(1.0).alias("weight"))
 
 
-def over_tracks(tracks: DataFrame, run, schema: str) -> DataFrame:
+def over_tracks(tracks: DataFrame, run, schema: str, together: bool = False) -> DataFrame:
     """run(trajid, frames, positions, weights) of each whole track, its points in order of frame: a dict of arrays or lists as `schema` names them, or None for no rows.
 
+    together: run takes all tracks of a batch that have equally many points at once, a list of trajids and arrays with an axis of tracks in front.
+
     Tracks lie together in sorted partitions and are taken from batches of Arrow; one whose rows go on in the next batch waits for them. So a short track costs
     its own arithmetic alone, and a task holds a batch and one track.
     """
@@ -51,8 +53,14 @@ def over_tracks(tracks: DataFrame, run, schema: str) -> DataFrame:
             t, w = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("frame", "weight"))
             x = np.stack([rows.column(a).to_numpy(zero_copy_only=False).astype(float) for a in AXES], 1)
             out = {k: [] for k in kinds.names}
-            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(ids)]):
-                found = run(None if none[i] else int(ids[i]), t[i:j], x[i:j], w[i:j])
+            size = np.diff(np.append(first, len(ids)))
+            name = lambda i: None if none[i] else int(ids[i])
+            if together:
+                equal = [(first[size == n], first[size == n][:, None] + np.arange(n)) for n in np.unique(size)]
+                results = (run([name(i) for i in at.tolist()], t[of], x[of], w[of]) for at, of in equal)
+            else:
+                results = (run(name(i), t[i : i + n], x[i : i + n], w[i : i + n]) for i, n in zip(first.tolist(), size.tolist()))
+            for found in results:
                 if found is not None:
                     for k, v in found.items():
                         out[k] += v.tolist() if isinstance(v, np.ndarray) else v
@@ -118,23 +126,24 @@ def robust(tracks: DataFrame, rounds: int = 3) -> DataFrame:
 def predict_next(tracks: DataFrame, window: int = 6, degree: int = 2) -> DataFrame:
     """(trajid, frame, x, y, z, u, v, w, residual): where each track would be in the frame after its last, and how fast."""
 
-    def run(trajid, t, x, _):
-        at, v, r = curves.predict(t[-window:], x[-window:], t[-1] + 1, window, degree)
-        return {"trajid": [trajid], "frame": [int(t[-1]) + 1], "residual": [r]} | {c: [float(n)] for c, n in zip((*XYZ, *"uvw"), (*at, *v), strict=True)}
+    def run(ids, t, x, _):
+        at, v, r = curves.predict_all(t[:, -window:], x[:, -window:], t[:, -1] + 1, window, degree)
+        return {"trajid": ids, "frame": [int(n) + 1 for n in t[:, -1]], "residual": r} | {c: n for c, n in zip((*XYZ, *"uvw"), (*at.T, *v.T), strict=True)}
 
-    return over_tracks(tracks.drop("weight"), run, "trajid long, frame long, x double, y double, z double, u double, v double, w double, residual double")
+    return over_tracks(tracks.drop("weight"), run, "trajid long, frame long, x double, y double, z double, u double, v double, w double, residual double", together=True)
 
 
 def ends(tracks: DataFrame, n: int = 10, degree: int = 1, least: int = 4) -> DataFrame:
     """A row a track of `least` points or more: first and last frame and point, coefficients of the polynomials through both ends, and their residuals."""
 
-    def run(trajid, t, x, _):
-        if len(t) < least:
+    def run(ids, t, x, _):
+        if t.shape[1] < least:
             return None
-        (c0, _, s0), (c1, _, s1) = curves.end_fit(t, x, False, n, degree), curves.end_fit(t, x, True, n, degree)
-        return {"trajid": [trajid], "f0": [int(t[0])], "f1": [int(t[-1])], "p0": [x[0].tolist()], "p1": [x[-1].tolist()], "c0": [c0.ravel().tolist()], "c1": [c1.ravel().tolist()], "s0": [s0], "s1": [s1]}
+        (c0, _, s0), (c1, _, s1) = curves.end_fits(t, x, False, n, degree), curves.end_fits(t, x, True, n, degree)
+        flat = lambda c: c.reshape(len(c), -1).tolist()
+        return {"trajid": ids, "f0": [int(v) for v in t[:, 0]], "f1": [int(v) for v in t[:, -1]], "p0": flat(x[:, 0]), "p1": flat(x[:, -1]), "c0": flat(c0), "c1": flat(c1), "s0": s0, "s1": s1}
 
-    return over_tracks(tracks.drop("weight"), run, "trajid long, f0 long, f1 long, p0 array<double>, p1 array<double>, c0 array<double>, c1 array<double>, s0 double, s1 double")
+    return over_tracks(tracks.drop("weight"), run, "trajid long, f0 long, f1 long, p0 array<double>, p1 array<double>, c0 array<double>, c1 array<double>, s0 double, s1 double", together=True)
 
 
 def _at(coefficients: str, dt, degree: int) -> list:
@@ -162,13 +171,13 @@ def reconnect(tracks: DataFrame, max_gap: int = 4, sigmas: float = 4.0, n: int =
     noise = quantile(found.select(F.col("s0").alias("s")).union(found.select("s1")), F.col("s"), 0.5)
     noise = max(noise or 0.0, 1e-6)
     near = found.withColumn("gap", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max_gap).cast("long")))).select(F.col("trajid").alias("a"), "f1", "p1", "c1", "gap", (F.col("f1") + F.col("gap")).alias("f0"))
-    # place: the cell of the end drawn to the start's frame; the start lies in it or in a neighbouring one
-    width = sigmas * noise * (1 + 0.5 * (max_gap - 1))
-    cell = lambda x: F.floor(x / width).cast("long")
+    # place: the cells that the end's reach touches when it is drawn to the start's frame; they are wider than the reach, so mostly one or two an axis
+    reach = sigmas * noise * (1 + 0.5 * (max_gap - 1)) * 1.001
+    cell = lambda x: F.floor(x / (4 * reach)).cast("long")
     there = _at("c1", F.col("f0") - F.col("f1"), degree)
-    near = near.select("*", *[x.alias(f"e{k}") for k, x in enumerate(there)])
-    steps = F.explode(F.array(*[F.array(*[F.lit(v) for v in (i, j, k)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    near = near.withColumn("s", steps).select("*", *[(cell(F.col(f"e{k}")) + F.get("s", F.lit(k))).alias(f"q{k}") for k in range(3)]).drop("s")
+    near = near.select("*", *[x.alias(f"e{k}") for k, x in enumerate(there)]).where(" AND ".join(f"abs(e{k}) < double('infinity')" for k in range(3)))
+    for k in range(3):
+        near = near.withColumn(f"q{k}", F.explode(F.sequence(cell(F.col(f"e{k}") - reach), cell(F.col(f"e{k}") + reach))))
     starts = found.select(F.col("trajid").alias("b"), "f0", "p0", "c0", *[cell(F.get("p0", F.lit(k))).alias(f"q{k}") for k in range(3)])
     pairs = near.join(starts.hint("merge"), ["f0", "q0", "q1", "q2"]).where("a <> b")
     e1 = _apart([F.col(f"e{k}") for k in range(3)], "p0")
@@ -243,15 +252,16 @@ def split_at(tracks: DataFrame, at: DataFrame) -> DataFrame:
 def stitch_robust(tracks: DataFrame, pos_tol: float = 1.0, vel_tol: float = 1.0, window: int = 6) -> DataFrame:
     """(a, b): ends of tracks of two points or more joined to starts of the next frame: the robust prediction from the last points must lie within pos_tol of the start and, where
     the start has a velocity, the velocities within vel_tol; nearest first, each end once."""
-    ahead = predict_next(tracks, window).join(tracks.groupBy("trajid").agg(F.count("*").alias("n")).where("n > 1").select("trajid"), "trajid")
+    several = tracks.groupBy("trajid").agg(F.count("*").alias("n")).where("n > 1").select("trajid")
+    ahead = kept(predict_next(tracks.join(several, "trajid", "left_semi"), window))
     w = Window.partitionBy("trajid").orderBy("frame")
     step = [((F.lead(a).over(w) - F.col(a)) / (F.lead("frame").over(w) - F.col("frame"))).alias(f"s{a}") for a in AXES]
-    starts = tracks.select("trajid", "frame", *AXES, *step, F.row_number().over(w).alias("r")).where("r = 1").drop("r")
+    starts = kept(tracks.select("trajid", "frame", *AXES, *step, F.row_number().over(w).alias("r")).where("r = 1").drop("r"))
     from skein.operators import spatial
 
     left, right = spatial.side(ahead, "i", "trajid"), spatial.side(starts, "k", "trajid")
     near = spatial.radius_join(left, right, pos_tol).where("i <> k")
-    near = near.join(ahead.select(F.col("trajid").alias("i"), "u", "v", "w"), "i").join(starts.select(F.col("trajid").alias("k"), "sx", "sy", "sz"), "k")
+    near = near.join(ahead.select(F.col("trajid").alias("i"), "u", "v", "w").hint("merge"), "i").join(starts.select(F.col("trajid").alias("k"), "sx", "sy", "sz").hint("merge"), "k")
     apart = F.sqrt((F.col("u") - F.col("sx")) * (F.col("u") - F.col("sx")) + (F.col("v") - F.col("sy")) * (F.col("v") - F.col("sy")) + (F.col("w") - F.col("sz")) * (F.col("w") - F.col("sz")))
     good = near.where(F.col("sx").isNull() | (apart <= vel_tol))
     edges = good.select(F.lit(0).cast("long").alias("frame"), F.struct(F.col("i").alias("t")).alias("i"), F.struct(F.col("k").alias("t")).alias("k"), F.sqrt("d2").alias("cost"))
