@@ -90,3 +90,18 @@ def test_ends_meet_starts_over_boundaries_of_cells(spark):
             used |= {(0, a), (1, b)}
             want.append((a, b))
     assert len(want) > 20 and sorted(map(tuple, pieces.reconnect(table).collect())) == sorted(want)
+
+
+def test_spark_sees_how_many_points_customers_make(spark):
+    """Its estimate stayed that of the customers' file, so it sent all points through the driver where they were joined."""
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    keys = size(spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey"))
+    points = binding.truth(spark, SF)
+    assert size(points) >= binding.FRAMES * keys
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 2 * keys)  # as small to the points as 10 MB is to a large run's
+    try:
+        joined = binding.linkage(spark, SF).join(points.withColumnRenamed("pid", "id").select("frame", "id"), ["frame", "id"])
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
