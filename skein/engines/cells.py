@@ -56,3 +56,15 @@ def nearest(i: np.ndarray, k: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1]) if len(own) else np.empty(0, int)
     rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
     return order[rank < n]
+
+
+def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, start, of): the rows of x place by place, in order within each; where each place's rows begin, and the end; the place of every row."""
+    if not len(x):
+        return np.empty(0, np.intp), np.zeros(1, np.intp), np.empty(0, np.intp)
+    x = x + 0.0  # one zero
+    rows = np.lexsort(x.T[::-1])
+    new = np.concatenate([[True], (x[rows[1:]] != x[rows[:-1]]).any(1)])
+    of = np.empty(len(x), np.intp)
+    of[rows] = np.cumsum(new) - 1
+    return rows, np.append(np.flatnonzero(new), len(x)), of

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skein.engines import assignment, cells
 from skein.functions import optics
 from skein.functions.numeric import Arrays
-from skein.operators import linking, stereo
+from skein.operators import linking, stereo, tracking
 from skein.plans import camera_queries
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +75,23 @@ def test_sectors_hold_all_candidates_of_a_strip(spark):
             got = stereo.candidates(table, rig, cam, other, camera_queries.VOLUME, eps)
             assert {(r["p1"], r["p2"]) for r in got.select("p1", "p2").collect()} == want and got.count() == len(want)
     assert stereo._pole(facing, 0, 1) is None and stereo._pole(camera_queries.AIR, 0, 1) and stereo._pole(camera_queries.PLAIN, 0, 1)[1] == 1.0
+
+
+def test_copies_are_assigned_by_places(spark):
+    """The same number and total as over all edges of points, and a place of 20,000 points (400 million pairs) at once."""
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        on = rng.random(rng.integers(1, 7, 2)) < 0.5
+        i, k = np.nonzero(on)
+        if not len(i):
+            continue
+        cost, supply, capacity = rng.integers(0, 6, len(i)) / 2.0, rng.integers(1, 5, on.shape[0]), rng.integers(1, 5, on.shape[1])
+        each = [(i[e] * 10 + a, k[e] * 10 + b, cost[e]) for e in range(len(i)) for a in range(supply[i[e]]) for b in range(capacity[k[e]])]
+        wide = [np.array(v) for v in zip(*each)]
+        want, got = assignment.sparse(*wide), assignment.transport(i, k, cost, supply, capacity)
+        assert (np.bincount(i, got, on.shape[0]) <= supply).all() and (np.bincount(k, got, on.shape[1]) <= capacity).all()
+        assert got.sum() == len(want) and (got * cost).sum() == wide[2][want].sum()
+    at = F.when(F.col("id") % 2 == 0, 0.0).otherwise(5.0)
+    points = spark.range(40_000).crossJoin(spark.range(2).withColumnRenamed("id", "frame")).select("frame", "id", (at + F.col("frame") * 0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    got = tracking.assign(points, 0.8)
+    assert got.agg(F.count("*"), F.sum("cost"), F.count_distinct("i"), F.count_distinct("k"), F.max(F.abs(F.col("i") - F.col("k")) % 2)).first()[:] == (40_000, 20_000.0, 40_000, 40_000, 0)
