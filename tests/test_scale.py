@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -95,3 +96,22 @@ def test_copies_are_assigned_by_places(spark):
     points = spark.range(40_000).crossJoin(spark.range(2).withColumnRenamed("id", "frame")).select("frame", "id", (at + F.col("frame") * 0.5).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     got = tracking.assign(points, 0.8)
     assert got.agg(F.count("*"), F.sum("cost"), F.count_distinct("i"), F.count_distinct("k"), F.max(F.abs(F.col("i") - F.col("k")) % 2)).first()[:] == (40_000, 20_000.0, 40_000, 40_000, 0)
+
+
+def test_large_parts_are_chosen_without_all_pairs():
+    """near_best gives the pairs of best in parts of more than `most` ends and as many at the same total in others; 4,000 copies at each of two places are no 16 million pairs."""
+    rng = np.random.default_rng(2)
+    for t in range(60):
+        n, m = rng.integers(1, 160, 2)
+        a, b = (rng.integers(0, 2 + t % 12, (size, 3)) / 2.0 if t % 2 else rng.random((size, 3)) * (t % 12) / 2 for size in (n, m))
+        for most in (0, 40):
+            i, k, d2 = cells.within(a, b, 0.9)
+            won = assignment.best(i, k, np.sqrt(d2), most)
+            gi, gk = assignment.near_best(a, b, 0.9, most)
+            assert len(gi) == len(won) == len(set(gi)) and np.isclose(np.sqrt(((a[gi] - b[gk]) ** 2).sum(1)).sum(), np.sqrt(d2[won]).sum())
+            assert most or set(zip(gi, gk)) == {(i[e], k[e]) for e in won}
+    same = np.zeros((4000, 3))
+    tracemalloc.start()
+    gi, gk = assignment.near_best(same, same + 0.5, 0.9, 128)
+    assert (gi == gk).all() and len(gi) == 4000 and tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
