@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skein.engines import assignment, cells
+from skein.engines import tracking as engine
 from skein.functions import optics
 from skein.functions.numeric import Arrays
 from skein.operators import linking, stereo, tracking
@@ -115,3 +116,20 @@ def test_large_parts_are_chosen_without_all_pairs():
     gi, gk = assignment.near_best(same, same + 0.5, 0.9, 128)
     assert (gi == gk).all() and len(gi) == 4000 and tracemalloc.get_traced_memory()[1] < 20e6
     tracemalloc.stop()
+
+
+def test_copies_look_for_candidates_once():
+    """The nearest by (distance, row) as from all pairs, ties across places among them; 3,000 copies at one place hold no 9 million pairs, and a step of the cascade chooses among them in order."""
+    rng = np.random.default_rng(4)
+    for most in (1, 3, 32):
+        a, b = (rng.integers(0, 4, (70, 3)) / 4.0 for _ in range(2))
+        i, k = cells.in_box(a, b, 0.6)
+        d = np.sqrt(((b[k] - a[i]) ** 2).sum(-1))
+        kept = cells.nearest(i, k, d, most)
+        assert all((x == y).all() for x, y in zip(engine.candidates(a, b, 0.6, most), (i[kept], k[kept], d[kept])))
+    same = np.zeros((3000, 3))
+    tracemalloc.start()
+    assert len(engine.candidates(same, same + 0.1, 0.5, 4)[0]) == 12_000
+    nxt = engine.cascade_step(same, same, np.arange(3000) // 2 * 2 - (np.arange(3000) % 2) * 4000, same + 0.1, 0.5)
+    assert (np.flatnonzero(nxt >= 0) < 100).all() and tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
