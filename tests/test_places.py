@@ -47,3 +47,14 @@ def test_nearest_pairs_places(spark, cloud, paired, n):
     got = spatial.nearest(spatial.side(t, "i"), spatial.side(t, "k"), 1.0, n)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert all(a <= 24 and b <= 24 for a, b in paired)
+
+
+@pytest.mark.parametrize("n", [3, 32])
+def test_box_candidates_pair_places(spark, cloud, paired, n):
+    t, half, want = table(spark, cloud), (1.5, 1.0, 2.0), []
+    for p in cloud:
+        near = sorted((d2(p, q), q[1]) for q in cloud if q[0] == p[0] + 1 and all(abs(q[2 + a] - p[2 + a]) < h for a, h in enumerate(half)))
+        want += [(p[0], p[1], k, d, r + 1) for r, (d, k) in enumerate(near[:n])]
+    got = spatial.box_candidates(spatial.side(t, "i"), spatial.side(t, "k", shift=-1), half, n)
+    assert sorted(map(tuple, got.select("frame", "i", "k", "d2", "rank").collect())) == sorted(want)
+    assert all(a <= 24 and b <= 24 for a, b in paired)
