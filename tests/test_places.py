@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from skein.operators import spatial
+from skein.operators import linking, spatial
+from skein.plans import tracking_queries
 
 AXES = "xyz"
 
@@ -58,3 +59,19 @@ def test_box_candidates_pair_places(spark, cloud, paired, n):
     got = spatial.box_candidates(spatial.side(t, "i"), spatial.side(t, "k", shift=-1), half, n)
     assert sorted(map(tuple, got.select("frame", "i", "k", "d2", "rank").collect())) == sorted(want)
     assert all(a <= 24 and b <= 24 for a, b in paired)
+
+
+def test_first_links_pair_places(spark, cloud, paired):
+    every = [(p[0], p[1], q[1], d2(p, q)) for p in cloud for q in cloud if q[0] == p[0] + 1 and d2(p, q) <= 4.0]
+    ahead, back = linking.firsts(table(spark, cloud), 2.0)
+    assert sorted(map(tuple, ahead.collect())) == sorted(min((e for e in every if e[1] == i), key=lambda e: (e[3], e[2])) for i in {e[1] for e in every})
+    assert sorted(map(tuple, back.collect())) == sorted(min((e for e in every if e[2] == k), key=lambda e: (e[3], e[1])) for k in {e[2] for e in every})
+    assert all(a <= 24 and b <= 24 for a, b in paired)
+
+
+def test_merged_directions_pair_places(spark, tmp_path, paired):
+    """40 customers at each of few places: the query pairs places."""
+    spark.createDataFrame([(1280 * 33 * (n % 40) + n // 40,) for n in range(400)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = tracking_queries.merge_bidirectional(spark, str(tmp_path)).collect()
+    assert len({(r["frame"], r["i"]) for r in got}) == len({(r["frame"], r["k"]) for r in got}) == len(got) > 0
+    assert paired and all(a <= 80 and b <= 80 for a, b in paired)
