@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from skein.operators import linking, spatial
+from skein.operators import linking, spatial, tracking
 from skein.plans import tracking_queries
 
 AXES = "xyz"
@@ -75,3 +75,16 @@ def test_merged_directions_pair_places(spark, tmp_path, paired):
     got = tracking_queries.merge_bidirectional(spark, str(tmp_path)).collect()
     assert len({(r["frame"], r["i"]) for r in got}) == len({(r["frame"], r["k"]) for r in got}) == len(got) > 0
     assert paired and all(a <= 80 and b <= 80 for a, b in paired)
+
+
+def test_frames_of_many_copies_are_linked_by_places(spark, cloud, monkeypatch):
+    """A frame of more points than FRAME_POINTS but fewer places is one task, and links as one pass over all its edges does."""
+    monkeypatch.setattr(tracking, "FRAME_POINTS", 30)
+    monkeypatch.setattr(linking, "nearest_first", None)
+    used, want = set(), []
+    for d, i, k in sorted((d2(p, q), p[1], q[1]) for p in cloud for q in cloud if p[0] == 0 and q[0] == 1 and d2(p, q) <= 4.0):
+        if (0, i) not in used and (1, k) not in used:
+            used |= {(0, i), (1, k)}
+            want.append((0, i, k, d))
+    got = tracking.link_nearest(table(spark, cloud).withColumnRenamed("pid", "id"), 2.0)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
