@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import linking, spatial, tracking
-from skein.plans import tracking_queries
+from skein.plans import quality_queries, tracking_queries
 
 AXES = "xyz"
 
@@ -88,3 +89,16 @@ def test_frames_of_many_copies_are_linked_by_places(spark, cloud, monkeypatch):
             want.append((0, i, k, d))
     got = tracking.link_nearest(table(spark, cloud).withColumnRenamed("pid", "id"), 2.0)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_components_are_resolved_by_places(spark, tmp_path, paired):
+    """The same number of links and the same total as from all edges, which are not made."""
+    spark.createDataFrame([(1280 * 33 * (n % 5) + n // 5 % 7 * 1280 + n % 3,) for n in range(60)], "c_custkey long").distinct().write.parquet(f"{tmp_path}/customer.parquet")
+    got = quality_queries.resolve_components(spark, str(tmp_path)).collect()
+    assert not paired
+    t = quality_queries._t(spark, str(tmp_path))
+    near = spatial.radius_join(spatial.side(t, "i", "id"), spatial.side(t, "k", "id", -1), 0.8)
+    want = tracking.resolve(near.select("frame", "i", "k", F.sqrt("d2").alias("cost"))).collect()
+    for f in range(7):
+        a, b = ([r["cost"] for r in rows if r["frame"] == f] for rows in (got, want))
+        assert len(a) == len(b) > 0 and sum(a) == pytest.approx(sum(b), abs=1e-4)
