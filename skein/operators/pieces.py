@@ -207,14 +207,23 @@ def stitch(tracks: DataFrame, max_gap: int = 2, tol: float = 5.0, cosine: float
     info = kept(info.select("*", *[F.when(span > 0, (F.col(f"q.{a}") - F.col(f"p.{a}")) / span).alias(f"v{a}") for a in AXES]))
     one = lambda s: info.select(F.col("trajid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in info.columns if c != "trajid"])
     left = one("a").withColumn("gap", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max_gap).cast("long")))).withColumn("f", F.col("a_q.frame") + F.col("gap"))
-    pairs = left.join(one("b").withColumn("f", F.col("b_p.frame")), "f").where("a <> b")
     vec = lambda s: [F.col(f"{s}_v{x}") for x in AXES]
     size = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    reach = tol + F.coalesce(size(vec("a")), F.lit(1.0)) * F.col("gap")
+    # place: an end is dealt to the cells that its reach touches, twice as wide as that up to a power of two, a start to its own cell of each such width
+    left = left.withColumn("_r", reach * 1.001).where(" AND ".join(["abs(_r) < double('infinity')", *[f"abs(a_q.{x}) < double('infinity')" for x in AXES]]))
+    left = kept(left.withColumn("_l", F.ceil(F.log2(F.greatest("_r", F.lit(1e-9)))).cast("int")))
+    levels = [r["_l"] for r in left.select("_l").distinct().collect()]  # as many as powers of two between the slowest and the fastest reach
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("_l") + 1)).cast("long")
+    for x in AXES:
+        left = left.withColumn(f"_{x}", F.explode(F.sequence(cell(F.col(f"a_q.{x}") - F.col("_r")), cell(F.col(f"a_q.{x}") + F.col("_r")))))
+    starts = one("b").withColumn("f", F.col("b_p.frame")).withColumn("_l", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    starts = starts.withColumns({f"_{x}": cell(F.col(f"b_p.{x}")) for x in AXES})
+    pairs = left.join(starts.hint("merge"), ["f", "_l", *[f"_{x}" for x in AXES]]).where("a <> b")
     d = [F.col(f"b_p.{x}") - F.col(f"a_q.{x}") for x in AXES]
     dot = sum((u * v for u, v in zip(vec("a"), vec("b"))), F.lit(0.0))
     moving = F.coalesce((size(vec("a")) > 1e-9) & (size(vec("b")) > 1e-9), F.lit(False))
     agree = ~moving | (dot >= cosine * size(vec("a")) * size(vec("b")))
-    reach = tol + F.coalesce(size(vec("a")), F.lit(1.0)) * F.col("gap")
     # second differences across the join
     over = F.lit(0.0)
     count = F.greatest(F.col("a_n") + F.col("b_n") - 2, F.lit(0))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import linking, spatial, tracking
+from skein.operators import linking, pieces, spatial, tracking
 from skein.plans import quality_queries, tracking_queries
 
 AXES = "xyz"
@@ -102,3 +102,23 @@ def test_components_are_resolved_by_places(spark, tmp_path, paired):
     for f in range(7):
         a, b = ([r["cost"] for r in rows if r["frame"] == f] for rows in (got, want))
         assert len(a) == len(b) > 0 and sum(a) == pytest.approx(sum(b), abs=1e-4)
+
+
+def test_fragments_meet_by_cells(spark):
+    """Ends of slow and fast tracks meet the starts within their reach, by an equi-join of cells."""
+    rng, rows = random.Random(11), []
+    for n in range(60):
+        v = (0.0, 0.125, 0.5, 4.0)[n % 4]
+        at, turn = [rng.randrange(-400, 400) / 8.0 for _ in AXES], rng.choice((-1, 1))
+        rows += [(2 * n + (f > 3), f, at[0] + turn * v * f, at[1] + v * f / 2, at[2]) for f in range(8) if f != 3]
+    rows += [(500, 0, 1.0, 1.0, 1.0), (501, 1, 1.5, 1.0, 1.0), (502, 1, float("nan"), 1.0, 1.0)]
+    t = spark.createDataFrame(rows, "trajid long, frame long, x double, y double, z double")
+    seen, kept = [], pieces.kept
+    pieces.kept = lambda df: seen.append(df) or kept(df)
+    try:
+        got = {tuple(r) for r in pieces.stitch(t, 2, 1.0).collect()}
+    finally:
+        pieces.kept = kept
+    assert {(2 * n, 2 * n + 1, 2) for n in range(60)} <= got and (500, 501, 1) in got
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert any("_l#" in p and "SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p or "Cartesian" in p for p in plans)
