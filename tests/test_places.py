@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skein.engines import assignment, cells
+from skein.engines import tracking as engine
 from skein.operators import linking, pieces, spatial, tracking
 from skein.plans import quality_queries, tracking_queries
 
@@ -122,3 +125,25 @@ def test_fragments_meet_by_cells(spark):
     assert got == {(2 * n, 2 * n + 1, 2) for n in range(60)} | {(500, 501, 1)}
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
     assert any("_l#" in p and "SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p or "Cartesian" in p for p in plans)
+
+
+def test_hypotheses_match_copies_by_places(monkeypatch):
+    """As many links of the same total as from all pairs of rows, which are not held."""
+    rng = np.random.default_rng(2)
+    at = [rng.integers(0, 4, (8, 3)) / 4.0 for _ in range(2)]
+    frames = [x[np.arange(120) % 8] for x in at]
+    i, k, d2 = cells.within(*frames, 0.8)
+    won = assignment.best(i, k, np.sqrt(d2))
+    pairs, plain = [], cells.within
+
+    def within(a, b, radius):
+        pairs.append(len(a) * len(b))
+        return plain(a, b, radius)
+
+    monkeypatch.setattr(cells, "within", within)
+    none = [np.full(120, -1) for _ in range(2)]
+    _, nxt, _, _ = engine.mht(frames, none, none, 2, 0.4)
+    i = np.flatnonzero(nxt[0] >= 0)
+    assert len(i) == len(won) and len(set(nxt[0][i])) == len(i)
+    assert np.linalg.norm(frames[1][nxt[0][i]] - frames[0][i], axis=1).sum() == pytest.approx(np.sqrt(d2[won]).sum())
+    assert max(pairs) <= 64
